@@ -5,12 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
+from .mixing import mixed
+from .quality import quality_rules
 from .simhash_dedup import near_duplicates
 
 SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP5_SQL = rf"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{SPACE}+', ' ', 'g') AS t FROM documents)
@@ -19,6 +25,67 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+tok AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+win AS (SELECT doc_id, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win WHERE c IS NOT NULL) x WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) x GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM ln WHERE regexp_matches(l, '{WORD}') GROUP BY doc_id),
+m AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0)::BIGINT AS n_lines
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    1000 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
+    1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM m),
+u AS (UNPIVOT (SELECT lang, source, word_length, symbols, dup_lines, repeats FROM v WHERE NOT base_failed) ON word_length, symbols, dup_lines, repeats INTO NAME measure VALUE x),
+leaf AS (SELECT lang, source, measure, x - x % (1 << greatest(length(bin(x)) - 6, 0)) AS b FROM u),
+ranked AS (
+  SELECT 'own' AS level, lang, source, measure, b, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS r, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM leaf
+  UNION ALL SELECT 'language', lang, NULL, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b), count(*) OVER (PARTITION BY lang, measure) FROM leaf
+  UNION ALL SELECT 'every', NULL, NULL, measure, b, row_number() OVER (PARTITION BY measure ORDER BY b), count(*) OVER (PARTITION BY measure) FROM leaf),
+q AS (SELECT level, lang, source, measure, any_value(n) AS n, min(b) FILTER (4 * r >= n) AS q1, min(b) FILTER (4 * r >= 3 * n) AS q3 FROM ranked GROUP BY ALL),
+f AS (SELECT level, lang, source, any_value(n) AS n,
+    max(4 * q3 - 3 * q1 + 1000) FILTER (measure = 'word_length') AS wh, max(4 * q1 - 3 * q3 - 1000) FILTER (measure = 'word_length') AS wl,
+    max(4 * q3 - 3 * q1 + 50) FILTER (measure = 'symbols') AS sh, max(4 * q3 - 3 * q1 + 400) FILTER (measure = 'dup_lines') AS dh,
+    max(4 * q3 - 3 * q1 + 300) FILTER (measure = 'repeats') AS rh FROM q GROUP BY ALL),
+p AS (SELECT v.*, CASE WHEN o.n >= 100 THEN o WHEN l.n >= 100 THEN l ELSE e END AS z
+  FROM v LEFT JOIN (SELECT * FROM f WHERE level = 'own') o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN (SELECT * FROM f WHERE level = 'language') l ON v.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN (SELECT * FROM f WHERE level = 'every') e ON true)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(word_length <= z.wh AND word_length >= z.wl AND symbols <= z.sh AND dup_lines <= z.dh AND repeats <= z.rh, true) AS kept
+FROM p
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, {BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+"""
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+o AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
+    coalesce(sum(3 * source_size) OVER (ORDER BY source_size * 10 // weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent,
+    sum(weight) OVER (ORDER BY source_size * 10 // weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights FROM w),
+h AS (SELECT *, (total - spent) * weight > 3 * source_size * weights AS held FROM o),
+r AS (SELECT *, total - coalesce(sum(3 * source_size) FILTER (held) OVER (), 0)::BIGINT AS rest, (sum(weight) FILTER (NOT held) OVER ())::BIGINT AS open FROM h),
+t AS (SELECT source, source_size, CASE WHEN held THEN (3 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / open::DOUBLE END AS target FROM r),
+c AS (SELECT doc_id, source, size, 2 * coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size AS middle FROM d)
+SELECT doc_id, size, source_size, target,
+  size * ((middle < 2 * target)::BIGINT + (middle + 2 * source_size < 2 * target)::BIGINT + (middle + 4 * source_size < 2 * target)::BIGINT) AS taken
+FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+"""
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("fp")
@@ -28,9 +95,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir)).drop("positions")
+
+
+QUERIES = (op1_simhash_dedup, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_dedup": op1_simhash_dedup, "op5_exact_dedup": op5_exact_dedup}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
