@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .huffman import read_tokens, write_tokens
 from .line_dedup import line_dedup
 from .mixing import mixed
 from .quality import quality_rules
 from .simhash_dedup import near_duplicates
+from .tokens import tokenizer_path
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,6 +93,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("fp")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=1)
+    return read_tokens(spark, path, digest=True)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -108,7 +115,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).drop("positions")
 
 
-QUERIES = (op1_simhash_dedup, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing)
+QUERIES = (op1_simhash_dedup, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
