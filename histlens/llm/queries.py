@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .huffman import read_tokens, write_tokens
 from .line_dedup import line_dedup
 from .mixing import mixed
+from .packing import packed
 from .quality import quality_rules
 from .simhash_dedup import near_duplicates
 from .tokens import tokenizer_path
@@ -115,7 +116,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).drop("positions")
 
 
-QUERIES = (op1_simhash_dedup, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing)
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=2048)
+
+
+QUERIES = (op1_simhash_dedup, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
