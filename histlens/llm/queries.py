@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_dedup
 from .huffman import read_tokens, write_tokens
+from .language_id import fit, identify, is_held_out
 from .line_dedup import line_dedup
 from .mixing import mixed
 from .packing import packed
@@ -94,6 +95,12 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("fp")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
+    return identify(docs, model).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=1)
     return read_tokens(spark, path, digest=True)
@@ -120,7 +127,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
-QUERIES = (op1_simhash_dedup, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
+QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
