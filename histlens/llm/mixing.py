@@ -27,7 +27,7 @@ WEIGHTS = (5, 2, 1)
 #: Slope of the weight schedule of sources with the first, second and third weight.
 SLOPES = (-0.5, 0.0, 0.5)
 MOST = 3
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 @F.arrow_udf(LongType())

@@ -14,6 +14,7 @@ from .language_id import fit, identify, is_held_out
 from .line_dedup import line_dedup
 from .mixing import mixed
 from .packing import packed
+from .pii import personal_data
 from .quality import quality_rules
 from .simhash_dedup import near_duplicates
 from .tokens import tokenizer_path
@@ -106,6 +107,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, digest=True)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -127,7 +132,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
-QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
+QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op4_pii, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
