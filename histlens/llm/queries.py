@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .huffman import read_tokens, write_tokens
 from .language_id import fit, identify, is_held_out
+from .license_scan import NOT_WORD, PHRASES, TEMPLATES, license_scan
 from .line_dedup import line_dedup
 from .mixing import mixed
 from .packing import packed
@@ -92,6 +93,30 @@ FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
 """
 
 
+_TEMPLATES = ", ".join(f"('{label}', list_distinct(string_split('{text}', ' ')))" for label, text in TEMPLATES)
+_PHRASES = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES.items())
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LICENSE_WORD = "[^" + NOT_WORD[1:]
+
+OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_ASCII}) AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_LICENSE_WORD}') AS ws FROM d),
+tok AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM w),
+win AS (SELECT doc_id, i, w AS a, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS three,
+    w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS four FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, i, label FROM win, (VALUES {_PHRASES}) x(phrase, label, n) WHERE phrase = CASE n WHEN 3 THEN three ELSE four END),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS ls FROM p GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+b AS (SELECT doc_id, list_distinct(regexp_extract_all(line || ' ' || coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY i), ''), '{_LICENSE_WORD}')) AS ws FROM ln),
+m AS (SELECT doc_id, label, len(list_intersect(tw, ws))::DOUBLE / len(tw) AS s FROM b, (VALUES {_TEMPLATES}) x(label, tw) WHERE 5 * len(list_intersect(tw, ws)) >= 4 * len(tw)),
+f AS (SELECT doc_id, list(DISTINCT label) AS ls, max(s) AS s FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.f::BIGINT AS first_word, base.l::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(f.ls, [])))), ','), '') AS labels, coalesce(f.s, 0) AS score
+FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN f ON f.doc_id = w.doc_id
+"""
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("fp")
 
@@ -124,6 +149,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir)).drop("positions")
 
@@ -132,7 +161,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
-QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op4_pii, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op9_mixing, op10_packing)
+QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op4_pii, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_license_scan, op9_mixing, op10_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -140,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op9_mixing": OP9_SQL}
