@@ -13,17 +13,23 @@ import functools
 import json
 import os
 import re
+import string
 from array import array
 from collections.abc import Callable
 
-CACHE = 300_000
-LONGEST_KEPT = 64
+import numpy as np
+
+#: Pieces, and bytes of pieces, of a generation; one document may exceed them while it is encoded.
+CACHE = 1_000_000
+CACHE_BYTES = 64 << 20
 #: A piece that ends in one of these after an ASCII letter or digit is its ids without the mark, then the mark's.
 MARKS = ",.;:!?"
 #: White space beyond ASCII's six that a pattern's \s may match; such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
-#: White space before a space, or a space at the end.
-_RUN = re.compile("[\\x20\\x09-\\x0D]\\x20|\\x20\\Z")
+#: Two white-space characters in a row, or one at the end.
+_RUN = re.compile("[\\x20\\x09-\\x0D](?:[\\x20\\x09-\\x0D]|\\Z)")
+#: A run of white space and what follows it.
+_PIECE = re.compile("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+")
 
 
 class Encoder:
@@ -41,54 +47,86 @@ class Encoder:
         self._code = {2: "H", 4: "I"}[self.width]
         self._young: dict = {}
         self._old: dict = {}
+        self._held = 0
         self._pieces = _cut_for(described)
         self._marks: dict = {}
         if self._pieces is not None:
             for mark, ids in zip(MARKS, self._ids(list(MARKS))):
-                self._marks |= {mark: ids, mark.encode(): ids}
+                self._marks |= {mark: ids, ord(mark): ids}
+            letters = string.ascii_letters + string.digits
+            self._solid = {*letters, *letters.encode()}
+            self._bounds = np.zeros(self.vocabulary, bool)
+            for token, number in self.tokenizer.get_vocab().items():
+                self._bounds[number] = token.startswith("\u0120") if self._pieces is _spaced else token.endswith("</w>")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self._code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list) -> list[bytes] | None:
+        """Ids of words of letters alone, encoded as one text and cut at the tokens that end (or start) a word; None if these are not as many."""
+        text = "".join(words) if isinstance(words[0], str) else b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        cuts = np.flatnonzero(self._bounds[ids]) * self.width
+        if len(cuts) != len(words):
+            return None
+        raw = ids.tobytes()
+        if isinstance(words[0], str):
+            return [raw[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(raw)])]
+        ends = (cuts + self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
     def _learn(self, pieces: set) -> None:
-        """Puts the ids of these pieces into the young generation."""
-        young, old, unseen, ended = self._young, self._old, set(), []
+        """Puts the ids of these pieces, none of which is there, into the young generation."""
+        young, old, marks, solid = self._young, self._old, self._marks, self._solid
+        words, others, ended = set(), [], []
         for p in pieces:
-            if (held := young.get(p) or old.get(p)) is not None:
+            if (held := old.get(p)) is not None:
                 young[p] = held
-            elif len(p) > 2 and p[-1:] in self._marks and p[-2:-1].isalnum() and p[-2:-1].isascii():
+                continue
+            if len(p) > 2 and p[-1] in marks and p[-2] in solid:
                 # Letters and digits never share a pretoken with a mark that follows.
                 ended.append(p)
-                if (held := young.get(p[:-1]) or old.get(p[:-1])) is not None:
-                    young[p[:-1]] = held
-                else:
-                    unseen.add(p[:-1])
+                p = p[:-1]
+                if p in young:
+                    continue
+                if (held := old.get(p)) is not None:
+                    young[p] = held
+                    continue
+            if p.isalpha() or p.decode().isalpha() if isinstance(p, bytes) else p[:1] == " " and p[1:].isalpha():
+                words.add(p)
+            else:
+                others.append(p)
+        if words:
+            order = list(words)
+            made = self._joined(order)
+            if made is None:
+                others += order
             else:
-                unseen.add(p)
-        if unseen:
-            order = list(unseen)
-            young.update(zip(order, self._ids([p.decode() if isinstance(p, bytes) else p for p in order])))
+                young.update(zip(order, made))
+        if others:
+            young.update(zip(others, self._ids([p.decode() if isinstance(p, bytes) else p for p in others])))
         for p in ended:
-            young[p] = young[p[:-1]] + self._marks[p[-1:]]
+            young[p] = young[p[:-1]] + marks[p[-1]]
 
     def encode(self, text: bytes) -> bytes:
         pieces = self._pieces(text) if self._pieces else None
         if pieces is None:
             return self._ids([text.decode()])[0]
-        missing = {p for p in pieces if p not in self._young}
-        if missing:
-            if len(self._young) + len(missing) > CACHE:
-                self._old, self._young = self._young, {}
-                missing = set(pieces)
+        found = list(map(self._young.get, pieces))
+        if None in found:
+            missing = {p for p, ids in zip(pieces, found) if ids is None}
             self._learn(missing)
-        found = b"".join(map(self._young.__getitem__, pieces))
-        for p in missing:
-            if len(p) > LONGEST_KEPT:
-                self._young.pop(p, None)
-                self._young.pop(p[:-1], None)
-        if len(self._young) > CACHE:
-            self._old, self._young = {}, {}
-        return found
+            young, at = self._young, -1
+            try:
+                while True:
+                    at = found.index(None, at + 1)
+                    found[at] = young[pieces[at]]
+            except ValueError:
+                pass  # no further piece was missing
+            self._held += sum(map(len, missing))
+            if len(young) > CACHE or self._held > CACHE_BYTES:
+                self._old, self._young, self._held = ({} if self._held > CACHE_BYTES else young), {}, 0
+        return b"".join(found)
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -101,13 +139,13 @@ def _lowered(text: bytes) -> list[bytes]:
 
 
 def _spaced(text: bytes) -> list[str] | None:
-    """Cut before each single space; None where that isn't plainly safe."""
+    """Cut before each run of white space, and after a lone line feed; None where that isn't plainly safe."""
     whole = text.decode()
-    if _RUN.search(whole) or not whole.isascii() and _OTHER_SPACE.search(whole):
+    if not whole.isascii() and _OTHER_SPACE.search(whole):
         return None
-    first, *rest = whole.split(" ")
-    pieces = [" " + x for x in rest]
-    return [first, *pieces] if first else pieces
+    if "\x1e" in whole or _RUN.search(whole):
+        return _PIECE.findall(whole)
+    return whole.replace(" ", "\x1e ").replace("\n", "\x1e\n\x1e").split("\x1e")
 
 
 def _cut_for(described: dict) -> Callable[[bytes], list | None] | None:
