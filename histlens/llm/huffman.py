@@ -96,11 +96,17 @@ def encode_documents(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, len
     bytes_of = (np.diff(bits[ends]) + 7) // 8
     firsts = np.concatenate([[0], np.cumsum(bytes_of)])
     at = bits[:-1] + np.repeat(8 * firsts[:-1] - bits[ends[:-1]], counts)
-    word, value = at >> 5, codes[ids] << (64 - (at & 31) - sizes).astype(np.uint64)
-    n = int(firsts[-1] + 3) // 4 + 1
-    # Codes share no bit, so sums are unions; below 2**32 they are exact as doubles.
-    made = np.bincount(word, (value >> np.uint64(32)).astype(np.float64), n + 1) + np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n + 1)
-    return made.astype(np.uint32).astype(">u4").tobytes()[: int(firsts[-1])], firsts, at
+    made = np.zeros(int(firsts[-1] + 7) // 8 + 1, np.uint64)
+    if len(ids):
+        word, left = at >> 6, 64 - (at & 63) - sizes
+        code, over = codes[ids], np.flatnonzero(left < 0)
+        value = code << np.maximum(left, 0).astype(np.uint64)
+        value[over] = code[over] >> (-left[over]).astype(np.uint64)
+        # Codes share no bit, so sums are unions.
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        made[word[starts]] = np.add.reduceat(value, starts)
+        made[word[over] + 1] += code[over] << (64 + left[over]).astype(np.uint64)
+    return made.astype(">u8").tobytes()[: int(firsts[-1])], firsts, at
 
 
 def decode_block(payload: bytes, counts: np.ndarray, marks: np.ndarray, bits: int, table: np.ndarray) -> np.ndarray:
@@ -127,54 +133,68 @@ def decode_block(payload: bytes, counts: np.ndarray, marks: np.ndarray, bits: in
     return out
 
 
-def _steps(ids: pa.Array, width: int, most: int = BLOCK_IDS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most` ids."""
-    low = held = 0
-    for i, n in enumerate(len(x.as_py()) // width for x in ids):
-        if held and held + n > most:
-            yield low, i
-            low, held = i, 0
-        held += n
-    if low < len(ids):
-        yield low, len(ids)
+def _flat(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a binary column of ids: all ids, without copying, and the first of each row (and the end)."""
+    column = binary(column)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    firsts = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[firsts[0] : firsts[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(f"<u{width}"), (firsts - firsts[0]) // width
+
+
+def _steps(firsts: np.ndarray, most: int = BLOCK_IDS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most `most` ids, or of one row."""
+    low, n = 0, len(firsts) - 1
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(firsts, firsts[low] + most, side="right")) - 1)
+        yield low, high
+        low = high
 
 
 def tokenized(docs: DataFrame, path: str, end: int) -> tuple[DataFrame, int]:
-    """(doc_id, ids as little-endian bytes, n) with the end id appended, and the bytes of an id."""
+    """(doc_id, ids as little-endian bytes, n, counts) with the end id appended, and the bytes of an id.
+
+    Each task ends with a row without ids, whose counts are (id, count) of all its ids, 64-bit each.
+    """
     width = 4 if encoder(path).vocabulary > 1 << 16 or end >= 1 << 16 else 2
     tail = end.to_bytes(width, "little")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        total = np.zeros(max(encode.vocabulary, end + 1), np.int64)
+        names = ["doc_id", "ids", "n", "counts"]
         for batch in batches:
             rows = []
             for text in texts(batch["text"]):
                 found = encode.encode(text)
                 rows.append((np.frombuffer(found, "<u2").astype("<u4").tobytes() if width > encode.width else found) + tail)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.binary()), pa.array([len(r) // width for r in rows], pa.int64())], ["doc_id", "ids", "n"])
+            ids = pa.array(rows, pa.binary())
+            del rows
+            values, firsts = _flat(ids, width)
+            for low, high in _steps(firsts):
+                total += np.bincount(values[firsts[low] : firsts[high]], minlength=len(total))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ids, pa.array(np.diff(firsts)), pa.nulls(len(ids), pa.binary())], names)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([0], pa.int64()), pa.array([np.stack([used, total[used]], axis=1).astype("<i8").tobytes()], pa.binary())], names)
 
     rows = select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(made, "doc_id long, ids binary, n long"), width
+    return rows.mapInArrow(made, "doc_id long, ids binary, n long, counts binary"), width
 
 
-def id_counts(staged: DataFrame, width: int) -> np.ndarray:
-    """Counts of all ids; each task sends one row for each id it saw, so the result is bounded by the vocabulary."""
+def id_counts(staged: DataFrame) -> np.ndarray:
+    """Counts of all ids over all tasks; what is collected is bounded by the vocabulary."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = binary(batch["ids"])
-            for low, high in _steps(ids, width):
-                found = np.bincount(np.frombuffer(b"".join(x.as_py() for x in ids[low:high]), f"<u{width}"))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    rows = staged.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
-    counts[rows["id"].to_numpy(np.int64)] = rows["n"]
+            for x in batch["counts"]:
+                found = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["id", "n"])
+
+    rows = staged.where("counts IS NOT NULL").select("counts").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    ids = rows["id"].to_numpy()
+    counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    counts[ids] = rows["n"].to_numpy()
     return counts
 
 
@@ -190,7 +210,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, to: str | None =
     rows, width = tokenized(docs, tokenizer, end)
     rows.write.option("compression", "zstd").parquet(f"{to}/staged")
     staged = spark.read.parquet(f"{to}/staged")
-    counts = id_counts(staged, width)
+    counts = id_counts(staged)
+    staged = staged.where("counts IS NULL").select("doc_id", "ids")
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(used), "n": pa.array(counts[used]), "length": pa.array(lengths[used].astype(np.int32))})).coalesce(1).write.parquet(f"{to}/codebook")
@@ -212,11 +233,10 @@ def _coder(bounds: np.ndarray, lengths: np.ndarray, width: int) -> Callable:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
         for batch in batches:
-            ids = binary(batch["ids"])
-            for low, high in _steps(ids, width):
-                raw = [x.as_py() for x in ids[low:high]]
-                counts = np.array([len(x) // width for x in raw], np.int64)
-                payload, firsts, at = encode_documents(np.frombuffer(b"".join(raw), f"<u{width}"), counts, codes, lengths)
+            ids, bounds_of = _flat(batch["ids"], width)
+            for low, high in _steps(bounds_of):
+                counts = np.diff(bounds_of[low : high + 1])
+                payload, firsts, at = encode_documents(ids[bounds_of[low] : bounds_of[high]], counts, codes, lengths)
                 starts = np.cumsum(counts) - counts
                 owner = batch["doc_id"][low:high]
                 bucket = np.where(owner.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, owner.fill_null(0).to_numpy(), side="left"))
