@@ -27,6 +27,7 @@ WEIGHTS = (5, 2, 1)
 #: Slope of the weight schedule of sources with the first, second and third weight.
 SLOPES = (-0.5, 0.0, 0.5)
 MOST = 3
+#: Rows of a prefix-sum bucket, at most about so many; a source's share of rows in one task falls with it.
 BUCKET_ROWS = 4_000
 
 
