@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text, times, values
 from ..functions.hashing import author_list_hash, salted
-from ..operators import cadence, churn, forensics, graph, merkle, ownership, ranking, sequence, signatures, skills
-from ..relations import line_churn, table
+from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ownership, ranking, sequence, signatures, skills
+from ..relations import line_churn, order_commits, table
+from . import profile as profile_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -469,3 +470,109 @@ def span_words(spark, sf_dir):
 def dotted_prefixes(spark, sf_dir):
     dotted = F.concat(F.lit("com."), "p_type", F.lit("."), F.regexp_replace("p_brand", "#", ""), F.lit(".Main"))
     return table(spark, sf_dir, "part").where("p_partkey < 3").select(F.col("p_brand").alias("brand"), F.array_join(values.prefixes(dotted), "|").alias("prefixes"))
+
+
+def tables_history(spark: SparkSession, sf_dir: str) -> profile_plan.History:
+    """orders as commits and lineitem as churn; a part's type is the directory, its size picks the suffix."""
+    lines = line_churn(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    suffix = F.element_at(F.array(*map(F.lit, ("ts", "py", "md"))), (F.col("p_size") % 3 + 1).cast("int"))
+    changed = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
+        F.lit("tables").alias("repo_id"), F.col("l_orderkey").cast("string").alias("sha"), F.col("l_linenumber").cast("int").alias("file_pos"),
+        F.concat(F.lower("p_type"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("."), suffix).alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"),
+    )
+    return profile_plan.History(order_commits(spark, sf_dir), changed)
+
+
+def tables_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = chosen(spark, sf_dir).select(F.col("user_id").cast("string").alias("email"))
+    agreed = profile_plan.Attestation(True, "2024-01-31T00:00:00.000Z")
+    return profile_plan.profile(tables_history(spark, sf_dir), authors, SALT, agreed, created_at="2024-01-31T00:00:00.000Z")
+
+
+@query("""WITH s AS (SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey), c AS (SELECT o_orderkey, o_custkey, o_orderdate AS a, shipped AS c, o_orderstatus = 'F' AS signed, o_custkey % 7 = 3 AS mine FROM orders JOIN s ON o_orderkey = l_orderkey),
+    b AS (SELECT count(*) OVER (ORDER BY epoch_ms(c) RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) AS k FROM c WHERE mine),
+    f AS (SELECT l_orderkey, lower(p_type) || '/' || l_partkey || '.' || ['ts', 'py', 'md'][(p_size % 3 + 1)::INT] AS path, l_quantity::BIGINT + l_linenumber AS amount FROM lineitem JOIN part ON l_partkey = p_partkey JOIN c ON o_orderkey = l_orderkey AND mine),
+    e AS (SELECT '.' || split_part(path, '.', 2) AS x, sum(amount)::DOUBLE / (SELECT sum(amount) FROM f) AS share FROM f GROUP BY 1),
+    g AS (SELECT CASE WHEN path LIKE '%.md' THEN 'docs' WHEN path LIKE '%.py' THEN 'backend' ELSE 'other' END AS x, sum(amount)::DOUBLE / (SELECT sum(amount) FROM f) AS share, count(DISTINCT l_orderkey) AS n FROM f GROUP BY 1)
+    SELECT count(*) FILTER (mine) AS user_total, count(DISTINCT o_custkey) FILTER (NOT mine) AS others, strftime(min(a) FILTER (mine), '%Y-%m-%dT%H:%M:%S.000Z') AS first_at,
+      (epoch_ms(max(a) FILTER (mine)) - epoch_ms(min(a) FILTER (mine))) // 86400000 AS span_days, count(*) FILTER (mine AND signed) AS signed_count, count(*) FILTER (mine AND signed)::DOUBLE / count(*) FILTER (mine) AS signed_ratio,
+      count(*) FILTER (mine)::DOUBLE / count(*) AS ownership, (epoch_ms(max(c) FILTER (mine)) - epoch_ms(min(c) FILTER (mine))) // 86400000 AS committer_span_days,
+      avg(CASE WHEN abs(epoch_ms(a) - epoch_ms(c)) > 172800000 THEN 1.0 ELSE 0.0 END) FILTER (mine) AS mismatch_ratio, (SELECT max(k) FROM b)::DOUBLE / count(*) FILTER (mine) AS burst_ratio,
+      (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT, ',' ORDER BY x) FROM e) AS languages, (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT || ':' || n, ',' ORDER BY x) FROM g) AS categories FROM c""")
+def profile_bundle(spark, sf_dir):
+    b = lambda path: F.col(f"bundle.{path}")
+    million = lambda share: F.round(share * 1e6).cast("long").cast("string")
+    dates = "integrity.date_forensics"
+    return tables_profile(spark, sf_dir).select(
+        b("commits.user_total"), b("identity.other_contributors_count").alias("others"), b("commits.first_at"), b("commits.span_days"), b("signed.count").alias("signed_count"), b("signed.ratio").alias("signed_ratio"), b("ownership.user_commit_ratio").alias("ownership"),
+        b(f"{dates}.committer_span_days"), b(f"{dates}.mismatch_ratio"), b(f"{dates}.committer_burst_ratio").alias("burst_ratio"),
+        F.array_join(F.array_sort(F.transform(b("languages"), lambda x: F.concat_ws(":", x["extension"], million(x["share"])))), ",").alias("languages"),
+        F.array_join(F.array_sort(F.transform(b("categories"), lambda x: F.concat_ws(":", x["name"], million(x["churn_share"]), x["commit_count"].cast("string")))), ",").alias("categories"),
+    )
+
+
+_ADDED = [
+    ("a.ts", "import x from 'react';\n// import y from 'no'\nconst z = require(\"@scope/pkg/sub\");\nimport {\n  a,\n} from 'lodash/fp';\nimport './local';"),
+    ("b.py", "import os.path as p, sys\nfrom numpy.linalg import norm\nfrom . import own\ns = 'import no'"),
+    ("c.go", "import (\n  \"fmt\"\n  // \"no\"\n  x \"github.com/a/b/v2\"\n)"),
+    ("d.rs", "use serde_json::Value;\nuse std::io;\npub use tokio::main;"),
+    ("E.java", "import static org.junit.Assert.*;\nimport java.util.List;"),
+    ("Gemfile", "gem 'rails'\n# gem 'no'"),
+    ("f.cs", "using System.Text;\nusing static System.Math;"),
+    ("Package.swift", ".package(url: \"https://x.org/a/Alamofire.git\", from: \"5\")"),
+    ("g.swift", "@testable import struct Foundation"),
+    ("h.php", "use Symfony\\Component;\n"),
+    ("Cargo.toml", "[dependencies]\nserde = \"1\"\n[dev-dependencies.my-crate]\nversion = \"1\"\n[package]\nname = \"x\""),
+    ("composer.json", '{"require": {"php": "8", "monolog/monolog": "2"}}'),
+    ("package.json", '"dependencies": {\n"left-pad": "1"\n}\n"scripts": {\n"x": "y"\n}'),
+    ("README.md", "import x from 'react'"),
+]
+_FOUND = {
+    "a.ts": "react,lodash,@scope/pkg", "b.py": "os,sys,numpy", "c.go": "fmt,github.com/a/b", "d.rs": "serde_json,tokio", "E.java": "org,org.junit,org.junit.assert,java,java.util,java.util.list", "Gemfile": "rails", "f.cs": "system,system.text,system.math",
+    "Package.swift": "alamofire", "g.swift": "foundation", "h.php": "symfony", "Cargo.toml": "serde,my_crate", "composer.json": "monolog/monolog", "package.json": "left-pad", "README.md": "",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _FOUND.items()) + ") v(path, packages)")
+def import_extraction(spark, sf_dir):
+    rows = spark.createDataFrame(_ADDED, "path string, added_text string")
+    return rows.select("path", F.array_join(imports.imported_packages("added_text", "path"), ",").alias("packages"))
+
+
+@query("""SELECT page_id, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN 'js' WHEN n % 4 = 2 THEN 'python' ELSE 'csharp' END AS language FROM (SELECT page_id, length(url) AS n FROM pages) x""")
+def path_language(spark, sf_dir):
+    suffix = F.element_at(F.array(*map(F.lit, (".md", ".TSX", ".py", ".csproj"))), (F.length("url") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", imports.language(F.concat(F.lit("src/x"), suffix)).alias("language"))
+
+
+# A payment handler in one file, a layered one over three, and a session flow without a guard.
+_CALLS = [
+    ("one", "api.ts", 1, ["stripe", "webhooks", "constructEvent"], 3, "handle", [], [], []), ("one", "api.ts", 2, ["prisma", "order", "upsert"], 5, "handle", [], [], []),
+    ("two", "a.ts", 1, ["stripe", "webhooks", "constructEvent"], 3, "handle", [], [], []), ("two", "c.ts", 1, ["db", "order", "findUnique"], 2, "save", [], [], []), ("two", "c.ts", 2, ["db", "order", "create"], 3, "save", [], [], []),
+    ("three", "s.ts", 1, ["getToken"], 4, "login", [], [], []), ("three", "s.ts", 2, ["signIn"], 5, "login", [], [], []),
+]
+_IMPORTED = [
+    ("one", "api.ts", "stripe", [("stripe", "stripe", "default")], 1), ("one", "api.ts", "@prisma/client", [("prisma", "prisma", "named")], 2),
+    ("two", "a.ts", "stripe", [("stripe", "stripe", "default")], 1), ("two", "a.ts", "./b", [("serve", "serve", "named")], 2), ("two", "b.ts", "./c", [("save", "save", "named")], 1), ("two", "c.ts", "@prisma/client", [("PrismaClient", "PrismaClient", "named")], 1),
+    ("three", "s.ts", "next-auth/jwt", [("getToken", "getToken", "named")], 1), ("three", "s.ts", "next-auth/react", [("signIn", "signIn", "named")], 2),
+]
+_BOUND = [("two", "c.ts", "db", "new", ["PrismaClient"], 1)]
+
+
+def fixture_findings(spark: SparkSession) -> DataFrame:
+    calls = spark.createDataFrame(_CALLS, "repo_id string, path string, pos int, chain array<string>, line int, fn string, string_args array<string>, arg_props array<string>, number_args array<double>")
+    imported = spark.createDataFrame(_IMPORTED, "repo_id string, path string, specifier string, bindings array<struct<local: string, imported: string, kind: string>>, pos int")
+    bound = spark.createDataFrame(_BOUND, "repo_id string, path string, name string, kind string, chain array<string>, pos int")
+    accesses = spark.createDataFrame([], "repo_id string, path string, chain array<string>, line int, fn string")
+    literals = spark.createDataFrame([], "repo_id string, path string, value string, line int, fn string, pos int")
+    found = anchors.find_anchors(calls, imported, bound, accesses, literals)
+    files = imported.select("repo_id", "path").distinct()
+    return infer.findings(found, graph.resolve_imports(imported, files), graph.external_imports(imported), files.where("path <> 'b.ts'"))
+
+
+@query("""SELECT * FROM (VALUES ('one', 'payments/payment-webhook-flow', 'direct', true, 'same-function', 0, 'webhook-verification,db-write,idempotency-guard'), ('two', 'payments/payment-webhook-flow', 'inferred', true, 'cross-file', 2, 'webhook-verification,db-write,idempotency-guard'),
+    ('three', 'auth/jwt-refresh-flow', 'ambiguous', false, NULL, NULL, ''), ('three', 'auth/oauth-flow', 'ambiguous', false, NULL, NULL, 'authorize-redirect,session-issuance'), ('three', 'auth/session-flow', 'ambiguous', false, NULL, NULL, 'credential-verification,session-issuance'))
+    v(repo_id, slug, confidence, claimed, connection, edge_distance, kinds)""")
+def structural_findings(spark, sf_dir):
+    return fixture_findings(spark).select("repo_id", "slug", "confidence", "claimed", "connection", "edge_distance", F.array_join(F.transform("anchors", lambda a: a["kind"]), ",").alias("kinds"))
