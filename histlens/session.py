@@ -15,6 +15,7 @@ def session(name: str = "histlens", master: str | None = None, partitions: int |
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)

@@ -5,7 +5,8 @@
 
 Modes: log (commits), churn, diff (added lines), tree (files of HEAD), blob
 (content of `revisions`, comma-joined, default HEAD) and repos (one row).  Each
-repository of `repos` (comma-joined) is a partition, and diffs and blobs are cut
+repository of `repos` (comma-joined) is a partition; option `pushdown` passes
+filters on email to git, `since` a start; and diffs and blobs are cut
 into batches of commits or files, so that many repositories and long histories
 read in parallel.  Executors need git and the repositories at these paths.
 """
@@ -73,7 +74,7 @@ def log_records(repo: str, *more: str) -> Iterator[tuple[list[str], list[str]]]:
 
 def added_text(repo: str, shas: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
     """(sha, path, added lines) of these commits against their first parents."""
-    out = git(repo, "-c", "core.quotepath=off", "diff-tree", "--stdin", "--root", "-r", "-p", "-U0", "-m", "--first-parent", "--no-renames", "--no-color", "--no-ext-diff", f"--format={RECORD}%H", given="\n".join(shas).encode(), quiet=True)
+    out = git(repo, "-c", "core.quotepath=off", "diff-tree", "--stdin", "--root", "-r", "-p", "-U0", "-m", "--first-parent", "--no-renames", "--no-color", "--no-ext-diff", f"--format={RECORD}%H", given="".join(f"{s}\n" for s in shas).encode(), quiet=True)
     sha, path, lines = "", None, []
     for raw in out.decode(errors="replace").split("\n"):
         line = raw.removesuffix("\r")
@@ -124,15 +125,6 @@ class GitReader(DataSourceReader):
         if not self.repos:
             raise ValueError("option repo or repos is needed")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Equality on email narrows the walk; git matches patterns, so Spark filters once more."""
-        for f in filters:
-            if self.mode == "log" and isinstance(f, EqualTo) and f.attribute == ("email",):
-                self.emails = (f.value,)
-            elif self.mode == "log" and isinstance(f, In) and f.attribute == ("email",):
-                self.emails = tuple(f.value)
-            yield f
-
     def _window(self) -> list[str]:
         return [f"--since={self.since}"] if self.since else []
 
@@ -182,6 +174,18 @@ def _time(text: str) -> datetime:
     return datetime.fromisoformat(text)
 
 
+class PushdownReader(GitReader):
+    """Equality on email narrows the walk; git matches patterns, so Spark filters once more."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if self.mode == "log" and isinstance(f, EqualTo) and f.attribute == ("email",):
+                self.emails = (f.value,)
+            elif self.mode == "log" and isinstance(f, In) and f.attribute == ("email",):
+                self.emails = tuple(f.value)
+            yield f
+
+
 class GitDataSource(DataSource):
     """See the module."""
 
@@ -196,4 +200,5 @@ class GitDataSource(DataSource):
         return SCHEMAS[mode]
 
     def reader(self, schema) -> GitReader:  # noqa: ANN001
-        return GitReader(dict(self.options))
+        # Spark refuses pushFilters unless spark.sql.python.filterPushdown.enabled is set, as histlens.session does.
+        return (PushdownReader if self.options.get("pushdown", "").lower() == "true" else GitReader)(dict(self.options))
