@@ -12,6 +12,7 @@ from ..functions import paths, text, times, values
 from ..functions.hashing import author_list_hash, salted
 from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ownership, ranking, sequence, signatures, skills
 from ..relations import line_churn, order_commits, table
+from ..sources import stores
 from . import profile as profile_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,3 +577,68 @@ def fixture_findings(spark: SparkSession) -> DataFrame:
     v(repo_id, slug, confidence, claimed, connection, edge_distance, kinds)""")
 def structural_findings(spark, sf_dir):
     return fixture_findings(spark).select("repo_id", "slug", "confidence", "claimed", "connection", "edge_distance", F.array_join(F.transform("anchors", lambda a: a["kind"]), ",").alias("kinds"))
+
+
+@query("""WITH s AS (SELECT event_type || '/' || (user_id % 9) AS slug, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, split_part(slug, '/', 1) AS prefix, row_number() OVER (PARTITION BY split_part(slug, '/', 1) ORDER BY n DESC, slug) AS k FROM s)
+    SELECT prefix, string_agg(slug, ',' ORDER BY k) FILTER (k <= 4) AS top_items, greatest(count(*) - 4, 0) AS remainder, count(*) AS total, sum(n)::BIGINT AS commits FROM r GROUP BY prefix""")
+def capability_groups(spark, sf_dir):
+    found = events(spark, sf_dir).groupBy(F.concat_ws("/", "event_type", (F.col("user_id") % 9).cast("string")).alias("slug")).agg(F.count(F.lit(1)).alias("commit_count"))
+    return ranking.capability_groups(found).withColumn("top_items", F.array_join("top_items", ","))
+
+
+@query("""SELECT slug, string_agg(package, ',' ORDER BY package) AS packages FROM (SELECT DISTINCT lower(p_brand) AS package, p_type AS slug FROM part WHERE p_size = 7) m
+    WHERE slug IN (SELECT DISTINCT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 AND p_size = 9) GROUP BY slug""")
+def release_candidates(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    package_map = parts.where("p_size = 7").select(F.lower("p_brand").alias("package"), F.col("p_type").alias("slug")).distinct()
+    found = parts.where("p_size = 9").join(table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("p_type").alias("slug"))
+    listed = package_map.select("package").distinct()
+    return skills.release_candidates(listed, package_map, found).withColumn("packages", F.array_join("packages", ","))
+
+
+_STAMPS = ["2024-02-29T01:02:03Z", "2024-02-29T01:02:03.123Z", "2023-02-29T01:02:03Z", "2024-02-29T01:02:03", "2024-02-29T01:02:03.1Z", "2024-13-01T00:00:00Z", "x"]
+
+
+@query(f"""SELECT t AS text, CASE WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]{{3}})?Z') THEN epoch_ms(try_cast(replace(replace(t, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS ms FROM (SELECT unnest({_STAMPS!r}) AS t) x""")
+def canonical_timestamps(spark, sf_dir):
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _STAMPS))).alias("text"))
+    return rows.select("text", times.millis(times.canonical_utc(F.col("text"))).alias("ms"))
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name, -c_acctbal FROM customer WHERE c_custkey % 3 = 0""")
+def store_upsert(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    new = people.where("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("new "), "c_name").alias("c_name"), (-F.col("c_acctbal")).alias("c_acctbal"))
+    return stores.upsert(people, new, ["c_custkey"])
+
+
+@query("""WITH t AS (SELECT c_nationkey AS repo_id, lower(c_mktsegment) || '/' || ['a', 'dist/b', 'out/c', 'd.min', 'e.d'][(c_custkey % 5 + 1)::INT] || c_custkey % 40 || ['.ts', '.tsx', '.js'][(c_custkey % 3 + 1)::INT] AS path, max(c_custkey * 997) AS size FROM customer GROUP BY ALL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS k FROM t WHERE size <= 204800 * 4 AND (path LIKE '%.ts' OR path LIKE '%.tsx') AND path NOT LIKE '%.d.ts' AND path NOT LIKE '%.d.tsx' AND path NOT LIKE '%/dist/%' AND path NOT LIKE '%/out/%' AND path NOT LIKE '%.min.ts')
+    SELECT repo_id, path, size FROM g WHERE k <= 3""")
+def snapshot_files(spark, sf_dir):
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+    path = F.concat(F.lower("c_mktsegment"), F.lit("/"), pick(("a", "dist/b", "out/c", "d.min", "e.d"), F.col("c_custkey") % 5), (F.col("c_custkey") % 40).cast("string"), pick((".ts", ".tsx", ".js"), F.col("c_custkey") % 3))
+    tree = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("repo_id"), path.alias("path")).agg(F.max(F.col("c_custkey") * 997).alias("size"))
+    return stores.snapshot_files(tree, 3, 204_800 * 4)
+
+
+@query("""SELECT c_custkey, length(trim(x, ' ')) BETWEEN 1 AND 64 AND NOT regexp_matches(trim(x, ' '), '[\\x00-\\x1f\\x7f]') AS ok FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN c_name || chr(9) WHEN 2 THEN repeat(c_name, 4) ELSE ' ' || c_name END AS x FROM customer) t""")
+def label_validity(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    label = F.when(k == 0, "  ").when(k == 1, F.concat("c_name", F.lit("\t"))).when(k == 2, F.repeat("c_name", F.lit(4))).otherwise(F.concat(F.lit(" "), "c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.is_label(label).alias("ok"))
+
+
+_VERSIONS = [("1.2.3", "1.2.3"), ("1.2.4", "1.2.3"), ("1.3.0", "1.2.9"), ("2.0.0", "10.0.0"), ("v3.0.1", "3.0.0"), ("x", "1.0.0")]
+
+
+@query("SELECT * FROM (VALUES ('1.2.3', false), ('1.2.4', true), ('1.3.0', true), ('2.0.0', false), ('v3.0.1', true), ('x', false)) v(candidate, newer)")
+def version_compare(spark, sf_dir):
+    rows = spark.createDataFrame(_VERSIONS, "candidate string, current string")
+    return rows.select("candidate", values.is_newer(F.col("candidate"), F.col("current")).alias("newer"))
+
+
+@query("""SELECT user_id, event_id FROM events WHERE user_id % 7 = 3 AND event_type <> 'error'""")
+def author_filter(spark, sf_dir):
+    rows = events(spark, sf_dir).where(F.col("event_type") != "error").select("user_id", "event_id")
+    return ownership.selected(rows, chosen(spark, sf_dir), "user_id")
