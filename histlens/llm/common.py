@@ -53,6 +53,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     """mapInArrow for a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             made = function(batch)
             if made is not None and made.num_rows:
@@ -61,6 +62,21 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+#: What frees memory that an operator keeps between tasks of one Python worker.
+_RELEASES: list[Callable[[], None]] = []
+
+
+def kept_between_tasks(release: Callable[[], None]) -> None:
+    """Registers how to give back what later tasks of the same operator would use again."""
+    _RELEASES.append(release)
+
+
+def lean_worker() -> None:
+    """Gives back what other operators' tasks left in this Python worker; workers live on from stage to stage."""
+    for release in _RELEASES:
+        release()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import select_columns, texts
+from .common import lean_worker, select_columns, texts
 
 BUCKETS = 1 << 15
 #: Labelled documents of each language that the model is fit on.
@@ -99,7 +99,8 @@ class Model:
         self.languages = languages
         smooth = counts + SMOOTHING
         self.scores = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
-        self.scores -= self.scores.max(axis=1, keepdims=True)
+        if languages:
+            self.scores -= self.scores.max(axis=1, keepdims=True)
         self.allowed = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
         self.prior = np.log((documents + 1) / (documents + 1).sum())
 
@@ -244,6 +245,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         labeler = Labeler(sent.value)
         for batch in batches:
             rows = labeler.label(list(texts(batch["text"])))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import checkpointed, select_columns, texts
+from .common import checkpointed, lean_worker, select_columns, texts
 
 WEIGHTS = (5, 2, 1)
 #: Slope of the weight schedule of sources with the first, second and third weight.
@@ -33,6 +33,7 @@ BUCKET_ROWS = 4_000
 
 @F.arrow_udf(LongType())
 def n_words(text: pa.Array) -> pa.Array:
+    lean_worker()
     return pa.array([len(t.split()) for t in texts(text)], pa.int64())
 
 

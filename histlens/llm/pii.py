@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, select_columns, texts
+from .common import checkpointed, lean_worker, select_columns, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -183,6 +183,7 @@ def train(votes: np.ndarray, truth: np.ndarray, counts: np.ndarray, rounds: int
 
 def _found(docs: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             rows = [candidates(t.decode()) for t in texts(batch["text"])]
             offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())

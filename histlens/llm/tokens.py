@@ -9,7 +9,8 @@ is read from its file; any other tokenizer gets whole texts.
 
 from __future__ import annotations
 
-import functools
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -19,9 +20,13 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces, and bytes of pieces, of a generation; one document may exceed them while it is encoded.
+from .common import kept_between_tasks
+
+#: Pieces of a generation, shared out among an executor's Python workers, and bytes of pieces of one.
 CACHE = 1_000_000
 CACHE_BYTES = 64 << 20
+#: Hashes of the table of pieces seen before, less one.
+DOOR = (1 << 22) - 1
 #: A piece that ends in one of these after an ASCII letter or digit is its ids without the mark, then the mark's.
 MARKS = ",.;:!?"
 #: White space beyond ASCII's six that a pattern's \s may match; such texts are encoded whole.
@@ -45,9 +50,11 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if self.vocabulary <= 1 << 16 else 4
         self._code = {2: "H", 4: "I"}[self.width]
+        self.most = CACHE // workers()
         self._young: dict = {}
         self._old: dict = {}
-        self._held = 0
+        self._held = self._passed = 0
+        self._door = bytearray(DOOR + 1)
         self._pieces = _cut_for(described)
         self._marks: dict = {}
         if self._pieces is not None:
@@ -75,22 +82,28 @@ class Encoder:
         ends = (cuts + self.width).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, pieces: set) -> None:
-        """Puts the ids of these pieces, none of which is there, into the young generation."""
-        young, old, marks, solid = self._young, self._old, self._marks, self._solid
-        words, others, ended = set(), [], []
+    def _learn(self, pieces: set) -> dict:
+        """The ids of these pieces, none of which is in the young generation.
+
+        Half of all pieces are seen once only; a piece is kept from its second time on, which a table of hashes tells.
+        """
+        young, old, marks, solid, door = self._young, self._old, self._marks, self._solid, self._door
+        made, words, others, ended = {}, set(), [], []
         for p in pieces:
             if (held := old.get(p)) is not None:
-                young[p] = held
+                young[p] = made[p] = held
                 continue
             if len(p) > 2 and p[-1] in marks and p[-2] in solid:
                 # Letters and digits never share a pretoken with a mark that follows.
                 ended.append(p)
                 p = p[:-1]
-                if p in young:
+                if p in made:
                     continue
-                if (held := old.get(p)) is not None:
-                    young[p] = held
+                held = young.get(p)
+                if held is None:
+                    held = old.get(p)
+                if held is not None:
+                    made[p] = held
                     continue
             if p.isalpha() or p.decode().isalpha() if isinstance(p, bytes) else p[:1] == " " and p[1:].isalpha():
                 words.add(p)
@@ -98,15 +111,26 @@ class Encoder:
                 others.append(p)
         if words:
             order = list(words)
-            made = self._joined(order)
-            if made is None:
+            found = self._joined(order)
+            if found is None:
                 others += order
             else:
-                young.update(zip(order, made))
+                made.update(zip(order, found))
         if others:
-            young.update(zip(others, self._ids([p.decode() if isinstance(p, bytes) else p for p in others])))
+            made.update(zip(others, self._ids([p.decode() if isinstance(p, bytes) else p for p in others])))
         for p in ended:
-            young[p] = young[p[:-1]] + marks[p[-1]]
+            made[p] = made[p[:-1]] + marks[p[-1]]
+        for p, ids in made.items():
+            at = hash(p) & DOOR
+            if door[at]:
+                young[p] = ids
+                self._held += len(p)
+            else:
+                door[at] = 1
+        self._passed += len(made)
+        if self._passed > DOOR // 2:
+            self._door, self._passed = bytearray(DOOR + 1), 0
+        return made
 
     def encode(self, text: bytes) -> bytes:
         pieces = self._pieces(text) if self._pieces else None
@@ -114,18 +138,16 @@ class Encoder:
             return self._ids([text.decode()])[0]
         found = list(map(self._young.get, pieces))
         if None in found:
-            missing = {p for p, ids in zip(pieces, found) if ids is None}
-            self._learn(missing)
-            young, at = self._young, -1
+            made = self._learn({p for p, ids in zip(pieces, found) if ids is None})
+            at = -1
             try:
                 while True:
                     at = found.index(None, at + 1)
-                    found[at] = young[pieces[at]]
+                    found[at] = made[pieces[at]]
             except ValueError:
                 pass  # no further piece was missing
-            self._held += sum(map(len, missing))
-            if len(young) > CACHE or self._held > CACHE_BYTES:
-                self._old, self._young, self._held = ({} if self._held > CACHE_BYTES else young), {}, 0
+            if len(self._young) > self.most or self._held > CACHE_BYTES:
+                self._old, self._young, self._held = ({} if self._held > CACHE_BYTES else self._young), {}, 0
         return b"".join(found)
 
 
@@ -163,10 +185,36 @@ def _cut_for(described: dict) -> Callable[[bytes], list | None] | None:
     return None
 
 
-@functools.cache
+def workers() -> int:
+    """Python workers of this executor, the siblings of this process; two where that can't be told."""
+    parent = os.getppid()
+    try:
+        with open(f"/proc/{parent}/task/{parent}/children") as file:
+            return max(2, len(file.read().split()))
+    except OSError:
+        return 2
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder for each process and file."""
-    return Encoder(path)
+    """This process's encoder of a file, kept from task to task until another operator's task runs here."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    made = _ENCODERS[path]
+    made.most, made._old = CACHE // workers(), {}
+    return made
+
+
+def _release() -> None:
+    if _ENCODERS:
+        _ENCODERS.clear()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+kept_between_tasks(_release)
 
 
 def tokenizer_path(name: str) -> str:
