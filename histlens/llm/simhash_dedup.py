@@ -58,24 +58,18 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprint(docs: DataFrame, name: str = "fingerprint", words: int = 3) -> DataFrame:
-    """docs with a long column of fingerprints (as signed numbers); null text has fingerprint 0."""
-
-    @F.pandas_udf("long")
-    def made(column):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([_signed(simhash(x.encode() if isinstance(x, str) else b"", words)) for x in column], dtype="int64")
+def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, key (a hash of the text, which with the id tells rows apart), fp."""
 
-    return docs.withColumn(name, made(F.col("text")))
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array([_signed(simhash(x, words)) for x in texts(batch["text"])], pa.int64())], ["doc_id", "key", "fp"])
 
+    rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text")
+    return map_batches(rows, made, "doc_id long, key long, fp long")
 
-def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_signed(simhash(x, words)) for x in texts(batch["text"])], pa.int64())], ["doc_id", "fp"])
 
-    rows = select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_batches(rows, made, "doc_id long, fp long")
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _block(fp: Column, first: int, width: int) -> Column:
@@ -206,6 +200,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component of null ids alone has a null id.  Repeated rows come out once
     each.  An empty table gives an empty result; other columns are ignored.
     """
+    return _components(docs, words).drop("key")
+
+
+def _components(docs: DataFrame, words: int) -> DataFrame:
+    """near_duplicates with each row's key."""
     found = checkpointed(_fingerprints(docs, words))
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(fingerprint_links(distinct))
@@ -213,16 +212,33 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     classes = checkpointed(classes)
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return found.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id (null ids last), then the smallest fingerprint."""
-    found = near_duplicates(docs, words)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("__fp"))
-    # Components of null ids alone can't be told apart by id; each of their fingerprints keeps a row.
-    nameless = found.where(F.col("component_id").isNull()).select("component_id", F.col("fp").alias("__fp")).distinct()
-    stays = stays.where(F.col("component_id").isNotNull()).unionByName(nameless).withColumnRenamed("component_id", "__stays")
-    marked = with_fingerprint(docs, "__fp", words)
-    kept = marked.join(stays, (F.col("doc_id").eqNullSafe(F.col("__stays"))) & (marked["__fp"] == stays["__fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(docs.columns)
+    """docs with one row of each component: one with the smallest doc_id, of several such the one with the smallest hash of its text.
+
+    Null ids are never smallest; of components of null ids alone each distinct
+    text keeps a row.  A repeated row stays once.  Fingerprints are made once;
+    the texts are then read again and, in the usual case, joined with what goes.
+    """
+    found = checkpointed(_components(docs, words).select("doc_id", "key", "component_id"))
+    rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.max("component_id").alias("component_id"))
+    named = rows.where("component_id IS NOT NULL")
+    stays = named.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("key")).select(F.col("component_id").alias("doc_id"), "key")
+    gone = named.join(stays, ["doc_id", "key"], "left_anti")
+    # Rows that share a null id can be told apart by text only.
+    stays = stays.unionByName(rows.where("component_id IS NULL").select("doc_id", "key"))
+    nulls = named.where("doc_id IS NULL")
+    gone = gone.where("doc_id IS NOT NULL").select("doc_id", "key").unionByName(nulls.select("doc_id", "key"))
+    again = rows.where("copies > 1").select("doc_id", "key")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _text_key()})
+
+    def same(other: DataFrame) -> tuple[DataFrame, Column]:
+        named = other.select(F.col("doc_id").alias("__other_id"), F.col("key").alias("__other_key"))
+        return named, F.col("__id").eqNullSafe(F.col("__other_id")) & (F.col("__key") == F.col("__other_key"))
+
+    once = marked.join(*same(gone.unionByName(again).distinct()), "left_anti")
+    repeated = again.join(stays, again["doc_id"].eqNullSafe(stays["doc_id"]) & (again["key"] == stays["key"]), "left_semi")
+    folded = marked.join(*same(repeated), "left_semi").dropDuplicates(["__id", "__key"])
+    return once.unionByName(folded).select(*[F.col(f"`{c}`") for c in docs.columns])
