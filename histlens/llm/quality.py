@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, select_columns, texts
+from .common import checkpointed, lean_worker, select_columns, texts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Measure: (slack, whether the lower fence counts too).  Per mille, but word_length in thousandths of a character.
 MEASURES = {"word_length": (1000, True), "symbols": (50, False), "dup_lines": (400, False), "repeats": (300, False)}
 LEAST = 100
+#: Groups whose fences are broadcast, at about 100 bytes each; more are joined by key.
+BROADCAST_GROUPS = 50_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -66,6 +68,7 @@ def measures(text: bytes) -> tuple[int, ...]:
 
 @F.arrow_udf(StructType([StructField(name, LongType()) for name in STATS]))
 def measured(text: pa.Array) -> pa.Array:
+    lean_worker()
     rows = [measures(t) for t in texts(text)]
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(STATS))], list(STATS))
 
@@ -119,13 +122,13 @@ def fences(stats: DataFrame) -> DataFrame:
         columns.append(F.max(F.when(mine, F.col("q.q3") + F.col("reach") + slack)).alias(f"{m}_high"))
         if both:
             columns.append(F.max(F.when(mine, F.col("q.q1") - F.col("reach") - slack)).alias(f"{m}_low"))
-    return joined.groupBy("lang", "source").agg(*columns)
+    found = checkpointed(joined.groupBy("lang", "source").agg(*columns))
+    return F.broadcast(found) if found.count() <= BROADCAST_GROUPS else found
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows(…, lang, source, stats) with base_failed and kept; limits is what fences() gave for the same rows."""
-    limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    joined = rows.join(limits, F.expr("lang <=> __lang AND source <=> __source"), "left")
+    joined = rows.join(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), F.expr("lang <=> __lang AND source <=> __source"), "left")
     fine = F.lit(True)
     for m, value in _values("stats").items():
         fine &= F.coalesce(value <= F.col(f"{m}_high"), F.lit(True))
