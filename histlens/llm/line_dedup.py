@@ -13,7 +13,6 @@ is joined with the counts.  They are broadcast while all of them fit in
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import checkpointed, map_batches, select_columns, texts
+from .common import checkpointed, lean_worker, map_batches, select_columns, texts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -115,20 +114,30 @@ def shard_of(key: bytes, shards: int) -> int:
     return int.from_bytes(key[:4], "little") & (shards - 1)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, key) for each document's distinct keys."""
+def _keys(docs: DataFrame, held=None, shards: int = 1) -> DataFrame:  # noqa: ANN001
+    """(doc_id, key) for each document's distinct keys; with held (a broadcast of filters by shard), for those that pass."""
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
         where, keys = [], []
         for i, text in enumerate(texts(batch["text"])):
             mine = {k for k in map(line_key, text.split(b"\n")) if k}
-            keys += map(key_hash, mine)
-            where += [i] * len(mine)
+            hashes = [*map(key_hash, mine)]
+            if held is not None:
+                hashes = _passing(held.value, shards, hashes)
+            keys += hashes
+            where += [i] * len(hashes)
         return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(where, pa.int32())), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     return map_batches(_rows(docs), made, "doc_id long, key binary")
 
 
+def _passing(held: dict[int, CuckooFilter], shards: int, keys: list[bytes]) -> list[bytes]:
+    by_shard: dict[int, list[bytes]] = {}
+    for key in keys:
+        by_shard.setdefault(shard_of(key, shards), []).append(key)
+    return [k for shard, own in by_shard.items() if shard in held for k, good in zip(own, held[shard].contains(own)) if good]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -214,29 +223,12 @@ class LineIndex:
         size = self.filters.agg(F.sum(F.length("cells"))).first()[0] or 0
         if size > FILTER_BYTES:
             return None
-        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["cells"])) for r in self.filters.collect()})
+        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: CuckooFilter(r["buckets"], bytes(r["cells"])) for r in self.filters.collect()})
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(doc_id, drops): the frequent keys among each document's lines, exactly."""
         sent, shards = self._broadcast(), self.shards
-        suspects = _keys(docs)
-        if sent is not None:
-
-            def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                held = {shard: CuckooFilter(*x) for shard, x in sent.value.items()}
-                for batch in batches:
-                    keys = batch["key"].to_pylist()
-                    by_shard: dict[int, list[int]] = {}
-                    for i, key in enumerate(keys):
-                        by_shard.setdefault(shard_of(key, shards), []).append(i)
-                    good: list[int] = []
-                    for shard, rows in by_shard.items():
-                        if shard in held:
-                            good += np.array(rows)[held[shard].contains([keys[i] for i in rows])].tolist()
-                    if good:
-                        yield batch.take(pa.array(sorted(good)))
-
-            suspects = suspects.mapInArrow(passed, "doc_id long, key binary")
+        suspects = _keys(docs, sent, shards)
         return suspects.join(self.frequent(), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
 
 
@@ -258,6 +250,7 @@ def clean_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
     @F.arrow_udf(MADE)
     def made(text: pa.Array, gone: pa.Array) -> pa.Array:
+        lean_worker()
         rows = [_kept(t, set(g.as_py() or ())) for t, g in zip(texts(text), gone)]
         kept = pa.array([r[0] for r in rows], pa.binary()).cast(pa.string())
         return pa.StructArray.from_arrays([kept, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["text", "n_lines", "n_dropped"])
