@@ -23,7 +23,7 @@ import numpy as np
 from .common import kept_between_tasks
 
 #: Pieces of a generation, shared out among an executor's Python workers, and bytes of pieces of one.
-CACHE = 1_000_000
+CACHE = 2_000_000
 CACHE_BYTES = 64 << 20
 #: Hashes of the table of pieces seen before, less one.
 DOOR = (1 << 22) - 1
