@@ -24,11 +24,15 @@ def mismatch_share(first: Column, second: Column, most_ms: int = MISMATCH_MS) ->
 def bursts(rows: DataFrame, keys: list[str], ts: str, window_ms: int = DAY_MS) -> DataFrame:
     """Rows in the densest window of each group, over all rows of the group; a gap of exactly the window still counts.
 
-    A RANGE frame needs a group's rows in one task, sorted, but holds only the window.
+    Rows are dealt by group and window-long slot, with a copy for the slot that
+    follows, where a window that starts here may still end.  So a hot group is as
+    many tasks' work as it has slots, and no task holds more than two slots.
     """
-    at = rows.withColumn("__ms", millis(F.col(ts)))
-    near = Window.partitionBy(*keys).orderBy("__ms").rangeBetween(-window_ms, 0)
-    found = at.withColumn("__near", F.count(F.lit(1)).over(near)).groupBy(*keys).agg(F.max("__near").alias("densest"), F.count(F.lit(1)).alias("n"))
+    at = rows.select(*keys, millis(F.col(ts)).alias("__ms")).withColumn("__slot", F.floor(F.col("__ms") / window_ms))
+    dealt = at.withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__slot", F.col("__slot") + F.col("__ahead"))
+    near = Window.partitionBy(*keys, "__slot").orderBy("__ms").rangeBetween(-window_ms, 0)
+    counted = dealt.withColumn("__near", F.count(F.lit(1)).over(near)).where("__ahead = 0")
+    found = counted.groupBy(*keys).agg(F.max("__near").alias("densest"), F.count(F.lit(1)).alias("n"))
     return found.withColumn("burst_ratio", F.col("densest").cast("double") / F.col("n"))
 
 
