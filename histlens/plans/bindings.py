@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text, times, values
 from ..functions.hashing import author_list_hash, salted
 from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ownership, ranking, sequence, signatures, skills
-from ..relations import line_churn, order_commits, table
+from ..relations import line_churn, one_repository, order_commits, table
 from ..sources import stores
 from . import profile as profile_plan
 
@@ -479,7 +479,7 @@ def tables_history(spark: SparkSession, sf_dir: str) -> profile_plan.History:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     suffix = F.element_at(F.array(*map(F.lit, ("ts", "py", "md"))), (F.col("p_size") % 3 + 1).cast("int"))
     changed = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
-        F.lit("tables").alias("repo_id"), F.col("l_orderkey").cast("string").alias("sha"), F.col("l_linenumber").cast("int").alias("file_pos"),
+        one_repository(F.col("l_orderkey")).alias("repo_id"), F.col("l_orderkey").cast("string").alias("sha"), F.col("l_linenumber").cast("int").alias("file_pos"),
         F.concat(F.lower("p_type"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("."), suffix).alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"),
     )
     return profile_plan.History(order_commits(spark, sf_dir), changed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.times import as_timestamp
@@ -13,12 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_repository(key: Column) -> Column:
+    """A constant that the optimizer doesn't know to be one; it would turn joins on it into crossed ones."""
+    return F.when(key >= 0, "tables").otherwise("none")
+
+
 def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as commits: the customer is the author, the first ship date the committer date."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("shipped"))
     return orders.join(shipped, orders["o_orderkey"] == shipped["l_orderkey"]).select(
-        F.lit("tables").alias("repo_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("sha"), F.lit(None).cast("string").alias("parent_sha"), F.col("o_custkey").cast("string").alias("email"),
+        one_repository(F.col("o_orderkey")).alias("repo_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("sha"), F.lit(None).cast("string").alias("parent_sha"), F.col("o_custkey").cast("string").alias("email"),
         as_timestamp(F.col("o_orderdate")).alias("author_ts"), as_timestamp(F.col("shipped")).alias("committer_ts"), (F.col("o_orderstatus") == "F").alias("signed"), F.lit(False).alias("is_merge"),
     )
 
