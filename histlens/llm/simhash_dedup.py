@@ -81,7 +81,7 @@ def _shard_keys(fp: Column) -> Column:
     return F.array(*[F.lit(n << 26) + F.shiftleft(_block(fp, *BLOCKS[a]), 13) + _block(fp, *BLOCKS[b]) for n, (a, b) in enumerate(PAIRS)])
 
 
-def _finer(fp: Column, key: Column) -> Column:
+def _finer(fp: Column) -> Column:
     """Four numbers for a fingerprint of a dense shard: which quarter of all 64 bits, and its value.
 
     The shard's own two blocks are equal anyway; three differing bits leave one of the four quarters equal.
@@ -163,7 +163,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     shards = fps.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("key"))
     counts = shards.groupBy("key").count().where("count > 1")
     shared = shards.join(counts, "key")
-    dense = shared.where(F.col("count") > DENSE).select("fp", "key", F.explode(_finer(F.col("fp"), F.col("key"))).alias("part"))
+    dense = shared.where(F.col("count") > DENSE).select("fp", "key", F.explode(_finer(F.col("fp"))).alias("part"))
     plain = shared.where(F.col("count") <= DENSE).select("fp", "key", F.lit(0).cast("long").alias("part"))
     dealt = plain.unionByName(dense.withColumn("part", F.col("part").cast("long"))).repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return dealt.mapInArrow(_forest, "a long, b long").distinct()
