@@ -27,8 +27,9 @@ CACHE = 2_000_000
 CACHE_BYTES = 64 << 20
 #: Hashes of the table of pieces seen before, less one.
 DOOR = (1 << 22) - 1
-#: A piece that ends in one of these after an ASCII letter or digit is its ids without the mark, then the mark's.
-MARKS = ",.;:!?"
+#: A piece that ends in some of these after an ASCII letter or digit is its ids without them, then theirs.  Special tokens end in |>.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{}~"
+MOST_ENDS = 10_000
 #: White space beyond ASCII's six that a pattern's \s may match; such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
 #: Two white-space characters in a row, or one at the end.
@@ -56,10 +57,8 @@ class Encoder:
         self._held = self._passed = 0
         self._door = bytearray(DOOR + 1)
         self._pieces = _cut_for(described)
-        self._marks: dict = {}
+        self._ends: dict = {}
         if self._pieces is not None:
-            for mark, ids in zip(MARKS, self._ids(list(MARKS))):
-                self._marks |= {mark: ids, ord(mark): ids}
             letters = string.ascii_letters + string.digits
             self._solid = {*letters, *letters.encode()}
             self._bounds = np.zeros(self.vocabulary, bool)
@@ -87,16 +86,23 @@ class Encoder:
 
         Half of all pieces are seen once only; a piece is kept from its second time on, which a table of hashes tells.
         """
-        young, old, marks, solid, door = self._young, self._old, self._marks, self._solid, self._door
+        young, old, ends, solid, door = self._young, self._old, self._ends, self._solid, self._door
+        marks_of = {str: MARKS, bytes: MARKS.encode()}
         made, words, others, ended = {}, set(), [], []
         for p in pieces:
             if (held := old.get(p)) is not None:
                 young[p] = made[p] = held
                 continue
-            if len(p) > 2 and p[-1] in marks and p[-2] in solid:
-                # Letters and digits never share a pretoken with a mark that follows.
-                ended.append(p)
-                p = p[:-1]
+            body = p.rstrip(marks_of[type(p)])
+            if len(body) < len(p) and len(body) > 1 and body[-1] in solid:
+                # Letters and digits never share a pretoken with marks that follow, and these are one.
+                end = p[len(body) :]
+                if end not in ends:
+                    if len(ends) > MOST_ENDS:
+                        ends.clear()
+                    ends[end] = self._ids([end.decode() if isinstance(end, bytes) else end])[0]
+                ended.append((p, body, ends[end]))
+                p = body
                 if p in made:
                     continue
                 held = young.get(p)
@@ -118,8 +124,8 @@ class Encoder:
                 made.update(zip(order, found))
         if others:
             made.update(zip(others, self._ids([p.decode() if isinstance(p, bytes) else p for p in others])))
-        for p in ended:
-            made[p] = made[p[:-1]] + marks[p[-1]]
+        for p, body, end in ended:
+            made[p] = made[body] + end
         for p, ids in made.items():
             at = hash(p) & DOOR
             if door[at]:
