@@ -1,9 +1,10 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Only DataFrame functions are used.  A block is a line together with the next
-one.  A template matches a block that contains at least NUMERATOR/DENOMINATOR
-of its distinct words.  Words are ordered by the number of documents that hold
-them, rarest first; then
+Only DataFrame functions are used.  Blocks are each line together with the next
+one, and, however the text is wrapped, each run of SPREAD times as many words
+as a template has.  A template matches a block that contains at least
+NUMERATOR/DENOMINATOR of its distinct words.  Words are ordered by the number
+of documents that hold them, rarest first; then
 
 prefix filter: with need = ceil(share * |T|) the block holds one of the first
     |T| - need + 1 words of T, so only those are joined;
@@ -11,6 +12,10 @@ length filter: a block with fewer than need words of any template is out;
 positional filter: from the first common word, at position p of T and q of the
     block's template words, at most min(|T| - p, |B| - q) words are common.
 
+Runs are tried only around places of prefix words: what lies within reach of a
+place passes the same filters before its runs are compared.  There a place need
+not be the first common word, so p more words may be common.
+
 Candidates are verified exactly.  The templates are a fixed list, so the word
 counts that are collected and the index that is broadcast are bounded by it.
 """
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, select_columns
 
 NUMERATOR, DENOMINATOR = 4, 5
+#: A run holds this many times a template's words, so that a word put before each (a comment's leader on each line) leaves room for all.
+SPREAD = 2
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -106,9 +113,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     for n, (label, text) in enumerate(TEMPLATES):
         words = sorted(_distinct(text), key=rank.__getitem__)
         need = _needed(len(words))
-        index += [(words[p], n, label, p, words, words[:p], need) for p in range(len(words) - need + 1)]
+        index += [(words[p], n, label, p, words, words[:p], need, SPREAD * len(text.split())) for p in range(len(words) - need + 1)]
     prefixes = sorted({x[0] for x in index})
-    least = min(x[-1] for x in index)
+    least = min(x[-2] for x in index)
+    reach = max(x[-1] for x in index)
 
     # One pass over the texts: base places, and for the few documents with a prefix word the blocks' template words.
     split = docs.select("doc_id", F.xxhash64("text").alias("key"), _lowered(F.col("text")).alias("text")).withColumn("words", F.split("text", NOT_WORD))
@@ -118,21 +126,38 @@ def license_scan(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     held = F.transform(lines, lambda line, i: F.array_intersect(_texts(order), F.split(F.concat_ws(" ", line, F.get(lines, i + 1)), NOT_WORD)))
     blocks = F.filter(held, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, _texts(prefixes)))
+    rare = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
+    around = F.transform(rare, lambda i: F.struct(
+        F.get("words", i).alias("word"), F.least(i, F.lit(reach - 1)).alias("at"),
+        F.slice("words", F.greatest(i - reach + 2, F.lit(1)), F.least(i, F.lit(reach - 1)) + reach).alias("run"),
+    ))
+    around = F.filter(around, lambda x: F.size(F.array_intersect(_texts(order), x["run"])) >= least)
     scanned = split.select(
         "doc_id", "key", "n_words", edge.alias("edge"),
         *[s.alias(label) for label, s in starts.items()],
         F.when(F.arrays_overlap("words", _texts(prefixes)), blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
+        F.when(F.arrays_overlap("words", _texts(prefixes)), around).otherwise(F.array().cast("array<struct<word:string,at:int,run:array<string>>>")).alias("around"),
     )
     scanned = checkpointed(scanned)
 
     spark = docs.sparkSession
-    rows = spark.createDataFrame(index, "word string, template int, label string, p int, tokens array<string>, before array<string>, need int")
+    rows = spark.createDataFrame(index, "word string, template int, label string, p int, tokens array<string>, before array<string>, need int, span int")
     hits = scanned.select("doc_id", "key", F.explode("blocks").alias("block")).withColumn("word", F.explode(F.array_intersect(F.col("block"), _texts(prefixes))))
     pairs = hits.join(F.broadcast(rows), "word").where(~F.arrays_overlap("block", "before"))
     q = F.array_position("block", F.col("word")) - 1
     pairs = pairs.where((F.size("block") >= F.col("need")) & (F.least(F.size("tokens") - F.col("p"), F.size("block") - q) >= F.col("need")))
     share = F.size(F.array_intersect("tokens", "block")) / F.size("tokens")
-    matched = pairs.where(F.size(F.array_intersect("tokens", "block")) >= F.col("need")).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("label").alias("found"), F.max(share).alias("score"))
+    matched = pairs.where(F.size(F.array_intersect("tokens", "block")) >= F.col("need")).select("doc_id", "key", "label", share.alias("share"))
+
+    near = scanned.select("doc_id", "key", F.explode("around").alias("x")).select("doc_id", "key", "x.*").withColumn("block", F.array_intersect(_texts(order), F.col("run")))
+    near = near.join(F.broadcast(rows), "word")
+    q = F.array_position("block", F.col("word")) - 1
+    near = near.where((F.size("block") >= F.col("need")) & (F.col("p") + F.least(F.size("tokens") - F.col("p"), F.size("block") - q) >= F.col("need")))
+    near = near.where(F.size(F.array_intersect("tokens", "block")) >= F.col("need"))
+    first = F.greatest(F.col("at") - F.col("span") + 2, F.lit(1))
+    common = F.array_max(F.transform(F.sequence(first, F.col("at") + 1), lambda i: F.size(F.array_intersect("tokens", F.slice("run", i, F.col("span"))))))
+    near = near.withColumn("common", common).where("common >= need").select("doc_id", "key", "label", (F.col("common") / F.size("tokens")).alias("share"))
+    matched = matched.unionByName(near).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
 
     joined = scanned.join(matched, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
     places = F.concat(*[F.col(f"`{label}`") for label in starts])

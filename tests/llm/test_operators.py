@@ -441,6 +441,20 @@ def test_license_join_is_exact(spark):
         assert got[i]["score"] == pytest.approx(max((h[1] for h in hits), default=0.0))
 
 
+def test_licenses_in_any_wrapping(spark):
+    notices = [
+        ("mit", " * Permission is hereby granted, free of\n * charge, to any person obtaining a copy\n * of this software and associated\n * documentation files"),
+        ("cc-by-sa", "This work is licensed under a\nCreative Commons Attribution-ShareAlike\n4.0 International License"), ("gpl-3", "This work is licensed under the\n\nGNU General Public License, version 3."),
+    ]
+    notices += [(label, f"{'prose ' * 60}\n" * before + "\n".join(f"{lead}{w}" for w in text.split()) + f"\n{'prose ' * 60}" * after) for n, (label, text) in enumerate(license_scan.TEMPLATES) for lead, before, after in (("", n % 2, 1), ("dnl ", 1, n % 2))]
+    apart = ("released " + "prose " * 12).join(["", "\n\nunder the\n\n"]) + "prose " * 12 + "\n\nmit license"
+    rows = [(i, text) for i, (_, text) in enumerate(notices)] + [(-1, apart)]
+    got = dict(plain(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", F.struct("labels", "score")))
+    for i, (label, _) in enumerate(notices):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    assert (got[-1]["labels"], got[-1]["score"]) == ("", 0.0)
+
+
 def test_licenses_hard_rows(hard, none):
     assert license_scan.license_scan(hard).count() == hard.count() and license_scan.license_scan(none).count() == 0
 
