@@ -469,7 +469,7 @@ def span_words(spark, sf_dir):
 @query("""SELECT brand, string_agg(p, '|' ORDER BY len(p)) AS prefixes FROM (SELECT DISTINCT p_brand AS brand, unnest(['com', 'com.' || lower(p_type), 'com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', ''))]) AS p FROM part WHERE p_partkey < 3) x GROUP BY brand""")
 def dotted_prefixes(spark, sf_dir):
     dotted = F.concat(F.lit("com."), "p_type", F.lit("."), F.regexp_replace("p_brand", "#", ""), F.lit(".Main"))
-    return table(spark, sf_dir, "part").where("p_partkey < 3").select(F.col("p_brand").alias("brand"), F.array_join(values.prefixes(dotted), "|").alias("prefixes"))
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.array_join(values.prefixes(dotted), "|").alias("prefixes"))
 
 
 def tables_history(spark: SparkSession, sf_dir: str) -> profile_plan.History:
