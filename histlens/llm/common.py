@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder the context was given.
+
+    Where neither is set, one machine's own run (tests) gets a folder of its own;
+    on a cluster such a folder would lose data, so that raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if not found:
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="histlens-checkpoint-")
     if held.isEmpty():
         context.setCheckpointDir(found)
@@ -81,6 +88,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_key() -> Column:
+    """A hash of column text, which with the id tells rows apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def select_columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns; a lacking one is an error of the caller's, extra ones are ignored."""
     return df.select(*[F.col(f"`{n}`") for n in names])

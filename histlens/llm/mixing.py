@@ -2,14 +2,19 @@
 
 Targets: the words of all sources are shared out by weight; a source gets at
 most three times its own words and what it can't take is shared out again.
-Order: within a source documents follow the MD5 of their id.  Their cumulative
+Order: within a source documents follow the MD5 of their id and their text's MD5.  Their cumulative
 words are the source's token supply, walked again from the start for repeats.
 Curriculum: a source's weight at time t in [0, 1] is target * (1 + a * (2t - 1)),
 so its integrated demand is target * (t + a * (t * t - t)); the time at which a
 document's turn comes is the inverse of that at its cumulative demand.
 
-Prefix sums take two levels: MD5-prefix buckets of bounded size (a hot source
-has many), then rows within a bucket.
+That time is told as a position: the number of words the whole mix has served by
+then, from 0 to the words of all documents.  Documents are range-sorted by it.
+
+Rows with one id, source and text are copies of one unit, each with a stretch of
+supply of its own, so that any source can reach its target however its ids
+repeat.  Prefix sums take two levels: MD5-prefix buckets of bounded size (a hot
+source has many), then units within a bucket.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ SLOPES = (-0.5, 0.0, 0.5)
 MOST = 3
 #: Rows of a prefix-sum bucket, at most about so many; a source's share of rows in one task falls with it.
 BUCKET_ROWS = 4_000
+#: Copies of a unit that are dealt out together.
+CHUNK = 1_000
 
 
 @F.arrow_udf(LongType())
@@ -42,7 +49,7 @@ n_words = n_words.asNondeterministic()
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, docs, weight, slope, target: a row for each source of sizes(source, size).
+    """source, source_size, docs, weight, slope, target, total: a row for each source of sizes(source, size).
 
     A source is held to MOST times its size if the level that remains for it and
     those with a larger size for their weight is above that; as level only rises,
@@ -61,7 +68,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     own = own.withColumn("held", (wide("total") - wide("spent")) * F.col("weight") > wide("source_size") * MOST * F.col("weights"))
     own = own.withColumns({"rest": F.col("total") - F.coalesce(F.sum(F.when(F.col("held"), F.col("source_size") * MOST)).over(every), F.lit(0)), "open": F.sum(F.when(~F.col("held"), F.col("weight"))).over(every)})
     target = F.when(F.col("held"), (F.col("source_size") * MOST).cast("double")).otherwise((F.col("rest") * F.col("weight")).cast("double") / F.col("open").cast("double"))
-    return own.select("source", "source_size", "docs", "weight", "slope", target.alias("target"))
+    return own.select("source", "source_size", "docs", "weight", "slope", target.alias("target"), "total")
 
 
 def position(share: Column, slope: Column) -> Column:
@@ -70,53 +77,80 @@ def position(share: Column, slope: Column) -> Column:
 
 
 def schedule(sizes: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, positions: a row for each distinct (doc_id, source, size).
+    """A row for each run of at most CHUNK copies of a unit of sizes(doc_id, source, key, size).
 
-    positions has one curriculum time for each time that a document is taken.
-    Rows that repeat all three are one unit of supply and share positions, so
-    reruns agree whatever the order of the input.
+    Columns: doc_id, source, key, size, copies (of the unit), from and to (the
+    run's copies, to exclusive), source_size, target, slope, total, and supply:
+    the words of the source before the unit.  What a copy is due follows from
+    these alone, so reruns agree whatever the order of the input.
     """
     goals = checkpointed(targets(sizes))
     most = goals.agg(F.max("docs")).first()[0] or 0
     digits = max(0, math.ceil(math.log(max(1, most / BUCKET_ROWS), 16)))
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
-    units = units.withColumn("words", F.col("size") * F.col("copies")).withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("hash", 1, digits))
+    units = sizes.groupBy("doc_id", "source", "key", "size").agg(F.count(F.lit(1)).alias("copies"))
+    # The text counts too, so that units of one id (or of none) are spread over buckets.
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("key"))
+    units = units.withColumn("words", F.col("size") * F.col("copies")).withColumn("hash", F.md5(name)).withColumn("bucket", F.substring("hash", 1, digits))
     sums = units.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
-    starts = sums.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    goals = goals.withColumnRenamed("source", "__goal")
-    starts = starts.join(goals, F.col("__source").eqNullSafe(F.col("__goal")))
-    inner = Window.partitionBy("source", "bucket").orderBy("hash", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("source").alias("start_source"), F.col("bucket").alias("start_bucket"), before.alias("before"))
+    starts = starts.join(goals.drop("docs", "weight").withColumnRenamed("source", "goal"), F.col("start_source").eqNullSafe(F.col("goal")))
+    inner = Window.partitionBy("source", "bucket").orderBy("hash", F.col("doc_id").asc_nulls_first(), "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("within", F.coalesce(F.sum("words").over(inner), F.lit(0)))
-    placed = units.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket")))
-    # Twice the middle of the unit's stretch of supply, in each walk: taken if that is below twice the target.
-    middle = 2 * (F.col("before") + F.col("within")) + F.col("words")
-    turns = F.array(*[middle + 2 * k * F.col("source_size") for k in range(MOST)])
-    taken = F.filter(turns, lambda x: x.cast("double") < 2 * F.col("target"))
-    times = F.transform(taken, lambda x: position(x.cast("double") / (2 * F.col("target")), F.col("slope")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", times.alias("positions"))
+    placed = units.join(starts, F.col("source").eqNullSafe(F.col("start_source")) & (F.col("bucket") == F.col("start_bucket")))
+    chunks = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(CHUNK).cast("long"))
+    runs = placed.select("doc_id", "source", "key", "size", "copies", "source_size", "target", "slope", "total", (F.col("before") + F.col("within")).alias("supply"), F.explode(chunks).alias("from"))
+    return runs.withColumn("to", F.least(F.col("from") + CHUNK, F.col("copies")))
+
+
+def due(copy: Column) -> Column:
+    """Ascending positions at which this copy of a row of schedule() is taken."""
+    # Twice the middle of the copy's stretch of supply, in each walk: taken if that is below twice the target.
+    middle = 2 * (F.col("supply") + copy * F.col("size")) + F.col("size")
+    turns = F.filter(F.array(*[middle + 2 * k * F.col("source_size") for k in range(MOST)]), lambda x: x.cast("double") < 2 * F.col("target"))
+    time = lambda x: position(x.cast("double") / (2 * F.col("target")), F.col("slope"))
+    return F.transform(turns, lambda x: F.floor(time(x) * F.col("total").cast("double")).cast("long"))
+
+
+def _key() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
 def _sizes(docs: DataFrame) -> DataFrame:
-    return select_columns(docs, "doc_id", "source", "text").select("doc_id", "source", n_words("text").alias("size"))
+    """doc_id, source, key (a hash of the text), size of each row."""
+    rows = select_columns(docs, "doc_id", "source", "text").select("doc_id", "source", _key().alias("key"), "text")
+    return rows.select("doc_id", "source", "key", n_words("text").alias("size"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, positions for each row of docs(doc_id, source, text).
+    """doc_id, size, source_size, target, taken, positions for each row of docs(doc_id, source, text), range-sorted by first position.
 
-    Null text has size 0 (it is never taken for any words); a null source is the
-    last source.  Null ids count like an empty id for the order.  An empty table
+    positions ascend, one for each time that the row is taken; rows never taken
+    come last.  Null text has size 0 (it is never taken for any words); a null
+    source is the last source.  Null ids count like an empty id for the order.
+    Equal rows are copies of one unit with turns of their own.  An empty table
     gives an empty result; other columns are ignored.
     """
-    sizes = checkpointed(_sizes(docs))
-    plan = schedule(sizes).withColumnsRenamed({"doc_id": "__id", "source": "__of", "size": "__size"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of")) & (F.col("size") == F.col("__size"))
-    return sizes.join(plan, same).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
+    runs = schedule(checkpointed(_sizes(docs)))
+    copies = runs.select("*", F.explode(F.sequence("from", F.col("to") - 1)).alias("copy"))
+    placed = copies.select("doc_id", "size", "source_size", "target", due(F.col("copy")).alias("positions"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions").orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), F.col("doc_id").asc_nulls_first())
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs as the curriculum takes them: a row for each time, range-sorted by position; just the columns of docs."""
-    plan = schedule(checkpointed(_sizes(docs))).where(F.size("positions") > 0).select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size"), "positions")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("__doc"), F.col("source").alias("__src"), n_words("text").alias("__n"))
-    same = F.col("__doc").eqNullSafe(F.col("__id")) & F.col("__src").eqNullSafe(F.col("__of")) & (F.col("__n") == F.col("__size"))
-    taken = whole.join(plan, same).select("row", "__doc", F.explode("positions").alias("__position"))
-    return taken.orderBy("__position", "__doc").select("row.*")
+    """docs as the curriculum takes them: a row for each time, range-sorted by position; just the columns of docs.
+
+    Null text, null source, null ids and empty tables are as in mixed.  Rows
+    with one id, source and text count as one row, the smallest as JSON, taken as often as all of them are due.
+    """
+    runs = schedule(checkpointed(_sizes(docs)))
+    turns = F.flatten(F.transform(F.sequence("from", F.col("to") - 1), due))
+    plan = runs.select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), F.col("key").alias("plan_key"), "copies", turns.alias("positions")).where(F.size("positions") > 0)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), _key().alias("key"))
+    same = F.col("id").eqNullSafe(F.col("plan_id")) & F.col("of").eqNullSafe(F.col("plan_source")) & (F.col("key") == F.col("plan_key"))
+    once = whole.join(plan.where("copies = 1"), same)
+    # One row of each repeated unit, folded before it is shuffled.
+    several = whole.join(plan.where("copies > 1").select("plan_id", "plan_source", "plan_key").distinct(), same, "left_semi")
+    several = several.groupBy("id", "of", "key").agg(F.min_by("row", F.to_json("row")).alias("row")).join(plan.where("copies > 1"), same)
+    taken = once.select("row", "id", F.explode("positions").alias("position")).unionByName(several.select("row", "id", F.explode("positions").alias("position")))
+    return taken.orderBy("position", F.col("id").asc_nulls_first()).select("row.*")

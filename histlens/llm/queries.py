@@ -77,19 +77,25 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 """
 
 OP9_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS turn FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM s),
+v AS (SELECT *, [5, 2, 1][(k + 1)::INT]::BIGINT AS weight, [-0.5, 0, 0.5][(k + 1)::INT]::DOUBLE AS slope FROM w),
 o AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
     coalesce(sum(3 * source_size) OVER (ORDER BY source_size * 10 // weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent,
-    sum(weight) OVER (ORDER BY source_size * 10 // weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights FROM w),
+    sum(weight) OVER (ORDER BY source_size * 10 // weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS weights FROM v),
 h AS (SELECT *, (total - spent) * weight > 3 * source_size * weights AS held FROM o),
 r AS (SELECT *, total - coalesce(sum(3 * source_size) FILTER (held) OVER (), 0)::BIGINT AS rest, (sum(weight) FILTER (NOT held) OVER ())::BIGINT AS open FROM h),
-t AS (SELECT source, source_size, CASE WHEN held THEN (3 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / open::DOUBLE END AS target FROM r),
-c AS (SELECT doc_id, source, size, 2 * coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size AS middle FROM d)
-SELECT doc_id, size, source_size, target,
-  size * ((middle < 2 * target)::BIGINT + (middle + 2 * source_size < 2 * target)::BIGINT + (middle + 4 * source_size < 2 * target)::BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+t AS (SELECT source, source_size, slope, total, CASE WHEN held THEN (3 * source_size)::DOUBLE ELSE (rest * weight)::DOUBLE / open::DOUBLE END AS target FROM r),
+c AS (SELECT doc_id, source, size, 2 * coalesce(sum(size) OVER (PARTITION BY source ORDER BY turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + size AS middle FROM d),
+m AS (SELECT doc_id, size, source_size, target, slope, total, list_filter([middle, middle + 2 * source_size, middle + 4 * source_size], lambda x: x < 2 * target) AS ms
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, ms[1]::DOUBLE / (2 * target) AS u, ms[-1]::DOUBLE / (2 * target) AS z FROM m)
+SELECT doc_id, size, source_size, target, size * len(ms) AS taken,
+  CASE WHEN len(ms) > 0 THEN floor(2 * u / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * u)) * total::DOUBLE)::BIGINT END AS first_position,
+  CASE WHEN len(ms) > 0 THEN floor(2 * z / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * z)) * total::DOUBLE)::BIGINT END AS last_position
+FROM e
 """
 
 
@@ -154,7 +160,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(documents(spark, sf_dir)).drop("positions")
+    positions = F.col("positions")
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.get(positions, F.lit(0)).alias("first_position"), F.when(F.size(positions) > 0, F.element_at(positions, -1)).alias("last_position"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, select_columns, texts
+from .common import checkpointed, map_batches, select_columns, text_key, texts
 
 SEED = 42
 RADIUS = 3
@@ -64,14 +64,10 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array([_signed(simhash(x, words)) for x in texts(batch["text"])], pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("key"), "text")
+    rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
     return map_batches(rows, made, "doc_id long, key long, fp long")
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def _block(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -232,7 +228,7 @@ def without_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     nulls = named.where("doc_id IS NULL")
     gone = gone.where("doc_id IS NOT NULL").select("doc_id", "key").unionByName(nulls.select("doc_id", "key"))
     again = rows.where("copies > 1").select("doc_id", "key")
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": _text_key()})
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
 
     def same(other: DataFrame) -> tuple[DataFrame, Column]:
         named = other.select(F.col("doc_id").alias("__other_id"), F.col("key").alias("__other_key"))

@@ -481,20 +481,44 @@ def check_mix(docs):
     sizes = Counter()
     for _, s, t in rows:
         sizes[s] += len(words(t))
-    sizes |= Counter()
     for _, s, _ in rows:
         sizes.setdefault(s, 0)
-    target = brute_targets(dict(sizes))
-    found = mixing.mixed(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
-    taken = Counter()
-    for r in found:
-        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
-        assert r["taken"] <= 3 * r["size"] and all(0 <= p <= 1 for p in r["positions"])
-        taken[r["source"]] += r["taken"]
+    target, total = brute_targets(dict(sizes)), sum(sizes.values())
+    # Each source's rows in turn, walked up to three times; a row is due when the middle of its words is below the target.
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    want = Counter()
+    for s in names:
+        slope = (-0.5, 0.0, 0.5)[names.index(s) % 3]
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        mine = sorted((md5(f"{'' if i is None else i}:{md5(t or '')}"), len(words(t)), i) for i, x, t in rows if x == s)
+        at, due = 0, defaultdict(list)
+        for _ in range(3):
+            for n, (_, size, _) in enumerate(mine):
+                share = (at + size / 2) / target[s] if target[s] else 1
+                at += size
+                if share < 1:
+                    # Bisection for the time at which the integrated demand reaches the share.
+                    low, high = 0.0, 1.0
+                    for _ in range(80):
+                        middle = (low + high) / 2
+                        low, high = (middle, high) if middle + slope * (middle * middle - middle) < share else (low, middle)
+                    due[n].append(round(low * total))
+        for n, (_, size, i) in enumerate(mine):
+            want[i, size, sizes[s], round(target[s], 6), size * len(due[n]), len(due[n])] += 1
+            want["positions", i, size] += sum(due[n])
+    got, placed = mixing.mixed(docs).collect(), Counter()
+    for r in got:
+        placed[r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"], len(r["positions"])] += 1
+        placed["positions", r["doc_id"], r["size"]] += sum(r["positions"])
+        assert r["positions"] == sorted(r["positions"])
+    exact = lambda c: {k: n for k, n in c.items() if k[0] != "positions"}
+    assert exact(placed) == exact(want)
+    assert all(abs(placed[k] - n) <= 4 * len(rows) for k, n in want.items() if k[0] == "positions")
+    taken = [r["positions"][0] for r in got if r["positions"]]
+    assert taken == sorted(taken) and not any(r["positions"] for r in got[len(taken) :])
     for s in sizes:
         longest = max(len(words(t)) for _, x, t in rows if x == s)
-        assert abs(taken[s] - target[s]) <= longest
-    assert plain(mixing.mixed(docs), "doc_id", "taken") == plain(mixing.mixed(docs), "doc_id", "taken")
+        assert abs(sum(n * k[4] for k, n in exact(want).items() if k[2] == sizes[s]) - target[s] * list(sizes.values()).count(sizes[s])) <= longest * list(sizes.values()).count(sizes[s])
 
 
 def test_mixing(sample, spark):
@@ -508,10 +532,29 @@ def test_mixing_in_small_buckets(sample, monkeypatch):
 
 
 def test_mixing_hard_rows(hard, none):
-    assert mixing.mixed(hard).count() == hard.count() and mixing.mixed(none).count() == 0
+    check_mix(hard)
+    assert mixing.mixed(none).count() == 0
     assert mixing.mix(hard).columns == hard.columns and mixing.mix(none).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_reach_the_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 2)
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text, "a")] * 10 + [(None, f"{text} {i}", "b") for i in range(10)] + [(7, text, "c")] * 9 + [(i, text, "d") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_mix(docs)
+    plan = Counter()
+    for r in mixing.mixed(docs).collect():
+        plan[r["doc_id"], r["size"]] += len(r["positions"])
+    drawn = Counter((r["doc_id"], len(words(r["text"]))) for r in mixing.mix(docs).collect())
+    assert drawn == +plan
+
+
+def test_mix_draws_what_the_plan_says_in_order(sample):
+    plan = sorted((p, r["doc_id"]) for r in mixing.mixed(sample).collect() for p in r["positions"])
+    assert [r["doc_id"] for r in mixing.mix(sample).select("doc_id").collect()] == [i for _, i in plan]
+
+
 def test_curriculum_inverts_the_integrated_weights(spark):
     rows = spark.range(0, 101).select((F.col("id") / 100).alias("u"))
     for slope in (-0.5, 0.0, 0.5):
