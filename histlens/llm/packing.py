@@ -8,6 +8,10 @@ being the number of open sequences with gap g, smallest.  A new sequence is
 opened only where no open one has room (of the two readings of the rule this
 needs fewer sequences when pieces come longest first).  A shard leaves at most
 a sequence or so partly filled, whatever the size of the corpus.
+
+Documents that come in an order, as a curriculum's, are dealt by ranges of it
+instead, and sequences are numbered by range: all of a range come before all of
+the next, and only within a range are pieces rearranged.
 """
 
 from __future__ import annotations
@@ -18,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, select_columns, texts
+from .common import checkpointed, texts
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -29,8 +34,21 @@ SHARD_PIECES = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """A row of PIECES for each piece of docs(doc_id, text), each document ending with the id `end`."""
+def file_order(docs: DataFrame) -> Column | None:
+    """The place of each row in the files that docs was read from, or None if it was not read from files.
+
+    Readers take files up in any order; a sorted table is sorted by its part number and the row's place there.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
+def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
+    """A row of PIECES and position (of order) for each piece of docs(doc_id, text), each document ending with the id `end`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -49,10 +67,15 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
             for k in range(1, len(owner)):
                 number[k] = number[k - 1] + 1 if owner[k] == owner[k - 1] else 0
             starts, lengths, sums = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            owner = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(owner), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), batch["position"].take(owner)],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "position"],
+            )
 
-    rows = select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(made, PIECES)
+    position = F.lit(None).cast("long") if order is None else order.cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", position.alias("position"))
+    return rows.mapInArrow(made, f"{PIECES}, position long")
 
 
 def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
@@ -108,16 +131,20 @@ def _packer(capacity: int):  # noqa: ANN202
     return packed
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text).
 
-    Null text is empty text, a document of just the end id.  A repeated row is a
-    document of its own, so (doc_id, piece) may repeat.  Ties go by doc_id, piece
-    and checksum, so reruns agree.  An empty table gives an empty result; other
-    columns are ignored.
+    order, if given, is a whole number a row: sequence ids then rise with it
+    from range to range.  Null text is empty text, a document of just the end
+    id.  A repeated row is a document of its own, so (doc_id, piece) may repeat.
+    Ties go by doc_id, piece and checksum, so reruns agree.  An empty table
+    gives an empty result; other columns are ignored.
     """
-    found = checkpointed(pieces(docs, tokenizer, end, capacity))
+    found = checkpointed(pieces(docs, tokenizer, end, capacity, order))
     shards = int(found.count() // SHARD_PIECES + 1)
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("length").desc(), "doc_id", "piece", "ids_crc32")
+    if order is None:
+        dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
+    else:
+        dealt = found.repartitionByRange(shards, "position", "doc_id", "piece", "ids_crc32").withColumn("shard", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions("shard", F.col("length").desc(), "doc_id", "piece", "ids_crc32").drop("position")
     return dealt.mapInArrow(_packer(capacity), f"{PIECES}, sequence_id long, offset long")

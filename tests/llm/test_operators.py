@@ -565,9 +565,9 @@ def test_curriculum_inverts_the_integrated_weights(spark):
 # 10
 
 
-def check_packing(docs):
+def check_packing(docs, order=None, slack=1.02):
     rows = plain(docs, "doc_id", "text")
-    found = packing.packed(docs, BYTES).collect()
+    found = packing.packed(docs, BYTES, order=order).collect()
     want = Counter()
     for i, t in rows:
         ids = whole(BYTES, t, 0)
@@ -587,7 +587,7 @@ def check_packing(docs):
             at += length
         assert at <= 2048
     total = sum(r["length"] for r in found)
-    assert len(bins) <= -(-total // 2048) * 1.02 + 2
+    assert len(bins) <= -(-total // 2048) * slack + 2
 
 
 def test_packing(hard, sample, none):
@@ -596,6 +596,22 @@ def test_packing(hard, sample, none):
     assert packing.packed(none, BYTES).count() == 0
 
 
+def test_packing_keeps_an_order_from_range_to_range(spark, sample, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 40)
+    path = str(tmp_path / "ordered")
+    sample.repartitionByRange(6, F.col("doc_id").desc()).sortWithinPartitions(F.col("doc_id").desc()).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert packing.file_order(sample.groupBy("doc_id").count()) is None
+    place = packing.file_order(docs)
+    assert [r["doc_id"] for r in docs.orderBy(place).collect()] == sorted((r["doc_id"] for r in docs.collect()), reverse=True)
+    check_packing(docs, place, slack=1.2)
+    shards = defaultdict(list)
+    for r in packing.packed(docs, BYTES, order=place).collect():
+        shards[r["sequence_id"] >> 32].append(r["doc_id"])
+    order = sorted(shards)
+    assert len(order) > 3 and all(min(shards[a]) >= max(shards[b]) for a, b in zip(order, order[1:]))
+
+
 def test_sum_of_squares_chooses_the_smallest_sum():
     rng = random.Random(6)
     lengths = sorted((rng.randint(1, 20) for _ in range(200)), reverse=True)
