@@ -1,23 +1,24 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Only DataFrame functions are used.  Blocks are each line together with the next
-one, and, however the text is wrapped, each run of SPREAD times as many words
-as a template has.  A template matches a block that contains at least
-NUMERATOR/DENOMINATOR of its distinct words.  Words are ordered by the number
-of documents that hold them, rarest first; then
-
-prefix filter: with need = ceil(share * |T|) the block holds one of the first
-    |T| - need + 1 words of T, so only those are joined;
-length filter: a block with fewer than need words of any template is out;
+Only DataFrame functions are used.  A block of a template is what a window of
+SPREAD times as many words as the template has shows of the text, wherever the
+window lies, however the text is wrapped; windows may hang over the text's ends.
+A template matches a block that contains at least NUMERATOR/DENOMINATOR of its
+distinct words and, in order (of first places), all of its required words, but
+none of the words that tell another license of its family from it.  Words are ordered by
+the number of documents that hold them, rarest first; then
+
+prefix filter: with need = ceil(share * |T|) a block holds one of the first
+    |T| - need + 1 words of T, so only stretches with one of those are joined;
+length filter: a stretch with fewer than need words of any template is out;
 positional filter: from the first common word, at position p of T and q of the
-    block's template words, at most min(|T| - p, |B| - q) words are common.
+    stretch's template words, at most min(|T| - p, |B| - q) words are common.
 
-Runs are tried only around places of prefix words: what lies within reach of a
-place passes the same filters before its runs are compared.  There a place need
-not be the first common word, so p more words may be common.
-
-Candidates are verified exactly.  The templates are a fixed list, so the word
-counts that are collected and the index that is broadcast are bounded by it.
+Stretches of STRETCH words, and as many more as the widest window has, are dealt
+out as rows, so a long text is no large row; each window belongs to the stretch
+in which it starts.  What passes the filters is verified exactly, window by
+window.  The templates are a fixed list, so the word counts that are collected
+and the index that is broadcast are bounded by it.
 """
 
 from __future__ import annotations
@@ -28,33 +29,34 @@ from pyspark.sql import functions as F
 from .common import checkpointed, select_columns
 
 NUMERATOR, DENOMINATOR = 4, 5
-#: A run holds this many times a template's words, so that a word put before each (a comment's leader on each line) leaves room for all.
+#: A window holds this many times a template's words, so that a word put before each (a comment's leader on each line) leaves room for all.
 SPREAD = 2
+STRETCH = 128
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Sentences of public licenses and of the usual notices that name them.
+# Sentences of public licenses and of the usual notices that name them; the words a match must hold, in order; those it must not.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
-    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("epl-2", "this program is made available under the terms of the eclipse public license 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("mit", "released under the mit license", "mit", ""),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted charge", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache 2", ""),
+    ("apache-2", "you may not use this file except in compliance with the license", "file except compliance", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary forms", ""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission fee granted", ""),
+    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general 2", "lesser affero 3"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3", "lesser affero 2"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3", "gnu lesser 3", "affero 2"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3", "gnu affero 3", "lesser 2"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
+    ("epl-2", "this program is made available under the terms of the eclipse public license 2 0", "eclipse 2", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered domain", ""),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative attribution", "sharealike noncommercial noderivatives nc sa nd"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative sharealike", "noncommercial nc"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc", ""),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived copyright", ""),
 )
 
 
@@ -77,7 +79,7 @@ def _needed(n: int) -> int:
 
 def word_counts(docs: DataFrame) -> dict[str, int]:
     """The number of documents that hold each template word."""
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
+    vocabulary = sorted({w for _, t, _, _ in TEMPLATES for w in t.split()})
     rows = docs.select(F.explode(F.array_intersect(F.split(_lowered(F.col("text")), NOT_WORD), _texts(vocabulary))).alias("word")).groupBy("word").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in rows}
 
@@ -110,56 +112,49 @@ def license_scan(docs: DataFrame) -> DataFrame:
     order = sorted(counts, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(order)}
     index = []
-    for n, (label, text) in enumerate(TEMPLATES):
+    for label, text, required, without in TEMPLATES:
         words = sorted(_distinct(text), key=rank.__getitem__)
         need = _needed(len(words))
-        index += [(words[p], n, label, p, words, words[:p], need, SPREAD * len(text.split())) for p in range(len(words) - need + 1)]
+        index += [(words[p], label, p, words, words[:p], need, required.split(), without.split(), SPREAD * len(text.split())) for p in range(len(words) - need + 1)]
     prefixes = sorted({x[0] for x in index})
-    least = min(x[-2] for x in index)
+    least = min(x[5] for x in index)
     reach = max(x[-1] for x in index)
 
-    # One pass over the texts: base places, and for the few documents with a prefix word the blocks' template words.
+    # One pass over the texts: base places, and stretches that hold a prefix word and enough template words.
     split = docs.select("doc_id", F.xxhash64("text").alias("key"), _lowered(F.col("text")).alias("text")).withColumn("words", F.split("text", NOT_WORD))
     edge = F.when(F.get("words", F.lit(0)) == "", 1).otherwise(0)
     split = split.withColumn("n_words", (F.size("words") - edge - F.when((F.size("words") > 1) & (F.element_at("words", -1) == ""), 1).otherwise(0)).cast("long"))
     starts = {label: _starts(phrase) for phrase, label in PHRASES.items()}
-    lines = F.split("text", "\n")
-    held = F.transform(lines, lambda line, i: F.array_intersect(_texts(order), F.split(F.concat_ws(" ", line, F.get(lines, i + 1)), NOT_WORD)))
-    blocks = F.filter(held, lambda b: (F.size(b) >= least) & F.arrays_overlap(b, _texts(prefixes)))
-    rare = F.filter(F.transform("words", lambda w, i: F.when(w.isin(prefixes), i)), lambda i: i.isNotNull())
-    around = F.transform(rare, lambda i: F.struct(
-        F.get("words", i).alias("word"), F.least(i, F.lit(reach - 1)).alias("at"),
-        F.slice("words", F.greatest(i - reach + 2, F.lit(1)), F.least(i, F.lit(reach - 1)) + reach).alias("run"),
-    ))
-    around = F.filter(around, lambda x: F.size(F.array_intersect(_texts(order), x["run"])) >= least)
+    begins = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRETCH))
+    stretches = F.transform(begins, lambda i: F.struct((i == 0).alias("front"), F.slice("words", i + 1, STRETCH + reach).alias("run")))
+    stretches = F.filter(stretches, lambda x: F.arrays_overlap(x["run"], _texts(prefixes)) & (F.size(F.array_intersect(_texts(order), x["run"])) >= least))
+    nothing = F.array().cast("array<struct<front:boolean,run:array<string>>>")
     scanned = split.select(
-        "doc_id", "key", "n_words", edge.alias("edge"),
-        *[s.alias(label) for label, s in starts.items()],
-        F.when(F.arrays_overlap("words", _texts(prefixes)), blocks).otherwise(F.array().cast("array<array<string>>")).alias("blocks"),
-        F.when(F.arrays_overlap("words", _texts(prefixes)), around).otherwise(F.array().cast("array<struct<word:string,at:int,run:array<string>>>")).alias("around"),
+        "doc_id", "key", "n_words", edge.alias("edge"), *[s.alias(label) for label, s in starts.items()],
+        F.when(F.arrays_overlap("words", _texts(prefixes)), stretches).otherwise(nothing).alias("stretches"),
     )
     scanned = checkpointed(scanned)
 
     spark = docs.sparkSession
-    rows = spark.createDataFrame(index, "word string, template int, label string, p int, tokens array<string>, before array<string>, need int, span int")
-    hits = scanned.select("doc_id", "key", F.explode("blocks").alias("block")).withColumn("word", F.explode(F.array_intersect(F.col("block"), _texts(prefixes))))
+    rows = spark.createDataFrame(index, "word string, label string, p int, tokens array<string>, before array<string>, need int, required array<string>, without array<string>, span int")
+    hits = scanned.select("doc_id", "key", F.explode("stretches").alias("x")).select("doc_id", "key", "x.*").withColumn("block", F.array_intersect(_texts(order), F.col("run")))
+    hits = hits.withColumn("word", F.explode(F.array_intersect(F.col("block"), _texts(prefixes))))
     pairs = hits.join(F.broadcast(rows), "word").where(~F.arrays_overlap("block", "before"))
     q = F.array_position("block", F.col("word")) - 1
     pairs = pairs.where((F.size("block") >= F.col("need")) & (F.least(F.size("tokens") - F.col("p"), F.size("block") - q) >= F.col("need")))
-    share = F.size(F.array_intersect("tokens", "block")) / F.size("tokens")
-    matched = pairs.where(F.size(F.array_intersect("tokens", "block")) >= F.col("need")).select("doc_id", "key", "label", share.alias("share"))
+    pairs = pairs.where((F.size(F.array_intersect("tokens", "block")) >= F.col("need")) & (F.size(F.array_except("required", "run")) == 0))
 
-    near = scanned.select("doc_id", "key", F.explode("around").alias("x")).select("doc_id", "key", "x.*").withColumn("block", F.array_intersect(_texts(order), F.col("run")))
-    near = near.join(F.broadcast(rows), "word")
-    q = F.array_position("block", F.col("word")) - 1
-    near = near.where((F.size("block") >= F.col("need")) & (F.col("p") + F.least(F.size("tokens") - F.col("p"), F.size("block") - q) >= F.col("need")))
-    near = near.where(F.size(F.array_intersect("tokens", "block")) >= F.col("need"))
-    first = F.greatest(F.col("at") - F.col("span") + 2, F.lit(1))
-    common = F.array_max(F.transform(F.sequence(first, F.col("at") + 1), lambda i: F.size(F.array_intersect("tokens", F.slice("run", i, F.col("span"))))))
-    near = near.withColumn("common", common).where("common >= need").select("doc_id", "key", "label", (F.col("common") / F.size("tokens")).alias("share"))
-    matched = matched.unionByName(near).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_set("label").alias("found"), F.max("share").alias("score"))
-
-    joined = scanned.join(matched, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+    def common(start: Column) -> Column:
+        """The template's words in the window from there, 0 unless it holds the required ones in order and none that it must not."""
+        window = F.slice("run", F.greatest(start, F.lit(0)) + 1, F.col("span") + F.least(start, F.lit(0)))
+        places = F.transform("required", lambda word: F.array_position(window, word))
+        return F.when((F.array_min(places) > 0) & (F.array_sort(places) == places) & ~F.arrays_overlap("without", window), F.size(F.array_intersect("tokens", window))).otherwise(0)
+
+    windows = F.sequence(F.when(F.col("front"), 1 - F.col("span")).otherwise(0), F.least(F.lit(STRETCH), F.size("run")) - 1)
+    found = pairs.withColumn("common", F.array_max(F.transform(windows, common))).where("common >= need")
+    matched = found.groupBy(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.size("tokens")).alias("score"))
+
+    joined = scanned.join(matched, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("key") == F.col("found_key")), "left")
     places = F.concat(*[F.col(f"`{label}`") for label in starts])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(F.col(f"`{label}`")) > 0, F.lit(label)) for label in starts])))
     return joined.select(
