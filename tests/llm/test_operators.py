@@ -284,10 +284,10 @@ def test_reliabilities_find_the_good_labeler():
 # 5
 
 
-def test_exact_dedup(hard, none):
-    found = plain(exact_dedup.exact_dedup(hard), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+def check_exact(docs, **bounds):
+    found = plain(exact_dedup.exact_dedup(docs, **bounds), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
     groups = defaultdict(list)
-    for i, t in plain(hard, "doc_id", "text"):
+    for i, t in plain(docs, "doc_id", "text"):
         groups[WHITE.sub(" ", t or "")].append(i)
     want = Counter()
     for text, ids in groups.items():
@@ -295,17 +295,41 @@ def test_exact_dedup(hard, none):
         want.update((i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest()) for i in ids)
     assert Counter((*f[:3], f[4]) for f in found) == want
     assert sum(f[3] for f in found) == len(groups)
+
+
+def test_exact_dedup(hard, none, sample):
+    check_exact(hard)
+    check_exact(sample)
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def near_texts(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) for _ in range(3000)] + ["same beginning " * 20 + str(i % 40) for i in range(300)]
+    return spark.createDataFrame([(rng.randrange(10_000), t) for t in texts], "doc_id long, text string")
+
+
+def test_the_trie_decides_where_the_hash_says_nothing(spark):
+    check_exact(near_texts(spark), short=1)
+
+
+def test_spilled_subtrees_lose_nothing(spark):
+    check_exact(near_texts(spark), short=1, spill_bytes=40, fold_bytes=600)
+
+
 def test_radix_trie_counts_and_smallest_ids():
     rng = random.Random(9)
     keys = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 8))).encode() for _ in range(600)]
-    trie, want = exact_dedup.RadixTrie(), {}
+    trie, want, spilled = exact_dedup.RadixTrie(), {}, []
     for i, k in enumerate(keys):
         trie.insert(k, 1000 - i)
         want[k] = [min(want.get(k, [1000 - i])[0], 1000 - i), want.get(k, [0, 0])[1] + 1]
-    assert sorted(trie.terminals()) == sorted(want.values())
+    assert sorted(trie.terminals()) == sorted((k, *v) for k, v in want.items())
+    assert trie.size < sum(map(len, want)) / 2 and trie.size == exact_dedup._size(trie.root)
+    before = trie.size
+    spilled = list(trie.spill(before // 2))
+    assert spilled and trie.size <= before // 2 and trie.size == exact_dedup._size(trie.root)
+    assert sorted([*spilled, *trie.terminals()]) == sorted((k, *v) for k, v in want.items())
 
 
 # 6
