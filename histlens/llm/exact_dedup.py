@@ -216,7 +216,8 @@ def exact_dedup(docs: DataFrame, short: int = SHORT, spill_bytes: int = SPILL_BY
     digests = map_batches(rows, _digests, "doc_id long, size long, hash binary")
     folded = rows.mapInArrow(lambda batches: _folded(batches, short, fold_bytes), "part long, body binary, smallest long, copies long")
     ends = folded.repartition("part").sortWithinPartitions("part").mapInArrow(lambda batches: _owners(batches, spill_bytes), "size long, hash binary, keep_id long, group_size long")
-    owners = ends.groupBy("size", "hash").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    # Merged by digest alone, so that the join on both columns has a shuffle of its own, whose hot groups adaptive execution splits.
+    owners = ends.groupBy("hash").agg(F.max("size").alias("size"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     # A repeated id must be kept once only.
     turn = Window.partitionBy("hash", "doc_id").orderBy("size")
     return (
