@@ -3,31 +3,38 @@
 Each document counts once for each distinct key of its lines (128-bit BLAKE2b
 of the stripped, lower-cased line).  The exact reference counts are a table
 (key, n).  Keys that reach the threshold are also in cuckoo filters, one for
-each hash shard of at most about 2**16 keys; filters support insertion and
-deletion, so adding or removing documents updates counts and filters without a
-new pass over the rest.  Filters only spare exact lookups: what they let pass
-is joined with the counts.  They are broadcast while all of them fit in
-`FILTER_BYTES`; beyond that every key goes to the exact join.
+each hash shard of at most about `SHARD_KEYS` keys and `SHARD_PAIRS` lookups;
+filters support insertion and deletion, so adding or removing documents updates
+counts and filters without a new pass over the rest, and an index can be saved
+and loaded.
+
+Looking up goes the same way at any size: the (text, key) pairs of all texts
+are dealt to shards, where each pair meets its shard's filter, and what the
+filter lets pass is looked up among the shard's exact keys.  Keys that over 1 in `HOT_SHARE` of
+all pairs hold are found in the counts first; there are fewer than `HOT_SHARE` of
+them, so they are sent to all tasks and need no pairs, which leaves no shard hot.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import checkpointed, lean_worker, map_batches, select_columns, texts
+from .common import checkpointed, lean_worker, map_batches, select_columns, text_key, texts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 SHARD_KEYS = 1 << 16
-FILTER_BYTES = 16 << 20
+SHARD_PAIRS = 1 << 17
+HOT_SHARE = 1024
 MADE = StructType([StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
@@ -114,32 +121,73 @@ def shard_of(key: bytes, shards: int) -> int:
     return int.from_bytes(key[:4], "little") & (shards - 1)
 
 
-def _keys(docs: DataFrame, held=None, shards: int = 1) -> DataFrame:  # noqa: ANN001
-    """(doc_id, key) for each document's distinct keys; with held (a broadcast of filters by shard), for those that pass."""
+def _keys(docs: DataFrame) -> DataFrame:
+    """(key) for each distinct key of each row of docs(text)."""
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [key_hash(k) for text in texts(batch["text"]) for k in _distinct(text)]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], ["key"])
+
+    return map_batches(select_columns(docs, "text"), made, "key binary")
+
+
+def _distinct(text: bytes) -> set[bytes]:
+    """The keys of a text's lines, but for lines of white space."""
+    return {k for k in map(line_key, text.split(b"\n")) if k}
+
+
+def _pairs(docs: DataFrame, shards: int, hot) -> DataFrame:  # noqa: ANN001
+    """(shard, at, key) for each distinct key of each text; at is the text's hash.
+
+    Texts that share a hash share what is looked up, which drops no line more:
+    a key is dropped everywhere or nowhere.  Hot keys need no looking up; they
+    go to shards below zero, evenly.
+    """
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
         where, keys = [], []
         for i, text in enumerate(texts(batch["text"])):
-            mine = {k for k in map(line_key, text.split(b"\n")) if k}
-            hashes = [*map(key_hash, mine)]
-            if held is not None:
-                hashes = _passing(held.value, shards, hashes)
-            keys += hashes
-            where += [i] * len(hashes)
-        return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(where, pa.int32())), pa.array(keys, pa.binary())], ["doc_id", "key"])
-
-    return map_batches(_rows(docs), made, "doc_id long, key binary")
+            mine = [key_hash(k) for k in _distinct(text)]
+            keys += mine
+            where += [i] * len(mine)
+        at = batch["at"].take(pa.array(where, pa.int32()))
+        shard = (np.frombuffer(b"".join(keys), "<u4")[::4] & np.uint32(shards - 1)).astype(np.int32)
+        if hot.value:
+            known = np.fromiter((k in hot.value for k in keys), bool, len(keys))
+            shard = np.where(known, -1 - (at.to_numpy(zero_copy_only=False) & 0x3FF), shard).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(shard), at, pa.array(keys, pa.binary())], ["shard", "at", "key"])
 
+    return map_batches(docs.select("text", text_key().alias("at")), made, "shard int, at long, key binary")
 
-def _passing(held: dict[int, CuckooFilter], shards: int, keys: list[bytes]) -> list[bytes]:
-    by_shard: dict[int, list[bytes]] = {}
-    for key in keys:
-        by_shard.setdefault(shard_of(key, shards), []).append(key)
-    return [k for shard, own in by_shard.items() if shard in held for k, good in zip(own, held[shard].contains(own)) if good]
 
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, key) of the pairs whose key is frequent, from rows sorted by (shard, kind).
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    Of a shard come its filter (kind 0), its exact keys (1), and then the pairs
+    (2), of which just a batch is in memory.
+    """
+    lean_worker()
+    at, held, exact = None, None, set()
+    for batch in batches:
+        shards, kinds = batch["shard"].to_numpy(), batch["kind"].to_numpy()
+        ends = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1), len(shards)]
+        good = np.zeros(len(shards), bool)
+        for low, high in zip(ends, ends[1:]):
+            if low == high:
+                continue
+            if shards[low] != at:
+                at, held, exact = shards[low], None, set()
+            if kinds[low] == 0:
+                held = CuckooFilter(batch["buckets"][low].as_py(), batch["cells"][low].as_py())
+            elif kinds[low] == 1:
+                exact.update(batch["key"].slice(low, high - low).to_pylist())
+            elif at < 0:
+                good[low:high] = True
+            elif held is not None:
+                keys = batch["key"].slice(low, high - low).to_pylist()
+                good[low:high] = [passed and k in exact for passed, k in zip(held.contains(keys), keys)]
+        if good.any():
+            yield pa.RecordBatch.from_arrays([batch["at"].filter(pa.array(good)), batch["key"].filter(pa.array(good))], ["at", "key"])
 
 
 def _shard_column(shards: int):  # noqa: ANN202
@@ -168,23 +216,43 @@ class LineIndex:
 
     @staticmethod
     def of(docs: DataFrame, least_documents: int = 10) -> LineIndex:
+        """The index of these documents: every row counts, also one that repeats an id or is null; an empty table gives an empty index."""
         counts = checkpointed(_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
         return LineIndex._with_filters(counts, least_documents)
 
     @staticmethod
-    def _with_filters(counts: DataFrame, least_documents: int) -> LineIndex:
-        frequent = counts.where(F.col("n") >= least_documents)
+    def _shards(counts: DataFrame, least_documents: int) -> int:
+        """How many shards the counts need, a power of two."""
+        frequent, pairs = counts.agg(F.count_if(F.col("n") >= least_documents), F.sum("n")).first()
         shards = 1
-        many = frequent.count()
-        while shards * SHARD_KEYS < many:
+        while shards * SHARD_KEYS < frequent or shards * SHARD_PAIRS < (pairs or 0):
             shards *= 2
+        return shards
+
+    @staticmethod
+    def _with_filters(counts: DataFrame, least_documents: int) -> LineIndex:
+        shards = LineIndex._shards(counts, least_documents)
+        frequent = counts.where(F.col("n") >= least_documents)
         filters = checkpointed(frequent.select("key", _shard_column(shards)).groupBy("shard").applyInPandas(_built, FILTER_SCHEMA))
         return LineIndex(counts, filters, shards, least_documents)
 
+    def save(self, path: str) -> None:
+        """Writes the index as tables below path, which must not hold one; load() gives it back in any later session."""
+        spark = self.counts.sparkSession
+        self.counts.write.parquet(f"{path}/counts")
+        self.filters.write.parquet(f"{path}/filters")
+        spark.createDataFrame([(self.shards, self.least_documents)], "shards int, least_documents int").coalesce(1).write.parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LineIndex:
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return LineIndex(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/filters"), settings["shards"], settings["least_documents"])
+
     def frequent(self) -> DataFrame:
         return self.counts.where(F.col("n") >= self.least_documents).select("key")
 
     def insert(self, docs: DataFrame) -> LineIndex:
+        """The index with these documents, which count as in of()."""
         return self._changed(docs, 1)
 
     def delete(self, docs: DataFrame) -> LineIndex:
@@ -198,8 +266,8 @@ class LineIndex:
         counts = merged.where("n > 0").select("key", "n")
         k = self.least_documents
         crossed = merged.where((F.col("was") >= k) != (F.col("n") >= k)).select("key", (F.col("n") >= k).alias("up"), _shard_column(self.shards))
-        shards, k_frequent = self.shards, counts.where(F.col("n") >= k)
-        if k_frequent.count() > 2 * shards * SHARD_KEYS:
+        shards = self.shards
+        if LineIndex._shards(counts, k) > 2 * shards:
             return LineIndex._with_filters(counts, k)
 
         def changed(held: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
@@ -218,18 +286,28 @@ class LineIndex:
             return LineIndex._with_filters(counts, k)
         return LineIndex(counts, filters, shards, k)
 
-    def _broadcast(self):  # noqa: ANN202
-        """All filters by shard, or None if they are over FILTER_BYTES together."""
-        size = self.filters.agg(F.sum(F.length("cells"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return None
-        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: CuckooFilter(r["buckets"], bytes(r["cells"])) for r in self.filters.collect()})
+    def _hot(self):  # noqa: ANN202
+        """A broadcast of the frequent keys that over 1 in HOT_SHARE of all pairs hold: fewer than HOT_SHARE keys of 16 bytes."""
+        pairs = self.counts.agg(F.sum("n")).first()[0] or 0
+        rows = self.frequent_counts().where(F.col("n") * HOT_SHARE > pairs).select("key").collect()
+        return self.counts.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in rows))
+
+    def frequent_counts(self) -> DataFrame:
+        return self.counts.where(F.col("n") >= self.least_documents)
 
     def drops(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, drops): the frequent keys among each document's lines, exactly."""
-        sent, shards = self._broadcast(), self.shards
-        suspects = _keys(docs, sent, shards)
-        return suspects.join(self.frequent(), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("drops"))
+        """(at, drops): the frequent keys among the lines of texts with hash at, exactly; texts without any have no row."""
+        columns = ("shard", "kind", "at", "key", "buckets", "cells")
+        nothing = {"at": "long", "key": "binary", "buckets": "int", "cells": "binary"}
+
+        def shaped(rows: DataFrame, kind: int) -> DataFrame:
+            lacking = {c: F.lit(None).cast(t) for c, t in nothing.items() if c not in rows.columns}
+            return rows.withColumns(lacking | {"kind": F.lit(kind)}).select(*columns)
+
+        exact = self.frequent().select("key", _shard_column(self.shards))
+        rows = shaped(self.filters, 0).unionByName(shaped(exact, 1)).unionByName(shaped(_pairs(docs, self.shards, self._hot()), 2))
+        found = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, "at long, key binary")
+        return found.groupBy("at").agg(F.collect_set("key").alias("drops"))
 
 
 def _kept(text: bytes, drops: set[bytes]) -> tuple[bytes, int, int]:
@@ -241,12 +319,9 @@ def _kept(text: bytes, drops: set[bytes]) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def clean_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """docs with text replaced by what is kept, and __n_lines, __n_dropped; all other columns stay.
-
-    A null text stays null (one empty line); a document that loses every line has an empty text.
-    """
-    drops = index.drops(docs).withColumnRenamed("doc_id", "__drop_id")
+def _cleaned(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """(row, made): each row of docs as a struct, with the text that is kept, n_lines and n_dropped."""
+    drops = index.drops(docs).withColumnRenamed("at", "drop_at")
 
     @F.arrow_udf(MADE)
     def made(text: pa.Array, gone: pa.Array) -> pa.Array:
@@ -255,17 +330,28 @@ def clean_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
         kept = pa.array([r[0] for r in rows], pa.binary()).cast(pa.string())
         return pa.StructArray.from_arrays([kept, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__drop_id")), "left").withColumn("__made", made(F.col("text"), F.col("drops")))
-    text = F.when(F.col("text").isNotNull(), F.col("__made.text")).alias("text")
-    return joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("__made.n_lines").alias("__n_lines"), F.col("__made.n_dropped").alias("__n_dropped"))
+    # Rows are one struct, so that no column of docs can clash with another.  The
+    # join is null-safe so that it has shuffles of its own, whose hot texts adaptive execution splits.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("at"))
+    return rows.join(drops, F.col("at").eqNullSafe(F.col("drop_at")), "left").select("row", made(F.col("row.text"), F.col("drops")).alias("made"))
+
+
+def clean_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """docs with text replaced by what is kept; all other columns stay.
+
+    A null text stays null (one empty line); a document that loses every line
+    has an empty text.  Each row, also one that repeats an id or has none, is
+    cleaned by itself; an empty table stays empty.
+    """
+    text = F.when(F.col("row.text").isNotNull(), F.col("made.text")).alias("text")
+    return _cleaned(docs, index).select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, least_documents: int = 10) -> DataFrame:
-    """clean_lines by an index of these very documents.
+    """doc_id, n_lines, n_dropped, text (what is kept; null counts as empty) for each row of docs(doc_id, text), by an index of these very rows.
 
-    Every row is a document of its own, also one that repeats an id or is null;
-    rows that share an id share the set of keys looked up, which drops the same
-    lines, as a key is dropped everywhere or nowhere.  An empty table gives an
-    empty result.
+    Every row is a document of its own, also one that repeats an id or is null.
+    An empty table gives an empty result; other columns are ignored.
     """
-    return clean_lines(docs, LineIndex.of(docs, least_documents))
+    docs = select_columns(docs, "doc_id", "text")
+    return _cleaned(docs, LineIndex.of(docs, least_documents)).select("row.doc_id", "made.n_lines", "made.n_dropped", "made.text")

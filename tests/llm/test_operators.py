@@ -384,17 +384,36 @@ def brute_lines(rows, least):
 
 
 @pytest.mark.parametrize("least", [2, 10])
-def test_line_dedup(hard, sample, least):
-    for docs in (hard, sample):
-        found = line_dedup.line_dedup(docs.select("doc_id", "text", "source"), least)
-        got = Counter(plain(found, "doc_id", "__n_lines", "__n_dropped", F.coalesce("text", F.lit(""))))
+def test_line_dedup(hard, sample, none, least):
+    for docs in (hard, sample, none):
+        got = Counter(plain(line_dedup.line_dedup(docs, least), "doc_id", "n_lines", "n_dropped", "text"))
         assert got == brute_lines(plain(docs, "doc_id", "text"), least)
 
 
-def test_line_dedup_without_broadcast(sample, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
-    found = line_dedup.line_dedup(sample.select("doc_id", "text"), 3)
-    assert Counter(plain(found, "doc_id", "__n_lines", "__n_dropped", "text")) == brute_lines(plain(sample, "doc_id", "text"), 3)
+@pytest.mark.parametrize(("keys", "pairs", "share"), [(7, 1 << 17, 1), (1 << 16, 500, 1 << 40), (1 << 16, 1 << 17, 30)])
+def test_line_dedup_in_many_shards(sample, monkeypatch, keys, pairs, share):
+    """Filters alone, hot keys alone, and both."""
+    for name, value in (("SHARD_KEYS", keys), ("SHARD_PAIRS", pairs), ("HOT_SHARE", share)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert line_dedup.LineIndex.of(sample, 3).shards > 1 or share == 30
+    assert Counter(plain(line_dedup.line_dedup(sample, 3), "doc_id", "n_lines", "n_dropped", "text")) == brute_lines(plain(sample, "doc_id", "text"), 3)
+
+
+def test_clean_lines_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "drops", "drop_at", "at", "made", "row", "__made", "__n_lines", "__drop_id", "key", "shard"]
+    docs = spark.createDataFrame([(i if i % 2 else None, "same\nown %d" % i, *("x" * 10)) for i in range(12)], names)
+    found = line_dedup.clean_lines(docs, line_dedup.LineIndex.of(docs, 10))
+    assert found.columns == names
+    assert Counter(plain(found, *names)) == Counter((i if i % 2 else None, f"own {i}", *("x" * 10)) for i in range(12))
+
+
+def test_line_index_lives_on_in_files(spark, sample, tmp_path):
+    first, second = sample.where("doc_id % 2 = 0"), sample.where("doc_id % 2 = 1")
+    line_dedup.LineIndex.of(sample, 3).save(str(tmp_path / "index"))
+    back = line_dedup.LineIndex.load(spark, str(tmp_path / "index")).delete(second)
+    assert Counter(plain(back.counts, "key", "n")) == Counter(plain(line_dedup.LineIndex.of(first, 3).counts, "key", "n"))
+    got = plain(line_dedup.clean_lines(first, back), "doc_id", F.coalesce("text", F.lit("")))
+    assert Counter(got) == Counter((k[0], k[3]) for k, n in brute_lines(plain(first, "doc_id", "text"), 3).items() for _ in range(n))
 
 
 def test_line_index_is_reversible(sample):
