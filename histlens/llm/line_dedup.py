@@ -140,21 +140,23 @@ def _pairs(docs: DataFrame, shards: int, hot) -> DataFrame:  # noqa: ANN001
     """(shard, at, key) for each distinct key of each text; at is the text's hash.
 
     Texts that share a hash share what is looked up, which drops no line more:
-    a key is dropped everywhere or nowhere.  Hot keys need no looking up; they
-    go to shards below zero, evenly.
+    a key is dropped everywhere or nowhere; so a batch looks up each hash once.
+    Hot keys need no looking up; they go to shards below zero, evenly.
     """
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        where, keys = [], []
-        for i, text in enumerate(texts(batch["text"])):
-            mine = [key_hash(k) for k in _distinct(text)]
-            keys += mine
-            where += [i] * len(mine)
+        where, keys, met = [], [], set()
+        for i, (text, this) in enumerate(zip(texts(batch["text"]), batch["at"].to_pylist())):
+            if this not in met:
+                met.add(this)
+                mine = [key_hash(k) for k in _distinct(text)]
+                keys += mine
+                where += [i] * len(mine)
         at = batch["at"].take(pa.array(where, pa.int32()))
         shard = (np.frombuffer(b"".join(keys), "<u4")[::4] & np.uint32(shards - 1)).astype(np.int32)
         if hot.value:
             known = np.fromiter((k in hot.value for k in keys), bool, len(keys))
-            shard = np.where(known, -1 - (at.to_numpy(zero_copy_only=False) & 0x3FF), shard).astype(np.int32)
+            shard = np.where(known, -1 - (at.to_numpy(zero_copy_only=False) + np.arange(len(keys)) & 0x3FF), shard).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(shard), at, pa.array(keys, pa.binary())], ["shard", "at", "key"])
 
     return map_batches(docs.select("text", text_key().alias("at")), made, "shard int, at long, key binary")
