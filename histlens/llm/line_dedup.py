@@ -34,6 +34,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 SHARD_KEYS = 1 << 16
 SHARD_PAIRS = 1 << 17
+#: Shards of a small corpus, so that its lookups too are dealt over many tasks.
+LEAST_SHARDS = 256
 HOT_SHARE = 1024
 MADE = StructType([StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
@@ -226,7 +228,7 @@ class LineIndex:
     def _shards(counts: DataFrame, least_documents: int) -> int:
         """How many shards the counts need, a power of two."""
         frequent, pairs = counts.agg(F.count_if(F.col("n") >= least_documents), F.sum("n")).first()
-        shards = 1
+        shards = LEAST_SHARDS
         while shards * SHARD_KEYS < frequent or shards * SHARD_PAIRS < (pairs or 0):
             shards *= 2
         return shards

@@ -395,6 +395,7 @@ def test_line_dedup_in_many_shards(sample, monkeypatch, keys, pairs, share):
     """Filters alone, hot keys alone, and both."""
     for name, value in (("SHARD_KEYS", keys), ("SHARD_PAIRS", pairs), ("HOT_SHARE", share)):
         monkeypatch.setattr(line_dedup, name, value)
+    monkeypatch.setattr(line_dedup, "LEAST_SHARDS", 1)
     assert line_dedup.LineIndex.of(sample, 3).shards > 1 or share == 30
     assert Counter(plain(line_dedup.line_dedup(sample, 3), "doc_id", "n_lines", "n_dropped", "text")) == brute_lines(plain(sample, "doc_id", "text"), 3)
 
