@@ -1,17 +1,24 @@
 """SimHash near-dedup with BK-trees.
 
 A fingerprint bit is set if it is set in over half of the 64-bit shingle
-hashes.  Two fingerprints that differ in at most `radius` = 3 of 64 bits agree
+hashes.  Two fingerprints that differ in at most `RADIUS` = 3 of 64 bits agree
 in at least two of five blocks, so distinct fingerprints are dealt to ten
-shards keyed by two blocks' values (25 or 26 bits).  Each shard becomes a
-BK-tree, children keyed by their integer Hamming distance to the parent, and a
-search follows only edges within the radius of the distance at hand.  A tree
-goes, with the shuffle, to just the task that holds its shard's queries: the
-trees together grow with the corpus, so sending all to every executor would
-have no size bound.  Shards of over `dense` nodes are dealt once more by the
-remaining bits (three differing bits leave one of four further blocks equal).
-A shard gives a spanning forest, never all pairs; components come from
-alternating star contraction over those edges.
+shards, each a mask of two blocks and the bits under it.  A shard of over
+`DENSE` fingerprints is dealt once more, by each quarter of the bits not yet
+under its mask (three differing bits leave one quarter equal), and so on; as
+masks grow a shard can hold ever fewer distinct fingerprints, so this ends.
+
+Each shard becomes a BK-tree, children keyed by their integer Hamming distance
+to the parent, and a search follows only edges within the radius of the
+distance at hand.  All trees together are broadcast if they are counted to be
+at most `BROADCAST_BYTES`, and every task probes them with its fingerprints;
+beyond that, as trees grow with the corpus, they are searched in the tasks that
+hold them, for just their own members.  Both ways find the same links.
+
+Of the smaller neighbours that a fingerprint finds it links to one of each
+cluster that is near to itself, never to all: what it leaves out is linked
+already, as that pair is searched by its own larger member.  Components come
+from alternating star contraction over the links.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = [(a, b) for a in range(5) for b in range(a)]
 DENSE = 2048
+BROADCAST_BYTES = 32 << 20
+_ALL = (1 << 64) - 1
 _SLICE = 1 << 15
 
 
@@ -68,85 +77,113 @@ def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(rows, made, "doc_id long, key long, fp long")
 
 
-def _block(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
+def _first_masks() -> list[int]:
+    """Ten masks, each of two blocks."""
+    blocks = [((1 << width) - 1) << first for first, width in BLOCKS]
+    return [blocks[a] | blocks[b] for a, b in PAIRS]
 
 
-def _shard_keys(fp: Column) -> Column:
-    """Ten numbers, one for each pair of blocks: the pair and both values."""
-    return F.array(*[F.lit(n << 26) + F.shiftleft(_block(fp, *BLOCKS[a]), 13) + _block(fp, *BLOCKS[b]) for n, (a, b) in enumerate(PAIRS)])
+def _finer(mask: int) -> list[int]:
+    """The mask with each of four runs of the bits that it lacks."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(len(rest) * k / 4) for k in range(5)]
+    return [mask | sum(1 << b for b in rest[low:high]) for low, high in zip(cuts, cuts[1:])]
 
 
-def _finer(fp: Column) -> Column:
-    """Four numbers for a fingerprint of a dense shard: which quarter of all 64 bits, and its value.
+def _under(masks: list[int]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in masks]))
 
-    The shard's own two blocks are equal anyway; three differing bits leave one of the four quarters equal.
-    """
-    return F.array(*[F.lit(n << 16) + _block(fp, 16 * n, 16) + F.lit(1) for n in range(4)])
+
+def build_tree(members: list[int]) -> tuple[list[int], list[int]]:
+    """Parent's place and edge of each member; the first is the root."""
+    children: list[dict[int, int]] = [{} for _ in members]
+    parents, edges = [0], [0]
+    for new in range(1, len(members)):
+        value, node = members[new], 0
+        while True:
+            distance = (members[node] ^ value).bit_count()
+            following = children[node].get(distance)
+            if following is None:
+                children[node][distance] = new
+                parents.append(node)
+                edges.append(distance)
+                break
+            node = following
+    return parents, edges
 
 
-def tree_links(members: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of one shard's links: (fingerprint, smallest of its part), from one BK-tree."""
-    parent = list(range(len(members)))
+class Tree:
+    """A BK-tree, from members and what build_tree gives for them."""
 
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def __init__(self, members: list[int], parents: list[int], edges: list[int]) -> None:
+        self.members = members
+        self.children: list[dict[int, int]] = [{} for _ in members]
+        for child in range(1, len(members)):
+            self.children[parents[child]][edges[child]] = child
 
-    children: list[dict[int, int]] = [{} for _ in members]
-    for new in range(1, len(members)):
-        value, mine = members[new], new
-        # Search: only edges within the radius of this node's distance can lead to a neighbour.
-        waiting = [0]
+    @staticmethod
+    def read(data: bytes) -> Tree:
+        n = len(data) // 11
+        return Tree(np.frombuffer(data, "<u8", n).tolist(), np.frombuffer(data, "<u2", n, 8 * n).tolist(), np.frombuffer(data, "u1", n, 10 * n).tolist())
+
+    @staticmethod
+    def written(members: list[int]) -> bytes:
+        parents, edges = build_tree(members)
+        return np.array(members, "<u8").tobytes() + np.array(parents, "<u2").tobytes() + np.array(edges, "u1").tobytes()
+
+    def near(self, value: int, radius: int) -> list[int]:
+        """Members within the radius: only edges within the radius of a node's distance can lead to one."""
+        found, waiting = [], [0]
         while waiting:
             node = waiting.pop()
-            distance = (members[node] ^ value).bit_count()
+            distance = (self.members[node] ^ value).bit_count()
             if distance <= radius:
-                a, b = top(node), top(mine)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            edges = children[node]
+                found.append(self.members[node])
+            edges = self.children[node]
             if len(edges) > 2 * radius:
                 for edge in range(distance - radius, distance + radius + 1):
                     if edge in edges:
                         waiting.append(edges[edge])
             else:
                 waiting.extend(child for edge, child in edges.items() if abs(edge - distance) <= radius)
-        node = 0
-        while True:
-            distance = (members[node] ^ value).bit_count()
-            following = children[node].get(distance)
-            if following is None:
-                children[node][distance] = new
-                break
-            node = following
-    least: dict[int, int] = {}
-    for x in range(len(members)):
-        least[top(x)] = min(least.get(top(x), members[x]), members[x])
-    return [(members[x], least[top(x)]) for x in range(len(members)) if members[x] != least[top(x)]]
+        return found
 
+    def links(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(value, a smaller member near it), one for each cluster of those."""
+        kept: list[int] = []
+        for member in sorted(self.near(value, radius)):
+            if member < value and all((member ^ k).bit_count() > radius for k in kept):
+                kept.append(member)
+        return [(value, k) for k in kept]
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, part, fp) to links; one shard is in memory at a time."""
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (mask, bits, fp) a tree for each shard; one shard is in memory at a time."""
     at, members = None, []
+    out: list[tuple[int, int, bytes]] = []
+
+    def made() -> pa.RecordBatch:
+        masks, bits, trees = zip(*out)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(masks, pa.int64()), pa.array(bits, pa.int64()), pa.array(trees, pa.binary())], ["mask", "bits", "tree"])
+
     for batch in batches:
-        keys, parts, fps = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "part", "fp"))
-        found: list[tuple[int, int]] = []
-        ends = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
-        for low, high in zip([0, *ends], [*ends, len(keys)]):
+        masks, bits, fps = (batch[c].to_numpy(zero_copy_only=False) for c in ("mask", "bits", "fp"))
+        ends = np.flatnonzero((np.diff(masks) != 0) | (np.diff(bits) != 0)) + 1
+        for low, high in zip([0, *ends], [*ends, len(masks)]):
             if low == high:
                 continue
-            here = (keys[low], parts[low])
+            here = (int(masks[low]), int(bits[low]))
             if here != at:
-                found += tree_links(members)
+                if at is not None:
+                    out.append((*at, Tree.written(members)))
                 at, members = here, []
-            members += [int(x) & 0xFFFFFFFFFFFFFFFF for x in fps[low:high]]
-        if found:
-            yield _links(found)
-    if found := tree_links(members):
-        yield _links(found)
+            members += fps[low:high].view("<u8").tolist()
+        if out:
+            yield made()
+    if at is not None:
+        out.append((*at, Tree.written(members)))
+        yield made()
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -154,15 +191,76 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, "<u8").view("<i8")) for x in (a, b)], ["a", "b"])
 
 
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each tree's members, where the tree is."""
+    for batch in batches:
+        trees = (Tree.read(t.as_py()) for t in batch["tree"])
+        found = [link for tree in trees for value in tree.members for link in tree.links(value, RADIUS)]
+        if found:
+            yield _links(found)
+
+
+def _probe(sent):  # noqa: ANN001, ANN202
+    """Links of any fingerprints with the members of the trees of a broadcast (mask: (sorted bits, ends of trees, all trees' bytes))."""
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch["fp"].to_numpy(zero_copy_only=False)
+            found: list[tuple[int, int]] = []
+            for mask, (bits, ends, data) in sent.value.items():
+                own = fps & np.int64(mask)
+                place = np.minimum(np.searchsorted(bits, own), len(bits) - 1)
+                mine = np.flatnonzero(bits[place] == own)
+                mine = mine[np.argsort(place[mine], kind="stable")]
+                at, tree = -1, None
+                for i, k in zip(fps[mine].view("<u8").tolist(), place[mine].tolist()):
+                    if k != at:
+                        at, tree = k, Tree.read(data[ends[k - 1] if k else 0 : ends[k]])
+                    found += tree.links(i, RADIUS)
+            if found:
+                yield _links(found)
+
+    return probed
+
+
+def _broadcast(trees: DataFrame):  # noqa: ANN202
+    """The trees by mask; the caller has counted their bytes."""
+    table = trees.toArrow().combine_chunks().sort_by([("mask", "ascending"), ("bits", "ascending")])
+    held = {}
+    masks = table["mask"].to_numpy()
+    ends = [0, *(np.flatnonzero(np.diff(masks)) + 1), len(masks)]
+    for low, high in zip(ends, ends[1:]):
+        if low < high:
+            part = table.slice(low, high - low)
+            data = part["tree"].to_pylist()
+            held[int(masks[low])] = (part["bits"].to_numpy(), np.cumsum([len(t) for t in data]), b"".join(data))
+    return trees.sparkSession.sparkContext.broadcast(held)
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints of fps(fp) at RADIUS or fewer differing bits."""
-    shards = fps.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("key"))
-    counts = shards.groupBy("key").count().where("count > 1")
-    shared = shards.join(counts, "key")
-    dense = shared.where(F.col("count") > DENSE).select("fp", "key", F.explode(_finer(F.col("fp"))).alias("part"))
-    plain = shared.where(F.col("count") <= DENSE).select("fp", "key", F.lit(0).cast("long").alias("part"))
-    dealt = plain.unionByName(dense.withColumn("part", F.col("part").cast("long"))).repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-    return dealt.mapInArrow(_forest, "a long, b long").distinct()
+    spark = fps.sparkSession
+    masks, plain = _first_masks(), None
+    rows = fps.select("fp", _under(masks).alias("x")).select("fp", "x.*")
+    while True:
+        counts = checkpointed(rows.groupBy("mask", "bits").count().where("count > 1"))
+        fit = rows.join(counts.where(F.col("count") <= DENSE), ["mask", "bits"]).select("fp", "mask", "bits")
+        plain = fit if plain is None else plain.unionByName(fit)
+        dense = counts.where(F.col("count") > DENSE).select("mask", "bits")
+        if dense.isEmpty():
+            break
+        # At most four times as many masks as before, each with fewer bits to go.
+        finer = spark.createDataFrame([(_signed(m), _signed(f)) for m in masks for f in _finer(m)], "was long, mask long")
+        masks = sorted({f for m in masks for f in _finer(m)})
+        rows = rows.join(dense, ["mask", "bits"]).select("fp", F.col("mask").alias("was")).join(F.broadcast(finer), "was")
+        rows = checkpointed(rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).distinct())
+    trees = checkpointed(plain.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp").mapInArrow(_trees, "mask long, bits long, tree binary"))
+    size = trees.agg(F.sum(F.octet_length("tree") + 24)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        found = trees.mapInArrow(_searched, "a long, b long")
+    else:
+        found = fps.select("fp").mapInArrow(_probe(_broadcast(trees)), "a long, b long")
+    return found.distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -72,24 +72,48 @@ def test_simhash_sample(sample):
     check_components(plain(sample, "doc_id", "text"), plain(simhash_dedup.near_duplicates(sample), "doc_id", "fingerprint", "component_id"))
 
 
+def close_values(seed, bases, each):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(bases)]
+    return sorted({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for b in base for _ in range(each)})
+
+
 def test_bk_tree_finds_what_brute_force_finds():
-    rng = random.Random(2)
-    members = list({rng.getrandbits(64) for _ in range(30)})
-    members += [m ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for m in members for _ in range(4)]
-    members = list(dict.fromkeys(members))
-    links = dict(simhash_dedup.tree_links(members))
-    assert {m: links.get(m, m) for m in members} == brute_parts(members)
-
-
-def test_dense_shards_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash_dedup, "DENSE", 3)
-    rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(3)]
-    values = {b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (1 << 64) - 1 for b in base for _ in range(80)}
+    members = close_values(2, 12, 30)
+    random.Random(1).shuffle(members)
+    tree = simhash_dedup.Tree.read(simhash_dedup.Tree.written(members))
+    for value in [*members[:100], *close_values(5, 3, 3)]:
+        assert sorted(tree.near(value, 3)) == sorted(m for m in members if (m ^ value).bit_count() <= 3)
+    for child, (parent, edge) in enumerate(zip(*simhash_dedup.build_tree(members))):
+        assert child == 0 or edge == (members[child] ^ members[parent]).bit_count()
+
+
+def test_masks_leave_two_blocks_or_a_quarter_equal():
+    masks, rng = simhash_dedup._first_masks(), random.Random(7)
+    for _ in range(300):
+        differing = sum(1 << b for b in rng.sample(range(64), 3))
+        fit = [m for m in masks if not m & differing]
+        assert fit
+        for _ in range(5):
+            fit = [f for m in fit for f in simhash_dedup._finer(m) if not f & differing]
+            assert fit
+    assert max(64 - m.bit_count() for m in fit) <= 11
+
+
+@pytest.mark.parametrize("room", [1 << 20, 0])
+@pytest.mark.parametrize("dense", [2048, 40])
+def test_links_join_what_brute_force_joins(spark, monkeypatch, room, dense):
+    """Trees broadcast and trees searched where they are; shards dealt once, and again and again."""
+    monkeypatch.setattr(simhash_dedup, "BROADCAST_BYTES", room)
+    monkeypatch.setattr(simhash_dedup, "DENSE", dense)
+    values = close_values(4, 4, 90) + [random.Random(9).getrandbits(30) << 20 | x for x in range(200)]
+    values = sorted(set(values))
     rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    found = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash_dedup.connected(simhash_dedup.fingerprint_links(rows)).collect()}
+    links = simhash_dedup.fingerprint_links(rows)
+    found = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash_dedup.connected(links).collect()}
     groups = lambda roots: {frozenset(k for k in values if roots.get(k, k) == r) for r in {roots.get(v, v) for v in values}}
     assert groups(found) == groups(brute_parts(values))
+    assert links.count() < 12 * len(values)
 
 
 def test_components_of_a_long_chain(spark):
