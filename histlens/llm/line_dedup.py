@@ -337,7 +337,11 @@ def _cleaned(docs: DataFrame, index: LineIndex) -> DataFrame:
     # Rows are one struct, so that no column of docs can clash with another.  The
     # join is null-safe so that it has shuffles of its own, whose hot texts adaptive execution splits.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key().alias("at"))
-    return rows.join(drops, F.col("at").eqNullSafe(F.col("drop_at")), "left").select("row", made(F.col("row.text"), F.col("drops")).alias("made"))
+    joined = rows.join(drops, F.col("at").eqNullSafe(F.col("drop_at")), "left").withColumn("text", F.coalesce("row.text", F.lit("")))
+    # Texts that lose nothing stay out of Python.
+    whole = F.struct("text", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    joined = joined.withColumn("made", made(F.when(F.col("drops").isNotNull(), F.col("text")), F.col("drops")))
+    return joined.select("row", F.when(F.col("drops").isNull(), whole).otherwise(F.col("made")).alias("made"))
 
 
 def clean_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
