@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, select_columns, text_key, texts
+from .common import checkpointed, map_batches, select_columns, texts
 
 SEED = 42
 RADIUS = 3
@@ -44,37 +44,47 @@ _ALL = (1 << 64) - 1
 _SLICE = 1 << 15
 
 
-def simhash(text: bytes, words: int = 3) -> int:
-    """The fingerprint of a whole text; 0 without any word."""
+def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of a whole text, repeats included, some at a time; of fewer words there is one shingle, of none none."""
     parts = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters only
-    if not parts:
-        return 0
-    n = max(1, len(parts) - words + 1)
-    totals = np.zeros(64, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for low in range(0, n, _SLICE):
-        high = min(n, low + _SLICE)
-        if n == 1:
-            found = [digest(join(parts), SEED)]
-        else:
-            found = [digest(join(x), SEED) for x in zip(*(parts[low + k : high + k] for k in range(words)))]
-        bits = np.unpackbits(np.array(found, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        totals += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * totals > n, bitorder="little").tobytes(), "little")
-
-
-def _signed(value: int) -> int:
+    if 0 < len(parts) <= words:
+        yield np.array([digest(join(parts), SEED)], "<u8")
+        return
+    for low in range(0, len(parts) - words + 1, _SLICE):
+        yield np.array([digest(join(x), SEED) for x in zip(*(parts[low + k : min(len(parts) - words + 1, low + _SLICE) + k] for k in range(words)))], "<u8")
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """A row of 64 bits, lowest first, for each hash."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def majority(hashes: list[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes; 0 without any."""
+    if not hashes:
+        return 0
+    totals = sum(_set_bits(h).sum(axis=0, dtype=np.int64) for h in hashes)
+    return int.from_bytes(np.packbits(2 * totals > sum(map(len, hashes)), bitorder="little").tobytes(), "little")
+
+
+def simhash(text: bytes, words: int = 3) -> int:
+    """The fingerprint of a whole text; 0 without any word."""
+    return majority(list(shingle_hashes(text, words)))
+
+
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
 def _fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, key (a hash of the text, which with the id tells rows apart), fp."""
+    """doc_id, fp."""
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array([_signed(simhash(x, words)) for x in texts(batch["text"])], pa.int64())], ["doc_id", "key", "fp"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([signed(simhash(x, words)) for x in texts(batch["text"])], pa.int64())], ["doc_id", "fp"])
 
-    rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
-    return map_batches(rows, made, "doc_id long, key long, fp long")
+    rows = select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_batches(rows, made, "doc_id long, fp long")
 
 
 def _first_masks() -> list[int]:
@@ -91,7 +101,7 @@ def _finer(mask: int) -> list[int]:
 
 
 def _under(masks: list[int]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in masks]))
+    return F.explode(F.array(*[F.struct(F.lit(signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for m in masks]))
 
 
 def build_tree(members: list[int]) -> tuple[list[int], list[int]]:
@@ -250,7 +260,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         if dense.isEmpty():
             break
         # At most four times as many masks as before, each with fewer bits to go.
-        finer = spark.createDataFrame([(_signed(m), _signed(f)) for m in masks for f in _finer(m)], "was long, mask long")
+        finer = spark.createDataFrame([(signed(m), signed(f)) for m in masks for f in _finer(m)], "was long, mask long")
         masks = sorted({f for m in masks for f in _finer(m)})
         rows = rows.join(dense, ["mask", "bits"]).select("fp", F.col("mask").alias("was")).join(F.broadcast(finer), "was")
         rows = checkpointed(rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).distinct())
@@ -294,11 +304,6 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component of null ids alone has a null id.  Repeated rows come out once
     each.  An empty table gives an empty result; other columns are ignored.
     """
-    return _components(docs, words).drop("key")
-
-
-def _components(docs: DataFrame, words: int) -> DataFrame:
-    """near_duplicates with each row's key."""
     found = checkpointed(_fingerprints(docs, words))
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected(fingerprint_links(distinct))
@@ -306,33 +311,4 @@ def _components(docs: DataFrame, words: int) -> DataFrame:
     classes = checkpointed(classes)
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(smallest, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", "key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
-
-
-def without_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one row of each component: one with the smallest doc_id, of several such the one with the smallest hash of its text.
-
-    Null ids are never smallest; of components of null ids alone each distinct
-    text keeps a row.  A repeated row stays once.  Fingerprints are made once;
-    the texts are then read again and, in the usual case, joined with what goes.
-    """
-    found = checkpointed(_components(docs, words).select("doc_id", "key", "component_id"))
-    rows = found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.max("component_id").alias("component_id"))
-    named = rows.where("component_id IS NOT NULL")
-    stays = named.where("doc_id = component_id").groupBy("component_id").agg(F.min("key").alias("key")).select(F.col("component_id").alias("doc_id"), "key")
-    gone = named.join(stays, ["doc_id", "key"], "left_anti")
-    # Rows that share a null id can be told apart by text only.
-    stays = stays.unionByName(rows.where("component_id IS NULL").select("doc_id", "key"))
-    nulls = named.where("doc_id IS NULL")
-    gone = gone.where("doc_id IS NOT NULL").select("doc_id", "key").unionByName(nulls.select("doc_id", "key"))
-    again = rows.where("copies > 1").select("doc_id", "key")
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()})
-
-    def same(other: DataFrame) -> tuple[DataFrame, Column]:
-        named = other.select(F.col("doc_id").alias("__other_id"), F.col("key").alias("__other_key"))
-        return named, F.col("__id").eqNullSafe(F.col("__other_id")) & (F.col("__key") == F.col("__other_key"))
-
-    once = marked.join(*same(gone.unionByName(again).distinct()), "left_anti")
-    repeated = again.join(stays, again["doc_id"].eqNullSafe(stays["doc_id"]) & (again["key"] == stays["key"]), "left_semi")
-    folded = marked.join(*same(repeated), "left_semi").dropDuplicates(["__id", "__key"])
-    return once.unionByName(folded).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")

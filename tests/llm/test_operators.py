@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from histlens.llm import exact_dedup, huffman, language_id, license_scan, line_dedup, mixing, packing, pii, quality, simhash_dedup, tokens
+from histlens.llm import exact_dedup, huffman, language_id, license_scan, line_dedup, mixing, packing, pii, quality, simhash_dedup, similar, tokens
 
 WHITE = re.compile("[\x20\x09-\x0d]+")
 WORDS = tokens.tokenizer_path("word_bpe_49k.json")
@@ -121,16 +121,77 @@ def test_components_of_a_long_chain(spark):
     assert dict(plain(simhash_dedup.connected(rows), "node", "root")) == {i: 0 for i in range(1, 61)} | {101: 100}
 
 
-def test_near_dedup_keeps_one_of_each(hard):
-    kept = simhash_dedup.without_near_duplicates(hard)
+def shingle_set(text, n=5):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) or frozenset([" ".join(w)])
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def variants(rng, base, many):
+    """Copies of a text with words changed, so that similarities run from about 0.6 to 1."""
+    out = []
+    for _ in range(many):
+        w = base.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 30))):
+            w[rng.randrange(len(w))] = f"changed{rng.randrange(9999)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_similar_classes_against_all_pairs(spark):
+    """Links are right without exception, and nearly all similar pairs are in one class, short texts and long ones."""
+    rng = random.Random(12)
+    rows = []
+    for size in (8, 14, 30, 50, 70, 120, 300, 1500):
+        for _ in range(6):
+            base = " ".join(f"w{rng.randrange(50_000)}" for _ in range(size))
+            rows += variants(rng, base, 8)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_classes(docs).collect()}
+    sets = [shingle_set(t) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i // 8 * 8, i) if jaccard(sets[i], sets[j]) >= 0.8]
+    exact = {i: i for i in range(len(rows))}
+    for _ in rows:
+        for i, j in near:
+            exact[i] = exact[j] = min(exact[i], exact[j])
+    assert all(exact[i] == exact[found[i]] for i in found)
+    caught = sum(found[i] == found[j] for i, j in near)
+    assert len(near) > 300 and caught >= 0.97 * len(near)
+
+
+def test_similar_classes_of_one_large_group_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RUN", 7)
+    rng = random.Random(3)
+    base = " ".join(f"w{i}" for i in range(150))
+    rows = [(i, base.replace(f" w{rng.randrange(1, 149)} ", f" other{i} ")) for i in range(120)] + [(500, " ".join(f"x{i}" for i in range(150)))]
+    found = dict(plain(similar.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id"))
+    assert found == {i: 0 for i in range(120)} | {500: 500}
+
+
+def test_section_keys_stay_few():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 31, 32, 63, 64, 5000, 200_000):
+        distinct = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype("<u8") * np.uint64(2))
+        keys = similar.section_keys(distinct, 0.8)
+        assert len(keys) <= 2 * similar.SECTIONS and len(set(keys)) == len(keys) and bool(keys) == bool(n)
+
+
+def test_near_dedup_keeps_one_of_each(hard, none):
+    kept = similar.without_near_duplicates(hard)
     assert kept.columns == hard.columns
     rows = plain(kept, "doc_id", "text")
     assert Counter(i for i, _ in rows) == Counter([1, 2, 6, 7, -8])
+    assert similar.without_near_duplicates(none).count() == 0
+    clash = hard.selectExpr("doc_id", "text", "lang AS id", "lang AS mark", "lang AS row", "lang AS __id", "lang AS other_key")
+    assert Counter(i for i, *_ in plain(similar.without_near_duplicates(clash), *clash.columns)) == Counter([1, 2, 6, 7, -8])
 
 
 def test_near_dedup_of_null_ids_alone(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "quite another text here")], "doc_id long, text string")
-    assert sorted(r[1] for r in plain(simhash_dedup.without_near_duplicates(rows), "doc_id", "text")) == ["a b c d", "quite another text here"]
+    assert sorted(r[1] for r in plain(similar.without_near_duplicates(rows), "doc_id", "text")) == ["a b c d", "quite another text here"]
 
 
 # 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from histlens.llm import queries
 from histlens.llm.quality import quality_rules
-from histlens.llm.simhash_dedup import near_duplicates
+from histlens.llm.similar import similar_classes
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def test_each_decision_takes_effect(stages):
     kept = {r["doc_id"] for r in quality_rules(stages["input"]).where("kept").collect()}
     assert set(ids(stages["quality"])) == kept
     assert ids(stages["lines"]) == ids(stages["quality"])
-    components = {r["component_id"] for r in near_duplicates(stages["lines"]).collect()}
+    components = {r["component_id"] for r in similar_classes(stages["lines"]).collect()}
     assert ids(stages["near_dedup"]) == Counter(components)
     assert set(ids(stages["mixing"])) <= set(ids(stages["near_dedup"])) and max(ids(stages["mixing"]).values()) <= 3
     assert ids(stages["packing"].where("piece = 0")) == ids(stages["mixing"])
