@@ -55,7 +55,7 @@ def shingle_hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(join(x), SEED) for x in zip(*(parts[low + k : min(len(parts) - words + 1, low + _SLICE) + k] for k in range(words)))], "<u8")
 
 
-def _set_bits(hashes: np.ndarray) -> np.ndarray:
+def set_bits(hashes: np.ndarray) -> np.ndarray:
     """A row of 64 bits, lowest first, for each hash."""
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -64,7 +64,7 @@ def majority(hashes: list[np.ndarray]) -> int:
     """The bits that are set in over half of all hashes; 0 without any."""
     if not hashes:
         return 0
-    totals = sum(_set_bits(h).sum(axis=0, dtype=np.int64) for h in hashes)
+    totals = sum(set_bits(h).sum(axis=0, dtype=np.int64) for h in hashes)
     return int.from_bytes(np.packbits(2 * totals > sum(map(len, hashes)), bitorder="little").tobytes(), "little")
 
 

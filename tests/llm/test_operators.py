@@ -175,7 +175,7 @@ def test_section_keys_stay_few():
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 31, 32, 63, 64, 5000, 200_000):
         distinct = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype("<u8") * np.uint64(2))
-        keys = similar.section_keys(distinct, 0.8)
+        keys = similar.section_keys(distinct, 0.8).tolist()
         assert len(keys) <= 2 * similar.SECTIONS and len(set(keys)) == len(keys) and bool(keys) == bool(n)
 
 
