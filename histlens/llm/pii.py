@@ -1,22 +1,32 @@
 """Personal data by weak supervision.
 
 Base spans of four kinds come from fixed patterns.  Wider patterns propose more
-candidates; labelers then vote on every candidate, base or not: the pattern
-that proposed it, a gazetteer of words that name such data, a gazetteer of
-words that name other numbers, the words before it, its check digits and shape.
-Votes and features of a candidate are a small number, so the whole corpus is
-summed up by counts of (kind, votes).  Expectation-maximisation over those
-counts estimates each labeler's reliability for and against, and gives every
-vote pattern a probability; a logistic classifier over the same features is
-trained on those probabilities, weighted by count.  Candidates it accepts are
-added where they overlap no base span; base spans always stay.
+candidates, among them many numbers that are no personal data; labelers then
+vote on every candidate, base or not: the pattern that proposed it, a gazetteer
+of words that name such data, a gazetteer of words that name other numbers, the
+words before it, its check digits and shape.
+
+Expectation-maximisation over the counts of (kind, votes) of the whole corpus,
+of which there are few, estimates each labeler's reliability for and against,
+and gives every vote pattern a probability.  These are the soft labels of a
+logistic span classifier that sees more than the votes: the span's character
+shape, length and digit groups, and the words next to it, all hashed.  So it can
+tell candidates apart whose votes are equal, and find some on which the votes
+are undecided.  It is fit on at most `SAMPLE` distinct (kind, votes, features),
+taken by hash and weighted by their count in the whole corpus.
+
+Candidates that it accepts are added where they overlap no base span and no
+accepted span before them; base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +44,16 @@ NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Wider patterns of candidates; each is anchored at a rare character and bounded in length.
-WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")
-WIDE_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])")
-WIDE_CARD = re.compile(r"(?<![\w.-])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![\w-]|\.[0-9])")
+# Wider patterns of candidates, by kind; each is anchored at its first character and bounded in length.
+_LOOSE_DOT = r"(?: ?[\[(]\.[\])] ?| ?[\[(]dot[\])] ?| dot | \. )"
+WIDE = (
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")),
+    (1, re.compile(rf"(?<![\w.:-])[0-9]{{1,3}}(?:{_LOOSE_DOT}[0-9]{{1,3}}){{3}}(?![\w-])")),
+    (1, re.compile(r"(?<![\w.:-])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:-])")),
+    (2, re.compile(r"(?<![\w.-])(?:[0-9]{4}[ ./_-]{1,2}){3}[0-9]{4}(?![\w-]|\.[0-9])")),
+    (3, re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-]|\.[0-9])")),
+    (3, re.compile(r"(?<![\w+.-])[0-9]{9,13}(?![\w-]|\.[0-9])")),
+)
 
 # Gazetteers of lower-case words within the 40 characters before a candidate.
 NAMED = {
@@ -102,42 +118,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LABELERS = ("pattern", "named", "otherwise", "personal", "shape", "alone")
 
 
-def candidates(text: str) -> list[tuple[int, int, int, int, bool]]:
-    """(start, kind, end, votes, is base): votes has two bits a labeler: 0 abstains, 1 against, 2 for."""
-    base = base_spans(text)
-    found = [(*s, True) for s in base]
-    taken = [(s, e) for s, _, e in base]
-    wide = []
-    if " at " in text or "[at]" in text or "(at)" in text:
-        wide += [(m.start(), 0, m.end()) for m in WIDE_EMAIL.finditer(text)]
-    wide += [(m.start(), 3, m.end()) for m in WIDE_PHONE.finditer(text)]
-    wide += [(m.start(), 2, m.end()) for m in WIDE_CARD.finditer(text)]
-    if wide:
-        taken.sort()
-        starts = [s for s, _ in taken]
-        ends = np.maximum.accumulate([e for _, e in taken]) if taken else []
-        for start, kind, end in sorted(wide):
-            k = np.searchsorted(starts, end, side="left") - 1 if taken else -1
-            if k < 0 or ends[k] <= start:
-                if not found or not any(f[0] < end and start < f[2] for f in found[len(base) :][-1:]):
-                    found.append((start, kind, end, False))
+#: Features are numbers below this: 0 for all candidates, then votes, then hashed ones.
+WIDTH = 1 << 12
+SAMPLE = 20_000
+
+
+def features(kind: int, votes: int, text: str, start: int, end: int, before: list[str]) -> list[int]:
+    """What the classifier sees of a candidate, as numbers below WIDTH."""
+    span = text[start:end]
+    after = _WORD.findall(text[end : end + 24].lower())
+    shape = re.sub("[A-Za-z]+", "a", re.sub("[0-9]", "9", span))
+    seen = [
+        "shape:" + shape[:32], "groups:" + ",".join(str(len(g)) for g in re.findall("[0-9]+", span)[:8]), f"length:{len(span) // 4}", f"digits:{len(_digits(span))}", "marks:" + "".join(sorted(set(shape) - {"9", "a"})),
+        "front:" + shape[:1], "last:" + " ".join(before[-1:]), "second:" + " ".join(before[-2:-1]), "next:" + " ".join(after[:1]), "left:" + text[max(0, start - 1) : start],
+    ]
+    own = [1 + 2 * i + (v == 1) for i in range(len(LABELERS)) if (v := votes >> 2 * i & 3)]
+    return sorted({0, *own, *(16 + zlib.crc32(f"{kind}:{x}".encode()) % (WIDTH - 16) for x in seen)})
+
+
+def candidates(text: str) -> list[tuple[int, int, int, int, bool, list[int]]]:
+    """(start, kind, end, votes, is base, features), by start: votes has two bits a labeler: 0 abstains, 1 against, 2 for."""
+    found = [(*s, True) for s in base_spans(text)]
+    starts = [s for s, *_ in found]
+    ends = list(accumulate((e for _, _, e, _ in found), max))
+    spelled = any(x in text for x in (" at ", "[at]", "(at)"))
+    for kind, pattern in WIDE:
+        for m in pattern.finditer(text) if kind or spelled else ():
+            last = bisect_left(starts, m.end()) - 1
+            if last < 0 or ends[last] <= m.start():
+                found.append((m.start(), kind, m.end(), False))
     out = []
-    for start, kind, end, is_base in sorted(found):
+    for start, kind, end, is_base in sorted(set(found)):
         span = text[start:end]
         before = _WORD.findall(text[max(0, start - 40) : start].lower())
         near, digits = set(before), _digits(span)
         if kind == 0:
             shape = 2 if "@" in span or "[at]" in span or "(at)" in span else 1
         elif kind == 1:
-            shape = 2 if not any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 1
+            numbers = re.findall("[0-9]+", span)
+            shape = 2 if ":" in span or not any(len(p) > 1 and p[0] == "0" or int(p) > 255 for p in numbers) else 1
         elif kind == 2:
             shape = 2 if luhn(digits) and len(set(digits)) > 2 else 1
         else:
-            shape = 2 if span[0] in "+(" or span.count("-") == 2 else 1
-        after = text[end : end + 1]
-        alone = 1 if after.isalnum() or start and text[start - 1].isalnum() else 2
+            shape = 2 if span[0] in "+(" or span.count("-") == 2 else 0 if 9 <= len(digits) <= 13 and len(digits) < len(span) else 1
+        alone = 1 if text[end : end + 1].isalnum() or start and text[start - 1].isalnum() else 2
         votes = (2 if is_base else 0, 2 if near & NAMED[KINDS[kind]] else 0, 1 if near & OTHERWISE else 0, 2 if near & PERSONAL else 0, shape, alone)
-        out.append((start, kind, end, sum(v << 2 * i for i, v in enumerate(votes)), is_base))
+        number = sum(v << 2 * i for i, v in enumerate(votes))
+        out.append((start, kind, end, number, is_base, features(kind, number, text, start, end, before)))
     return out
 
 
@@ -167,51 +194,66 @@ def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
     return chances, truth
 
 
-def _features(votes: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.ones((len(votes), 1)), votes == 2, votes == 1], axis=1).astype(float)
-
-
-def train(votes: np.ndarray, truth: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic classifier of soft labels, by gradient steps on the mean loss."""
-    x, share = _features(votes), counts / counts.sum()
-    weights = np.zeros(x.shape[1])
+def train(rows: list[list[int]], truth: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights of a logistic classifier of soft labels, by gradient steps with momentum on the mean loss; rows are lists of features."""
+    lengths = [len(r) for r in rows]
+    owner, at = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.array(r, np.int64) for r in rows])
+    share, weights, moved = counts / counts.sum(), np.zeros(WIDTH), np.zeros(WIDTH)
     for _ in range(rounds):
-        made = 1 / (1 + np.exp(-x @ weights))
-        weights -= 2.0 * (x.T @ (share * (made - truth)) + 1e-4 * weights)
+        made = 1 / (1 + np.exp(-np.clip(np.bincount(owner, weights[at], len(rows)), -50, 50)))
+        moved = 0.9 * moved - 0.1 * (np.bincount(at, (share * (made - truth))[owner], WIDTH) + 1e-4 * weights)
+        weights = weights + moved
     return weights
 
 
+FOUND = "array<struct<start int, kind int, end int, votes int, base boolean, features array<int>>>"
+
+
 def _found(docs: DataFrame) -> DataFrame:
+    names = (("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("base", pa.bool_()), ("features", pa.list_(pa.int32())))
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
         for batch in batches:
             rows = [candidates(t.decode()) for t in texts(batch["text"])]
             offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-            columns = list(zip(*(c for r in rows for c in r))) or [()] * 5
-            kinds = (("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("votes", pa.int32()), ("base", pa.bool_()))
-            inner = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [n for n, _ in kinds])
+            columns = list(zip(*(c for r in rows for c in r))) or [()] * len(names)
+            inner = pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, names)], [n for n, _ in names])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.ListArray.from_arrays(offsets, inner)], ["doc_id", "found"])
 
     rows = select_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(made, "doc_id long, found array<struct<start int, kind int, end int, votes int, base boolean>>")
+    return rows.mapInArrow(made, f"doc_id long, found {FOUND}")
 
 
-def accepted(found: DataFrame, least: float = 0.5) -> list[tuple[int, int]]:
-    """(kind, votes) whose candidates the trained classifier accepts.
+def fitted(found: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """The classifier's weights for each kind that has candidates.
 
-    The counts that are collected are bounded by kinds times vote patterns.
+    Counts of (kind, votes) cover all candidates, and are few whatever the
+    corpus; of the distinct features `sample` rows are collected at most.
     """
-    rows = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").count().collect()
-    out = []
-    for kind in range(len(KINDS)):
-        mine = sorted((r["votes"], r["count"]) for r in rows if r["kind"] == kind)
-        if not mine:
-            continue
-        patterns, counts = np.array([m[0] for m in mine]), np.array([m[1] for m in mine], float)
-        votes = _votes(patterns)
-        _, truth = reliabilities(votes, counts)
-        score = 1 / (1 + np.exp(-_features(votes) @ train(votes, truth, counts)))
-        out += [(kind, int(p)) for p, s in zip(patterns, score) if s >= least]
+    every = found.select(F.explode("found").alias("c"))
+    counts = every.groupBy("c.kind", "c.votes").count().collect()
+    rows = every.groupBy("c.kind", "c.votes", "c.features").count().orderBy(F.xxhash64("kind", "votes", "features"), "kind", "votes", "features").limit(sample).collect()
+    out = {}
+    for kind in sorted({r["kind"] for r in rows}):
+        mine = sorted((r["votes"], r["count"]) for r in counts if r["kind"] == kind)
+        patterns, many = np.array([m[0] for m in mine]), np.array([m[1] for m in mine], float)
+        _, truth = reliabilities(_votes(patterns), many)
+        label = dict(zip(patterns.tolist(), truth))
+        seen = sorted((r["votes"], list(r["features"]), r["count"]) for r in rows if r["kind"] == kind)
+        out[kind] = train([x[1] for x in seen], np.array([label[x[0]] for x in seen]), np.array([x[2] for x in seen], float))
+    return out
+
+
+def chosen(row: list[dict], weights: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of base spans and of accepted ones, by start, then kind; an accepted one starts after the accepted ones before it."""
+    out, last = [], -1
+    for c in row:
+        if c["base"]:
+            out.append((c["start"], c["kind"], c["end"]))
+        elif c["start"] >= last and c["kind"] in weights and weights[c["kind"]][c["features"]].sum() >= 0:
+            out.append((c["start"], c["kind"], c["end"]))
+            last = c["end"]
     return out
 
 
@@ -224,7 +266,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     ignored.
     """
     found = checkpointed(_found(docs))
-    good = frozenset(accepted(found))
+    weights = fitted(found)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         write = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
@@ -232,8 +274,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
             out = []
             for row in batch["found"].to_pylist():
                 base = [(c["start"], c["kind"], c["end"]) for c in row if c["base"]]
-                every = [(c["start"], c["kind"], c["end"]) for c in row if c["base"] or (c["kind"], c["votes"]) in good]
-                out.append((*(sum(k == n for _, k, _ in base) for n in range(len(KINDS))), hashlib.sha256(write(base).encode()).hexdigest(), write(every)))
+                out.append((*(sum(k == n for _, k, _ in base) for n in range(len(KINDS))), hashlib.sha256(write(base).encode()).hexdigest(), write(chosen(row, weights))))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(columns[i], kind) for i, kind in enumerate([pa.int64()] * 4 + [pa.string()] * 2))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 

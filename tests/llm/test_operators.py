@@ -345,17 +345,102 @@ def test_base_spans_stay_linear():
         pii.candidates(text)
 
 
-def test_personal_data_adds_to_the_base(spark):
-    rows = [(1, "call me at (415) 555-0134 or mail jane.doe@mail.example.org"), (2, "ticket 415 555 0134"), (3, None), (3, None)]
-    rows += [(10 + i, f"phone: +1 (415) 555-01{i:02} card 4111 1111 1111 1111") for i in range(30)]
-    found = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[1]["n_email"] == 1 and "phone:11:25" in found[1]["spans"] and found[1]["n_phone"] == 0
-    assert found[3]["spans"] == "" and found[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert found[10]["n_card"] == 1 and found[10]["n_phone"] == 1
+def planted(n=600):
+    """(id, text, spans to add, base spans, decoys): personal data as people write it beside numbers that are none."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("lorem ipsum dolor sit amet quis nostrud magna erat sed diam".split())
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    card = lambda: next(c for c in iter(lambda: "4" + digits(15), "") if pii.luhn(c))
+    names = "jane.doe sam_lee max mia.fox".split()
+    rows = []
+    for i in range(n):
+        text, add, base, decoys = "", [], [], []
 
+        def put(before, kind, span, into):
+            nonlocal text
+            text += " ".join(word() for _ in range(rng.randint(4, 9))) + f" {before} "
+            into.append((len(text), kind, len(text) + len(span)))
+            text += span + ". "
 
-def test_personal_data_hard_rows(hard, none):
-    assert pii.personal_data(hard).count() == hard.count() and pii.personal_data(none).count() == 0
+        for _ in range(rng.randint(1, 3)):
+            c = card()
+            put(*rng.choice([
+                ("call me", 3, f"({rng.randint(200, 999)}) 555-{digits(4)}", add), ("my phone", 3, f"{rng.randint(200, 999)}-555-{digits(4)}", add), ("reach her mobile", 3, f"({rng.randint(200, 999)}) 555-{digits(4)}", add),
+                ("contact me by mail", 0, f"{rng.choice(names)} [at] mail{digits(1)}.example.org", add), ("my email", 0, f"{rng.choice(names)} (at) example.com", add),
+                ("his server address", 1, f"10[.]{rng.randint(1, 250)}[.]{rng.randint(1, 250)}[.]7", add), ("my credit card", 2, f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}", add),
+            ]))
+        for _ in range(rng.randint(1, 3)):
+            put(*rng.choice([("write to", 0, f"{rng.choice(names)}@mail.example.org", base), ("phone", 3, f"+1 (415) 555-{digits(4)}", base), ("ip", 1, f"10.0.0.{rng.randint(1, 250)}", base), ("card", 2, card(), base)]))
+        for _ in range(rng.randint(1, 3)):
+            put(*rng.choice([("order", 3, f"{digits(3)} {digits(4)} {digits(3)}", decoys), ("ticket", 3, f"{digits(10)}", decoys), ("isbn", 3, f"978 {digits(3)} {digits(4)}", decoys), ("version", 1, "1 . 2 . 3 . 4", decoys), ("serial", 2, "4111/1111/2222/3333", decoys)]))
+        rows.append((i, text, add, base, decoys))
+    return rows
+
+
+def test_personal_data_against_brute_force(spark):
+    """Every span, with dense matrices and plain loops over all candidates; and how much of what was planted is found."""
+    rows = planted()
+    found = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    every = {i: pii.candidates(t) for i, t, *_ in rows}
+    counts = Counter((c[1], c[3]) for cs in every.values() for c in cs)
+    distinct = Counter((c[1], c[3], tuple(c[5])) for cs in every.values() for c in cs)
+    assert len(distinct) < pii.SAMPLE
+    weights = {}
+    for kind in range(4):
+        patterns = sorted(v for k, v in counts if k == kind)
+        votes = np.array([[v // 4**i % 4 for i in range(len(pii.LABELERS))] for v in patterns])
+        truth = dict(zip(patterns, pii.reliabilities(votes, np.array([float(counts[kind, v]) for v in patterns]))[1]))
+        seen = [(v, f, n) for (k, v, f), n in distinct.items() if k == kind]
+        x, y, n = np.zeros((len(seen), pii.WIDTH)), np.array([truth[v] for v, _, _ in seen]), np.array([float(n) for _, _, n in seen])
+        for i, (_, f, _) in enumerate(seen):
+            x[i, list(f)] = 1
+        w, moved = np.zeros(pii.WIDTH), np.zeros(pii.WIDTH)
+        for _ in range(300):
+            moved = 0.9 * moved - 0.1 * (x.T @ (n / n.sum() * (1 / (1 + np.exp(-x @ w)) - y)) + 1e-4 * w)
+            w = w + moved
+        weights[kind] = w
+    hits = added = wrong = 0
+    for i, text, add, base, decoys in rows:
+        spans = brute_spans(text)
+        assert sorted(base) == spans
+        mine = [(s, k, e) for s, k, e, _, is_base, f in every[i] if not is_base and weights[k][f].sum() >= 0]
+        mine = [m for n, m in enumerate(mine) if not any(o[0] < m[2] and m[0] < o[2] for o in mine[:n])]
+        assert found[i] == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans + mine)), text
+        hits += len(set(mine) & set(add))
+        added += len(add)
+        wrong += len(set(mine) - set(add))
+    assert hits >= 0.95 * added and wrong <= 0.05 * hits, (hits, added, wrong)
+
+
+def test_classifier_decides_where_votes_tie():
+    """Two candidates with the same votes, of probability one half, are told apart by the span's features."""
+    shared = pii.features(3, 0, "x 555-123-4567", 2, 14, [])
+    other = pii.features(3, 0, "x 12 34 56 78 9", 2, 15, [])
+    true, false = [1, *shared], [2, *other]
+    rows, truth = [true, shared, false, other], np.array([0.98, 0.5, 0.02, 0.5])
+    weights = pii.train(rows, truth, np.array([50.0, 20.0, 50.0, 20.0]))
+    assert weights[shared].sum() > 0 > weights[other].sum()
+
+
+def test_sample_bound_and_repeats(spark):
+    rows = [(i, t) for i, t, *_ in planted(80)] + [(None, planted(1)[0][1])] * 50
+    found = pii._found(spark.createDataFrame(rows, "doc_id long, text string"))
+    a, b = pii.fitted(found, sample=40), pii.fitted(found.repartition(3), sample=40)
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+
+
+def test_personal_data_hard_rows(spark, hard, none):
+    def want(text):
+        base = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in brute_spans(text or "")]
+        return len(base), hashlib.sha256(",".join(base).encode()).hexdigest()
+
+    rows = spark.createDataFrame([(3, None), (3, None), (3, ""), (None, "+1 (415) 555-0100 a@b.c"), (4, "555-123-4567 " * 5000 + "a@b.c")], "doc_id long, text string")
+    for docs in (hard, rows):
+        found = pii.personal_data(docs)
+        got = Counter(plain(found, "doc_id", F.expr("n_email + n_ip + n_card + n_phone"), "base_sha256"))
+        assert got == Counter((i, *want(t)) for i, t in plain(docs, "doc_id", "text"))
+        assert all(("" if not n else s) is not None for s, n in plain(found, "spans", "n_email"))
+    assert pii.personal_data(none).count() == 0
 
 
 def test_reliabilities_find_the_good_labeler():
