@@ -46,8 +46,11 @@ def code_lines(text: Column) -> Column:
 
 
 def blank_block_comments(text: Column) -> Column:
-    """Block comments as one line feed for each of theirs, else a space."""
-    return F.regexp_replace(text, r"(?s)/\*.*?\*/", " ")
+    """Block comments as spaces of their length; their line feeds stay, so no line joins another."""
+    comment = r"(?s)/\*.*?\*/"
+    blanks = F.transform(F.regexp_extract_all(text, F.lit(comment), F.lit(0)), lambda c: F.regexp_replace(c, r"[^\n]", " "))
+    pieces = F.zip_with(F.split(text, comment), blanks, lambda piece, blank: F.concat(piece, F.coalesce(blank, F.lit(""))))
+    return F.when(F.contains(text, F.lit("/*")), F.array_join(pieces, "")).otherwise(text)
 
 
 def sanitised(text: Column) -> Column:

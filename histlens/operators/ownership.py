@@ -38,6 +38,10 @@ def corroborated(claims: DataFrame, verified: DataFrame, salt: str, most: int =
 
 
 def selection_state(stored: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Of a stored selection(emails) against candidates(emails): whether all are there, and which still are."""
-    joined = stored.withColumnRenamed("emails", "stored").crossJoin(candidates.withColumnRenamed("emails", "candidates").limit(1))
+    """Of a stored selection(emails) against all rows of candidates(emails): whether all are there, and which still are.
+
+    Both are lists of one history's authors; no rows of candidates are no candidates.
+    """
+    every = F.array_distinct(F.flatten(F.collect_list("emails")))
+    joined = stored.withColumnRenamed("emails", "stored").crossJoin(F.broadcast(candidates.agg(every.alias("candidates"))))  # one row
     return joined.select((F.size(F.array_except("stored", "candidates")) == 0).alias("all_present"), F.array_intersect("stored", "candidates").alias("still_present"))

@@ -229,10 +229,11 @@ _PATTERN_ROWS = ", ".join(f"('{s}', '{k}', '{p}')" for s, k, p in _PATTERNS)
 
 
 @query(f"""SELECT DISTINCT doc_id, slug FROM documents, (VALUES {_PATTERN_ROWS}) p(slug, kind, pattern)
-    WHERE regexp_matches(CASE WHEN kind = 'config' THEN source ELSE text END, pattern)""")
+    WHERE regexp_matches(CASE WHEN kind = 'config' THEN source ELSE array_to_string(list_filter(string_split(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) <= 2000), chr(10)), '/[*]([^*]|[*][^/])*[*]/', ' ', 'g'), chr(10)),
+      lambda x: NOT regexp_matches(x, '^[ \t\v\f\r]*(//|#|/[*]|[*]|<!--|--)')), chr(10)) END, pattern)""")
 def signature_match(spark, sf_dir):
     rules = spark.createDataFrame(_PATTERNS, "slug string, kind string, pattern string")
-    return signatures.matches(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), rules, ["doc_id"], "text", "source", clean=False)
+    return signatures.matches(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), rules, ["doc_id"], "text", "source")
 
 
 _PACKAGES = [("the", "en/article"), ("of", "en/preposition"), ("der", "de/article"), ("und", "de/conjunction"), ("les", "fr/article"), ("que", "es/relative"), ("con", "es/preposition")]
@@ -307,7 +308,7 @@ def import_resolution(spark, sf_dir):
     return graph.resolve_imports(imports, files).select("path", "specifier", "target")
 
 
-_EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 46 AND o_custkey % 25 = 1"
+_EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,31 +335,31 @@ def bfs_distance(spark, sf_dir):
     return graph.distances(edges, _starts(edges))
 
 
-_ALL = f"""WITH RECURSIVE e0 AS ({_EDGES}), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0), n AS (SELECT DISTINCT src AS start FROM e),
-    w AS (SELECT start, start AS node, 0 AS dist FROM n UNION SELECT w.start, e.dst, w.dist + 1 FROM w JOIN e ON w.node = e.src WHERE w.dist < 3),
-    d AS (SELECT start, node, min(dist) AS dist FROM w GROUP BY ALL),
-    a AS (SELECT start AS node FROM n WHERE start LIKE 'c%'), b AS (SELECT start AS node FROM n WHERE start LIKE 's%2'), c AS (SELECT start AS node FROM n WHERE start LIKE 's%3')"""
+# Of customers and suppliers the nearest tuples are at most two hops wide, so the SQL looks no further.
+_NEAR = f"""WITH e AS ({_EDGES}), ss AS (SELECT DISTINCT x.dst AS a, y.dst AS b FROM e x JOIN e y ON x.src = y.src AND x.dst <> y.dst WHERE x.dst LIKE 's%2' AND y.dst LIKE 's%3')"""
 
 
-@query(f"""{_ALL}, t AS (SELECT a.node AS n0, b.node AS n1, c.node AS n2, greatest(x.dist, y.dist, z.dist) AS widest FROM a, b, c, d x, d y, d z
-    WHERE x.start = a.node AND x.node = b.node AND y.start = a.node AND y.node = c.node AND z.start = b.node AND z.node = c.node)
-    SELECT widest, n0, n1, n2 FROM t ORDER BY widest, n0, n1, n2 LIMIT 1""")
+@query(f"""{_NEAR} SELECT 2 AS widest, x.src AS n0, ss.a AS n1, ss.b AS n2 FROM ss JOIN e x ON x.dst = ss.a JOIN e y ON y.src = x.src AND y.dst = ss.b ORDER BY n0, n1, n2 LIMIT 1""")
 def bounded_triples(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).distinct()
     return graph.nearest_tuples(edges, [nodes.where(f"node LIKE '{x}'") for x in ("c%", "s%2", "s%3")])
 
 
-@query(f"""{_ALL}, t AS (SELECT a.node AS n0, b.node AS n1, x.dist AS widest FROM a, b, d x WHERE x.start = a.node AND x.node = b.node)
-    SELECT widest, n0, n1 FROM t ORDER BY widest, n0, n1 LIMIT 1""")
+@query(f"""WITH e AS ({_EDGES}) SELECT 1 AS widest, src AS n0, dst AS n1 FROM e WHERE dst LIKE 's%2' ORDER BY n0, n1 LIMIT 1""")
 def bounded_pairs(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).distinct()
     return graph.nearest_tuples(edges, [nodes.where(f"node LIKE '{x}'") for x in ("c%", "s%2")])
 
 
-@query(f"{_BFS}, p AS (SELECT start, start AS node, [start] AS path, 0 AS dist FROM starts UNION SELECT p.start, e.dst, list_append(p.path, e.dst), p.dist + 1 FROM p JOIN e ON p.node = e.src WHERE p.dist < 3)"
-       " SELECT start, node, dist, array_to_string(min(path), '>') AS path FROM p SEMI JOIN d USING (start, node, dist) GROUP BY start, node, dist")
+_PATHS = f"""{_BFS.split(", w AS")[0].rstrip().rstrip(",")}, p0 AS (SELECT start, start AS node, [start] AS path, 0 AS dist FROM starts)"""
+for _hop in (1, 2, 3):
+    _PATHS += f""", p{_hop} AS (SELECT p.start, e.dst AS node, min(list_append(p.path, e.dst)) AS path, {_hop} AS dist FROM p{_hop - 1} p JOIN e ON p.node = e.src
+        {" ".join(f"ANTI JOIN p{k} q{k} ON q{k}.start = p.start AND q{k}.node = e.dst" for k in range(_hop))} GROUP BY ALL)"""
+
+
+@query(_PATHS + " SELECT start, node, dist, array_to_string(path, '>') AS path FROM (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(4)) + ") x")
 def shortest_path(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     return graph.distances(edges, _starts(edges), with_path=True).withColumn("path", F.array_join("path", ">"))
@@ -375,10 +376,10 @@ def same_scope_triple(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_orderdate, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 7 = 3)
-    SELECT p_partkey, count(DISTINCT o_orderkey) AS commit_count, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen FROM part JOIN t ON l_partkey = p_partkey WHERE p_size > 40 GROUP BY p_partkey""")
+    SELECT p_partkey, count(DISTINCT o_orderkey) AS commit_count, min(o_orderdate) AS first_seen, max(o_orderdate) AS last_seen FROM part JOIN t ON l_partkey = p_partkey GROUP BY p_partkey""")
 def attribution(spark, sf_dir):
     mine = ownership.selected(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderdate"), chosen(spark, sf_dir), "user_id")
-    lines, parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "part").where("p_size > 40").select("p_partkey")
+    lines, parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "part").select("p_partkey")
     touched = mine.join(lines, mine["o_orderkey"] == lines["l_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
     found = skills.rollup(touched, ["p_partkey"], "o_orderkey", "o_orderdate")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
@@ -398,7 +399,7 @@ def release_anachronism(spark, sf_dir):
     return skills.anachronisms(seen, releases).select("slug", "first_seen", F.col("earliest").cast("timestamp_ntz").alias("earliest"))
 
 
-@query(f"""SELECT count(*) AS claims, CASE WHEN count(*) <= 1000 THEN count(v.h) END AS corroborated FROM (SELECT sha256('{SALT}' || c_name) AS h FROM customer WHERE c_custkey % 20 = 5) c
+@query(f"""SELECT count(*) AS claims, CASE WHEN count(*) <= 1000 THEN count(v.h) END AS corroborated FROM (SELECT sha256('{SALT}' || c_name) AS h FROM customer) c
     LEFT JOIN (SELECT DISTINCT sha256('{SALT}' || c_name) AS h FROM customer WHERE c_acctbal > 2000) v ON c.h = v.h""")
 def corroboration(spark, sf_dir):
     people = table(spark, sf_dir, "customer")
@@ -466,7 +467,7 @@ def span_words(spark, sf_dir):
     return rows.groupBy("c_mktsegment", times.span_words(F.col("d")).alias("span")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT brand, string_agg(p, '|' ORDER BY len(p)) AS prefixes FROM (SELECT DISTINCT p_brand AS brand, unnest(['com', 'com.' || lower(p_type), 'com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', ''))]) AS p FROM part WHERE p_partkey < 3) x GROUP BY brand""")
+@query("""SELECT p_brand AS brand, 'com|com.' || lower(p_type) || '|com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', '')) AS prefixes FROM part""")
 def dotted_prefixes(spark, sf_dir):
     dotted = F.concat(F.lit("com."), "p_type", F.lit("."), F.regexp_replace("p_brand", "#", ""), F.lit(".Main"))
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.array_join(values.prefixes(dotted), "|").alias("prefixes"))
@@ -512,32 +513,37 @@ def profile_bundle(spark, sf_dir):
     )
 
 
+# Added text of each kind of file, with what is to be found in it; ? and ~ stand for names that vary from part to part.
 _ADDED = [
-    ("a.ts", "import x from 'react';\n// import y from 'no'\nconst z = require(\"@scope/pkg/sub\");\nimport {\n  a,\n} from 'lodash/fp';\nimport './local';"),
-    ("b.py", "import os.path as p, sys\nfrom numpy.linalg import norm\nfrom . import own\ns = 'import no'"),
-    ("c.go", "import (\n  \"fmt\"\n  // \"no\"\n  x \"github.com/a/b/v2\"\n)"),
-    ("d.rs", "use serde_json::Value;\nuse std::io;\npub use tokio::main;"),
-    ("E.java", "import static org.junit.Assert.*;\nimport java.util.List;"),
-    ("Gemfile", "gem 'rails'\n# gem 'no'"),
-    ("f.cs", "using System.Text;\nusing static System.Math;"),
-    ("Package.swift", ".package(url: \"https://x.org/a/Alamofire.git\", from: \"5\")"),
-    ("g.swift", "@testable import struct Foundation"),
-    ("h.php", "use Symfony\\Component;\n"),
-    ("Cargo.toml", "[dependencies]\nserde = \"1\"\n[dev-dependencies.my-crate]\nversion = \"1\"\n[package]\nname = \"x\""),
-    ("composer.json", '{"require": {"php": "8", "monolog/monolog": "2"}}'),
-    ("package.json", '"dependencies": {\n"left-pad": "1"\n}\n"scripts": {\n"x": "y"\n}'),
-    ("README.md", "import x from 'react'"),
+    ("a.ts", "import x from '?';\n// import y from 'no'\nconst z = require(\"@~/pkg/sub\");\nimport {\n  a,\n} from '~/fp';\nimport './?';", "?,~,@~/pkg"),
+    ("b.mjs", "import '?/style.css';\nexport * from '~';\nconst s = \"import('no')\";\nawait import('@?/~');\n/* import q from 'no' */", "~,?,@?/~"),
+    ("b.py", "import ?.path as p, ~\nfrom x?.linalg import norm\nfrom . import own\ns = 'import no'\n\"\"\"\nimport no\n\"\"\"", "?,~,x?"),
+    ("c.go", "import (\n  \"?\"\n  // \"no\"\n  x \"github.com/~/b/v2\"\n)\nimport y \"z/?\"", "z/?,?,github.com/~/b"),
+    ("d.rs", "use ?::Value;\nuse std::io;\npub use ~::main;\npub(crate) use self::x;\n// use no::x;", "?,~"),
+    ("E.java", "import static org.?.Assert.*;\nimport ~.util.List;\n// import no.x;", "org,org.?,org.?.assert,~,~.util,~.util.list"),
+    ("e.kt", "import ?.x.y.z as w\nval s = \"import no.x\"", "?,?.x,?.x.y"),
+    ("Gemfile", "gem '?'\n# gem 'no'\ngem \"~/x\"", "?,~"),
+    ("r.rb", "require '?/core'\nrequire_relative '~'\n  require \"~\"\n# require 'no'", "?,~"),
+    ("f.cs", "using System.?;\nusing static ~.Math;\nusing Alias = a.?.c.d;\nusing (var x = y) {}", "system,system.?,~,~.math,a,a.?,a.?.c"),
+    ("g.csproj", "<PackageReference Include=\"?\" Version=\"1\" />\n<!-- <PackageReference Include=\"no\" /> -->\n<PackageReference Version=\"1\" Include=\"~\" />", "?,~"),
+    ("Package.swift", ".package(url: \"https://x.org/a/?.git\", from: \"5\"),\n.package(name: \"n\", url: \"https://x.org/~\")", "?,~"),
+    ("g.swift", "@testable import struct ?\nimport ~\n// import no", "?,~"),
+    ("h.php", "use ?\\Component;\nuse ~\\x\\Y as Z;\n$s = 'use no\\x';", "?,~"),
+    ("Cargo.toml", "[dependencies]\n? = \"1\"\n# no = \"1\"\n[dev-dependencies.~-crate]\nversion = \"1\"\n[package]\nname = \"x\"\n[build-dependencies]\nx-~ = { version = \"1\" }", "~_crate,?,x_~"),
+    ("composer.json", '{"require": {"php": "8", "?/~": "2"}}', "?/~"),
+    ("package.json", '"dependencies": {\n"?": "1",\n"@x/~": "2"\n}\n"scripts": {\n"x": "y"\n}', "?,@x/~"),
+    ("README.md", "import x from '?'", ""),
 ]
-_FOUND = {
-    "a.ts": "react,lodash,@scope/pkg", "b.py": "os,sys,numpy", "c.go": "fmt,github.com/a/b", "d.rs": "serde_json,tokio", "E.java": "org,org.junit,org.junit.assert,java,java.util,java.util.list", "Gemfile": "rails", "f.cs": "system,system.text,system.math",
-    "Package.swift": "alamofire", "g.swift": "foundation", "h.php": "symfony", "Cargo.toml": "serde,my_crate", "composer.json": "monolog/monolog", "package.json": "left-pad", "README.md": "",
-}
+_ADDED_ROWS = ", ".join("({}, '{}', '{}')".format(k, path, found) for k, (path, _, found) in enumerate(_ADDED))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _FOUND.items()) + ") v(path, packages)")
+@query(f"""SELECT p_partkey, path, replace(replace(found, '?', 'p' || p_partkey), '~', 's' || p_size) AS packages FROM part JOIN (VALUES {_ADDED_ROWS}) v(k, path, found) ON p_partkey % {len(_ADDED)} = k""")
 def import_extraction(spark, sf_dir):
-    rows = spark.createDataFrame(_ADDED, "path string, added_text string")
-    return rows.select("path", F.array_join(imports.imported_packages("added_text", "path"), ",").alias("packages"))
+    files = spark.createDataFrame([(k, path, body) for k, (path, body, _) in enumerate(_ADDED)], "k long, path string, body string")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").withColumn("k", F.col("p_partkey") % len(_ADDED))
+    named = lambda body: F.replace(F.replace(body, F.lit("?"), F.concat(F.lit("p"), F.col("p_partkey"))), F.lit("~"), F.concat(F.lit("s"), F.col("p_size")))
+    rows = parts.join(F.broadcast(files), "k").withColumn("added_text", named(F.col("body")))  # a fixed list
+    return rows.select("p_partkey", "path", F.array_join(imports.imported_packages("added_text", "path"), ",").alias("packages"))
 
 
 @query("""SELECT page_id, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN 'js' WHEN n % 4 = 2 THEN 'python' ELSE 'csharp' END AS language FROM (SELECT page_id, length(url) AS n FROM pages) x""")
@@ -546,7 +552,7 @@ def path_language(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", imports.language(F.concat(F.lit("src/x"), suffix)).alias("language"))
 
 
-# A payment handler in one file, a layered one over three, and a session flow without a guard.
+# A payment handler in one file, a layered one over three, and a session flow without a guard; each customer is a repository of one of these shapes.
 _CALLS = [
     ("one", "api.ts", 1, ["stripe", "webhooks", "constructEvent"], 3, "handle", [], [], []), ("one", "api.ts", 2, ["prisma", "order", "upsert"], 5, "handle", [], [], []),
     ("two", "a.ts", 1, ["stripe", "webhooks", "constructEvent"], 3, "handle", [], [], []), ("two", "c.ts", 1, ["db", "order", "findUnique"], 2, "save", [], [], []), ("two", "c.ts", 2, ["db", "order", "create"], 3, "save", [], [], []),
@@ -560,22 +566,84 @@ _IMPORTED = [
 _BOUND = [("two", "c.ts", "db", "new", ["PrismaClient"], 1)]
 
 
-def fixture_findings(spark: SparkSession) -> DataFrame:
-    calls = spark.createDataFrame(_CALLS, "repo_id string, path string, pos int, chain array<string>, line int, fn string, string_args array<string>, arg_props array<string>, number_args array<double>")
-    imported = spark.createDataFrame(_IMPORTED, "repo_id string, path string, specifier string, bindings array<struct<local: string, imported: string, kind: string>>, pos int")
-    bound = spark.createDataFrame(_BOUND, "repo_id string, path string, name string, kind string, chain array<string>, pos int")
-    accesses = spark.createDataFrame([], "repo_id string, path string, chain array<string>, line int, fn string")
-    literals = spark.createDataFrame([], "repo_id string, path string, value string, line int, fn string, pos int")
-    found = anchors.find_anchors(calls, imported, bound, accesses, literals)
-    files = imported.select("repo_id", "path").distinct()
-    return infer.findings(found, graph.resolve_imports(imported, files), graph.external_imports(imported), files.where("path <> 'b.ts'"))
 
+def _shaped(spark: SparkSession, sf_dir: str, rows: list, schema: str) -> DataFrame:
+    """The rows of a shape for each customer; rows begin with the shape's name."""
+    shapes = spark.createDataFrame(rows, f"shape string, {schema}")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("repo_id"), F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("c_custkey") % 3 + 1).cast("int")).alias("shape"))
+    return people.join(F.broadcast(shapes), "shape").drop("shape")  # a fixed list
+
+
+_SHAPES = ("one", "two", "three")
+_CALL_COLUMNS = "path string, pos int, chain array<string>, line int, fn string, string_args array<string>, arg_props array<string>, number_args array<double>"
+_IMPORT_COLUMNS = "path string, specifier string, bindings array<struct<local: string, imported: string, kind: string>>, pos int"
+_LITERAL_COLUMNS = "path string, value string, line int, fn string, pos int"
+_ACCESS_COLUMNS = "path string, chain array<string>, line int, fn string"
 
-@query("""SELECT * FROM (VALUES ('one', 'payments/payment-webhook-flow', 'direct', true, 'same-function', 0, 'webhook-verification,db-write,idempotency-guard'), ('two', 'payments/payment-webhook-flow', 'inferred', true, 'cross-file', 2, 'webhook-verification,db-write,idempotency-guard'),
-    ('three', 'auth/jwt-refresh-flow', 'ambiguous', false, NULL, NULL, ''), ('three', 'auth/oauth-flow', 'ambiguous', false, NULL, NULL, 'authorize-redirect,session-issuance'), ('three', 'auth/session-flow', 'ambiguous', false, NULL, NULL, 'credential-verification,session-issuance'))
-    v(repo_id, slug, confidence, claimed, connection, edge_distance, kinds)""")
+
+@query("""SELECT c_custkey::VARCHAR AS repo_id, slug, confidence, claimed, connection, edge_distance, kinds FROM customer JOIN (VALUES (0, 'payments/payment-webhook-flow', 'direct', true, 'same-function', 0, 'webhook-verification,db-write,idempotency-guard'), (1, 'payments/payment-webhook-flow', 'inferred', true, 'cross-file', 2, 'webhook-verification,db-write,idempotency-guard'),
+    (2, 'auth/jwt-refresh-flow', 'ambiguous', false, NULL, NULL, ''), (2, 'auth/oauth-flow', 'ambiguous', false, NULL, NULL, 'authorize-redirect,session-issuance'), (2, 'auth/session-flow', 'ambiguous', false, NULL, NULL, 'credential-verification,session-issuance'))
+    v(shape, slug, confidence, claimed, connection, edge_distance, kinds) ON c_custkey % 3 = shape""")
 def structural_findings(spark, sf_dir):
-    return fixture_findings(spark).select("repo_id", "slug", "confidence", "claimed", "connection", "edge_distance", F.array_join(F.transform("anchors", lambda a: a["kind"]), ",").alias("kinds"))
+    calls, imported = _shaped(spark, sf_dir, _CALLS, _CALL_COLUMNS), _shaped(spark, sf_dir, _IMPORTED, _IMPORT_COLUMNS)
+    bound = _shaped(spark, sf_dir, _BOUND, "path string, name string, kind string, chain array<string>, pos int")
+    accesses, literals = _shaped(spark, sf_dir, [], _ACCESS_COLUMNS), _shaped(spark, sf_dir, [], _LITERAL_COLUMNS)
+    found = anchors.find_anchors(calls, imported, bound, accesses, literals)
+    files = imported.select("repo_id", "path").distinct()
+    made = infer.findings(found, graph.resolve_imports(imported, files), graph.external_imports(imported), files.where("path <> 'b.ts'"))
+    return made.select("repo_id", "slug", "confidence", "claimed", "connection", "edge_distance", F.array_join(F.transform("anchors", lambda a: a["kind"]), ",").alias("kinds"))
+
+
+# Each customer is a file that imports one package, calls it with one chain, and holds one literal; the lists' lengths have no common factor with the steps.
+_MADE_PACKAGES = ["stripe", "@paypal/checkout-server-sdk", "mercadopago", "@prisma/client", "pg", "knex", "drizzle-orm", "@supabase/supabase-js", "react-native-purchases", "jsonwebtoken", "next-auth/react", "left-pad"]
+_MADE_CHAINS = ["webhooks.constructEvent", "verifyWebhookSignature", "create", "order.upsert", "query", "insert", "update.set", "auth.getUser", "configure", "purchasePackage", "verify", "sign", "revoke", "status", "entitlements.active", "signIn", "findFirst"]
+_MADE_SQL = ["insert into t", "insert into t on conflict do nothing", "select 1"]
+_MADE_LITERALS = ["x-signature", "stripe-signature", "refresh_token", "plain", "paypal-transmission-sig"]
+
+
+@query(f"""WITH m AS (SELECT c_custkey AS c, {_MADE_PACKAGES!r}[(c_custkey % 12 + 1)::INT] AS pkg, string_split({_MADE_CHAINS!r}[(c_custkey // 12 % 17 + 1)::INT], '.') AS tail,
+      {_MADE_SQL!r}[(c_custkey // 7 % 3 + 1)::INT] AS sql, {_MADE_LITERALS!r}[(c_custkey // 5 % 5 + 1)::INT] AS literal FROM customer),
+    f AS (SELECT *, tail[-1] AS last, literal = 'refresh_token' AS refresh, pkg IN ('@prisma/client', 'pg', 'knex', 'drizzle-orm', '@supabase/supabase-js') AND tail[-1] = 'findFirst' AS reads FROM m),
+    w AS (SELECT *, CASE pkg WHEN '@prisma/client' THEN last IN ('create', 'upsert') WHEN 'pg' THEN last = 'query' AND sql LIKE 'insert%' WHEN 'knex' THEN last = 'insert'
+        WHEN 'drizzle-orm' THEN list_has_any(tail, ['insert', 'update']) WHEN '@supabase/supabase-js' THEN list_has_any(tail, ['insert', 'update', 'upsert']) ELSE false END AS writes,
+      CASE pkg WHEN '@prisma/client' THEN last = 'upsert' WHEN 'pg' THEN last = 'query' AND sql LIKE '%on conflict%' WHEN '@supabase/supabase-js' THEN list_contains(tail, 'upsert') ELSE false END AS upserts FROM f),
+    k AS (SELECT c, list_concat(
+      CASE WHEN pkg = 'stripe' AND last = 'constructEvent' OR pkg LIKE '@paypal%' AND last = 'verifyWebhookSignature' OR pkg = 'mercadopago' AND last = 'create' THEN ['webhook-verification'] ELSE [] END,
+      CASE WHEN pkg = 'mercadopago' AND c % 2 = 0 THEN ['webhook-verification'] ELSE [] END,
+      CASE WHEN pkg = 'stripe' AND literal = 'stripe-signature' OR pkg LIKE '@paypal%' AND literal = 'paypal-transmission-sig' OR pkg = 'mercadopago' AND literal = 'x-signature' THEN ['webhook-verification'] ELSE [] END,
+      CASE WHEN literal = 'x-signature' AND c % 13 = 0 THEN ['webhook-verification'] ELSE [] END,
+      CASE WHEN writes THEN ['db-write'] ELSE [] END, CASE WHEN upserts THEN ['idempotency-guard'] ELSE [] END,
+      CASE WHEN pkg = '@prisma/client' AND c % 2 = 0 THEN ['db-write'] ELSE [] END, CASE WHEN pkg = '@prisma/client' AND c % 2 = 0 AND reads THEN ['idempotency-guard'] ELSE [] END,
+      CASE WHEN c % 5 = 0 THEN ['idempotency-guard'] ELSE [] END,
+      CASE WHEN pkg LIKE '@supabase%' AND c % 9 = 0 THEN ['db-write', 'idempotency-guard'] ELSE [] END,
+      CASE WHEN pkg = 'react-native-purchases' AND last = 'configure' THEN ['iap-configure'] ELSE [] END, CASE WHEN pkg = 'react-native-purchases' AND last = 'purchasePackage' THEN ['iap-purchase'] ELSE [] END,
+      CASE WHEN list_contains(tail, 'entitlements') THEN ['iap-entitlement-gate'] ELSE [] END, CASE WHEN c % 10 = 3 THEN ['iap-entitlement-gate'] ELSE [] END,
+      CASE WHEN pkg = 'jsonwebtoken' AND last = 'verify' OR pkg LIKE '@supabase%' AND last = 'getUser' THEN ['credential-verification', 'token-verification'] ELSE [] END,
+      CASE WHEN pkg = 'jsonwebtoken' AND last = 'sign' THEN ['session-issuance'] ELSE [] END, CASE WHEN pkg = 'jsonwebtoken' AND c % 2 = 1 THEN ['session-issuance'] ELSE [] END,
+      CASE WHEN pkg = 'jsonwebtoken' AND c % 2 = 1 AND last = 'verify' AND refresh THEN ['refresh-rotation'] ELSE [] END,
+      CASE WHEN pkg = 'next-auth/react' AND last = 'signIn' THEN ['session-issuance', 'authorize-redirect'] ELSE [] END,
+      CASE WHEN refresh AND last = 'revoke' THEN ['refresh-invalidation'] ELSE [] END,
+      CASE WHEN last = 'status' AND c % 7 = 0 THEN ['route-guard', 'guard-response'] ELSE [] END) AS kinds FROM w)
+    SELECT c AS c_custkey, array_to_string(list_sort(kinds), ',') AS kinds FROM k WHERE len(kinds) > 0""")
+def anchor_rules(spark, sf_dir):
+    """One import, one call to test, and by the number a second call that writes or issues, a call of no known receiver, a check by hand, an access."""
+    c = F.col("c_custkey")
+    pick = lambda items, at: F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", c.cast("string").alias("repo_id"), F.lit("f.ts").alias("path"))
+    rows = rows.withColumns({"pkg": pick(_MADE_PACKAGES, c % 12), "tail": F.split(pick(_MADE_CHAINS, F.floor(c / 12) % 17), r"\."), "sql": pick(_MADE_SQL, F.floor(c / 7) % 3), "literal": pick(_MADE_LITERALS, F.floor(c / 5) % 5)})
+    strings, numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
+    x = lambda *names: F.array(F.lit("x"), *map(F.lit, names))
+    call = lambda pos, chain, args=strings, props=strings, given=numbers: F.struct(F.lit(pos).alias("pos"), chain.alias("chain"), F.lit(pos).alias("line"), F.lit("fn").alias("fn"), args.alias("string_args"), props.alias("arg_props"), given.alias("number_args"))
+    tested = call(1, F.concat(F.array(F.lit("x")), F.col("tail")), F.array("sql"), F.when(c % 5 == 0, F.array(F.lit("idempotencyKey"))).otherwise(strings), F.when(c % 7 == 0, F.array(F.lit(401.0))).otherwise(F.array(F.lit(200.0))))
+    by_hand = [F.when(c % 13 == 0, call(k, F.array(F.lit("crypto"), F.lit(name)))) for k, name in ((4, "createHmac"), (5, "timingSafeEqual"))]
+    made = F.array_compact(F.array(tested, F.when(c % 2 == 0, call(2, x("order", "create"))).otherwise(call(2, x("sign"))), F.when(c % 9 == 0, call(3, F.array(F.lit("*"), F.lit("upsert")))), *by_hand))
+    calls = rows.select("repo_id", "path", F.explode(made).alias("c")).select("repo_id", "path", "c.*")
+    imported = rows.select("repo_id", "path", F.col("pkg").alias("specifier"), F.array(F.struct(F.lit("x").alias("local"), F.lit("x").alias("imported"), F.lit("default").alias("kind"))).alias("bindings"), F.lit(1).alias("pos"))
+    literals = rows.select("repo_id", "path", F.col("literal").alias("value"), F.lit(9).alias("line"), F.lit("fn").alias("fn"), F.lit(1).alias("pos"))
+    accesses = rows.where(c % 10 == 3).select("repo_id", "path", F.array(F.lit("info"), F.lit("entitlements")).alias("chain"), F.lit(7).alias("line"), F.lit("fn").alias("fn"))
+    bound = rows.where(F.lit(False)).select("repo_id", "path", F.lit("").alias("name"), F.lit("").alias("kind"), strings.alias("chain"), F.lit(0).alias("pos"))
+    found = anchors.find_anchors(calls, imported, bound, accesses, literals)
+    return found.groupBy(F.col("repo_id").cast("long").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
 
 
 @query("""WITH s AS (SELECT event_type || '/' || (user_id % 9) AS slug, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, split_part(slug, '/', 1) AS prefix, row_number() OVER (PARTITION BY split_part(slug, '/', 1) ORDER BY n DESC, slug) AS k FROM s)
@@ -585,14 +653,13 @@ def capability_groups(spark, sf_dir):
     return ranking.capability_groups(found).withColumn("top_items", F.array_join("top_items", ","))
 
 
-@query("""SELECT slug, string_agg(package, ',' ORDER BY package) AS packages FROM (SELECT DISTINCT lower(p_brand) AS package, p_type AS slug FROM part WHERE p_size = 7) m
-    WHERE slug IN (SELECT DISTINCT p_type FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49 AND p_size = 9) GROUP BY slug""")
+@query("""SELECT slug, string_agg(package, ',' ORDER BY package) AS packages FROM (SELECT DISTINCT lower(p_brand) AS package, p_type AS slug FROM part) m
+    WHERE slug IN (SELECT DISTINCT p_type FROM part JOIN lineitem ON l_partkey = p_partkey) GROUP BY slug""")
 def release_candidates(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    package_map = parts.where("p_size = 7").select(F.lower("p_brand").alias("package"), F.col("p_type").alias("slug")).distinct()
-    found = parts.where("p_size = 9").join(table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("p_type").alias("slug"))
-    listed = package_map.select("package").distinct()
-    return skills.release_candidates(listed, package_map, found).withColumn("packages", F.array_join("packages", ","))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+    package_map = parts.select(F.lower("p_brand").alias("package"), F.col("p_type").alias("slug")).distinct()
+    found = parts.join(table(spark, sf_dir, "lineitem").select("l_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("p_type").alias("slug"))
+    return skills.release_candidates(package_map.select("package").distinct(), package_map, found).withColumn("packages", F.array_join("packages", ","))
 
 
 _STAMPS = ["2024-02-29T01:02:03Z", "2024-02-29T01:02:03.123Z", "2023-02-29T01:02:03Z", "2024-02-29T01:02:03", "2024-02-29T01:02:03.1Z", "2024-13-01T00:00:00Z", "x"]
@@ -628,13 +695,15 @@ def label_validity(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.is_label(label).alias("ok"))
 
 
-_VERSIONS = [("1.2.3", "1.2.3"), ("1.2.4", "1.2.3"), ("1.3.0", "1.2.9"), ("2.0.0", "10.0.0"), ("v3.0.1", "3.0.0"), ("x", "1.0.0")]
-
-
-@query("SELECT * FROM (VALUES ('1.2.3', false), ('1.2.4', true), ('1.3.0', true), ('2.0.0', false), ('v3.0.1', true), ('x', false)) v(candidate, newer)")
+@query("""WITH v AS (SELECT p_partkey, p_partkey % 3 AS a, p_size % 4 AS b, p_partkey % 5 AS c, p_partkey % 2 AS x, p_size % 3 AS y, p_partkey % 7 AS z FROM part)
+    SELECT p_partkey, p_partkey % 11 <> 0 AND (a > x OR a = x AND b > y OR a = x AND b = y AND c > z) AS newer FROM v""")
 def version_compare(spark, sf_dir):
-    rows = spark.createDataFrame(_VERSIONS, "candidate string, current string")
-    return rows.select("candidate", values.is_newer(F.col("candidate"), F.col("current")).alias("newer"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = lambda n, k: (F.col(n) % k).cast("string")
+    # Every eleventh is no version, every fourth has the letter before it.
+    candidate = F.concat_ws(".", part("p_partkey", 3), part("p_size", 4), part("p_partkey", 5))
+    candidate = F.when(F.col("p_partkey") % 11 == 0, "latest").when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("v"), candidate)).otherwise(candidate)
+    return rows.select("p_partkey", values.is_newer(candidate, F.concat_ws(".", part("p_partkey", 2), part("p_size", 3), part("p_partkey", 7))).alias("newer"))
 
 
 @query("""SELECT user_id, event_id FROM events WHERE user_id % 7 = 3 AND event_type <> 'error'""")

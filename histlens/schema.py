@@ -8,7 +8,8 @@ ADDED_LINES = "repo_id string, sha string, path string, added_text string"
 BLOBS = "repo_id string, revision string, path string, content string"
 TREE = "repo_id string, path string, size long"
 SNAPSHOT = "repo_id string, path string, content string"
-REPOS = "repo_id string, remote_url string, shallow boolean, now_ts timestamp"
+REPOS = "repo_id string, remote_url string, shallow boolean, now_ts timestamp, user_email string"
+COUNTS = "repo_id string, commits bigint"
 
 # Syntax facts.
 IMPORTS = "repo_id string, path string, specifier string, bindings array<struct<local: string, imported: string, kind: string>>"

@@ -4,7 +4,8 @@
     spark.read.format("git").option("repo", path).option("mode", "log").load()
 
 Modes: log (commits), churn, diff (added lines), tree (files of HEAD), blob
-(content of `revisions`, comma-joined, default HEAD) and repos (one row).  Each
+(content of `revisions`, comma-joined, default HEAD), repos (one row) and count
+(commits of the window, 0 where they can't be counted).  Each
 repository of `repos` (comma-joined) is a partition; option `pushdown` passes
 filters on email to git, `since` a start; and diffs and blobs are cut
 into batches of commits or files, so that many repositories and long histories
@@ -20,10 +21,12 @@ from datetime import UTC, datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from ..schema import ADDED_LINES, BLOBS, CHURN, COMMITS, REPOS, TREE
+from ..schema import ADDED_LINES, BLOBS, CHURN, COMMITS, COUNTS, REPOS, TREE
 
-SCHEMAS = {"log": COMMITS, "churn": CHURN, "diff": ADDED_LINES, "tree": TREE, "blob": BLOBS, "repos": REPOS}
+SCHEMAS = {"log": COMMITS, "churn": CHURN, "diff": ADDED_LINES, "tree": TREE, "blob": BLOBS, "repos": REPOS, "count": COUNTS}
 BATCH = 200
+#: Commits of a diff's partition, and the parts into which a revision's files are dealt.
+RANGE, STRIDES = 2_000, 4
 RECORD, FIELD = "\x01", "\x02"
 _FORMAT = RECORD + FIELD.join(("%H", "%P", "%ae", "%aI", "%cI", "%G?")) + FIELD
 
@@ -31,9 +34,9 @@ _FORMAT = RECORD + FIELD.join(("%H", "%P", "%ae", "%aI", "%cI", "%G?")) + FIELD
 @dataclass
 class Part(InputPartition):
     repo: str
-    items: tuple[str, ...] = ()
+    items: tuple = ()
 
-    def __init__(self, repo: str, items: tuple[str, ...] = ()) -> None:
+    def __init__(self, repo: str, items: tuple = ()) -> None:
         super().__init__((repo, items))
         self.repo, self.items = repo, items
 
@@ -72,6 +75,19 @@ def log_records(repo: str, *more: str) -> Iterator[tuple[list[str], list[str]]]:
             raise GitError(f"git log failed: {error.strip()[:200]}")
 
 
+def positions(repo: str) -> Iterator[tuple[str, int]]:
+    """(sha, pos) of the whole history, in the order of log_records."""
+    with subprocess.Popen(["git", "-C", repo, "log", "--reverse", "--format=%H"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True) as run:
+        for pos, line in enumerate(run.stdout):
+            yield line.strip(), pos
+
+
+def commit_count(repo: str, *more: str) -> int:
+    """Commits without reading them; 0 where they can't be counted."""
+    found = git(repo, "rev-list", "--count", *more, "HEAD", quiet=True).strip()
+    return int(found) if found.isdigit() else 0
+
+
 def added_text(repo: str, shas: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
     """(sha, path, added lines) of these commits against their first parents."""
     out = git(repo, "-c", "core.quotepath=off", "diff-tree", "--stdin", "--root", "-r", "-p", "-U0", "-m", "--first-parent", "--no-renames", "--no-color", "--no-ext-diff", f"--format={RECORD}%H", given="".join(f"{s}\n" for s in shas).encode(), quiet=True)
@@ -129,20 +145,24 @@ class GitReader(DataSourceReader):
         return [f"--since={self.since}"] if self.since else []
 
     def partitions(self) -> list[Part]:
+        # What is in a part is listed where it is read; here it is only counted.
         if self.mode == "diff":
-            shas = {r: git(r, "rev-list", "--reverse", *self._window(), "HEAD").decode().split() for r in self.repos}
-            return [Part(r, tuple(found[k : k + BATCH])) for r, found in shas.items() for k in range(0, max(1, len(found)), BATCH)]
+            return [Part(r, (k, RANGE)) for r in self.repos for k in range(0, max(1, commit_count(r, *self._window())), RANGE)]
         if self.mode == "blob":
-            wanted = {r: [f"{v}:{p}" for v in self.revisions for p, _ in tree_entries(r, v)] for r in self.repos}
-            return [Part(r, tuple(found[k : k + 1000])) for r, found in wanted.items() for k in range(0, max(1, len(found)), 1000)]
+            return [Part(r, (v, k)) for r in self.repos for v in self.revisions for k in range(STRIDES)]
         return [Part(r) for r in self.repos]
 
     def read(self, part: Part) -> Iterator[tuple]:
         repo = part.repo
         if self.mode in ("log", "churn"):
             authors = [f"--author=<{_escaped(e)}>" for e in self.emails]
+            # A filter must not change what it lets through: positions are those of the whole history, read in step.
+            narrowed = bool(authors or self.since)
+            places = positions(repo) if narrowed else iter(())
             for pos, (header, lines) in enumerate(log_records(repo, *self._window(), *authors)):
                 sha, parents, email, author, committer, status = header[:6]
+                if narrowed and self.mode == "log":
+                    pos = next(p for s, p in places if s == sha)
                 if self.mode == "log":
                     above = parents.split()
                     yield repo, pos, sha, above[0] if above else None, email, _time(author), _time(committer), status == "G", len(above) > 1
@@ -151,19 +171,26 @@ class GitReader(DataSourceReader):
                         added, deleted, path = line.split("\t", 2)
                         yield repo, sha, k, path, int(added) if added != "-" else 0, int(deleted) if deleted != "-" else 0
         elif self.mode == "diff":
-            for sha, path, text in added_text(repo, part.items):
-                yield repo, sha, path, text
+            first, many = part.items
+            shas = git(repo, "rev-list", f"--skip={first}", f"--max-count={many}", *self._window(), "HEAD").decode().split()
+            for batch in (shas[k : k + BATCH] for k in range(0, len(shas), BATCH)):
+                yield from ((repo, *found) for found in added_text(repo, tuple(batch)))
+        elif self.mode == "count":
+            yield repo, commit_count(repo, *self._window())
         elif self.mode == "tree":
             for path, size in tree_entries(repo):
                 yield repo, path, size
         elif self.mode == "blob":
-            for request, content in blob_contents(repo, part.items):
-                revision, _, path = request.partition(":")
-                yield repo, revision, path, content
+            revision, first = part.items
+            wanted = [f"{revision}:{p}" for p, _ in tree_entries(repo, revision)][first::STRIDES]
+            for batch in (wanted[k : k + 1000] for k in range(0, len(wanted), 1000)):
+                for request, content in blob_contents(repo, tuple(batch)):
+                    yield repo, revision, request.partition(":")[2], content
         else:
             url = git(repo, "config", "--get", "remote.origin.url", quiet=True).decode().strip()
             shallow = git(repo, "rev-parse", "--is-shallow-repository", quiet=True).decode().strip() == "true"
-            yield repo, url or None, shallow, datetime.now(UTC)
+            email = git(repo, "config", "--get", "user.email", quiet=True).decode().strip()
+            yield repo, url or None, shallow, datetime.now(UTC), email or None
 
 
 def _escaped(email: str) -> str:

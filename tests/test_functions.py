@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histlens.functions import hashing, paths, text, times, values
-from histlens.operators import forensics, graph, imports, merkle, signatures, skills
+from histlens.operators import forensics, graph, imports, merkle, ownership, signatures, skills
 
 
 def column(spark, items, kind="string"):
@@ -168,3 +168,18 @@ def test_dictionary_rules(spark):
     assert {(r["rule"], r["detail"]) for r in skills.map_faults(package_map, taxonomy).collect()} == {("too_few", "4"), ("repeated", "d"), ("unknown_slug", "q/r"), ("prefix", "a.b < a.b.c")}
     with pytest.raises(ValueError, match="q/r"):
         skills.require_vocabulary(package_map, taxonomy)
+
+
+def test_block_comments_keep_every_line(spark):
+    rows = spark.createDataFrame([(1, "a /* x\ny */ b\nc"), (2, "// note /* a\nb */ foo()"), (3, "/**/x/* \n\n */"), (4, "none"), (5, None), (6, "open /* end")], "id int, t string")
+    got = {r[0]: r[1] for r in rows.select("id", text.blank_block_comments(F.col("t"))).collect()}
+    assert got == {1: "a     \n     b\nc", 2: "// note     \n     foo()", 3: "    x   \n\n   ", 4: "none", 5: None, 6: "open /* end"}
+    assert rows.where("id = 2").select(text.sanitised(F.col("t"))).first()[0] == "     foo()"
+
+
+def test_selection_state_uses_every_row(spark):
+    stored = spark.createDataFrame([(["a", "b", "c"],)], "emails array<string>")
+    candidates = spark.createDataFrame([(["a"],), (["b", "a"],)], "emails array<string>")
+    found = ownership.selection_state(stored, candidates).first()
+    assert (found["all_present"], found["still_present"]) == (False, ["a", "b"])
+    assert ownership.selection_state(stored, candidates.limit(0)).first()["still_present"] == []

@@ -46,6 +46,23 @@ def test_log_and_churn(spark, repo):
     assert load(spark, repo, "churn").where("path = 'yarn.lock'").first()["added"] == 50
 
 
+def test_filters_change_no_row(spark, repo):
+    log = load(spark, repo, "log")
+    for email in ("ann@x.org", "bob@x.org"):
+        want = sorted(map(tuple, log.where(F.col("email") == email).collect()))
+        assert sorted(map(tuple, load(spark, repo, "log", pushdown="true").where(F.col("email") == email).collect())) == want
+    late = sorted(map(tuple, load(spark, repo, "log", since="2024-01-02T00:00:00Z").collect()))
+    assert late == sorted(map(tuple, log.where("pos > 0").collect()))
+
+
+def test_counts_and_configured_email(spark, repo, tmp_path):
+    assert load(spark, repo, "count").first()["commits"] == 3
+    assert load(spark, repo, "count", since="2024-01-02T00:00:00Z").first()["commits"] == 2
+    assert load(spark, str(tmp_path / "none"), "count").first()["commits"] == 0
+    subprocess.run(["git", "-C", repo, "config", "user.email", "me@x.org"], check=True)
+    assert load(spark, repo, "repos").first()["user_email"] == "me@x.org"
+
+
 def test_diff_tree_blob(spark, repo):
     diffs = {(r["path"], r["added_text"]) for r in load(spark, repo, "diff").collect()}
     assert ("src/a.ts", "import y from 'vue';") in diffs and ("src/b.py", "import numpy") in diffs
