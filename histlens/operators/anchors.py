@@ -165,7 +165,7 @@ def find_anchors(calls: DataFrame, imports: DataFrame, bindings: DataFrame, acce
 
     gated = accesses.where(F.array_contains("chain", "entitlements")).select("repo_id", F.lit("iap-entitlement-gate").alias("kind"), "path", "fn", "line", F.lit("entitlements in an access").alias("reason"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("library"))
     columns = gated.columns
-    return by_call.select(columns).unionByName(rotated.select(columns)).unionByName(gated).unionByName(_literal_anchors(calls, literals, packages).select(columns)).orderBy("repo_id", "path", "line", "kind")
+    return by_call.select(columns).unionByName(rotated.select(columns)).unionByName(gated).unionByName(_literal_anchors(calls, literals, packages).select(columns))
 
 
 def _literal_anchors(calls: DataFrame, literals: DataFrame, packages: DataFrame) -> DataFrame:

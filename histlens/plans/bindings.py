@@ -546,6 +546,39 @@ def import_extraction(spark, sf_dir):
     return rows.select("p_partkey", "path", F.array_join(imports.imported_packages("added_text", "path"), ",").alias("packages"))
 
 
+# What each document stands for as a commit: a source file of one language with an import line before its text, and now and then a manifest.
+_CLEAN = """array_to_string(list_filter(string_split(regexp_replace(array_to_string(list_filter(string_split({0}, chr(10)), lambda x: length(x) <= 2000), chr(10)), '/[*]([^*]|[*][^/])*[*]/', ' ', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^[ \\t\\v\\f\\r]*(//|#|/[*]|[*]|<!--|--)')), chr(10))"""
+_MAPPED = [*((f"p{k}", f"python/p{k}") for k in range(4)), ("q0", "js/q"), ("q1", "js/q"), ("r0", "ruby/r"), *((f"m{k}", "npm/m") for k in range(3)), ("base", "npm/base")]
+_MAPPED_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in _MAPPED)
+
+
+@query(f"""WITH d AS (SELECT doc_id AS d, coalesce(source, '') AS repo_id, coalesce(text, '') AS text, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS ts FROM documents WHERE doc_id % 5 < 3 AND doc_id % 9 <> 0),
+    f AS (SELECT *, CASE d % 4 WHEN 0 THEN 'p' || d % 5 WHEN 2 THEN 'q' || d % 3 ELSE 'r' || d % 2 END AS package, CASE d % 4 WHEN 0 THEN 'src/a.py' WHEN 2 THEN 'src/c.ts' ELSE 'lib/d.rb' END AS path FROM d WHERE d % 4 <> 1 AND d % 7 <> 0),
+    h AS (SELECT d, repo_id, ts, slug FROM f JOIN (VALUES {_MAPPED_ROWS}) m(package, slug) USING (package)
+      UNION ALL SELECT d, repo_id, ts, slug FROM (SELECT *, unnest(CASE WHEN d % 2 = 0 THEN ['base', 'm' || d % 4] ELSE ['m' || d % 4] END) AS package FROM d WHERE d % 11 = 5) x JOIN (VALUES {_MAPPED_ROWS}) m(package, slug) USING (package)
+      UNION ALL SELECT d, repo_id, ts, slug FROM f, (VALUES {_PATTERN_ROWS}, ('lib/ruby', 'config', '[.]rb$')) p(slug, kind, pattern) WHERE regexp_matches(CASE WHEN kind = 'config' THEN path ELSE {_CLEAN.format("text")} END, pattern))
+    SELECT repo_id, slug, count(DISTINCT d) AS commit_count, min(ts) AS first_seen, max(ts) AS last_seen FROM h GROUP BY ALL""")
+def detected_skills(spark, sf_dir):
+    """The skills of all documents as commits of their source: packages, manifests against their parents, signature patterns."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("repo_id"), F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("d"), "doc_id").alias("sha"), F.concat(F.lit("d"), d - 1).alias("parent_sha"))
+    start = F.lit("2024-01-01").cast("timestamp")
+    commits = docs.select("repo_id", "sha", "parent_sha", F.concat(F.lit("e"), d % 5).alias("email"), F.timestamp_seconds(F.unix_seconds(start) + 60 * d).alias("author_ts"), (d % 9 == 0).alias("is_merge"))
+    pick = lambda *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (d % 4 + 1).cast("int"))
+    path = F.concat(pick("src/a", "dist/b", "src/c", "lib/d"), "doc_id", pick(".py", ".py", ".ts", ".rb"))
+    first = pick(F.concat(F.lit("import p"), d % 5), "import no", F.concat(F.lit("import x from 'q"), d % 3, F.lit("';")), F.concat(F.lit("require 'r"), d % 2, F.lit("'")))
+    manifest = docs.where(d % 11 == 5)
+    added = docs.select("repo_id", "sha", path.alias("path"), F.concat(first, F.lit("\n"), "text").alias("added_text")).unionByName(manifest.select("repo_id", "sha", F.lit("package.json").alias("path"), F.lit('"m": "1"').alias("added_text")))
+    changed = docs.select("repo_id", "sha", F.lit(0).alias("file_pos"), path.alias("path"), F.when(d % 7 == 0, 1000).otherwise(10).cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    new = manifest.select("repo_id", F.col("sha").alias("revision"), F.lit("package.json").alias("path"), F.concat(F.lit('{"dependencies": {"base": "1", "m'), d % 4, F.lit('": "1"}}')).alias("content"))
+    old = manifest.where(d % 2 == 1).select("repo_id", F.col("parent_sha").alias("revision"), F.lit("package.json").alias("path"), F.lit('{"dependencies": {"base": "1"}}').alias("content"))
+    history = profile_plan.History(commits, changed, added, new.unionByName(old))
+    mine = ownership.selected(commits, spark.createDataFrame([(f"e{k}",) for k in range(3)], "email string"))
+    rules = spark.createDataFrame([*_PATTERNS, ("lib/ruby", "config", r"[.]rb$")], "slug string, kind string, pattern string")
+    found = profile_plan.detected_skills(history, mine, spark.createDataFrame(_MAPPED, "package string, slug string"), rules)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
+
+
 @query("""SELECT page_id, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN 'js' WHEN n % 4 = 2 THEN 'python' ELSE 'csharp' END AS language FROM (SELECT page_id, length(url) AS n FROM pages) x""")
 def path_language(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, (".md", ".TSX", ".py", ".csproj"))), (F.length("url") % 4 + 1).cast("int"))
