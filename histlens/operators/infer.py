@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from itertools import groupby, product
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.values import CONFIDENCE
 from .anchors import IAP_PACKAGES, LIBRARIES, PROVIDERS
@@ -191,20 +193,36 @@ def findings(anchors: DataFrame, edges: DataFrame, external: DataFrame, touched:
     rows = rows.unionByName(tagged(external.where(F.col("specifier").isin(*known)).select("repo_id", F.col("specifier").alias("path")).distinct(), "package"))
     rows = rows.unionByName(tagged(touched.select("repo_id", "path").distinct(), "touched"))
 
-    def judged(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.astype(object).where(group.notna(), None)
-        parts = {tag: part.to_dict("records") for tag, part in group.groupby("tag")}
+    # A repository's rows are read one after another, and just one repository is in memory at a time.
+    schema = to_arrow_schema(StructType.fromDDL(FINDINGS))
+
+    def judged(repo_id: str | None, group: list[dict]) -> list[dict]:
+        parts: dict[str, list[dict]] = {}
+        for r in group:
+            parts.setdefault(r["tag"], []).append(r)
         joined: dict[str, set[str]] = {}
         for r in parts.get("edge", []):
             joined.setdefault(r["path"], set()).add(r["target"])
             joined.setdefault(r["target"], set()).add(r["path"])
         found = classify(parts.get("anchor", []), joined, {r["path"] for r in parts.get("package", [])}, {r["path"] for r in parts.get("touched", [])}, budget)
-        columns = ["slug", "confidence", "attributed", "claimed", "anchors", "connection", "edge_distance", "search_bounded"]
-        made = pd.DataFrame(found, columns=columns)
-        made.insert(0, "repo_id", group["repo_id"].iloc[0])
-        return made.astype({"edge_distance": "Int32", "search_bounded": "boolean"})
-
-    return rows.groupBy("repo_id").applyInPandas(judged, FINDINGS)
+        return [{"repo_id": repo_id, **f} for f in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
+        for batch in batches:
+            for repo_id, group in groupby(batch.to_pylist(), key=lambda r: r["repo_id"]):
+                if held and repo_id != at:
+                    out += judged(at, held)
+                    held = []
+                at = repo_id
+                held += group
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if held:
+            yield pa.RecordBatch.from_pylist(judged(at, held), schema=schema)
+
+    return rows.repartition("repo_id").sortWithinPartitions("repo_id").mapInArrow(run, FINDINGS)
 
 
 def touch_log(commits: DataFrame, added_lines: DataFrame) -> DataFrame:

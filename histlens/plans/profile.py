@@ -77,7 +77,8 @@ def profile(
     """
     key = ["repo_id"]
     chosen = authors.select("email").distinct()
-    mine = history.commits.join(chosen, "email", "left_semi")
+    # Read by several aggregates and joins below; kept so that the history is read once.
+    mine = history.commits.join(chosen, "email", "left_semi").persist()
     signed, ratio = cadence.signed_share(F.col("signed"))
     totals = history.commits.join(chosen.withColumn("__mine", F.lit(True)), "email", "left").groupBy("repo_id").agg(
         F.count_if(F.col("__mine")).alias("user_total"), F.count(F.lit(1)).alias("all_total"),
@@ -125,8 +126,8 @@ def _lists(history: History, mine: DataFrame, package_map: DataFrame | None, rul
     out: dict[str, DataFrame] = {}
     in_order = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("first_seen", item.alias("item")))), lambda x: x["item"])
     if history.churn is not None:
-        own = history.churn.join(mine.select("repo_id", "sha", "pos"), ["repo_id", "sha"])
-        kept = churn.kept_churn(own, churn.generated_paths(own, ["repo_id", "path"]))
+        own = history.churn.join(mine.select("repo_id", "sha", "pos"), ["repo_id", "sha"]).persist()
+        kept = churn.kept_churn(own, churn.generated_paths(own, ["repo_id", "path"])).persist()
         out["languages"] = churn.extension_shares(kept).groupBy("repo_id").agg(in_order(F.struct(F.col("label").alias("extension"), "share")).alias("languages"))
         out["categories"] = churn.category_shares(kept).groupBy("repo_id").agg(in_order(F.struct(F.col("label").alias("name"), F.col("commits").alias("commit_count"), F.col("share").alias("churn_share"))).alias("categories"))
     if history.added_lines is not None and (package_map is not None or rules is not None):
