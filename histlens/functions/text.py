@@ -81,6 +81,12 @@ def is_label(text: Column) -> Column:
     return F.length(trimmed).between(1, 64) & ~trimmed.rlike(r"[\x00-\x1f\x7f]")
 
 
+def account_label(text: Column) -> Column:
+    """the trimmed label, or null where it is none."""
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.when(F.length(trimmed).between(1, 64) & ~trimmed.rlike(r"[\x00-\x1f\x7f]"), trimmed)
+
+
 # Our own patterns for the families of secrets that must never leave.
 SECRETS = (
     ("aws_key", r"\bAKIA[0-9A-Z]{16}\b"),

@@ -42,3 +42,15 @@ def capability_groups(skills: DataFrame, n: int = 4) -> DataFrame:
 
 def structural_count(skills: DataFrame) -> DataFrame:
     return skills.agg(F.count_if(F.col("evidence") == "structural").alias("structural"))
+
+
+def skills_line(count: Column, top: Column, width: int, most: int = 3) -> Column:
+    """How many skills there are, with as many of the top labels as fit in the width, and how many are not named."""
+    base = F.concat(count.cast("string"), F.lit(" detected skills"))
+    line = base
+    for shown in range(1, most + 1):
+        rest = count - shown
+        more = F.when(rest > 0, F.concat(F.lit(", +"), rest.cast("string"), F.lit(" more"))).otherwise("")
+        named = F.concat(base, F.lit(" (top: "), F.array_join(F.slice(top, 1, shown), ", "), more, F.lit(")"))
+        line = F.when((F.size(top) >= shown) & (F.length(named) <= width), named).otherwise(line)
+    return line

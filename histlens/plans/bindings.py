@@ -721,6 +721,23 @@ def snapshot_files(spark, sf_dir):
     return stores.snapshot_files(tree, 3, 204_800 * 4)
 
 
+@query("""WITH p AS (SELECT c_custkey, c_custkey % 6 AS n, [c_name, c_mktsegment, 'third'][1:(c_custkey % 6)::INT] AS top FROM customer),
+    l AS (SELECT c_custkey, n || ' detected skills' AS base, unnest(range(least(n, 3) + 1)) AS k, n, top FROM p),
+    x AS (SELECT *, CASE WHEN k = 0 THEN base ELSE base || ' (top: ' || array_to_string(top[1:k], ', ') || CASE WHEN n > k THEN ', +' || (n - k) || ' more' ELSE '' END || ')' END AS line FROM l)
+    SELECT c_custkey, arg_max(line, k) AS line FROM x WHERE k = 0 OR length(line) <= 56 GROUP BY c_custkey""")
+def skills_line(spark, sf_dir):
+    n = F.col("c_custkey") % 6
+    top = F.slice(F.array(F.col("c_name"), F.col("c_mktsegment"), F.lit("third")), F.lit(1), F.least(n, F.lit(3)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", ranking.skills_line(n, top, 56).alias("line"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 NOT IN (1, 3) THEN CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 2 THEN c_name || ' x' ELSE left(repeat(c_name, 4), 64) END END AS label FROM customer""")
+def account_label(spark, sf_dir):
+    k, name = F.col("c_custkey") % 5, F.col("c_name")
+    raw = F.when(k == 0, F.concat(F.lit(" \t"), name, F.lit("\n "))).when(k == 1, " \r\n ").when(k == 2, F.concat(name, F.lit(" x"))).when(k == 3, F.concat(name, F.lit("\x07 x"))).otherwise(F.substring(F.repeat(name, F.lit(4)), 1, 64))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.account_label(raw).alias("label"))
+
+
 @query("""SELECT c_custkey, length(trim(x, ' ')) BETWEEN 1 AND 64 AND NOT regexp_matches(trim(x, ' '), '[\\x00-\\x1f\\x7f]') AS ok FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN c_name || chr(9) WHEN 2 THEN repeat(c_name, 4) ELSE ' ' || c_name END AS x FROM customer) t""")
 def label_validity(spark, sf_dir):
     k = F.col("c_custkey") % 4

@@ -67,7 +67,7 @@ def detected_skills(history: History, mine: DataFrame, package_map: DataFrame |
 
 
 def profile(
-    history: History, authors: DataFrame, salt: str, attestation: Attestation, *, created_at: str, tool_version: str = "0.1.0", runner: str = "cli",
+    history: History, authors: DataFrame, salt: str, attestation: Attestation, *, created_at: str, tool_version: str = "0.1.0", runner: str = "local",
     package_map: DataFrame | None = None, rules: DataFrame | None = None, structural: DataFrame | None = None,
 ) -> DataFrame:
     """repo_id and bundle (the BUNDLE struct) for each repository in which authors(email) have commits.
@@ -108,7 +108,7 @@ def profile(
 
     text = lambda x: F.lit(x).cast("string")
     bundle = F.struct(
-        F.lit(1).alias("schema_version"), text(runner).alias("runner"), text(tool_version).alias("tool_version"), text(created_at).alias("created_at"),
+        text("1.4.0").alias("schema_version"), text(runner).alias("runner"), text(tool_version).alias("tool_version"), text(created_at).alias("created_at"),
         F.struct(host_type(F.col("remote_url")).alias("host_type"), days_between(F.col("root_ts"), F.col("now_ts")).alias("age_days"), salted(F.col("root_sha"), salt).alias("repo_fingerprint"), F.when(F.col("shallow"), True).alias("shallow")).alias("repo"),
         F.struct(F.col("author_hashes").alias("author_identity_hashes"), F.col("others").alias("other_contributors_count")).alias("identity"),
         F.struct("user_total", iso(F.col("first_ts")).alias("first_at"), iso(F.col("last_ts")).alias("last_at"), days_between(F.col("first_ts"), F.col("last_ts")).alias("span_days"), F.col("hours").alias("hour_histogram"), F.col("weekdays").alias("weekday_histogram")).alias("commits"),

@@ -28,7 +28,7 @@ SIGNATURES = "slug string, importPatterns array<string>, apiPatterns array<strin
 # Tamper-evident chain of submissions (draft record).
 CHAIN = "chain_id string, seq long, prev_hash string, head_hash string, claimed_ts timestamp, received_ts timestamp, count long"
 
-BUNDLE = """schema_version int, runner string, tool_version string, created_at string,
+BUNDLE = """schema_version string, runner string, tool_version string, created_at string,
 repo struct<host_type: string, age_days: long, repo_fingerprint: string, shallow: boolean>,
 identity struct<author_identity_hashes: array<string>, other_contributors_count: long>,
 commits struct<user_total: long, first_at: string, last_at: string, span_days: long, hour_histogram: array<long>, weekday_histogram: array<long>>,

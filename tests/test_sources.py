@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from histlens.operators import validate
 from histlens.plans import profile as plan
 from histlens.sources import stores
 from histlens.sources.git import GitDataSource
@@ -91,6 +92,29 @@ def test_profile_of_a_repository(spark, repo):
     assert {s["slug"]: s["commit_count"] for s in bundle["detected_skills"]} == {"frontend/react": 1, "frontend/vue": 1, "backend/zod": 1}
     assert [x["extension"] for x in bundle["languages"]] == [".json", ".ts"]
     text = plan.as_json(made).first()
+    share, count = {"type": "number", "minimum": 0, "maximum": 1}, {"type": "integer", "minimum": 0}
+    time, words = {"type": "string", "format": "date-time"}, {"type": "string"}
+
+    def closed(optional=(), **properties):
+        return {"type": "object", "additionalProperties": False, "required": [k for k in properties if k not in optional], "properties": properties}
+
+    def each(item, **more):
+        return {"type": "array", "items": item, **more}
+
+    schema = closed(
+        schema_version={"const": "1.4.0"}, runner={"enum": ["local", "ci"]}, tool_version=words, created_at=time,
+        repo=closed(("shallow",), host_type={"enum": ["github", "gitlab", "bitbucket", "other", "none"]}, age_days=count, repo_fingerprint=words, shallow={"type": "boolean"}),
+        identity=closed(author_identity_hashes=each(words, minItems=1), other_contributors_count=count),
+        commits=closed(user_total=count, first_at=time, last_at=time, span_days=count, hour_histogram=each(count, minItems=24, maxItems=24), weekday_histogram=each(count, minItems=7, maxItems=7)),
+        signed=closed(count=count, ratio=share), languages=each(closed(extension={"type": "string", "pattern": r"^\.[a-z0-9]+$"}, share=share)), categories=each(closed(name=words, commit_count=count, churn_share=share)),
+        detected_skills=each(closed(("evidence", "confidence"), slug={"type": "string", "pattern": "^[a-z0-9-]+/[a-z0-9-]+$"}, commit_count={"type": "integer", "minimum": 1}, first_seen=time, last_seen=time, evidence=words, confidence=words)),
+        ownership=closed(user_commit_ratio=share), integrity=closed(merkle_root=words, algorithm={"enum": ["sha256", "rfc6962-sha256"]}, date_forensics=closed(author_span_days=count, committer_span_days=count, mismatch_ratio=share, committer_burst_ratio=share)),
+        attestation=closed(authorized_confirmation={"const": True}, confirmed_at=time),
+    )
+    assert plan.as_json(made).select(validate.schema_faults(F.col("json"), schema)).first()[0] == []
+    broken = [text["json"].replace('"1.4.0"', "1"), text["json"].replace('"user_total":2', '"user_total":-1,"extra":1'), "{", None]
+    rows = spark.createDataFrame([(x,) for x in broken], "json string").select(validate.schema_faults(F.col("json"), schema)).collect()
+    assert [r[0] for r in rows] == [["$.schema_version: const"], ["$.commits.user_total: minimum", "$.commits.extra: additionalProperties"], ["$: json"], None]
     assert "ann@x.org" not in text["json"] and "src/a.ts" not in text["json"]
 
 
