@@ -222,7 +222,9 @@ def test_language_hard_rows(hard, none):
     model = language_id.fit(hard)
     got = dict(plain(language_id.identify(hard.where("doc_id IN (2, 4)"), model), "doc_id", "lang_pred"))
     assert got == {2: "und", 4: "und"}
-    assert language_id.identify(hard, model).count() == hard.count()
+    everyone = [r[0] for r in plain(hard, "text")]
+    want = Counter((i, lang, round(score, 6)) for (i,), (lang, score, _) in zip(plain(hard, "doc_id"), brute_language(everyone, [(t, x) for t, x in plain(hard, "text", "lang") if t is not None and x is not None])))
+    assert Counter((i, lang, round(score, 6)) for i, lang, score in plain(language_id.identify(hard, model), "doc_id", "lang_pred", "score")) == want
     assert {r[0] for r in plain(language_id.identify(hard, language_id.fit(none)), "lang_pred")} == {"und"}
 
 
@@ -233,6 +235,79 @@ def test_script_narrows_candidates(spark):
     assert got[1] == "ru" and got[2] == "en" and got[3] in ("ru", "en") and got[4] == "und"
 
 
+def brute_language(rows, labelled):
+    """Languages, and (language, share, spans) of each text, from words one by one in plain numbers."""
+
+    def mixed_hash(*points):
+        x = len(points)
+        for p in points:
+            x = (x * 0x9E3779B97F4A7C15 + p) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        return x >> (64 - 15)
+
+    def script(c):
+        return next((name for name, a, b in language_id.SCRIPTS if a <= ord(c) <= b), "other")
+
+    cache = {}
+
+    def features(word):
+        if word not in cache:
+            letters = [c for c in word.lower() if c.isalpha()]
+            p = [10, *map(ord, letters), 10]
+            found = [mixed_hash(a, b) for a, b in zip(p, p[1:])] + [mixed_hash(a, b, c) for a, b, c in zip(p, p[1:], p[2:])]
+            found.append(mixed_hash(sum(x * int(language_id._MIX[k % 64]) for k, x in enumerate(p[1:-1], 1))))
+            tally = Counter(map(script, letters))
+            cache[word] = (letters, max(language_id.SCRIPT_NAMES, key=lambda s: (tally[s], -language_id.SCRIPT_NAMES.index(s))), found if letters else [])
+        return cache[word]
+
+    languages = sorted({lang for _, lang in labelled})
+    counts, scripts, many = {k: Counter() for k in languages}, {k: Counter() for k in languages}, Counter(lang for _, lang in labelled)
+    for text, lang in labelled:
+        for word in words(text):
+            letters, own, found = features(word)
+            counts[lang].update(found)
+            scripts[lang][own] += len(letters)
+    sums = {k: sum(c.values()) + 0.1 * language_id.BUCKETS for k, c in counts.items()}
+    every = sum(n + 1 for n in many.values())
+    out = []
+    for text in rows:
+        value, back, sizes = [np.log((many[k] + 1) / every) for k in languages], [], []
+        for word in words(text):
+            letters, own, found = features(word)
+            if not letters:
+                continue
+            logs = [[np.log((counts[k][f] + 0.1) / sums[k]) for k in languages] for f in found]
+            score = [sum(row[i] - max(row) for row in logs) for i in range(len(languages))]
+            fits = [scripts[k][own] >= 0.02 * max(sum(scripts[k].values()), 1) for k in languages]
+            score = [s if ok else min(score) - 100 for s, ok in zip(score, fits)] if any(fits) else [0.0] * len(languages)
+            best = value.index(max(value))
+            came = [i if value[i] >= value[best] - language_id.SWITCH else best for i in range(len(languages))]
+            value = [max(value[i], value[best] - language_id.SWITCH) + score[i] for i in range(len(languages))]
+            back.append(came)
+            sizes.append(len(letters))
+        if not sizes:
+            out.append(("und", 0.0, ""))
+            continue
+        path = [value.index(max(value))]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        path = path[::-1][1:]
+        share = [sum(n for n, p in zip(sizes, path) if p == i) for i in range(len(languages))]
+        cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+        spans = ",".join(f"{languages[path[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:]))
+        best = share.index(max(share))
+        out.append((languages[best], share[best] / sum(share), spans))
+    return out
+
+
+def test_labels_equal_brute_force(spark, sample):
+    rows = sample.where(F.length("text") < 1500).select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    labelled, texts = [(r["text"], r["lang"]) for r in rows[:60]], [r["text"] for r in rows[60:100]] + ["", "12 !", "привет world", "der die das und the of"]
+    model = language_id.fit(spark.createDataFrame([(i, *x) for i, x in enumerate(labelled)], "doc_id long, text string, lang string"))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"], r["spans"]) for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (lang, score, spans) in enumerate(brute_language(texts, labelled)):
+        assert (found[i][0], found[i][2]) == (lang, spans) and found[i][1] == pytest.approx(score)
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     scores = rng.normal(size=(9, 3)).astype(np.float32)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from histlens.llm import queries
+from histlens.llm.packing import file_order
 from histlens.llm.quality import quality_rules
 from histlens.llm.similar import similar_classes
 
@@ -41,13 +42,40 @@ def test_each_decision_takes_effect(stages):
     assert ids(stages["packing"].where("piece = 0")) == ids(stages["mixing"])
 
 
-def test_hard_rows_pass_all_stages(spark, hard):
-    docs = hard
+def test_hard_rows_pass_all_stages(spark, hard, none):
+    """Each stage on the hard rows: what goes, what stays, and how it leaves the columns."""
+    kept = pipeline.quality(spark, hard, "")
+    # All but one have fewer than 50 words, and that one repeats itself.
+    assert kept.columns == hard.columns and kept.count() == 0
+    lined = pipeline.lines(spark, hard, "")
+    assert Counter(tuple(r) for r in lined.collect()) == Counter(tuple(r) for r in hard.collect())
+    assert ids(pipeline.near_dedup(spark, hard, "")) == Counter([1, 2, 6, 7, -8])
+    mixed = ids(pipeline.mixing(spark, hard, ""))
+    # Texts without words come along in their turn; none comes more than three times a copy.
+    assert mixed[6] > 0 and all(n <= 3 * ids(hard)[i] for i, n in mixed.items())
+    pieces = pipeline.packing(spark, hard, "")
+    assert ids(pieces.where("piece = 0")) == ids(hard)
     for name, stage in pipeline.STAGES:
-        docs = stage(spark, docs, "")
-        if name != "packing":
-            assert docs.columns == hard.columns
-    docs.collect()
+        found = stage(spark, none, "")
+        assert found.count() == 0 and (name == "packing" or found.columns == none.columns)
+
+
+def test_the_curriculum_s_order_comes_through(stages):
+    """Documents of an early stretch of the mix are in sequences of lower ids; checked in small ranges."""
+    order = {}
+    place = file_order(stages["mixing"])
+    for k, r in enumerate(stages["mixing"].orderBy(place).select("doc_id").collect()):
+        order.setdefault(r["doc_id"], k)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("histlens.llm.packing.SHARD_PIECES", 60)
+        pieces = pipeline.packing(stages["mixing"].sparkSession, stages["mixing"], "").collect()
+    once = {i for i, n in ids(stages["mixing"]).items() if n == 1}
+    shards = {}
+    for r in pieces:
+        if r["doc_id"] in once:
+            shards.setdefault(r["sequence_id"] >> 32, []).append(order[r["doc_id"]])
+    ranges = [(min(x), max(x)) for _, x in sorted(shards.items())]
+    assert len(ranges) > 2 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
 def test_run(spark, small):
