@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
 MOST = 3
 #: Rows of a prefix-sum bucket, at most about so many; a source's share of rows in one task falls with it.
-BUCKET_ROWS = 4_000
+BUCKET_ROWS = 1_000
 #: Copies of a unit that are dealt out together.
 CHUNK = 1_000
 
