@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -203,7 +204,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, to: str | None =
 
     Null text is empty text; each document ends with the id `end`.  Documents
     are written in ascending doc_id order, null ids first; rows that share an id
-    follow one another, ordered by length and codes.  Other columns are ignored.
+    follow one another, ordered by length and codes, or by hash first if they
+    fill several buckets.  Other columns are ignored.
     """
     spark = docs.sparkSession
     to = to or work_path(spark, "tokens")
@@ -216,20 +218,56 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, to: str | None =
     used = np.flatnonzero(lengths)
     spark.createDataFrame(pa.table({"id": pa.array(used), "n": pa.array(counts[used]), "length": pa.array(lengths[used].astype(np.int32))})).coalesce(1).write.parquet(f"{to}/codebook")
     buckets = int(min(MOST_BUCKETS, counts.sum() // BUCKET_IDS + 1))
-    bounds = np.array([] if buckets == 1 else sorted(set(staged.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or [])), np.int64)
-    coded = staged.mapInArrow(_coder(bounds, lengths, width), "bucket int, doc_id long, n long, marks binary, payload binary")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "payload")
+    cuts, (every, nulls) = [], (1, 0)
+    if buckets > 1:
+        cuts = staged.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
+        every, nulls = staged.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = Ranges.of(cuts, -(-buckets * nulls // max(every, 1)))
+    coded = staged.mapInArrow(_coder(ranges, lengths, width), "bucket int, doc_id long, n long, marks binary, payload binary")
+    dealt = coded.repartitionById(ranges.slots, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "payload")
     dealt.mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
     _delete(spark, f"{to}/staged")
     return to
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Buckets of ascending doc_id, null first; an id that several cuts fall on, or none, has as many buckets of its own."""
+
+    bounds: np.ndarray
+    #: Of each bound its first bucket, and the buckets of its own id after that one, 0 if it shares it.
+    first: np.ndarray
+    own: np.ndarray
+    nulls: int
+    slots: int
+
+    @staticmethod
+    def of(cuts: list[int], nulls: int) -> Ranges:
+        bounds, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        own = np.where(times > 1, times, 0)
+        first = nulls + np.cumsum(1 + own) - 1 - own
+        return Ranges(bounds, first, own, nulls, int(nulls + len(bounds) + own.sum() + 1))
+
+    def bucket(self, owner: pa.Array, payloads: list[bytes]) -> np.ndarray:
+        """The bucket of each document; payloads deal out those of a bucket's only id."""
+        null = owner.is_null().to_numpy(zero_copy_only=False)
+        ids = owner.fill_null(0).to_numpy()
+        at = np.searchsorted(self.bounds, ids, side="left")
+        found = np.append(self.first, self.slots - 1)[at]
+        many = np.append(self.own, 0)[at] * (np.append(self.bounds, 0)[at] == ids)
+        many = np.where(null, self.nulls, many)
+        found = np.where(null, 0, found + (many > 0))
+        for i in np.flatnonzero(many > 1):
+            found[i] += zlib.crc32(payloads[i]) % many[i]
+        return found
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _coder(bounds: np.ndarray, lengths: np.ndarray, width: int) -> Callable:
+def _coder(ranges: Ranges, lengths: np.ndarray, width: int) -> Callable:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
         for batch in batches:
@@ -239,10 +277,10 @@ def _coder(bounds: np.ndarray, lengths: np.ndarray, width: int) -> Callable:
                 payload, firsts, at = encode_documents(ids[bounds_of[low] : bounds_of[high]], counts, codes, lengths)
                 starts = np.cumsum(counts) - counts
                 owner = batch["doc_id"][low:high]
-                bucket = np.where(owner.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, owner.fill_null(0).to_numpy(), side="left"))
+                payloads = [payload[a:b] for a, b in zip(firsts[:-1], firsts[1:])]
                 marks = [(at[s : s + n : EVERY] - 8 * f).astype("<u8").tobytes() for s, n, f in zip(starts, counts, firsts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.astype(np.int32)), owner, pa.array(counts), pa.array(marks, pa.binary()), pa.array([payload[a:b] for a, b in zip(firsts[:-1], firsts[1:])], pa.binary())], ["bucket", "doc_id", "n", "marks", "payload"]
+                    [pa.array(ranges.bucket(owner, payloads).astype(np.int32)), owner, pa.array(counts), pa.array(marks, pa.binary()), pa.array(payloads, pa.binary())], ["bucket", "doc_id", "n", "marks", "payload"]
                 )
 
     return coded

@@ -361,6 +361,25 @@ def test_token_files_many_buckets(spark, sample, monkeypatch):
     check_files(spark, sample, plain(sample, "doc_id", "text"))
 
 
+def test_token_files_of_ids_that_fill_many_buckets(spark, monkeypatch):
+    """A third of the rows without an id, a third with the same one; none of the buckets holds them all."""
+    monkeypatch.setattr(huffman, "BUCKET_IDS", 200)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"some text number {i % 70} " * 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_files(spark, docs, rows)
+    path = huffman.write_tokens(docs, WORDS)
+    held = spark.read.parquet(f"{path}/blocks").select("bucket", F.explode("docs").alias("doc_id")).groupBy("bucket", "doc_id").count().collect()
+    for hot in (None, 50):
+        assert max(r["count"] for r in held if r["doc_id"] == hot) < 50 < sum(r["count"] for r in held if r["doc_id"] == hot)
+
+
+def test_ranges_of_ids():
+    owner, ranges = huffman.pa.array([None, 1, 5, 5, 6, 7, 9, None]), huffman.Ranges.of([5, 5, 5, 7], 2)
+    found = ranges.bucket(owner, [b"a", b"", b"b", b"c", b"", b"", b"", b"d"]).tolist()
+    assert ranges.slots == 2 + 1 + 3 + 1 + 1 and found[1] == 2 and all(3 <= x <= 5 for x in found[2:4]) and found[4:7] == [6, 6, 7] and found[0] < 2 > found[7]
+    assert huffman.Ranges.of([], 0).bucket(owner, [b""] * 8).tolist() == [0] * 8 and huffman.Ranges.of([4], 0).bucket(owner, [b""] * 8).tolist() == [0, 0, 1, 1, 1, 1, 1, 0]
+
+
 def test_token_files_empty(spark, none):
     assert huffman.read_tokens(spark, huffman.write_tokens(none, WORDS)).count() == 0
 
