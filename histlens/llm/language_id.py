@@ -25,6 +25,8 @@ from .common import lean_worker, select_columns, texts
 BUCKETS = 1 << 15
 #: Labelled documents of each language that the model is fit on.
 SAMPLE = 2000
+#: Distinct labels, at about 50 bytes each, whose sampling rates are broadcast; more are joined by key.
+BROADCAST_LANGUAGES = 50_000
 #: What a change of language between two words costs, as log-likelihood.
 SWITCH = 12.0
 SMOOTHING = 0.1
@@ -116,7 +118,7 @@ def fit(labelled: DataFrame) -> Model:
     # A little more than SAMPLE by hash, without a sort of a whole language; then exactly SAMPLE at most.
     rates = spark.createDataFrame([(k, min(1.0, 1.2 * SAMPLE / n)) for k, n in totals.items()], "lang string, rate double")
     hashed = known.withColumn("hash", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)))
-    near = hashed.join(rates, "lang").where(F.col("hash") < F.col("rate") * (1 << 30))
+    near = hashed.join(F.broadcast(rates) if len(languages) <= BROADCAST_LANGUAGES else rates, "lang").where(F.col("hash") < F.col("rate") * (1 << 30))
     sample = near.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("turn") <= SAMPLE).select("lang", "text")
     number = {x: i for i, x in enumerate(languages)}
 
