@@ -43,6 +43,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/histlens-{uuid.uuid4().hex}/{name}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more, wherever Spark's file systems keep it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as UTF-8 bytes, without copying where Arrow allows."""
     if isinstance(column, pa.ChunkedArray):

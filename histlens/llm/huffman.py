@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, select_columns, texts, work_path
+from .common import binary, remove, select_columns, texts, work_path
 from .tokens import encoder
 
 EVERY = 512
@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 1, to: str | None =
     coded = staged.mapInArrow(_coder(ranges, lengths, width), "bucket int, doc_id long, n long, marks binary, payload binary")
     dealt = coded.repartitionById(ranges.slots, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "n", "payload")
     dealt.mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
-    _delete(spark, f"{to}/staged")
+    remove(spark, f"{to}/staged")
     return to
 
 
@@ -262,11 +262,6 @@ class Ranges:
         return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def _coder(ranges: Ranges, lengths: np.ndarray, width: int) -> Callable:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
