@@ -2,51 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, remove, shared_folder, work_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder the context was given.
-
-    Where neither is set, one machine's own run (tests) gets a folder of its own;
-    on a cluster such a folder would lose data, so that raises.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    if not found:
-        if held.isDefined():
-            return held.get()
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="histlens-checkpoint-")
-    if held.isEmpty():
-        context.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder; later reads survive lost executors and never compute it again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/histlens-{uuid.uuid4().hex}/{name}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more, wherever Spark's file systems keep it."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["binary", "checkpointed", "documents", "kept_between_tasks", "lean_worker", "map_batches", "remove", "select_columns", "shared_folder", "text_key", "texts", "work_path"]
 
 
 def binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:

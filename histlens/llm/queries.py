@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .band_join import band_join
 from .common import documents
 from .exact_dedup import exact_dedup
 from .huffman import read_tokens, write_tokens
@@ -17,6 +18,8 @@ from .mixing import mixed
 from .packing import packed
 from .pii import personal_data
 from .quality import quality_rules
+from .resampling import resample
+from .sharding import balanced
 from .simhash_dedup import near_duplicates
 from .tokens import tokenizer_path
 
@@ -126,6 +129,68 @@ FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN f ON f.doc_id = w.doc_
 """
 
 
+def _crc_table() -> list[int]:
+    """What each four bits add to a CRC-32."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+def _crc_sql(digits: str) -> str:
+    """DuckDB's CRC-32 of UTF-8 text given as the list of its hexadecimal digits; the low one of a byte counts first."""
+    table = ", ".join(f"{c}::BIGINT" for c in _crc_table())
+    values = f"list_transform({digits}, lambda x, i: (strpos('0123456789ABCDEF', {digits}[i + 2 * (i % 2) - 1]) - 1)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, x: xor(c >> 4, ([{table}])[(xor(c, x) & 15) + 1])), 4294967295::BIGINT)"
+
+
+OP11_SQL = f"""
+WITH l AS (SELECT sale_id, line_no::BIGINT AS line_no, item_id, floor(100 * amount + 0.5)::BIGINT AS a, quantity::BIGINT AS q FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND abs(100 * amount + 0.5) < 9e15),
+f AS (SELECT *, CASE WHEN q < 0 THEN -(2 * a + q) ELSE 2 * a + q END AS x, 2 * abs(q) AS y,
+    string_split(hex(concat(sale_id, ',', line_no, ',', item_id)), '') AS digits FROM l),
+s AS (SELECT sale_id, line_no, item_id, (x - (x % y + y) % y) // y AS u, {_crc_sql("digits")} AS crc FROM f),
+i AS (SELECT row_number() OVER () AS k, item_id, CASE WHEN abs(100 * price + 0.5) < 9e15 AND item_id IS NOT NULL THEN floor(100 * price + 0.5)::BIGINT END AS p FROM items),
+o AS (SELECT item_id, u, count(*) AS n, sum(crc) AS crc FROM s GROUP BY ALL),
+g AS (SELECT u, sum(n) AS n, sum(crc) AS crc FROM o GROUP BY u),
+t AS (SELECT p, sum(n) AS n, sum(n * abs(u - p)) AS gap_sum, sum(crc) AS crc FROM (SELECT DISTINCT p FROM i) x JOIN g
+  ON u BETWEEN p - 100 - abs(p) // 500 AND p + 100 + abs(p) // 500 WHERE abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p) GROUP BY p),
+m AS (SELECT k, sum(n) AS n, sum(n * abs(u - p)) AS gap_sum, sum(crc) AS crc FROM i JOIN o USING (item_id) WHERE abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p) GROUP BY k),
+h AS (SELECT sale_id, line_no, item_id AS line_item_id, u FROM s QUALIFY row_number() OVER (PARTITION BY u, item_id ORDER BY sale_id, line_no NULLS FIRST) <= 2),
+r AS (SELECT k, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, (row_number() OVER (PARTITION BY k ORDER BY abs(u - p), u, sale_id, line_no NULLS FIRST, line_item_id))::INT AS rank
+  FROM i JOIN h ON u BETWEEN p - 100 - abs(p) // 500 AND p + 100 + abs(p) // 500 WHERE (abs(u - p) <= 100 OR 1000 * abs(u - p) <= greatest(u, p)) AND line_item_id <> item_id QUALIFY rank <= 2)
+SELECT item_id, coalesce(rank, 0) AS rank, gap, u, sale_id, line_no, line_item_id, (coalesce(t.n, 0) - coalesce(m.n, 0))::BIGINT AS n_pairs,
+  (coalesce(t.gap_sum, 0) - coalesce(m.gap_sum, 0))::BIGINT AS gap_sum, (coalesce(t.crc, 0) - coalesce(m.crc, 0))::BIGINT AS lines_crc
+FROM i LEFT JOIN t ON t.p = i.p LEFT JOIN m ON m.k = i.k LEFT JOIN r ON r.k = i.k
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '{_LICENSE_WORD}') AS ws FROM documents),
+f AS (SELECT k, unnest(ws) AS w FROM d),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '{_LICENSE_WORD}')) AS w FROM benchmark),
+x AS (SELECT w, string_split(hex(w), '') AS digits FROM (SELECT w FROM f UNION SELECT w FROM b) y),
+c AS (SELECT w, {_crc_sql("digits")} % 10000 AS bucket FROM x),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN c USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT k, count(*) AS n, sum(gain)::BIGINT AS total FROM f JOIN c USING (w) JOIN g USING (bucket) GROUP BY k),
+v AS (SELECT k, doc_id, len(ws)::BIGINT AS n_features, coalesce((total - (total % n + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (k)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM v),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (k)
+"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS digest, strlen(coalesce(text, '')) + 16 AS size, string_split(hex(coalesce(text, '')), '') AS digits FROM documents),
+g AS (SELECT doc_id, t, digest, size, digits, min(doc_id) OVER (PARTITION BY t) AS first, sum(size) OVER (PARTITION BY t) AS together FROM d),
+p AS (SELECT *, sum(size) OVER (ORDER BY first NULLS FIRST, digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS whole FROM g),
+s AS (SELECT *, CASE WHEN together * 40 <= whole THEN 2 * min(start) OVER (PARTITION BY t) + together ELSE 2 * start + size END AS twice FROM p),
+n AS (SELECT *, least(twice * 40 // (2 * whole), 39)::INT AS shard FROM s)
+SELECT doc_id, size::BIGINT AS size, {_crc_sql("digits")} AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, NULL::INT AS grown_shard FROM n
+"""
+
+
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("fp")
 
@@ -171,7 +236,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=2048)
 
 
-QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op4_pii, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_license_scan, op9_mixing, op10_packing)
+def op11_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return band_join(read("sale_lines"), read("items"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = balanced(documents(spark, sf_dir), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = (op1_simhash_dedup, op2_language_id, op3_token_files, op4_pii, op5_exact_dedup, op6_quality_rules, op7_line_dedup, op8_license_scan, op9_mixing, op10_packing, op11_band_join, op12_resampling, op13_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -179,4 +258,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_license_scan": OP8_SQL, "op9_mixing": OP9_SQL, "op11_band_join": OP11_SQL, "op12_resampling": OP12_SQL, "op13_sharding": OP13_SQL}
