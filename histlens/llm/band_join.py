@@ -211,8 +211,8 @@ def band_join(lines: DataFrame, items: DataFrame, band: Band | None = None, k: i
     raw = select_columns(lines, "sale_id", "line_no", "item_id", "quantity", "amount").select(F.col("sale_id").cast("long").alias("sale_id"), F.col("line_no").cast("long").alias("line_no"), F.col("item_id").cast("long").alias("item_id"), unit_cents(cents(F.col("amount")), F.col("quantity")).alias("u"))
     raw = raw.where("sale_id IS NOT NULL AND item_id IS NOT NULL AND u IS NOT NULL")
     text = F.concat_ws(",", F.col("sale_id").cast("string"), F.coalesce(F.col("line_no").cast("string"), F.lit("")), F.col("item_id").cast("string"))
-    # Of each item and u, then of each u: both are added up before they are shuffled.
-    own = raw.select("item_id", "u", F.crc32(text.cast("binary")).alias("crc")).groupBy("item_id", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("crc").alias("crc"))
+    # Of each item and u, then of each u: both are added up before they are shuffled.  Written, as both sums and own totals read it.
+    own = checkpointed(raw.select("item_id", "u", F.crc32(text.cast("binary")).alias("crc")).groupBy("item_id", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("crc").alias("crc")))
     leaves = own.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc")).join(_first_lines(raw, k), "u").withColumn("shard", band.shard(F.col("u")))
 
     priced = select_columns(items, "item_id", "price").select(F.col("item_id").cast("long").alias("item_id"), cents(F.col("price")).alias("p")).groupBy("item_id", "p").agg(F.count(F.lit(1)).alias("copies"))
