@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY_MS, as_timestamp, days_between, millis
+from .ordered import preceding
 
 MISMATCH_MS = 48 * 3_600_000
 EPSILON_MS = 7 * DAY_MS
@@ -48,9 +49,12 @@ def date_forensics(commits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chain_check(chain: DataFrame, epsilon_ms: int = EPSILON_MS) -> DataFrame:
-    """Verdicts of a chain(chain_id, seq, prev_hash, head_hash, claimed_ts, received_ts) against each row's predecessor."""
-    w = Window.partitionBy("chain_id").orderBy("seq")
-    before = lambda c: F.lag(c).over(w)
+    """Verdicts of a chain(chain_id, seq, prev_hash, head_hash, claimed_ts, received_ts) against each row's predecessor.
+
+    A long chain is checked in ranges, each of which hands its last row to the next.
+    """
+    rows = preceding(chain, ["seq"], ["chain_id"], ["seq", "head_hash", "received_ts"], "__before")
+    before = lambda c: F.col(f"__before.{c}")
     first = before("seq").isNull()
     verdict = (
         F.when(first & F.col("prev_hash").isNotNull(), "unknown_start")
@@ -60,4 +64,4 @@ def chain_check(chain: DataFrame, epsilon_ms: int = EPSILON_MS) -> DataFrame:
         .when(millis(F.col("claimed_ts")) < millis(before("received_ts")) - epsilon_ms, "backdated")
         .otherwise("ok")
     )
-    return chain.withColumn("verdict", verdict)
+    return rows.withColumn("verdict", verdict).drop("__before")

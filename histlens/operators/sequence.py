@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import preceding, running
+
 
 def preceded_by(rows: DataFrame, keys: list[str], order: list[str], earlier: Column, value: Column) -> DataFrame:
-    """rows with `seen_before` (an earlier-or-same row matched) and `first_seen` (the value of the first one)."""
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("first_seen", F.min(F.when(earlier, value)).over(run)).withColumn("seen_before", F.col("first_seen").isNotNull())
+    """rows with `seen_before` (an earlier-or-same row matched) and `first_seen` (the least value of such rows).
+
+    A large group is read in ranges, each of which hands its running minimum to the next.
+    """
+    return running(rows, order, keys, {"first_seen": (F.min, F.when(earlier, value))}).withColumn("seen_before", F.col("first_seen").isNotNull())
 
 
 def added(child: Column, parent: Column) -> Column:
@@ -19,8 +23,8 @@ def added(child: Column, parent: Column) -> Column:
 
 def successive_additions(snapshots: DataFrame, keys: list[str], order: str, items: str) -> DataFrame:
     """Each snapshot's items that the one before it, by key, did not have."""
-    before = F.lag(items).over(Window.partitionBy(*keys).orderBy(order))
-    return snapshots.withColumn("parent", before).withColumn("added", added(F.col(items), F.col("parent"))).drop("parent")
+    rows = preceding(snapshots, [order], keys, [items], "__parent")
+    return rows.withColumn("added", added(F.col(items), F.col(f"__parent.{items}"))).drop("__parent")
 
 
 def manifest_additions(manifests: DataFrame, commits: DataFrame, blobs: DataFrame, dependencies: Column, valid: Column) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, times, values
 from ..functions.hashing import author_list_hash, salted
-from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ownership, ranking, sequence, signatures, skills
+from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ordered, ownership, ranking, sequence, signatures, skills
 from ..relations import line_churn, one_repository, order_commits, table
 from ..sources import stores
 from . import profile as profile_plan
@@ -184,19 +184,25 @@ def author_list(spark, sf_dir):
     return events(spark, sf_dir).groupBy("event_type").agg(author_list_hash(F.collect_set(F.col("user_id").cast("string"))).alias("hash"))
 
 
-def _merkle_sql(levels: int = 16) -> str:
-    steps = ["l0 AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, unhex(sha256('\\x00'::BLOB || encode(event_id::VARCHAR))) AS h FROM events)"]
+def _merkle_sql(source: str = "events", levels: int = 16) -> str:
+    steps = [f"l0 AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, unhex(sha256('\\x00'::BLOB || encode(event_id::VARCHAR))) AS h FROM {source})"]
     for k in range(1, levels + 1):
         steps.append(f"""l{k} AS (SELECT user_id, p // 2 AS p, CASE WHEN count(*) = 2 THEN unhex(sha256('\\x01'::BLOB || any_value(h) FILTER (p % 2 = 0) || any_value(h) FILTER (p % 2 = 1))) ELSE any_value(h) END AS h FROM l{k - 1} GROUP BY user_id, p // 2)""")
-    return f"WITH {', '.join(steps)} SELECT user_id, lower(hex(h)) AS merkle_root, n FROM l{levels} JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) USING (user_id)"
+    return f"WITH {', '.join(steps)} SELECT user_id, lower(hex(h)) AS merkle_root, n FROM l{levels} JOIN (SELECT user_id, count(*) AS n FROM {source} GROUP BY user_id) USING (user_id)"
 
 
 @query(_merkle_sql())
 def merkle_root(spark, sf_dir):
-    rows = events(spark, sf_dir).select("user_id", "event_id").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    rows = ordered.numbered(events(spark, sf_dir).select("user_id", "event_id"), ["event_id"], ["user_id"])
     return merkle.merkle_root(rows, ["user_id"], "pos", "event_id")
 
 
+@query(f"SELECT merkle_root, n FROM ({_merkle_sql('(SELECT 0 AS user_id, event_id FROM events) x', 40)}) y")
+def merkle_root_of_all(spark, sf_dir):
+    """All events as one history: its leaves are numbered by many tasks."""
+    return merkle.merkle_root(ordered.numbered(events(spark, sf_dir).select("event_id"), ["event_id"]), [], "pos", "event_id")
+
+
 # Comment lines appear in no prose; marks are put before every third line in both engines.
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
     m AS (SELECT doc_id, list_transform(ls, lambda x, i: CASE WHEN i % 3 = 0 THEN '  // ' || x WHEN i % 5 = 0 THEN '-- ' || x ELSE x END) AS ls FROM l)
@@ -276,6 +282,15 @@ def lookup_before_write(spark, sf_dir):
     return found.where(F.col("event_type") == "purchase").select("user_id", "event_id", "first_seen", "seen_before")
 
 
+@query("""WITH w AS (SELECT *, min(event_id) FILTER (event_type = 'view') OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM events)
+    SELECT event_id, v AS first_seen, v IS NOT NULL AS seen_before FROM w WHERE event_type = 'purchase'""")
+def lookup_before_write_of_all(spark, sf_dir):
+    """All events as one scope, by time: ranges of it hand their running minimum on."""
+    rows = events(spark, sf_dir).select("event_id", "event_type", "ts").where(F.col("event_type").isin("view", "purchase"))
+    found = sequence.preceded_by(rows, [], ["ts", "event_id"], F.col("event_type") == "view", F.col("event_id"))
+    return found.where(F.col("event_type") == "purchase").select("event_id", "first_seen", "seen_before")
+
+
 _BY_TYPE = "(SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)"
 
 
@@ -428,23 +443,36 @@ def quarter_bucket(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(times.quarter_bucket(F.col("o_orderdate")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A chain for each customer: orders in key order, every 13th lost, every 17th with a wrong link.
-@query("""WITH c AS (SELECT o_custkey::VARCHAR AS chain_id, o_orderkey, row_number() OVER w AS seq, lag(o_orderkey) OVER w AS before, o_orderdate AS claimed_ts FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+# A chain for each customer, or one of all: orders in key order, every 13th lost, every 17th with a wrong link.
+_CHAIN = """WITH c AS (SELECT {chain} AS chain_id, o_orderkey, row_number() OVER w AS seq, lag(o_orderkey) OVER w AS before, o_orderdate AS claimed_ts FROM orders WINDOW w AS (PARTITION BY {chain} ORDER BY o_orderkey)),
     r AS (SELECT chain_id, o_orderkey, seq, CASE WHEN o_orderkey % 17 = 0 THEN 'x' WHEN before IS NULL THEN NULL ELSE md5(before::VARCHAR) END AS prev_hash, md5(o_orderkey::VARCHAR) AS head_hash, claimed_ts FROM c),
     k AS (SELECT * FROM r WHERE o_orderkey % 13 <> 0),
     l AS (SELECT *, lag(seq) OVER v AS bs, lag(head_hash) OVER v AS bh, lag(claimed_ts) OVER v AS bc FROM k WINDOW v AS (PARTITION BY chain_id ORDER BY seq))
     SELECT chain_id, seq, CASE WHEN bs IS NULL AND prev_hash IS NOT NULL THEN 'unknown_start' WHEN bs IS NULL THEN 'start' WHEN seq <> bs + 1 THEN 'gap' WHEN prev_hash IS DISTINCT FROM bh THEN 'broken_link'
-      WHEN epoch_ms(claimed_ts) < epoch_ms(bc) - 604800000 THEN 'backdated' ELSE 'ok' END AS verdict FROM l""")
-def chain_check(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    before = F.lag("o_orderkey").over(w)
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("string").alias("chain_id"), "o_orderkey", F.row_number().over(w).cast("long").alias("seq"),
-        F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise(F.md5(before.cast("string"))).alias("prev_hash"), F.md5(F.col("o_orderkey").cast("string")).alias("head_hash"), F.col("o_orderdate").alias("claimed_ts"), F.col("o_orderdate").alias("received_ts"),
+      WHEN epoch_ms(claimed_ts) < epoch_ms(bc) - 604800000 THEN 'backdated' ELSE 'ok' END AS verdict FROM l"""
+
+
+def _chain(spark: SparkSession, sf_dir: str, chain: Column) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(chain.alias("chain_id"), "o_orderkey", "o_orderdate")
+    rows = ordered.preceding(ordered.numbered(rows, ["o_orderkey"], ["chain_id"]), ["o_orderkey"], ["chain_id"], ["o_orderkey"])
+    rows = rows.select(
+        "chain_id", "o_orderkey", (F.col("pos") + 1).alias("seq"), F.when(F.col("o_orderkey") % 17 == 0, "x").otherwise(F.md5(F.col("before.o_orderkey").cast("string"))).alias("prev_hash"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("head_hash"), F.col("o_orderdate").alias("claimed_ts"), F.col("o_orderdate").alias("received_ts"),
     )
     return forensics.chain_check(rows.where("o_orderkey % 13 <> 0")).select("chain_id", "seq", "verdict")
 
 
+@query(_CHAIN.format(chain="o_custkey::VARCHAR"))
+def chain_check(spark, sf_dir):
+    return _chain(spark, sf_dir, F.col("o_custkey").cast("string"))
+
+
+@query(_CHAIN.format(chain="'all'"))
+def chain_check_of_all(spark, sf_dir):
+    """One chain of all orders: ranges of it hand their last row on."""
+    return _chain(spark, sf_dir, F.lit("all"))
+
+
 @query("""WITH a AS (SELECT p_type AS label, sum(l_quantity) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type), s AS (SELECT label, amount / sum(amount) OVER () AS share FROM a)
     SELECT label, share FROM s WHERE share >= 0.165 ORDER BY share DESC, label LIMIT 5""")
 def top_categories(spark, sf_dir):

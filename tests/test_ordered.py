@@ -22,6 +22,12 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "k string, at long, v long").repartition(3).cache()
 
 
+@pytest.fixture(params=[ordered.BIG, 1000, 10], autouse=True)
+def big(request, monkeypatch):
+    """By windows alone, the hot group dealt out, and all groups dealt out."""
+    monkeypatch.setattr(ordered, "BIG", request.param)
+
+
 def groups(rows):
     found = defaultdict(list)
     for k, at, v in sorted(rows, key=lambda r: r[1]):
