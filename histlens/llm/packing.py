@@ -31,30 +31,47 @@ from .tokens import encoder
 
 CAPACITY = 2048
 SHARD_PIECES = 16_384
+#: Pieces that leave a task together, so that ids are not all widened at once.
+_AT_ONCE = 512
+#: Part number and number within the part, in the names of files that Spark writes.
+_PART = r"^part-(\d+)-.*-c(\d+)\."
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def file_order(docs: DataFrame) -> Column | None:
-    """The place of each row in the files that docs was read from, or None if it was not read from files.
+    """The place of each row in the sorted table that docs was read from, or None if it was not read from files.
 
-    Readers take files up in any order; a sorted table is sorted by its part number and the row's place there.
+    Readers take files up in any order; Spark numbers the parts of a table that it
+    writes sorted.  Files of other names, or two of one number (a table that was
+    renamed, appended to or put together), have no such order: that raises.
     """
     try:
-        docs.select("_metadata.file_name", "_metadata.row_index")
+        files = docs.select(F.col("_metadata.file_name").alias("file"), "_metadata.row_index")
     except AnalysisException:
         return None
-    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
-    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
-
-
-def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
-    """A row of PIECES and position (of order) for each piece of docs(doc_id, text), each document ending with the id `end`."""
+    # A sorted part may be split into several files, numbered at the name's end.
+    number = F.regexp_extract("file", _PART, 1).try_cast("long").alias("number")
+    named = files.select("file").distinct().select(number, F.regexp_extract("file", _PART, 2).try_cast("long").alias("split"))
+    odd = named.groupBy("number", "split").agg(F.count(F.lit(1)).alias("n")).where("number IS NULL OR split IS NULL OR n > 1")
+    if not odd.isEmpty():
+        raise ValueError("these files do not number the parts of one sorted table, so they have no order: carry it as a column")
+    place = lambda group: F.regexp_extract("_metadata.file_name", _PART, group).cast("long")
+    return F.shiftleft(place(1), 44) + F.shiftleft(place(2), 32) + F.col("_metadata.row_index")
+
+
+def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None, keep_ids: bool = False) -> DataFrame:
+    """A row of PIECES, position (of order) and ids for each piece of docs(doc_id, text), each document ending with the id `end`.
+
+    ids (little-endian, as wide as the vocabulary needs) are null unless asked for.
+    A null or empty text is just the end id, an empty table has no pieces; a text is
+    encoded whole; other columns are ignored.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         kind, tail = f"<u{encode.width}", np.array([end], "<u4")
         for batch in batches:
-            owner, rows = [], []
+            owner, rows, kept = [], [], []
             for i, text in enumerate(texts(batch["text"])):
                 ids = np.concatenate([np.frombuffer(encode.encode(text), kind).astype("<u4"), tail])
                 high = (len(ids) - 1) % capacity + 1
@@ -62,6 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
                 while low < len(ids):
                     owner.append(i)
                     rows.append((low, high - low, zlib.crc32(memoryview(ids[low:high]))))
+                    kept.append(ids[low:high].astype(kind).tobytes() if keep_ids else None)
                     low, high = high, high + capacity
             number = [0] * len(owner)
             for k in range(1, len(owner)):
@@ -69,13 +87,13 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
             starts, lengths, sums = zip(*rows) if rows else ((), (), ())
             owner = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(owner), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), batch["position"].take(owner)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "position"],
+                [batch["doc_id"].take(owner), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), batch["position"].take(owner), pa.array(kept, pa.binary())],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "position", "ids"],
             )
 
     position = F.lit(None).cast("long") if order is None else order.cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", position.alias("position"))
-    return rows.mapInArrow(made, f"{PIECES}, position long")
+    return rows.mapInArrow(made, f"{PIECES}, position long, ids binary")
 
 
 def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
@@ -103,16 +121,31 @@ def sum_of_squares(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[i
     return sequence, offset
 
 
-def _packer(capacity: int):  # noqa: ANN202
+def _as_lists(ids: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Encoded ids as lists of ints; their width follows from the lengths."""
+    ends = np.concatenate([[0], np.cumsum(lengths.to_numpy())])
+    joined = b"".join(x.as_py() for x in ids)
+    values = np.frombuffer(joined, f"<u{len(joined) // int(ends[-1])}").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _packer(capacity: int, keep_ids: bool):  # noqa: ANN202
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
 
-        def made() -> pa.RecordBatch:
+        def made() -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(rows).combine_chunks()
             sequence, offset = sum_of_squares(table["length"].to_pylist(), capacity)
             first = (at + 1) << 32
-            columns = [table[c].combine_chunks() for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([first + x for x in sequence], pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            for low in range(0, len(offset), _AT_ONCE):
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                part = table.slice(low, _AT_ONCE)
+                columns = [part[c].combine_chunks() for c in names]
+                columns += [pa.array([first + x for x in sequence[low : low + _AT_ONCE]], pa.int64()), pa.array(offset[low : low + _AT_ONCE], pa.int64())]
+                names += ["sequence_id", "offset"]
+                if keep_ids:
+                    names, columns = [*names, "ids"], [*columns, _as_lists(part["ids"].combine_chunks(), columns[3])]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             shards = batch["shard"].to_numpy()
@@ -122,17 +155,20 @@ def _packer(capacity: int):  # noqa: ANN202
                     continue
                 if shards[low] != at:
                     if rows:
-                        yield made()
+                        yield from made()
                     at, rows = int(shards[low]), []
                 rows.append(batch.slice(low, high - low))
         if rows:
-            yield made()
+            yield from made()
 
     return packed
 
 
-def packed(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text).
+def packed(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, order: Column | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for each piece of docs(doc_id, text).
+
+    With keep_ids a row has the piece's ids, an array of int, so that sequences can
+    be put together from the result alone.
 
     order, if given, is a whole number a row: sequence ids then rise with it
     from range to range.  Null text is empty text, a document of just the end
@@ -140,11 +176,13 @@ def packed(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACI
     Ties go by doc_id, piece and checksum, so reruns agree.  An empty table
     gives an empty result; other columns are ignored.
     """
-    found = checkpointed(pieces(docs, tokenizer, end, capacity, order))
+    found = checkpointed(pieces(docs, tokenizer, end, capacity, order, keep_ids))
     shards = int(found.count() // SHARD_PIECES + 1)
     if order is None:
         dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
     else:
         dealt = found.repartitionByRange(shards, "position", "doc_id", "piece", "ids_crc32").withColumn("shard", F.spark_partition_id())
     dealt = dealt.sortWithinPartitions("shard", F.col("length").desc(), "doc_id", "piece", "ids_crc32").drop("position")
-    return dealt.mapInArrow(_packer(capacity), f"{PIECES}, sequence_id long, offset long")
+    if not keep_ids:
+        dealt = dealt.drop("ids")
+    return dealt.mapInArrow(_packer(capacity, keep_ids), f"{PIECES}, sequence_id long, offset long" + ", ids array<int>" * keep_ids)

@@ -1,4 +1,4 @@
-"""The band join, importance resampling and sharding: brute force, their SQL, and hard rows."""
+"""The band join, importance resampling and sharding: brute force and hard rows."""
 
 import hashlib
 import math
@@ -6,13 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from histlens.llm import band_join, queries, resampling, sharding
+from histlens.llm import band_join, resampling, sharding
 
 LINES = "sale_id long, line_no int, item_id long, quantity int, amount double, gap string, u string, p string"
 ITEMS = "item_id long, price double, n string, shard string"
@@ -192,14 +190,3 @@ def test_sharding_of_copies(spark):
 
 def test_sharding_empty(none):
     assert sharding.balanced(none, 7).count() == 0
-
-
-@pytest.mark.parametrize("name", ["op11_band_join", "op12_resampling", "op13_sharding"])
-def test_matches_sql(spark, small, name):
-    connection = duckdb.connect()
-    for file in Path(small).glob("*.parquet"):
-        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
-    theirs = connection.execute(queries.oracle_sql()[name])
-    columns = [d[0] for d in theirs.description]
-    ours = queries.queries()[name](spark, small).select(*columns)
-    assert Counter(map(tuple, ours.collect())) == Counter(theirs.fetchall())

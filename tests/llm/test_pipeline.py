@@ -1,14 +1,20 @@
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from histlens.llm import queries
+from histlens.llm.common import work_path
 from histlens.llm.packing import file_order
 from histlens.llm.quality import quality_rules
 from histlens.llm.similar import similar_classes
+from histlens.llm.tokens import tokenizer_path
 
 
 @pytest.fixture(scope="module")
@@ -79,14 +85,61 @@ def test_the_curriculum_s_order_comes_through(stages):
 
 
 def test_run(spark, small):
-    assert pipeline.run(spark, small).count() > 0
+    """Every sequence is put together from the result alone, and nothing else is left in the shared folder's tables."""
+    found = pipeline.run(spark, small)
+    rows = found.collect()
+    sequences = {}
+    for r in rows:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        assert r["offset"] not in sequences.setdefault(r["sequence_id"], {})
+        sequences[r["sequence_id"]][r["offset"]] = r["ids"]
+    for parts in sequences.values():
+        whole = [x for _, x in sorted(parts.items())]
+        assert sorted(parts) == [sum(map(len, whole[:i])) for i in range(len(whole))] and sum(map(len, whole)) <= 2048
+    # A document's pieces, put together, are the tokens of a text of the corpus whose lines may have gone.
+    first = next(r for r in rows if r["piece"] == 0 and r["start"] + r["length"] < 2048)
+    text = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).decode(first["ids"][:-1])
+    source = spark.read.parquet(f"{small}/documents.parquet").where(F.col("doc_id") == first["doc_id"]).first()["text"]
+    assert set(text.split("\n")) <= set(source.split("\n"))
+
+
+def test_run_removes_what_it_wrote_when_a_stage_fails(spark, small, monkeypatch):
+    made = []
+
+    def path(spark, name):
+        made.append(work_path(spark, name))
+        return made[-1]
+
+    def fails(spark, docs, sf_dir):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(pipeline, "work_path", path)
+    monkeypatch.setattr(pipeline, "STAGES", [pipeline.STAGES[0], ("fails", fails)])
+    with pytest.raises(RuntimeError, match="lost"):
+        pipeline.run(spark, small)
+    assert len(made) == 2 and not any(Path(x.removeprefix("file:")).exists() for x in made)
+
+
+def test_order_of_files_that_have_none(spark, hard, tmp_path):
+    """A table that was appended to or renamed has no order of its own, and is no curriculum by accident."""
+    docs = hard.select("doc_id", "text")
+    docs.repartition(2).write.parquet(str(tmp_path / "twice"))
+    assert file_order(spark.read.parquet(str(tmp_path / "twice"))) is not None
+    docs.write.mode("append").parquet(str(tmp_path / "twice"))
+    with pytest.raises(ValueError, match="order"):
+        file_order(spark.read.parquet(str(tmp_path / "twice")))
+    docs.coalesce(1).write.parquet(str(tmp_path / "named"))
+    next((tmp_path / "named").glob("part-*")).rename(tmp_path / "named" / "rows.parquet")
+    with pytest.raises(ValueError, match="order"):
+        file_order(spark.read.parquet(str(tmp_path / "named")))
+    assert file_order(hard) is None
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, small, name):
-    documents = f"'{small}/documents.parquet'"  # noqa: F841
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM {documents}")
+    for file in Path(small).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
     theirs = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in theirs.description]
     ours = queries.queries()[name](spark, small)
