@@ -1,26 +1,21 @@
 """Structural findings: anchors that belong together.
 
 Patterns of a repository share one budget of search work that is spent in a
-fixed order, so a repository is classified in one task, over its anchors,
-resolved edges and touched files; repositories run side by side.  A snapshot's
-file cap bounds what one task holds.
+fixed order.  The work of each pattern is counted by joins and added up in that
+order, so it is known where the budget runs out without searching one after the
+other, and a repository of any size is many tasks' work.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import groupby, product
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ..functions.values import CONFIDENCE
+from ..shared import checkpointed
 from .anchors import IAP_PACKAGES, LIBRARIES, PROVIDERS
+from .graph import distances, undirected
 
 MAX_HOPS = 3
 WORK_BUDGET = 2_000_000
@@ -51,178 +46,157 @@ FINDINGS = """repo_id string, slug string, confidence string, attributed boolean
 anchors array<struct<kind: string, path: string, fn: string, line: int, reason: string>>, connection string, edge_distance int, search_bounded boolean"""
 
 
-class Exhausted(Exception):
-    """The search budget is spent."""
-
-
-@dataclass
-class Search:
-    """Distances over undirected file edges, and the work that asking for them costs."""
-
-    edges: dict[str, set[str]]
-    budget: int = WORK_BUDGET
-    work: int = 0
-    _known: dict[str, dict[str, int]] = field(default_factory=dict)
-
-    def spend(self, units: int = 0) -> None:
-        self.work += units
-        if self.work > self.budget:
-            raise Exhausted
-
-    def within(self, start: str) -> dict[str, int]:
-        """Files within MAX_HOPS of one; the first question for a file costs as many units as it has answers."""
-        if start not in self._known:
-            found, waiting = {start: 0}, deque([start])
-            while waiting:
-                here = waiting.popleft()
-                if found[here] < MAX_HOPS:
-                    for other in self.edges.get(here, ()):
-                        if other not in found:
-                            found[other] = found[here] + 1
-                            waiting.append(other)
-            self._known[start] = found
-            self.work += len(found)
-        return self._known[start]
-
-    def distance(self, a: str, b: str) -> int:
-        return 0 if a == b else self.within(a).get(b, MAX_HOPS + 1)
-
-    def nearest(self, sides: list[list[str]]) -> tuple[int, tuple[str, ...]] | None:
-        """Files, one of each side, with the smallest largest distance within MAX_HOPS; the first in order of the sides wins ties."""
-        best: tuple[int, tuple[str, ...]] | None = None
-        for reach, files in self._candidates(sides):
-            if reach <= MAX_HOPS and (best is None or reach < best[0]):
-                best = (reach, files)
-        return best
-
-    def _candidates(self, sides: list[list[str]]) -> Iterator[tuple[int, tuple[str, ...]]]:
-        for a, b in product(sides[0], sides[1]):
-            # A pair is a unit of work by itself; for triples the third file is.
-            self.spend(1 if len(sides) == 2 else 0)
-            first = self.distance(a, b)
-            self.spend()
-            if len(sides) == 2:
-                yield first, (a, b)
-            elif first <= MAX_HOPS:
-                for c in sides[2]:
-                    self.spend(1)
-                    yield max(first, self.distance(a, c), self.distance(b, c)), (a, b, c)
-
-
-def _ordered(anchors: list[dict]) -> list[dict]:
-    return sorted(anchors, key=lambda a: (a["path"], a["line"], a["kind"]))
-
-
-def _together(groups: list[list[dict]], scope) -> list[dict] | None:  # noqa: ANN001
-    """The first anchor of each group in the first scope, by the first group's order, that all groups have."""
-    firsts: list[dict] = []
-    for group in groups:
-        seen: dict = {}
-        for a in _ordered(group):
-            seen.setdefault(scope(a), a)
-        firsts.append(seen)
-    for a in _ordered(groups[0]):
-        if all(scope(a) in f for f in firsts):
-            return [a, *(f[scope(a)] for f in firsts[1:])]
-    return None
-
-
-def _weaker(a: str, b: str) -> str:
-    return min(a, b, key=CONFIDENCE.index)
-
-
-def _one_library(groups: list[list[dict]]) -> list[list[dict]]:
-    """Anchors of the library that most groups have, and those of none; the first that appears wins ties."""
-    names = list(dict.fromkeys(a["library"] for g in groups for a in g if a["library"]))
-    if len(names) < 2:
-        return groups
-    best = max(names, key=lambda n: (sum(any(a["library"] in (n, None) for a in g) for g in groups), -names.index(n)))
-    return [[a for a in g if a["library"] in (best, None)] for g in groups]
-
-
-def classify(anchors: list[dict], edges: dict[str, set[str]], packages: set[str], touched: set[str], budget: int = WORK_BUDGET) -> list[dict]:
-    """Findings of one repository, by slug."""
-    search, out = Search(edges, budget), []
-
-    def of(kind: str, pattern: Pattern) -> list[dict]:
-        return [a for a in anchors if a["kind"] == kind and (pattern.provider is None or kind != "webhook-verification" or a["provider"] == pattern.provider)]
-
-    def report(pattern: Pattern, confidence: str, own: list[dict], connection: str | None = None, distance: int | None = None, bounded: bool | None = None) -> None:
-        attributed = any(a["path"] in touched for a in own)
-        kept = [{k: a[k] for k in ("kind", "path", "fn", "line", "reason")} for a in _ordered(own)]
-        out.append({"slug": pattern.slug, "confidence": confidence, "attributed": attributed, "claimed": attributed and confidence != "ambiguous", "anchors": kept, "connection": connection, "edge_distance": distance, "search_bounded": bounded})
-
-    for pattern in PATTERNS:
-        groups = [of(k, pattern) for k in pattern.kinds]
-        if pattern.scoped:
-            groups = _one_library(groups)
-        own = [a for g in groups for a in g]
-        lacking = pattern.optional if pattern.optional and not of(pattern.optional, pattern) else None
-        # Without an optional member of the three, the other two are searched.
-        sides = [g for g, k in zip(groups, pattern.kinds) if k != lacking]
-        most = "inferred" if lacking else "direct"
-        if all(sides):
-            scopes = (("same-function", lambda a: (a["path"], a["fn"])), ("same-file", lambda a: a["path"]))
-            hit = next(((name, found) for name, scope in scopes if (found := _together(sides, scope))), None)
-            if hit:
-                report(pattern, _weaker("direct", most), hit[1], hit[0], 0)
-                continue
-            try:
-                near = search.nearest([list(dict.fromkeys(a["path"] for a in _ordered(s))) for s in sides])
-            except Exhausted:
-                report(pattern, "ambiguous", own, bounded=True)
-                continue
-            if near:
-                report(pattern, _weaker("inferred", most), [next(a for a in _ordered(s) if a["path"] == f) for s, f in zip(sides, near[1])], "cross-file", near[0])
-                continue
-        if groups[0] or packages & set(pattern.packages):
-            report(pattern, "ambiguous", own)
-    return sorted(out, key=lambda f: f["slug"])
+#: The pseudo side of a kind that is optional and none of a pattern's three.
+BESIDE = 3
+_ANCHOR = ("path", "line", "kind", "fn", "reason")
+
+
+def _pattern_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """kinds(kind, ord, side, need) and patterns(ord, slug, scoped, optional_side): fixed lists."""
+    kinds, patterns = [], []
+    for i, p in enumerate(PATTERNS):
+        kinds += [(kind, i, side, p.provider if kind == "webhook-verification" else None) for side, kind in enumerate(p.kinds)]
+        beside = None if p.optional is None else p.kinds.index(p.optional) if p.optional in p.kinds else BESIDE
+        if beside == BESIDE:
+            kinds.append((p.optional, i, BESIDE, None))
+        patterns.append((i, p.slug, p.scoped, beside))
+    return F.broadcast(spark.createDataFrame(kinds, "of_kind string, ord int, side int, need string")), F.broadcast(spark.createDataFrame(patterns, "ord int, slug string, scoped boolean, optional_side int"))
+
+
+_OF = ["repo_id", "ord"]
+
+
+def _members(anchors: DataFrame, kinds: DataFrame, patterns: DataFrame) -> DataFrame:
+    """repo_id, ord, side, a (an anchor, in order) of each pattern that an anchor may be part of; scoped patterns keep one library."""
+    rows = anchors.join(kinds, (F.col("kind") == F.col("of_kind")) & (F.col("need").isNull() | (F.col("provider") == F.col("need")))).join(patterns, "ord")
+    rows = checkpointed(rows.select("repo_id", "ord", "side", "scoped", "library", F.struct(*_ANCHOR).alias("a")))
+    own = rows.where((F.col("side") < BESIDE) & F.col("scoped"))
+    # The library that most sides have, anchors of none counting for each; the first that appears wins ties.
+    neutral = own.where("library IS NULL").groupBy(*_OF).agg(F.collect_set("side").alias("neutral"))
+    named = own.where("library IS NOT NULL").groupBy(*_OF, "library").agg(F.collect_set("side").alias("sides"), F.min(F.struct("side", "a")).alias("first"))
+    score = F.size(F.array_union("sides", F.coalesce("neutral", F.array().cast("array<int>"))))
+    best = named.join(neutral, _OF, "left").groupBy(*_OF).agg(F.min(F.struct((-score).alias("score"), "first", "library"))["library"].alias("best"))
+    kept = (F.col("side") == BESIDE) | F.col("library").isNull() | F.col("best").isNull() | (F.col("library") == F.col("best"))
+    return rows.join(best, _OF, "left").where(kept).select(*_OF, "side", "a")
+
+
+def _sides(rows: DataFrame, by: list[str]) -> DataFrame:
+    """f0, f1, f2: the first anchor of each side."""
+    return rows.groupBy(*_OF, *by).agg(*[F.min(f"f{i}").alias(f"f{i}") for i in range(3)])
+
+
+def _together(rows: DataFrame, state: DataFrame, turn: int) -> DataFrame:
+    """The first scope, by its first anchor, that all sides have."""
+    both = rows.join(state, _OF).where("f0 IS NOT NULL AND f1 IS NOT NULL AND (f2 IS NOT NULL OR NOT three)")
+    return both.groupBy(*_OF).agg(F.min(F.struct(F.lit(turn).alias("turn"), "f0", "f1", F.when(F.col("three"), F.col("f2")).alias("f2"))).alias("hit"))
+
+
+def _searched(files: DataFrame, asked: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """repo_id, ord, exhausted, near(reach, p0, p1, p2) of each pattern in asked(repo_id, ord, three), under one budget a repository.
+
+    Units are those of a search that takes patterns in order, and in each the
+    files of its sides in order: a pair of files, or the third file of a pair
+    within MAX_HOPS, is one; the first question about a file costs as many as it
+    has files within MAX_HOPS.  They are counted by joins and added up over the
+    patterns of a repository, so nothing is searched one after the other; what a
+    pattern costs tells whether the budget ran out in it, and only the others are
+    looked for.  The very last file asked about is paid after the last check.
+    """
+    rows = files.join(asked, _OF)
+    has = lambda i: F.col(f"f{i}").isNotNull()
+    third = has(2) & F.col("three")
+    sizes = rows.groupBy(*_OF, "three").agg(
+        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate((has(0), has(1), third))], F.max(F.when(has(0), F.col("path"))).alias("last0"),
+        F.max(F.when(has(1), F.struct("path", third.alias("third")))).alias("last1"), F.max(F.when(third, F.col("path"))).alias("last2"),
+    )
+    in_turn = Window.partitionBy("repo_id").orderBy("ord")
+    least = F.sum(F.when(F.col("three"), 0).otherwise(F.col("n0") * F.col("n1"))).over(in_turn)
+    # Patterns after pairs that alone are too many need no distances.
+    sizes = checkpointed(sizes.withColumn("open", least <= budget))
+    rows = checkpointed(rows.join(sizes.where("open").drop("three", "open"), _OF).select(*_OF, "path", "three", has(0).alias("s0"), has(1).alias("s1"), third.alias("s2"), "n0", "n1", "n2"))
+    starts = rows.where("s0 OR (s1 AND three)").select("repo_id", F.col("path").alias("start")).distinct()
+    joined = undirected(edges.join(starts.select("repo_id").distinct(), "repo_id", "left_semi"), keys=("repo_id",))
+    near = checkpointed(distances(joined, starts, MAX_HOPS, ("repo_id",)))
+
+    def reaching(left: DataFrame, side: str, name: str, d: str, to: str) -> DataFrame:
+        """left with the files of a side within MAX_HOPS of its column `name`."""
+        step = left.join(near.select("repo_id", F.col("start").alias(name), F.col("node").alias(to), F.col("dist").alias(d)), ["repo_id", name])
+        return step.join(rows.where(side).select(*_OF, F.col("path").alias(to)), [*_OF, to], "left_semi")
+
+    pairs = checkpointed(reaching(rows.where("s0").select(*_OF, "three", F.col("path").alias("p0")), "s1", "p0", "d01", "p1"))
+    # Which files are asked about, and in which pattern first.
+    flag = lambda c: F.col(c).cast("int")
+    first = rows.where("s0").where((F.col("n1") > flag("s1")) | (F.col("three") & (F.col("n2") > flag("s2")))).select(*_OF, "path")
+    second = rows.where("s1 AND three").where(F.col("n2") > flag("s2")).select(*_OF, "path").join(pairs.select(*_OF, F.col("p1").alias("path")), [*_OF, "path"], "left_semi")
+    reach = near.groupBy("repo_id", F.col("start").alias("path")).agg(F.count(F.lit(1)).alias("found"))
+    about = checkpointed(first.unionByName(second).groupBy("repo_id", "path").agg(F.min("ord").alias("ord")).join(reach, ["repo_id", "path"]))
+    costs = about.groupBy(*_OF).agg(F.sum("found").alias("cost"))
+    ends = sizes.where("open").select(*_OF, "n0", "n1", "n2", "last0", "last1", "last2")
+    met = pairs.join(ends, _OF).groupBy(*_OF).agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("p1") == F.col("last1.path")).alias("met_last"), F.max((F.col("p1") == F.col("last1.path")) & (F.col("p0") == F.col("last0"))).alias("last_met"))
+    paid = about.select("repo_id", F.col("ord").alias("paid_in"), F.col("path").alias("paid_for"), "found")
+    work = sizes.where("open").join(costs, _OF, "left").join(met, _OF, "left").alias("w").join(paid.alias("p"), F.expr("w.repo_id = p.repo_id AND w.ord = paid_in AND w.last1.path = paid_for"), "left").select("w.*", "found")
+    units = F.when(F.col("three"), F.coalesce("met", F.lit(0)) * F.col("n2")).otherwise(F.col("n0") * F.col("n1")) + F.coalesce("cost", F.lit(0))
+    last, only = F.col("last1.path"), F.col("last2")
+    late = F.col("three") & F.coalesce("last_met", F.lit(False)) & (F.col("met_last") == 1) & (only != last) & (F.col("n2") == 1 + F.col("last1.third").cast("int")) & ((last != F.col("last0")) | (F.col("n1") == 1))
+    work = work.withColumn("units", units).withColumn("unpaid", F.when(late, F.coalesce("found", F.lit(0))).otherwise(0)).withColumn("spent", F.sum("units").over(in_turn))
+    done = work.where(F.col("spent") - F.col("unpaid") <= budget).select(*_OF)
+    two = pairs.join(done, _OF, "left_semi")
+    three = reaching(reaching(two.where("three"), "s2", "p0", "d02", "p2"), "s2", "p1", "d12", "q2").where("p2 = q2")
+    options = two.where("NOT three").select(*_OF, F.struct(F.col("d01").alias("reach"), "p0", "p1", F.lit(None).cast("string").alias("p2")).alias("x"))
+    options = options.unionByName(three.select(*_OF, F.struct(F.greatest("d01", "d02", "d12").alias("reach"), "p0", "p1", "p2").alias("x")))
+    best = options.groupBy(*_OF).agg(F.min("x").alias("near"))
+    return asked.select(*_OF).join(done.withColumn("done", F.lit(True)), _OF, "left").join(best, _OF, "left").select(*_OF, F.col("done").isNull().alias("exhausted"), "near")
 
 
 def findings(anchors: DataFrame, edges: DataFrame, external: DataFrame, touched: DataFrame, budget: int = WORK_BUDGET) -> DataFrame:
-    """FINDINGS of anchors(ANCHORS), edges(repo_id, path, target), external(repo_id, specifier), touched(repo_id, path)."""
-    empty = {"kind": "string", "path": "string", "fn": "string", "line": "int", "reason": "string", "provider": "string", "library": "string", "target": "string", "tag": "string"}
-
-    def tagged(df: DataFrame, tag: str) -> DataFrame:
-        df = df.withColumn("tag", F.lit(tag))
-        return df.select("repo_id", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-
-    known = {p for pattern in PATTERNS for p in pattern.packages}
-    rows = tagged(anchors, "anchor").unionByName(tagged(edges.where("target IS NOT NULL"), "edge"))
-    rows = rows.unionByName(tagged(external.where(F.col("specifier").isin(*known)).select("repo_id", F.col("specifier").alias("path")).distinct(), "package"))
-    rows = rows.unionByName(tagged(touched.select("repo_id", "path").distinct(), "touched"))
-
-    # A repository's rows are read one after another, and just one repository is in memory at a time.
-    schema = to_arrow_schema(StructType.fromDDL(FINDINGS))
-
-    def judged(repo_id: str | None, group: list[dict]) -> list[dict]:
-        parts: dict[str, list[dict]] = {}
-        for r in group:
-            parts.setdefault(r["tag"], []).append(r)
-        joined: dict[str, set[str]] = {}
-        for r in parts.get("edge", []):
-            joined.setdefault(r["path"], set()).add(r["target"])
-            joined.setdefault(r["target"], set()).add(r["path"])
-        found = classify(parts.get("anchor", []), joined, {r["path"] for r in parts.get("package", [])}, {r["path"] for r in parts.get("touched", [])}, budget)
-        return [{"repo_id": repo_id, **f} for f in found]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
-        for batch in batches:
-            for repo_id, group in groupby(batch.to_pylist(), key=lambda r: r["repo_id"]):
-                if held and repo_id != at:
-                    out += judged(at, held)
-                    held = []
-                at = repo_id
-                held += group
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out = []
-        if held:
-            yield pa.RecordBatch.from_pylist(judged(at, held), schema=schema)
-
-    return rows.repartition("repo_id").sortWithinPartitions("repo_id").mapInArrow(run, FINDINGS)
+    """FINDINGS of anchors(ANCHORS), edges(repo_id, path, target), external(repo_id, specifier), touched(repo_id, path).
+
+    All repositories at once, by joins on repository and pattern; none is one task's.
+    """
+    spark = anchors.sparkSession
+    kinds, patterns = _pattern_rows(spark)
+    members = checkpointed(_members(anchors.select("repo_id", *_ANCHOR, "provider", "library"), kinds, patterns))
+    own = members.where(F.col("side") < BESIDE)
+    split = own.select(*_OF, F.col("a.path").alias("path"), F.col("a.fn").alias("fn"), *[F.when(F.col("side") == i, F.col("a")).alias(f"f{i}") for i in range(3)])
+    functions = checkpointed(_sides(split, ["path", "fn"]))
+    files = checkpointed(_sides(functions, ["path"]))
+
+    present = members.groupBy(*_OF).agg(F.collect_set("side").alias("present")).join(patterns, "ord")
+    holds = lambda side: F.array_contains("present", side)
+    state = present.select(*_OF, "present", (F.col("optional_side").isNotNull() & ~F.coalesce(holds(F.col("optional_side")), F.lit(False))).alias("lacking"), "optional_side")
+    # Without an optional member of the three (it is the third), the other two are searched.
+    state = state.withColumn("three", ~(F.col("lacking") & (F.col("optional_side") == 2)) | F.col("optional_side").isNull())
+    state = checkpointed(state.withColumn("complete", holds(0) & holds(1) & (holds(2) | ~F.col("three"))).select(*_OF, holds(0).alias("begun"), "lacking", "three", "complete"))
+    whole = state.where("complete").select(*_OF, "three")
+    hits = checkpointed(_together(functions, whole, 0).unionByName(_together(files, whole, 1)).groupBy(*_OF).agg(F.min("hit").alias("hit")))
+    asked = checkpointed(whole.join(hits, _OF, "left_anti"))
+    searched = checkpointed(_searched(files, asked, edges.where("target IS NOT NULL").select("repo_id", F.col("path").alias("src"), F.col("target").alias("dst")), budget))
+    # The first anchors of the files that are near each other.
+    spots = searched.where("near IS NOT NULL").select(*_OF, F.posexplode(F.array("near.p0", "near.p1", "near.p2")).alias("side", "path")).where("path IS NOT NULL")
+    spots = spots.join(files, [*_OF, "path"]).groupBy(*_OF).agg(F.collect_list(F.element_at(F.array("f0", "f1", "f2"), F.col("side") + 1)).alias("spots"))
+
+    packages = spark.createDataFrame([(p, i) for i, pattern in enumerate(PATTERNS) for p in pattern.packages], "specifier string, ord int")
+    imported = external.join(F.broadcast(packages), "specifier").select(*_OF)  # a fixed list
+    about = state.where("begun").select(*_OF).unionByName(imported).distinct().join(state, _OF, "left").join(hits, _OF, "left").join(searched, _OF, "left").join(spots, _OF, "left")
+    near = F.col("near").isNotNull()
+    outcome = checkpointed(
+        about.select(
+            *_OF,
+            F.when(F.col("hit").isNotNull() & ~F.col("lacking"), "direct").when(F.col("hit").isNotNull() | near, "inferred").otherwise("ambiguous").alias("confidence"),
+            F.when(F.col("hit.turn") == 0, "same-function").when(F.col("hit.turn") == 1, "same-file").when(near, "cross-file").alias("connection"),
+            F.when(F.col("hit").isNotNull(), 0).otherwise(F.col("near.reach")).alias("edge_distance"),
+            F.when(F.col("exhausted"), True).alias("search_bounded"),
+            F.when(F.col("hit").isNotNull(), F.array_compact(F.array("hit.f0", "hit.f1", "hit.f2"))).otherwise(F.col("spots")).alias("chosen"),
+        )
+    )
+    chosen = outcome.where("chosen IS NOT NULL").select(*_OF, F.explode("chosen").alias("a")).unionByName(outcome.where("chosen IS NULL").select(*_OF).join(own, _OF).select(*_OF, "a"))
+    mine = touched.select(F.col("repo_id").alias("touched_repo"), F.col("path").alias("touched_path")).distinct()
+    told = chosen.join(mine, (F.col("repo_id") == F.col("touched_repo")) & (F.col("a.path") == F.col("touched_path")), "left")
+    told = told.groupBy(*_OF).agg(F.sort_array(F.collect_list("a")).alias("told"), F.max(F.col("touched_path").isNotNull()).alias("attributed"))
+    rows = outcome.drop("chosen").join(told, _OF, "left").join(patterns.select("ord", "slug"), "ord")
+    attributed = F.coalesce("attributed", F.lit(False))
+    listed = F.transform(F.coalesce("told", F.array().cast(rows.schema["told"].dataType)), lambda x: F.struct(x["kind"].alias("kind"), x["path"].alias("path"), x["fn"].alias("fn"), x["line"].alias("line"), x["reason"].alias("reason")))
+    return rows.select("repo_id", "slug", "confidence", attributed.alias("attributed"), (attributed & (F.col("confidence") != "ambiguous")).alias("claimed"), listed.alias("anchors"), "connection", "edge_distance", "search_bounded")
 
 
 def touch_log(commits: DataFrame, added_lines: DataFrame) -> DataFrame:

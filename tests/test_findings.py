@@ -1,5 +1,10 @@
-from histlens.operators.infer import Search, classify
+import random
+
+import pytest
+from by_hand import Search, classify
+
 from histlens.operators.anchors import find_anchors
+from histlens.operators.infer import PATTERNS, findings
 
 
 def anchor(kind, path, fn="f", line=1, provider=None, library=None):
@@ -80,6 +85,50 @@ def test_search_work_counts_answers_once():
     assert search.nearest([["a"], ["c"]]) == (2, ("a", "c")) and search.work == 4
 
 
+KINDS = sorted({k for p in PATTERNS for k in (*p.kinds, p.optional) if k})
+
+
+def repository(rng, name):
+    files = [f"f{i:02}" for i in range(rng.randint(1, 14))]
+    kinds = rng.sample(KINDS, rng.randint(1, len(KINDS)))
+    provider = lambda k: rng.choice([p.provider for p in PATTERNS if p.provider][:3]) if k == "webhook-verification" else None
+    library = lambda k: rng.choice([None, "A", "B"]) if k in ("credential-verification", "session-issuance", "route-guard", "token-verification", "guard-response") else None
+    anchors = [anchor(k := rng.choice(kinds), rng.choice(files), rng.choice(["f", "g", None]) if rng.random() < 0.3 else f"h{i}", i, provider(k), library(k)) for i in range(rng.randint(0, 40))]
+    anchors.sort(key=lambda a: (a["path"], a["line"], a["kind"]))
+    edges = {(rng.choice(files), rng.choice(files)) for _ in range(rng.randint(0, 20))}
+    packages = set(rng.sample([p for x in PATTERNS for p in x.packages], rng.randint(0, 3)))
+    return name, anchors, edges, packages, set(rng.sample(files, rng.randint(0, len(files))))
+
+
+@pytest.mark.parametrize("budget", [2_000_000, 0, 1, 7, 20, 55, 130, 400])
+def test_findings_by_joins_equal_one_repository_at_a_time(spark, budget):
+    rng = random.Random(budget)
+    repos = [repository(rng, f"r{i}") for i in range(150)]
+    wanted = {}
+    for name, anchors, edges, packages, touched in repos:
+        joined = {}
+        for a, b in edges:
+            joined.setdefault(a, set()).add(b)
+            joined.setdefault(b, set()).add(a)
+        for f in classify(anchors, joined, packages, touched, budget):
+            slug = f.pop("slug")
+            wanted[name, slug] = f | {"anchors": sorted(tuple(str(v) for v in a.values()) for a in f["anchors"])}
+    found = findings(
+        spark.createDataFrame([(n, *(a[k] for k in ("kind", "path", "fn", "line", "reason", "provider", "library"))) for n, anchors, *_ in repos for a in anchors], "repo_id string, kind string, path string, fn string, line int, reason string, provider string, library string"),
+        spark.createDataFrame([(n, a, b) for n, _, edges, *_ in repos for a, b in edges] + [("r0", "f00", None)], "repo_id string, path string, target string"),
+        spark.createDataFrame([(n, p) for n, _, _, packages, _ in repos for p in packages], "repo_id string, specifier string"),
+        spark.createDataFrame([(n, p) for n, *_, touched in repos for p in touched], "repo_id string, path string"),
+        budget,
+    )
+    got = {}
+    for r in found.collect():
+        x = r.asDict(True)
+        key = x.pop("repo_id"), x.pop("slug")
+        assert key not in got and [(a["path"], a["line"], a["kind"]) for a in x["anchors"]] == sorted((a["path"], a["line"], a["kind"]) for a in x["anchors"])
+        got[key] = x | {"anchors": sorted(tuple(str(v) for v in a.values()) for a in x["anchors"])}
+    assert {k: (got.get(k), wanted.get(k)) for k in got.keys() | wanted.keys() if got.get(k) != wanted.get(k)} == {}
+
+
 CALLS = "repo_id string, path string, pos int, chain array<string>, line int, fn string, string_args array<string>, arg_props array<string>, number_args array<double>"
 IMPORTS = "repo_id string, path string, specifier string, bindings array<struct<local: string, imported: string, kind: string>>, pos int"
 
