@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_relative
+from ..shared import checkpointed
 from .graph import receivers
 
 # Packages, and the names in call chains that count.
@@ -156,7 +157,8 @@ def find_anchors(calls: DataFrame, imports: DataFrame, bindings: DataFrame, acce
         _anchor(F.col("refresh_mark") & last.isin(*REVOCATIONS), "refresh-invalidation", "revoking call"),
         *[_anchor(guard, kind, "access decision") for kind in ("route-guard", "guard-response")],
     ]
-    by_call = rows.select("repo_id", "path", "fn", "line", "refresh_mark", F.explode(F.array_compact(F.array(*found))).alias("a")).select("repo_id", "a.kind", "path", "fn", "line", "a.reason", "a.provider", "a.library", "refresh_mark")
+    # Written: calls are resolved and judged once, and what follows reads the few rows found.
+    by_call = checkpointed(rows.select("repo_id", "path", "fn", "line", "refresh_mark", F.explode(F.array_compact(F.array(*found))).alias("a")).select("repo_id", "a.kind", "path", "fn", "line", "a.reason", "a.provider", "a.library", "refresh_mark"))
 
     # Issuing a token where one is verified, in a file with a refresh mark.
     verified = by_call.where(F.col("kind") == "token-verification").select("repo_id", "path", "fn").distinct().alias("v")

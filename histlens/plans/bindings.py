@@ -12,6 +12,7 @@ from ..functions import paths, text, times, values
 from ..functions.hashing import author_list_hash, salted
 from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ordered, ownership, ranking, sequence, signatures, skills
 from ..relations import line_churn, one_repository, order_commits, table
+from ..shared import checkpointed
 from ..sources import stores
 from . import profile as profile_plan
 
@@ -242,6 +243,31 @@ def signature_match(spark, sf_dir):
     return signatures.matches(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), rules, ["doc_id"], "text", "source")
 
 
+# A pattern for each passage of the benchmark: its first words in order, whatever stands between them.
+@query(r"""WITH w AS (SELECT item_id, regexp_extract_all(text, '[a-zA-Z]+') AS ws FROM benchmark), p AS (SELECT 'bench/' || item_id AS slug, array_to_string(ws[1:4], '[^a-zA-Z]+') AS pattern FROM w WHERE len(ws) >= 4)
+    SELECT DISTINCT doc_id, slug FROM documents JOIN p ON regexp_matches(text, pattern)""")
+def many_signatures(spark, sf_dir):
+    found = F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))
+    rules = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/"), "item_id").alias("slug"), F.lit("api").alias("kind"), found.alias("ws")).where(F.size("ws") >= 4)
+    rules = rules.select("slug", "kind", F.array_join(F.slice("ws", 1, 4), "[^a-zA-Z]+").alias("pattern"))
+    return signatures.matches(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), rules, ["doc_id"], "text", "source", clean=False)
+
+
+# A signature for each part: three patterns, and a fixture that some of them match.
+@query(r"""WITH s AS (SELECT 'part/' || p_partkey AS slug, p_size, [('import', '\bimport ' || lower(p_type) || '\b'), ('api', 'size' || (p_size % 3) || '\('), ('config', '\.' || lower(p_brand[1:5]) || '$')] AS ps,
+      'import ' || lower(p_type) || CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE '' END || chr(10) || 'size1(); // size2()' AS text, CASE WHEN p_partkey % 2 = 0 THEN 'a.brand' ELSE 'a.brands' END AS path FROM part),
+    p AS (SELECT slug, text, path, unnest(ps) AS x FROM s) SELECT slug, x[1] AS kind, x[2] AS pattern, regexp_matches(CASE WHEN x[1] = 'config' THEN path ELSE text END, x[2]) AS covered FROM p""")
+def dictionary_coverage(spark, sf_dir):
+    """Which patterns of a dictionary are matched by a fixture of their own signature."""
+    kind, brand = F.lower("p_type"), F.lower(F.substring("p_brand", 1, 5))
+    text = F.concat(F.lit("import "), kind, F.when(F.col("p_partkey") % 4 == 0, "x").otherwise(""), F.lit("\nsize1(); // size2()"))
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part/"), "p_partkey").alias("slug"), F.array(F.concat(F.lit(r"\bimport "), kind, F.lit(r"\b"))).alias("importPatterns"), F.array(F.concat(F.lit("size"), F.col("p_size") % 3, F.lit(r"\("))).alias("apiPatterns"),
+        F.array(F.concat(F.lit(r"\."), brand, F.lit("$"))).alias("configFilePatterns"), F.struct(F.array(F.struct(F.when(F.col("p_partkey") % 2 == 0, "a.brand").otherwise("a.brands").alias("path"), text.alias("diff"))).alias("positive")).alias("fixtures"),
+    )
+    return signatures.coverage(rows)
+
+
 _PACKAGES = [("the", "en/article"), ("of", "en/preposition"), ("der", "de/article"), ("und", "de/conjunction"), ("les", "fr/article"), ("que", "es/relative"), ("con", "es/preposition")]
 _PACKAGE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in _PACKAGES)
 
@@ -327,11 +353,11 @@ _EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of all orders and lines."""
+    """Customers and suppliers of all orders and lines, written once: starts and searches read them again."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
-    return graph.undirected(rows.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")))
+    return checkpointed(graph.undirected(rows.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))))
 
 
 _BFS = f"""WITH RECURSIVE e0 AS ({_EDGES}), e AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0),
@@ -380,6 +406,57 @@ def shortest_path(spark, sf_dir):
     return graph.distances(edges, _starts(edges), with_path=True).withColumn("path", F.array_join("path", ">"))
 
 
+# A repository for each nation: its customers and suppliers are files, joined by the orders between them.
+_HOOKS = [(p.slug, i) for i, p in enumerate(infer.PATTERNS) if p.provider][:2]
+SMALL_BUDGET = 1500
+
+
+@query(f"""WITH RECURSIVE e0 AS (SELECT DISTINCT c_nationkey AS r, 'c' || c_custkey AS x, 's' || s_suppkey AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey),
+    e AS (SELECT r, x, y FROM e0 UNION SELECT r, y, x FROM e0),
+    pat(ord, slug, m) AS (VALUES {", ".join(f"({i}, '{slug}', {k})" for k, (slug, i) in enumerate(_HOOKS))}),
+    a AS (SELECT c_nationkey AS r, ord, 'c' || c_custkey AS p FROM customer JOIN pat ON c_custkey % 4 = m),
+    b AS (SELECT s_nationkey AS r, 's' || s_suppkey AS p FROM supplier WHERE s_suppkey % 4 < 3),
+    c AS (SELECT c_nationkey AS r, 'c' || c_custkey AS p FROM customer WHERE c_custkey % 5 = 1),
+    n AS (SELECT r, ord, count(*) AS n0, max(p) AS last0, (SELECT count(*) FROM b WHERE b.r = a.r) AS n1, (SELECT max(p) FROM b WHERE b.r = a.r) AS last1, (SELECT count(*) FROM c WHERE c.r = a.r) AS n2 FROM a GROUP BY r, ord),
+    starts AS (SELECT r, p AS start FROM a UNION SELECT r, p FROM b),
+    w AS (SELECT r, start, start AS node, 0 AS dist FROM starts UNION SELECT w.r, w.start, e.y, w.dist + 1 FROM w JOIN e ON e.r = w.r AND e.x = w.node WHERE w.dist < 3),
+    d AS (SELECT r, start, node, min(dist) AS dist FROM w GROUP BY ALL),
+    ab AS (SELECT a.r, a.ord, a.p AS p0, b.p AS p1, dist FROM a JOIN d ON d.r = a.r AND d.start = a.p JOIN b ON b.r = a.r AND b.p = d.node JOIN n ON n.r = a.r AND n.ord = a.ord AND n.n2 > 0),
+    asks AS (SELECT r, p, min(ord) AS ord FROM (SELECT a.r, a.p, a.ord FROM a JOIN n USING (r, ord) WHERE n1 > 0 AND n2 > 0 UNION ALL SELECT r, p1, ord FROM ab) x GROUP BY r, p),
+    paid AS (SELECT asks.r, ord, p, count(*) AS found FROM asks JOIN d ON d.r = asks.r AND d.start = asks.p GROUP BY ALL),
+    met AS (SELECT r, ord, count(*) AS met, count(*) FILTER (p1 = last1) AS met_last, bool_or(p1 = last1 AND p0 = last0) AS last_met FROM ab JOIN n USING (r, ord) GROUP BY r, ord),
+    units AS (SELECT n.r, n.ord, coalesce(met, 0) * n2 + coalesce((SELECT sum(found) FROM paid q WHERE q.r = n.r AND q.ord = n.ord), 0) AS units,
+        CASE WHEN last_met AND met_last = 1 AND n2 = 1 THEN coalesce((SELECT found FROM paid q WHERE q.r = n.r AND q.ord = n.ord AND q.p = last1), 0) ELSE 0 END AS unpaid FROM n LEFT JOIN met USING (r, ord) WHERE n1 > 0 AND n2 > 0),
+    spent AS (SELECT r, ord, sum(units) OVER (PARTITION BY r ORDER BY ord) - unpaid <= {SMALL_BUDGET} AS done FROM units),
+    best AS (SELECT ab.r, ab.ord, min({{'reach': greatest(ab.dist, x.dist, y.dist), 'p0': p0, 'p1': p1, 'p2': c.p}}) AS near FROM ab JOIN spent ON spent.r = ab.r AND spent.ord = ab.ord AND done
+        JOIN d x ON x.r = ab.r AND x.start = p0 JOIN c ON c.r = ab.r AND c.p = x.node JOIN d y ON y.r = ab.r AND y.start = p1 AND y.node = c.p GROUP BY ALL),
+    every AS (SELECT n.r, n.ord, near, done FROM n LEFT JOIN spent USING (r, ord) LEFT JOIN best USING (r, ord)),
+    own AS (SELECT r, ord, unnest([near.p0, near.p1, near.p2]) AS p FROM every WHERE near IS NOT NULL
+        UNION ALL SELECT every.r, every.ord, a.p FROM every JOIN a USING (r, ord) WHERE near IS NULL UNION ALL SELECT every.r, ord, b.p FROM every JOIN b USING (r) WHERE near IS NULL UNION ALL SELECT every.r, ord, c.p FROM every JOIN c USING (r) WHERE near IS NULL),
+    told AS (SELECT r, ord, count(*) AS n_anchors, md5(string_agg(p, ',' ORDER BY p)) AS files, bool_or(p LIKE 'c%3') AS attributed FROM own GROUP BY r, ord)
+    SELECT r::VARCHAR AS repo_id, slug, CASE WHEN near IS NULL THEN 'ambiguous' ELSE 'inferred' END AS confidence, attributed, attributed AND near IS NOT NULL AS claimed, CASE WHEN near IS NOT NULL THEN 'cross-file' END AS connection,
+      near.reach::INT AS edge_distance, CASE WHEN NOT done THEN true END AS search_bounded, n_anchors::INT AS n_anchors, files FROM every JOIN told USING (r, ord) JOIN pat USING (ord)""")
+def budgeted_findings(spark, sf_dir):
+    """Handlers, writes and guards spread over the files of a nation; where its search costs too much, the finding says so."""
+    people, firms = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    lines, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    file = lambda letter, key: F.concat(F.lit(letter), key)
+    edges = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(people.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    edges = edges.join(firms.select("s_suppkey", "s_nationkey"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    edges = edges.select(F.col("c_nationkey").cast("string").alias("repo_id"), file("c", "c_custkey").alias("path"), file("s", "s_suppkey").alias("target")).distinct()
+
+    def anchors(rows: DataFrame, repo: str, path: Column, kind: str, provider: str | None = None) -> DataFrame:
+        return rows.select(F.col(repo).cast("string").alias("repo_id"), F.lit(kind).alias("kind"), path.alias("path"), F.lit("main").alias("fn"), F.lit(1).alias("line"), F.lit("").alias("reason"), F.lit(provider).cast("string").alias("provider"), F.lit(None).cast("string").alias("library"))
+
+    found = anchors(firms.where("s_suppkey % 4 < 3"), "s_nationkey", file("s", "s_suppkey"), "db-write").unionByName(anchors(people.where("c_custkey % 5 = 1"), "c_nationkey", file("c", "c_custkey"), "idempotency-guard"))
+    for k, (slug, _) in enumerate(_HOOKS):
+        found = found.unionByName(anchors(people.where(f"c_custkey % 4 = {k}"), "c_nationkey", file("c", "c_custkey"), "webhook-verification", slug))
+    touched = people.where("c_custkey % 10 = 3").select(F.col("c_nationkey").cast("string").alias("repo_id"), file("c", "c_custkey").alias("path"))
+    none = edges.where("false").select("repo_id", F.col("path").alias("specifier"))
+    rows = infer.findings(found, edges, none, touched, SMALL_BUDGET)
+    return rows.withColumn("n_anchors", F.size("anchors")).withColumn("files", F.md5(F.array_join(F.sort_array(F.transform("anchors", lambda x: x["path"])), ",").cast("binary"))).drop("anchors")
+
+
 @query("""WITH e AS (SELECT user_id, date_trunc('day', ts) AS day, event_id, event_type FROM events)
     SELECT user_id, day, min(event_id) FILTER (event_type = 'view') AS view_id, min(event_id) FILTER (event_type = 'click') AS click_id, min(event_id) FILTER (event_type = 'purchase') AS purchase_id
     FROM e GROUP BY ALL HAVING view_id IS NOT NULL AND click_id IS NOT NULL AND purchase_id IS NOT NULL""")
