@@ -5,12 +5,20 @@ quantile sketch for each (lang, source): exact buckets below 64, then 32
 buckets for each power of two (relative error below 1/32).  Sketches merge by
 adding counts, so they are partial aggregates in Spark, a hot source sends a
 bounded number of rows from each task, and parent sketches (language, all) are
-sums of their children.  Fences from quartiles replace fixed cutoffs:
+sums of their children.  What is usual in a group tells what is too much there:
 
-    upper = q3 + 3 * (q3 - q1) + slack        lower = q1 - 3 * (q3 - q1) - slack
+    upper = q3 + 3 * (q3 - q1)        lower = q1 - 3 * (q3 - q1)
 
-A (lang, source) with under `least` documents uses its language's sketch, and
-a language with under `least` the sketch of all.
+A measure that most documents don't have at all has equal quartiles, and a long
+tail above; such a measure's upper fence is as far beyond a high quantile as that
+is beyond the median:
+
+    upper = max(that, t + (t - median))
+
+t is the measure's tail quantile, or the 99th percentile where that is no more
+than the median.  A (lang, source) with under `least` documents, or in which a
+measure doesn't vary that far, uses its language's sketch, a language the sketch
+of all; where even that doesn't vary, any other value is too much.
 """
 
 from __future__ import annotations
@@ -25,8 +33,11 @@ from .common import checkpointed, lean_worker, select_columns, texts
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Measure: (slack, whether the lower fence counts too).  Per mille, but word_length in thousandths of a character.
-MEASURES = {"word_length": (1000, True), "symbols": (50, False), "dup_lines": (400, False), "repeats": (300, False)}
+#: Measure: its tail quantile, per mille.  Values are per mille, but word_length is in thousandths of a character.
+MEASURES = {"word_length": 990, "symbols": 950, "dup_lines": 990, "repeats": 990}
+#: Word length varies little around its middle in any text; it has fences on both sides, and room for short texts beyond them.
+WORD_LENGTH, ROOM = "word_length", 1000
+FURTHEST = 990
 LEAST = 100
 #: Groups whose fences are broadcast, at about 100 bytes each; more are joined by key.
 BROADCAST_GROUPS = 50_000
@@ -94,21 +105,32 @@ def bucket(value: Column) -> Column:
     return value - value % width
 
 
-def fences(stats: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) of stats(lang, source, stats), learnt from all documents that pass the base rules."""
+def bucket_end(low: Column) -> Column:
+    """The largest value of a sketch's bucket, given its smallest."""
+    return low + F.pow(F.lit(2), F.greatest(F.length(F.bin(low)) - 6, F.lit(0))).cast("long") - 1
+
+
+_SKETCH = ("q1", "q2", "q3", "tail", "n")
+
+
+def fences(stats: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, source, <measure>_high, word_length_low) of stats(lang, source, stats), learnt from all documents that pass the base rules."""
     values = _values("stats")
     long = stats.where(~base_failed("stats")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in values.items()])).alias("x"))
     leaves = checkpointed(long.groupBy("lang", "source", "x.measure", "x.bucket").count())
+    own_tail = F.element_at(F.create_map(*[x for m, t in MEASURES.items() for x in (F.lit(m), F.lit(t))]), F.col("measure"))
 
-    def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys, "measure")
         run = sketch.withColumn("upto", F.sum("count").over(w.orderBy("bucket"))).withColumn("n", F.sum("count").over(w))
-        return run.groupBy(*keys, "measure").agg(F.min(F.when(4 * F.col("upto") >= F.col("n"), F.col("bucket"))).alias("q1"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("n"), F.col("bucket"))).alias("q3"), F.max("n").alias("n"))
+        at = lambda share: F.min(F.when(1000 * F.col("upto") >= share * F.col("n"), F.col("bucket")))
+        found = run.groupBy(*keys, "measure").agg(at(F.lit(250)).alias("q1"), at(F.lit(500)).alias("q2"), at(F.lit(750)).alias("q3"), at(own_tail).alias("t"), at(F.lit(FURTHEST)).alias("furthest"), F.max("n").alias("n"))
+        return found.withColumn("tail", F.when(F.col("t") > F.col("q2"), F.col("t")).otherwise(F.col("furthest")))
 
     merged = lambda keys: leaves.groupBy(*keys, "measure", "bucket").agg(F.sum("count").alias("count"))
-    own = quartiles(leaves, ["lang", "source"]).select("lang", "source", "measure", F.struct("q1", "q3", "n").alias("own"))
-    language = quartiles(merged(["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("q1", "q3", "n").alias("language"))
-    every = quartiles(merged([]), []).select(F.col("measure").alias("e"), F.struct("q1", "q3", "n").alias("every"))
+    own = quantiles(leaves, ["lang", "source"]).select("lang", "source", "measure", F.struct(*_SKETCH).alias("own"))
+    language = quantiles(merged(["lang"]), ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct(*_SKETCH).alias("language"))
+    every = quantiles(merged([]), []).select(F.col("measure").alias("e"), F.struct(*_SKETCH).alias("every"))
     # Documents that fail the base rules may have a (lang, source) without a sketch of its own.
     groups = stats.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*map(F.lit, MEASURES))))
     joined = (
@@ -118,14 +140,17 @@ def fences(stats: DataFrame) -> DataFrame:
         .join(language, F.expr("lang <=> l AND measure = m"), "left")
         .join(every, F.expr("measure = e"), "left")
     )
-    picked = F.when(F.col("own.n") >= LEAST, F.col("own")).when(F.col("language.n") >= LEAST, F.col("language")).otherwise(F.col("every"))
-    joined = joined.select("lang", "source", "measure", picked.alias("q")).withColumn("reach", 3 * (F.col("q.q3") - F.col("q.q1")))
-    columns = []
-    for m, (slack, both) in MEASURES.items():
-        mine = F.col("measure") == m
-        columns.append(F.max(F.when(mine, F.col("q.q3") + F.col("reach") + slack)).alias(f"{m}_high"))
-        if both:
-            columns.append(F.max(F.when(mine, F.col("q.q1") - F.col("reach") - slack)).alias(f"{m}_low"))
+    varies = lambda level: (F.col(f"{level}.q3") > F.col(f"{level}.q1")) | (F.col(f"{level}.tail") > F.col(f"{level}.q2"))
+    picked = F.when((F.col("own.n") >= least) & varies("own"), F.col("own")).when((F.col("language.n") >= least) & varies("language"), F.col("language")).otherwise(F.col("every"))
+    q = lambda name: F.col(f"q.{name}")
+    joined = joined.select("lang", "source", "measure", picked.alias("q")).withColumn("reach", 3 * (q("q3") - q("q1")))
+    far = bucket_end(q("tail"))
+    beyond = far + (far - q("q2"))
+    lengths = F.col("measure") == WORD_LENGTH
+    level = F.col("reach") > 0
+    high = F.when(lengths & level, q("q3") + F.col("reach") + ROOM).when(level, F.greatest(q("q3") + F.col("reach"), beyond)).otherwise(beyond)
+    columns = [F.max(F.when(F.col("measure") == m, high)).alias(f"{m}_high") for m in MEASURES]
+    columns.append(F.max(F.when(lengths & level, q("q1") - F.col("reach") - ROOM)).alias(f"{WORD_LENGTH}_low"))
     found = checkpointed(joined.groupBy("lang", "source").agg(*columns))
     return F.broadcast(found) if found.count() <= BROADCAST_GROUPS else found
 
@@ -136,12 +161,11 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     fine = F.lit(True)
     for m, value in _values("stats").items():
         fine &= F.coalesce(value <= F.col(f"{m}_high"), F.lit(True))
-        if MEASURES[m][1]:
-            fine &= F.coalesce(value >= F.col(f"{m}_low"), F.lit(True))
+    fine &= F.coalesce(_values("stats")[WORD_LENGTH] >= F.col(f"{WORD_LENGTH}_low"), F.lit(True))
     return joined.withColumn("base_failed", base_failed("stats")).withColumn("kept", ~F.col("base_failed") & fine)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs(doc_id, text, lang, source).
 
     Null text has no words and fails.  A null lang or source is a value of its
@@ -150,12 +174,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """
     stats = checkpointed(select_columns(docs, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", measured("text").alias("stats")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged(stats, fences(stats)).select("doc_id", *[f"stats.{n}" for n in names], "base_failed", "kept")
+    return judged(stats, fences(stats, least)).select("doc_id", *[f"stats.{n}" for n in names], "base_failed", "kept")
 
 
-def only_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that quality_rules would reject; all columns stay."""
+def only_good(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """docs without the rows that quality_rules would reject; all columns stay.
+
+    Null and empty texts go, repeated rows stay or go together, an empty table stays empty.
+    """
     stats = checkpointed(select_columns(docs, "lang", "source", "text").select("lang", "source", measured("text").alias("stats")))
-    limits = fences(stats)
+    limits = fences(stats, least)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "source", measured("text").alias("stats"))
     return judged(whole, limits).where("kept").select("row.*")

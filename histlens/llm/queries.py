@@ -50,23 +50,26 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     1000 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(word_chars, 1) AS symbols,
     1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM m),
 u AS (UNPIVOT (SELECT lang, source, word_length, symbols, dup_lines, repeats FROM v WHERE NOT base_failed) ON word_length, symbols, dup_lines, repeats INTO NAME measure VALUE x),
-leaf AS (SELECT lang, source, measure, x - x % (1 << greatest(length(bin(x)) - 6, 0)) AS b FROM u),
+leaf AS (SELECT lang, source, measure, CASE measure WHEN 'symbols' THEN 950 ELSE 990 END AS share, x - x % (1 << greatest(length(bin(x)) - 6, 0)) AS b FROM u),
 ranked AS (
-  SELECT 'own' AS level, lang, source, measure, b, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS r, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM leaf
-  UNION ALL SELECT 'language', lang, NULL, measure, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b), count(*) OVER (PARTITION BY lang, measure) FROM leaf
-  UNION ALL SELECT 'every', NULL, NULL, measure, b, row_number() OVER (PARTITION BY measure ORDER BY b), count(*) OVER (PARTITION BY measure) FROM leaf),
-q AS (SELECT level, lang, source, measure, any_value(n) AS n, min(b) FILTER (4 * r >= n) AS q1, min(b) FILTER (4 * r >= 3 * n) AS q3 FROM ranked GROUP BY ALL),
-f AS (SELECT level, lang, source, any_value(n) AS n,
-    max(4 * q3 - 3 * q1 + 1000) FILTER (measure = 'word_length') AS wh, max(4 * q1 - 3 * q3 - 1000) FILTER (measure = 'word_length') AS wl,
-    max(4 * q3 - 3 * q1 + 50) FILTER (measure = 'symbols') AS sh, max(4 * q3 - 3 * q1 + 400) FILTER (measure = 'dup_lines') AS dh,
-    max(4 * q3 - 3 * q1 + 300) FILTER (measure = 'repeats') AS rh FROM q GROUP BY ALL),
-p AS (SELECT v.*, CASE WHEN o.n >= 100 THEN o WHEN l.n >= 100 THEN l ELSE e END AS z
-  FROM v LEFT JOIN (SELECT * FROM f WHERE level = 'own') o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source
-  LEFT JOIN (SELECT * FROM f WHERE level = 'language') l ON v.lang IS NOT DISTINCT FROM l.lang
-  LEFT JOIN (SELECT * FROM f WHERE level = 'every') e ON true)
+  SELECT 'own' AS level, lang, source, measure, share, b, row_number() OVER (PARTITION BY lang, source, measure ORDER BY b) AS r, count(*) OVER (PARTITION BY lang, source, measure) AS n FROM leaf
+  UNION ALL SELECT 'language', lang, NULL, measure, share, b, row_number() OVER (PARTITION BY lang, measure ORDER BY b), count(*) OVER (PARTITION BY lang, measure) FROM leaf
+  UNION ALL SELECT 'every', NULL, NULL, measure, share, b, row_number() OVER (PARTITION BY measure ORDER BY b), count(*) OVER (PARTITION BY measure) FROM leaf),
+q0 AS (SELECT level, lang, source, measure, any_value(n) AS n, min(b) FILTER (4 * r >= n) AS q1, min(b) FILTER (2 * r >= n) AS q2, min(b) FILTER (4 * r >= 3 * n) AS q3,
+    min(b) FILTER (1000 * r >= share * n) AS t, min(b) FILTER (1000 * r >= 990 * n) AS furthest FROM ranked GROUP BY level, lang, source, measure),
+q AS (SELECT *, CASE WHEN t > q2 THEN t ELSE furthest END AS tail FROM q0),
+h AS (SELECT *, 2 * (tail + (1 << greatest(length(bin(tail)) - 6, 0)) - 1) - q2 AS beyond FROM q WHERE q3 > q1 OR tail > q2 OR level = 'every'),
+f AS (SELECT level, lang, source, measure, n, CASE WHEN q3 = q1 THEN beyond WHEN measure = 'word_length' THEN 4 * q3 - 3 * q1 + 1000 ELSE greatest(4 * q3 - 3 * q1, beyond) END AS high,
+    CASE WHEN q3 > q1 AND measure = 'word_length' THEN 4 * q1 - 3 * q3 - 1000 END AS low FROM h),
+g AS (SELECT d.lang, d.source, m.measure, CASE WHEN o.n >= 100 THEN {{'high': o.high, 'low': o.low}} WHEN l.n >= 100 THEN {{'high': l.high, 'low': l.low}} ELSE {{'high': e.high, 'low': e.low}} END AS z
+  FROM (SELECT DISTINCT lang, source FROM v) d CROSS JOIN (SELECT DISTINCT measure FROM f) m
+  LEFT JOIN (SELECT * FROM f WHERE level = 'own') o ON d.lang IS NOT DISTINCT FROM o.lang AND d.source IS NOT DISTINCT FROM o.source AND m.measure = o.measure
+  LEFT JOIN (SELECT * FROM f WHERE level = 'language') l ON d.lang IS NOT DISTINCT FROM l.lang AND m.measure = l.measure LEFT JOIN (SELECT * FROM f WHERE level = 'every') e ON m.measure = e.measure),
+c AS (SELECT lang, source, max(z.high) FILTER (measure = 'word_length') AS wh, max(z.low) AS wl, max(z.high) FILTER (measure = 'symbols') AS sh, max(z.high) FILTER (measure = 'dup_lines') AS dh,
+    max(z.high) FILTER (measure = 'repeats') AS rh FROM g GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(word_length <= z.wh AND word_length >= z.wl AND symbols <= z.sh AND dup_lines <= z.dh AND repeats <= z.rh, true) AS kept
-FROM p
+  NOT base_failed AND coalesce(word_length <= wh, true) AND coalesce(word_length >= wl, true) AND coalesce(symbols <= sh, true) AND coalesce(dup_lines <= dh, true) AND coalesce(repeats <= rh, true) AS kept
+FROM v LEFT JOIN c ON v.lang IS NOT DISTINCT FROM c.lang AND v.source IS NOT DISTINCT FROM c.source
 """
 
 OP7_SQL = f"""

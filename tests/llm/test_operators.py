@@ -628,6 +628,50 @@ def test_quality_keeps_clean_and_drops_junk(spark, sample):
     assert {r[0] for r in plain(quality.only_good(docs), "doc_id")} == set(range(200))
 
 
+def habits(rng, n, lang, source, length, symbols, lines, repeats):
+    """Documents of 100 words; most have no symbols, no line twice and no repeated words, a tenth have some of each, as the source does."""
+    rows = []
+    for i in range(n):
+        made = [[f"{rng.choice('abcdefgh')}{rng.randrange(10**6):06}" + "x" * (length + rng.randrange(3)) for _ in range(5)] for _ in range(20)]
+        if i % 10 == 0:
+            k = 1 + i // 10 % 3
+            for j in range(symbols * k):
+                made[j % 11][4] += "#"
+            for j in range(min(lines * k, 8)):
+                made[19 - j] = made[12]
+            for j in range(min(repeats * k, 5)):
+                made[j][0:3] = ["so", "it", "goes"]
+        rows.append((i, "\n".join(" ".join(x) for x in made), lang, source))
+    return rows
+
+
+def test_quality_thresholds_follow_each_source(spark):
+    """Two sources of other habits get other fences of all measures, all of them above what is usual and from their own sketches."""
+    rng = random.Random(4)
+    rows = habits(rng, 600, "en", "prose", 1, 1, 1, 1) + habits(rng, 600, "en", "forum", 6, 12, 3, 2) + [(1, "few words", "en", "rare"), (2, None, None, None)]
+    stats = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("lang", "source", quality.measured("text").alias("stats"))
+    found = {r["source"]: r.asDict() for r in quality.fences(stats).collect()}
+    values = stats.where(~quality.base_failed("stats")).select("source", *[v.alias(m) for m, v in quality._values("stats").items()]).collect()
+    for m in quality.MEASURES:
+        assert found["prose"][f"{m}_high"] != found["forum"][f"{m}_high"], m
+        for source in ("prose", "forum"):
+            own = sorted(r[m] for r in values if r["source"] == source)
+            high = found[source][f"{m}_high"]
+            assert own[int(len(own) * 0.9)] <= high and (m == "word_length" or high <= 3 * own[-1]), (m, source)
+    # Too few documents: the language's fences, then those of all.
+    assert found["rare"]["symbols_high"] is not None and found[None]["symbols_high"] is not None
+    # With another least, a source of 600 documents is too small, and both get what holds for the language.
+    found = {r["source"]: r.asDict() for r in quality.fences(stats, least=1000).collect()}
+    assert all(found["prose"][f"{m}_high"] == found["forum"][f"{m}_high"] for m in quality.MEASURES)
+
+
+def test_quality_of_what_never_varies(spark):
+    """No document has a symbol or a repeat: nothing can be too much, and nothing is rejected."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu".split()
+    rows = [(i, " ".join(f"{words[(i + j) % 12]}{j}" for j in range(60)), "en", "s") for i in range(150)]
+    assert quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("NOT kept").count() == 0
+
+
 def test_quality_empty(none, hard):
     assert quality.quality_rules(none).count() == 0
     assert quality.only_good(hard).columns == hard.columns
