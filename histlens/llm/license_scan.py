@@ -4,8 +4,8 @@ Only DataFrame functions are used.  A block of a template is what a window of
 SPREAD times as many words as the template has shows of the text, wherever the
 window lies, however the text is wrapped; windows may hang over the text's ends.
 A template matches a block that contains at least NUMERATOR/DENOMINATOR of its
-distinct words and, in order (of first places), all of its required words, but
-none of the words that tell another license of its family from it.  Words are ordered by
+distinct words and, in order (of first places), all of its required runs of words,
+but none of the words that tell another license of its family from it.  Words are ordered by
 the number of documents that hold them, rarest first; then
 
 prefix filter: with need = ceil(share * |T|) a block holds one of the first
@@ -38,28 +38,57 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Sentences of public licenses and of the usual notices that name them; the words a match must hold, in order; those it must not.
+# What public licenses and the usual notices that name them say; what a match must hold, in order ("a+b": one after the other, or with one word between, as a comment's leader); words it must not.
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+_WORK = "this work is licensed under the gnu {} version {}"
+_COMMONS = "this work is licensed under a creative commons {} 4 0 international license"
+_SPDX = "spdx license identifier {}"
+_GNU_NAMES = (
+    ("gpl-2", "general public license", "2", "gnu general+public version+2", "lesser affero library"),
+    ("gpl-3", "general public license", "3", "gnu general+public version+3", "lesser affero library"),
+    ("lgpl-2", "library general public license", "2", "gnu library+general version+2", "affero"),
+    ("lgpl-2.1", "lesser general public license", "2 1", "gnu lesser+general version+2+1", "affero"),
+    ("lgpl-3", "lesser general public license", "3", "gnu lesser+general version+3", "affero"),
+    ("agpl-3", "affero general public license", "3", "gnu affero+general version+3", "lesser"),
+)
+_COMMONS_NAMES = (
+    ("cc-by", "attribution", "creative attribution", "sharealike noncommercial noderivatives nc sa nd"),
+    ("cc-by-sa", "attribution sharealike", "creative attribution+sharealike", "noncommercial nc"),
+    ("cc-by-nd", "attribution noderivatives", "creative attribution+noderivatives", "noncommercial nc"),
+    ("cc-by-nc", "attribution noncommercial", "creative attribution+noncommercial", "sharealike noderivatives sa nd"),
+    ("cc-by-nc-sa", "attribution noncommercial sharealike", "creative noncommercial+sharealike", ""),
+    ("cc-by-nc-nd", "attribution noncommercial noderivatives", "creative noncommercial+noderivatives", ""),
+)
+_SHORT_COMMONS = (("cc-by", "cc by 4 0", "nc sa nd"), ("cc-by-sa", "cc by sa 4 0", "nc"), ("cc-by-nd", "cc by nd 4 0", "nc"), ("cc-by-nc", "cc by nc 4 0", "sa nd"), ("cc-by-nc-sa", "cc by nc sa 4 0", ""), ("cc-by-nc-nd", "cc by nc nd 4 0", ""))
+_IDENTIFIERS = (
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("isc", "isc"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2", "lgpl 2 0"), ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"),
+    ("mpl-2", "mpl 2 0"), ("epl-2", "epl 2 0"), ("unlicense", "unlicense"), ("cc0", "cc0 1 0"),
+)
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit", ""),
+    ("mit", "released under the mit license", "under mit+license", ""),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission granted charge", ""),
-    ("apache-2", "licensed under the apache license version 2 0", "apache 2", ""),
-    ("apache-2", "you may not use this file except in compliance with the license", "file except compliance", ""),
+    ("apache-2", "licensed under the apache license version 2 0", "apache+license version+2", ""),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache+license file except compliance", ""),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution binary forms", ""),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file", "governed bsd+style", ""),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission fee granted", ""),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general 2", "lesser affero 3"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general 3", "lesser affero 2"),
-    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3", "gnu lesser 3", "affero 2"),
-    ("agpl-3", "this work is licensed under the gnu affero general public license version 3", "gnu affero 3", "lesser 2"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
-    ("epl-2", "this program is made available under the terms of the eclipse public license 2 0", "eclipse 2", ""),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered domain", ""),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative attribution", "sharealike noncommercial noderivatives nc sa nd"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative sharealike", "noncommercial nc"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc", ""),
+    *((label, _WORK.format(name, version), must, without) for label, name, version, must, without in _GNU_NAMES),
+    *((label, _GNU.format(name, version), must, without) for label, name, version, must, without in _GNU_NAMES),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla+public 2", ""),
+    ("epl-2", "this program is made available under the terms of the eclipse public license 2 0", "eclipse+public 2", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public+domain", ""),
+    *((label, _COMMONS.format(name), must, without) for label, name, must, without in _COMMONS_NAMES),
+    *((label, f"licensed under {name}", name.replace(" ", "+"), without) for label, name, without in _SHORT_COMMONS),
+    *((label, _SPDX.format(name), "spdx identifier+" + name.replace(" ", "+"), without) for label, name, without in (*((x, y, "") for x, y in _IDENTIFIERS), *_SHORT_COMMONS)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived copyright", ""),
 )
 
 
+def required_runs(required: str) -> list[str]:
+    """Regular expressions of the runs in a template's third part, over words with spaces around each."""
+    return [f" {run.replace('+', ' (?:[^ ]+ )?')} " for run in required.split()]
+
+
 def _lowered(text: Column) -> Column:
     """A-Z lower-cased.  lower() differs from that only on letters beyond ASCII, which never make a phrase's or template's word but for the Kelvin sign."""
     return F.when(F.contains(text, F.lit("K")), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -115,10 +144,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     for label, text, required, without in TEMPLATES:
         words = sorted(_distinct(text), key=rank.__getitem__)
         need = _needed(len(words))
-        index += [(words[p], label, p, words, words[:p], need, required.split(), without.split(), SPREAD * len(text.split())) for p in range(len(words) - need + 1)]
+        index += [(words[p], label, p, words, words[:p], need, required_runs(required), without.split(), SPREAD * len(text.split()), required.replace("+", " ").split()) for p in range(len(words) - need + 1)]
     prefixes = sorted({x[0] for x in index})
     least = min(x[5] for x in index)
-    reach = max(x[-1] for x in index)
+    reach = max(x[8] for x in index)
 
     # One pass over the texts: base places, and stretches that hold a prefix word and enough template words.
     split = docs.select("doc_id", F.xxhash64("text").alias("key"), _lowered(F.col("text")).alias("text")).withColumn("words", F.split("text", NOT_WORD))
@@ -136,18 +165,19 @@ def license_scan(docs: DataFrame) -> DataFrame:
     scanned = checkpointed(scanned)
 
     spark = docs.sparkSession
-    rows = spark.createDataFrame(index, "word string, label string, p int, tokens array<string>, before array<string>, need int, required array<string>, without array<string>, span int")
+    rows = spark.createDataFrame(index, "word string, label string, p int, tokens array<string>, before array<string>, need int, required array<string>, without array<string>, span int, needed array<string>")
     hits = scanned.select("doc_id", "key", F.explode("stretches").alias("x")).select("doc_id", "key", "x.*").withColumn("block", F.array_intersect(_texts(order), F.col("run")))
     hits = hits.withColumn("word", F.explode(F.array_intersect(F.col("block"), _texts(prefixes))))
     pairs = hits.join(F.broadcast(rows), "word").where(~F.arrays_overlap("block", "before"))
     q = F.array_position("block", F.col("word")) - 1
     pairs = pairs.where((F.size("block") >= F.col("need")) & (F.least(F.size("tokens") - F.col("p"), F.size("block") - q) >= F.col("need")))
-    pairs = pairs.where((F.size(F.array_intersect("tokens", "block")) >= F.col("need")) & (F.size(F.array_except("required", "run")) == 0))
+    pairs = pairs.where((F.size(F.array_intersect("tokens", "block")) >= F.col("need")) & (F.size(F.array_except("needed", "run")) == 0))
 
     def common(start: Column) -> Column:
-        """The template's words in the window from there, 0 unless it holds the required ones in order and none that it must not."""
+        """The template's words in the window from there, 0 unless it holds the required runs in order and no word that it must not."""
         window = F.slice("run", F.greatest(start, F.lit(0)) + 1, F.col("span") + F.least(start, F.lit(0)))
-        places = F.transform("required", lambda word: F.array_position(window, word))
+        spelt = F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" "))
+        places = F.transform("required", lambda run: F.regexp_instr(spelt, run))
         return F.when((F.array_min(places) > 0) & (F.array_sort(places) == places) & ~F.arrays_overlap("without", window), F.size(F.array_intersect("tokens", window))).otherwise(0)
 
     windows = F.sequence(F.when(F.col("front"), 1 - F.col("span")).otherwise(0), F.least(F.lit(STRETCH), F.size("run")) - 1)

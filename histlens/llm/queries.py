@@ -12,7 +12,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .huffman import read_tokens, write_tokens
 from .language_id import fit, identify, is_held_out
-from .license_scan import DENOMINATOR, NOT_WORD, NUMERATOR, PHRASES, SPREAD, TEMPLATES, license_scan
+from .license_scan import DENOMINATOR, NOT_WORD, NUMERATOR, PHRASES, SPREAD, TEMPLATES, license_scan, required_runs
 from .line_dedup import line_dedup
 from .mixing import mixed
 from .packing import packed
@@ -105,7 +105,7 @@ FROM e
 """
 
 
-_TEMPLATES = ", ".join(f"('{label}', list_distinct({text.split()}), {required.split()}, {without.split()}::VARCHAR[], {SPREAD * len(text.split())})" for label, text, required, without in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', list_distinct({text.split()}), {required_runs(required)}, '{required.replace("+", " ").split()[0]}', {without.split()}::VARCHAR[], {SPREAD * len(text.split())})" for label, text, required, without in TEMPLATES)
 _PHRASES = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in PHRASES.items())
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _LICENSE_WORD = "[^" + NOT_WORD[1:]
@@ -118,12 +118,13 @@ win AS (SELECT doc_id, i, w AS a, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w
     w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS four FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 p AS (SELECT doc_id, i, label FROM win, (VALUES {_PHRASES}) x(phrase, label, n) WHERE phrase = CASE n WHEN 3 THEN three ELSE four END),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS f, max(i) AS l, list(DISTINCT label) AS ls FROM p GROUP BY doc_id),
-x(label, tw, must, without, span) AS (VALUES {_TEMPLATES}),
-near AS (SELECT tok.doc_id, x.*, unnest(range(i - span + 1, i + 1)) AS s FROM tok JOIN x ON tok.w = must[1]),
+x(label, tw, must, first, without, span) AS (VALUES {_TEMPLATES}),
+near AS (SELECT tok.doc_id, x.*, unnest(range(i - span + 1, i + 1)) AS s FROM tok JOIN x ON tok.w = x.first),
 seen AS (SELECT near.*, ws[greatest(s, 0) + 1 : s + span] AS b FROM near JOIN w ON near.doc_id = w.doc_id),
-m AS (SELECT doc_id, label, len(list_intersect(tw, b))::DOUBLE / len(tw) AS s FROM seen
-  WHERE {DENOMINATOR} * len(list_intersect(tw, b)) >= {NUMERATOR} * len(tw) AND len(list_intersect(must, b)) = len(must)
-    AND list_transform(must, lambda y: list_position(b, y)) = list_sort(list_transform(must, lambda y: list_position(b, y))) AND len(list_intersect(without, b)) = 0),
+spelt AS (SELECT *, ' ' || array_to_string(b, ' ') || ' ' AS spelt FROM seen),
+found AS (SELECT *, list_transform(must, lambda y: CASE WHEN regexp_matches(spelt, y) THEN 1 + length(regexp_extract(spelt, '^(.*?)' || y, 1)) ELSE 0 END) AS places FROM spelt),
+m AS (SELECT doc_id, label, len(list_intersect(tw, b))::DOUBLE / len(tw) AS s FROM found
+  WHERE {DENOMINATOR} * len(list_intersect(tw, b)) >= {NUMERATOR} * len(tw) AND list_min(places) > 0 AND places = list_sort(places) AND len(list_intersect(without, b)) = 0),
 f AS (SELECT doc_id, list(DISTINCT label) AS ls, max(s) AS s FROM m GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.f::BIGINT AS first_word, base.l::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
