@@ -36,7 +36,12 @@ def tree_root(hashes: list[bytes]) -> bytes:
     return hashes[0]
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text without spaces, its keys in order at every depth and numbers in their shortest form: variants hold objects so."""
+    return F.to_json(F.parse_json(text))
+
+
 def content_hash(bundle: Column) -> Column:
-    """SHA-256 of a bundle's JSON without times of making it, age and shallow flag."""
+    """SHA-256 of a bundle's canonical JSON without times of making it, age and shallow flag; the order of fields doesn't count."""
     kept = bundle.dropFields("created_at", "attestation.confirmed_at", "repo.age_days", "repo.shallow")
-    return F.sha2(F.to_json(kept), 256)
+    return F.sha2(canonical_json(F.to_json(kept)), 256)

@@ -92,6 +92,7 @@ def _value(token: Token) -> str:
 class Reader:
     def __init__(self, found: list[Token]) -> None:
         self.t, self.out, self.spans = found, Facts(), []
+        self.owners: list[str | None] | None = None
 
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
@@ -160,7 +161,7 @@ class Reader:
             return name, first
         # A return type between the parameters and the block.
         close = before
-        for k in range(before, max(-1, before - 24), -1):
+        for k in range(before, -1, -1):
             if self.text(k) == ")" or self.t[k].text in (";", "{", "}", "="):
                 close = k
                 break
@@ -187,7 +188,7 @@ class Reader:
             if token.mate >= 0 and token.mate < depth_start:
                 depth_start = token.mate
             elif token.text == "{":
-                for k in range(depth_start - 1, max(-1, depth_start - 12), -1):
+                for k in range(depth_start - 1, -1, -1):
                     if self.text(k) == "class" and self.is_name(k + 1):
                         return self.text(k + 1)
                     if self.text(k) in (";", "}", ")"):
@@ -199,8 +200,25 @@ class Reader:
         return None
 
     def owner(self, i: int) -> str | None:
-        inside = [s for s in self.spans if s[0] <= i <= s[1]]
-        return min(inside, key=lambda s: s[1] - s[0])[2] if inside else None
+        """The innermost function around a token."""
+        if self.owners is None:
+            self.owners = [None] * len(self.t)
+            # Wider spans first, so that narrower ones are laid over them.
+            for first, last, name in sorted(reversed(self.spans), key=lambda s: s[0] - s[1]):
+                last = min(last, len(self.t) - 1)
+                self.owners[first : last + 1] = [name] * (last + 1 - first)
+        return self.owners[i]
+
+    def _import_end(self, i: int) -> int | None:
+        """The specifier of an import statement; braces are stepped over, and what can't be in its clause ends the search."""
+        k = i + 1
+        while k < len(self.t) and self.t[k].kind != "text":
+            if self.text(k) == "{" and self.t[k].mate > k:
+                k = self.t[k].mate
+            elif not (self.is_name(k) or self.text(k) in (",", "*")):
+                return None
+            k += 1
+        return k if k < len(self.t) else None
 
     def imports(self) -> set[int]:
         """Import rows; returns the tokens that belong to imports."""
@@ -208,8 +226,8 @@ class Reader:
         for i, token in enumerate(self.t):
             if token.text != "import" or token.kind != "name" or self.text(i + 1) in ("(", ".") or self.text(i - 1) == ".":
                 continue
-            end = next((k for k in range(i + 1, min(len(self.t), i + 400)) if self.t[k].kind == "text"), None)
-            if end is None or any(self.text(k) in (";", "=") for k in range(i, end)):
+            end = self._import_end(i)
+            if end is None:
                 continue
             bindings, k = [], i + 1
             while k < end:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, times, values
-from ..functions.hashing import author_list_hash, salted
-from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ordered, ownership, ranking, sequence, signatures, skills
+from ..functions.hashing import author_list_hash, canonical_json, salted
+from ..operators import anchors, cadence, churn, forensics, graph, imports, infer, merkle, ordered, ownership, ranking, sequence, signatures, skills, validate
 from ..relations import line_churn, one_repository, order_commits, table
 from ..shared import checkpointed
 from ..sources import stores
@@ -288,6 +288,39 @@ def manifest_diff(spark, sf_dir):
     return sequence.successive_additions(days, ["user_id"], "day", "ks").select("user_id", "day", F.array_join(F.array_sort("added"), ",").alias("added"))
 
 
+# A small bundle for each customer, most of them broken in some way.
+_BUNDLE = {
+    "type": "object", "required": ["id", "name"], "additionalProperties": False,
+    "properties": {"id": {"type": "integer", "minimum": 10}, "name": {"type": "string", "pattern": "^Customer"}, "tags": {"type": "array", "minItems": 1, "items": {"enum": ["a", "b", None]}}},
+}
+_BUNDLES = """CASE c_custkey % 8 WHEN 0 THEN '{"id": 1e999, "name": "' || c_name || '"}' WHEN 1 THEN '{"name": ' || c_custkey || ', "tags": []}' WHEN 2 THEN '{"id": ' || c_custkey || ', "name": "' || c_name || '", "extra": 1}'
+    WHEN 3 THEN '{"id": ' || c_custkey || '.0, "name": "x' || c_name || '", "tags": ["a", null, "z", true]}' WHEN 4 THEN '[' || c_custkey || ']' WHEN 5 THEN '{"id": ' || c_custkey WHEN 6 THEN NULL ELSE '{"tags": ["b"], "name": "' || c_name || '", "id": ' || c_custkey || '}' END"""
+
+
+@query(f"""WITH b AS (SELECT c_custkey, {_BUNDLES} AS t FROM customer), v AS (SELECT c_custkey, t, coalesce(json_valid(t), false) AS good, CASE WHEN json_valid(t) THEN t::JSON END AS j FROM b),
+    k AS (SELECT *, json_type(j) AS kind, coalesce(json_extract(j, '$.id')::VARCHAR, '') AS id, json_type(j, '$.name') AS nk, json_extract_string(j, '$.name') AS name, json_type(j, '$.tags') AS tk, json_extract(j, '$.tags[*]')::VARCHAR[] AS tags,
+      CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) ELSE [] END AS ks FROM v)
+    SELECT c_custkey, CASE WHEN t IS NULL THEN NULL WHEN NOT good THEN '$: json' WHEN kind <> 'OBJECT' THEN '$: type' ELSE array_to_string(list_filter(list_concat([
+        CASE WHEN NOT list_contains(ks, 'id') THEN '$.id: required' END, CASE WHEN NOT list_contains(ks, 'name') THEN '$.name: required' END,
+        CASE WHEN list_contains(ks, 'id') AND NOT regexp_full_match(id, '[0-9]+([.]0)?') THEN '$.id: type' WHEN list_contains(ks, 'id') AND id::DOUBLE < 10 THEN '$.id: minimum' END,
+        CASE WHEN nk <> 'VARCHAR' THEN '$.name: type' WHEN name NOT LIKE 'Customer%' THEN '$.name: pattern' END, CASE WHEN tk = 'ARRAY' AND len(tags) = 0 THEN '$.tags: minItems' END],
+        list_transform(tags, lambda x, i: CASE WHEN x NOT IN ('"a"', '"b"', 'null') THEN '$.tags[' || (i - 1) || ']: enum' END),
+        list_transform(list_sort(list_filter(ks, lambda x: x NOT IN ('id', 'name', 'tags'))), lambda x: '$.' || x || ': additionalProperties')), lambda x: x IS NOT NULL), ',') END AS faults FROM k""")
+def bundle_faults(spark, sf_dir):
+    """Each broken bundle's faults, by an expression compiled from the schema."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_BUNDLES).alias("json"))
+    return rows.select("c_custkey", F.array_join(validate.schema_faults(F.col("json"), _BUNDLE), ",").alias("faults"))
+
+
+@query("""SELECT c_custkey, sha256('{"a":[1,2.5,null],"b":{"k":' || c_custkey || ',"n":"' || c_name || '","s":"' || c_mktsegment || '"},"c":true}') AS hash FROM customer""")
+def content_hashes(spark, sf_dir):
+    """Texts of one content with their keys in another order get one hash."""
+    parts = (F.lit('"n": "'), F.col("c_name"), F.lit('"')), (F.lit('"s": "'), F.col("c_mktsegment"), F.lit('"')), (F.lit('"k": '), F.col("c_custkey").cast("string"))
+    inner = lambda *order: F.concat(F.lit("{"), F.concat_ws(" , ", *[F.concat(*parts[i]) for i in order]), F.lit("}"))
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('{ "c":true, "b": '), inner(0, 2, 1), F.lit(', "a": [1, 2.50, null]}'))).otherwise(F.concat(F.lit('{"a":[1.0,2.5,null],"b":'), inner(1, 0, 2), F.lit(',"c":true}')))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(canonical_json(text), 256).alias("hash"))
+
+
 @query("SELECT DISTINCT p_type AS slug FROM part WHERE p_type NOT IN ('STANDARD', 'SMALL', 'MEDIUM', 'LARGE')")
 def vocabulary_check(spark, sf_dir):
     allowed = spark.createDataFrame([("STANDARD",), ("SMALL",), ("MEDIUM",), ("LARGE",)], "slug string")

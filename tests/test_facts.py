@@ -50,3 +50,18 @@ def test_from_source_to_finding(spark):
     files = found.select("repo_id", "path")
     got = infer.findings(hits, graph.resolve_imports(part["imports"], files), graph.external_imports(part["imports"]), files).collect()
     assert [(r["slug"], r["confidence"], r["connection"], r["claimed"]) for r in got] == [("payments/payment-webhook-flow", "direct", "same-function", True)]
+
+
+def test_long_statements_lose_nothing():
+    names = [f"name{i}" for i in range(250)]
+    found = facts.facts_of("import {\n" + ",\n".join(f"{n} as {n}x" for n in names) + "\n} from './wide';\nconst a = 1; import('./no');")
+    assert [(i["specifier"], len(i["bindings"])) for i in found.imports] == [("./wide", 250)]
+    found = facts.facts_of("class A extends B implements C, D, E, F, G, H, I { run() { go(); } }")
+    assert [f["name"] for f in found.functions] == ["A.run"] and [c["fn"] for c in found.calls] == ["A.run"]
+    wide = " | ".join(f"Kind{i}" for i in range(40))
+    assert [f["name"] for f in facts.facts_of(f"function pick(x): {wide} {{ return x; }}").functions] == ["pick"]
+
+
+def test_owners_are_the_innermost_functions():
+    source = "function a() { one(); function b() { two(); const c = () => three(); } four(); }\nfive();"
+    assert {c["chain"][-1]: c["fn"] for c in facts.facts_of(source).calls if len(c["chain"]) == 1} == {"one": "a", "two": "b", "three": "c", "four": "a", "five": None}

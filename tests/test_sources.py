@@ -4,6 +4,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from histlens.functions.hashing import canonical_json
 from histlens.operators import validate
 from histlens.plans import profile as plan
 from histlens.sources import stores
@@ -156,3 +157,46 @@ def test_streaming_counts(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sum(r["commits"] for r in spark.table("daily").collect()) >= 2
+
+
+def test_versions_of_a_store(spark, tmp_path, monkeypatch):
+    """Two writers that start from one version both get their rows in, and earlier versions stay as they were."""
+    path, schema = str(tmp_path / "store"), "site string, content_hash string"
+    row = lambda *r: spark.createDataFrame([r], schema)
+    assert stores.read_version(spark, path, schema).count() == 0 and stores.latest_version(spark, path) == 0
+    assert stores.commit_upsert(spark, path, row("a", "1"), ["site"], schema) == 1
+    plain_upsert, others = stores.upsert, [row("b", "2")]
+
+    def raced(stored, new, keys):
+        # Another writer publishes after this one has read.
+        if others:
+            assert stores.commit_upsert(spark, path, others.pop(), keys, schema) == 2
+        return plain_upsert(stored, new, keys)
+
+    monkeypatch.setattr(stores, "upsert", raced)
+    assert stores.commit_upsert(spark, path, row("a", "3"), ["site"], schema) == 3
+    found = lambda v: {tuple(r) for r in stores.read_version(spark, path, schema, v).collect()}
+    assert [found(v) for v in (1, 2, 3)] == [{("a", "1")}, {("a", "1"), ("b", "2")}, {("a", "3"), ("b", "2")}] and found(None) == found(3)
+    assert len(list((tmp_path / "store").glob("data-*"))) == 3
+
+
+def test_a_salt_is_made_once(spark, tmp_path):
+    path = str(tmp_path / "salt")
+    assert [stores.create_once(spark, path, x) for x in ("first", "second")] == ["first", "first"]
+
+
+def test_schemas_that_are_not_checked_whole_are_refused(spark):
+    for schema in ({"minLength": 1}, {"properties": {"a": {"$ref": "#/x"}}}, {"type": "date"}, {"enum": [[1]]}, {"format": "uri"}):
+        with pytest.raises(ValueError, match=r"\$"):
+            validate.compiled(schema)
+    schema = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}, "s": {"minimum": 3, "pattern": "^x"}, "e": {"enum": [1, None]}, "l": {"type": ["array", "null"], "items": {"const": True}}}}
+    rows = [('{"n": 1e999}', ["$.n: type"]), ('{"n": 1.0, "s": 5, "e": 1.0}', []), ('{"s": "y", "e": true}', ["$.s: pattern", "$.e: enum"]), ('{"l": [true, 1], "n": -1}', ["$.n: minimum", "$.l[1]: const"]), ('{"l": null, "e": null}', []), ("[]", ["$: type"]), ("{} {}", ["$: json"]), ("", ["$: json"]), (None, None)]
+    found = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "i int, t string").select("i", validate.schema_faults(F.col("t"), schema).alias("f"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["i"]: r["f"] for r in found.collect()} == {i: f for i, (_, f) in enumerate(rows)}
+
+
+def test_content_does_not_depend_on_the_order_of_keys(spark):
+    rows = [('{"b": {"y": 1.50, "x": null}, "a": [2, {"d": 1, "c": "é"}]}',), ('{ "a":[2,{"c":"é","d":1}],"b":{"x":null,"y":1.5} }',)]
+    found = spark.createDataFrame(rows, "t string").select(canonical_json(F.col("t"))).collect()
+    assert {r[0] for r in found} == {'{"a":[2,{"c":"é","d":1}],"b":{"x":null,"y":1.5}}'}
