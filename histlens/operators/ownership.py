@@ -27,14 +27,14 @@ def other_contributors(commits: DataFrame, authors: DataFrame, author: str = "em
     return others.groupBy(*keys).agg(F.count_distinct(author).alias("other_contributors"))
 
 
-def corroborated(claims: DataFrame, verified: DataFrame, salt: str, most: int = 1000) -> DataFrame:
-    """How many claimed hashes belong to verified emails; null for over `most` claims.
+def corroborated(claims: DataFrame, verified: DataFrame, salt: str, most: int = 1000, keys: tuple[str, ...] = ()) -> DataFrame:
+    """How many claimed hashes belong to verified emails, for each of `keys` of the claims; null for over `most` claims.
 
-    claims(hash), verified(email).
+    claims(keys, hash), verified(email).
     """
     known = verified.select(salted(F.col("email"), salt).alias("hash")).distinct().withColumn("__known", F.lit(True))
-    found = claims.join(known, "hash", "left").agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("__known")).alias("hits"))
-    return found.select("claims", F.when(F.col("claims") <= most, F.col("hits")).alias("corroborated"))
+    found = claims.join(known, "hash", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("claims"), F.count_if(F.col("__known")).alias("hits"))
+    return found.select(*keys, "claims", F.when(F.col("claims") <= most, F.col("hits")).alias("corroborated"))
 
 
 def selection_state(stored: DataFrame, candidates: DataFrame) -> DataFrame:

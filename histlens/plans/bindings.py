@@ -367,19 +367,26 @@ def group_remainder(spark, sf_dir):
     return found.withColumn("top_items", F.array_join("top_items", ","))
 
 
-_FILES = ["src/a.ts", "src/b.tsx", "src/lib/index.ts", "src/lib/c.ts", "src/d.ts", "src/e.js", "src/e.ts", "src/f.tsx"]
-_IMPORTS = [("src/a.ts", "./b"), ("src/a.ts", "./lib"), ("src/lib/c.ts", "../d.js"), ("src/lib/c.ts", "../../src/./a"), ("src/b.tsx", "./e.js"), ("src/b.tsx", "./missing"), ("src/b.tsx", "react"), ("src/d.ts", "./f.jsx")]
-# In SQL the joined and normalised base is given; the query computes it.
-_BASES = [("src/a.ts", "./b", "src/b"), ("src/a.ts", "./lib", "src/lib"), ("src/lib/c.ts", "../d.js", "src/d.js"), ("src/lib/c.ts", "../../src/./a", "src/a"), ("src/b.tsx", "./e.js", "src/e.js"), ("src/b.tsx", "./missing", "src/missing"), ("src/d.ts", "./f.jsx", "src/f.jsx")]
+# A file for each part, in a folder for its size; it imports the next part's file, written in four ways, and a package.
+_PART_PATH = "'src/t' || p_size || '/p' || p_partkey"
+_SUFFIXES = "['.ts', '.tsx', '/index.ts', '/index.tsx', '.js'][(p_partkey % 5 + 1)::INT]"
 
 
-@query(f"""WITH b(path, specifier, base) AS (VALUES {", ".join(map(repr, _BASES))}), f AS (SELECT unnest({_FILES!r}) AS file),
-    c AS (SELECT path, specifier, unnest([base, base || '.ts', base || '.tsx', base || '/index.ts', base || '/index.tsx', CASE WHEN base LIKE '%.js' THEN left(base, -3) || '.ts' WHEN base LIKE '%.jsx' THEN left(base, -4) || '.tsx' END]) AS candidate, unnest([1, 2, 3, 4, 5, 6]) AS k FROM b)
-    SELECT b.path, b.specifier, (SELECT candidate FROM c JOIN f ON candidate = file WHERE c.path = b.path AND c.specifier = b.specifier ORDER BY k LIMIT 1) AS target FROM b""")
+@query(f"""WITH f AS (SELECT {_PART_PATH} AS base, {_PART_PATH} || {_SUFFIXES} AS file, p_partkey AS k FROM part),
+    i AS (SELECT a.file AS path, CASE a.k % 5 WHEN 2 THEN '../../' WHEN 3 THEN '../../' ELSE '../' END AS up, substr(b.base, 5) || CASE a.k % 4 WHEN 0 THEN '' WHEN 1 THEN '.js' WHEN 2 THEN '.jsx' ELSE '/../p' || b.k END AS down,
+        b.base || CASE a.k % 4 WHEN 1 THEN '.js' WHEN 2 THEN '.jsx' ELSE '' END AS wanted FROM f a JOIN f b ON b.k = a.k + 1),
+    c AS (SELECT path, up || down AS specifier, unnest([wanted, wanted || '.ts', wanted || '.tsx', wanted || '/index.ts', wanted || '/index.tsx', CASE WHEN wanted LIKE '%.js' THEN left(wanted, -3) || '.ts' WHEN wanted LIKE '%.jsx' THEN left(wanted, -4) || '.tsx' END]) AS candidate, unnest([1, 2, 3, 4, 5, 6]) AS k FROM i)
+    SELECT path, specifier, arg_min(file, c.k) AS target FROM c LEFT JOIN f ON candidate = file GROUP BY path, specifier""")
 def import_resolution(spark, sf_dir):
-    files = spark.createDataFrame([("r", f) for f in _FILES], "repo_id string, path string")
-    imports = spark.createDataFrame([("r", *i) for i in _IMPORTS], "repo_id string, path string, specifier string")
-    return graph.resolve_imports(imports, files).select("path", "specifier", "target")
+    """Relative imports of all files; those of packages are none of its rows."""
+    suffix = F.element_at(F.array(*map(F.lit, (".ts", ".tsx", "/index.ts", "/index.tsx", ".js"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    base = F.concat(F.lit("src/t"), "p_size", F.lit("/p"), "p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), F.concat(base, suffix).alias("path"))
+    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.substring("base", 5, 1000).alias("down"), F.col("p_partkey").alias("next"))
+    up = F.when(F.col("p_partkey") % 5 == 2, "../../").when(F.col("p_partkey") % 5 == 3, "../../").otherwise("../")
+    tail = F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, ".js").when(F.col("p_partkey") % 4 == 2, ".jsx").otherwise(F.concat(F.lit("/../p"), F.col("next")))
+    rows = parts.join(following, "p_partkey").select(F.lit("r").alias("repo_id"), "path", F.explode(F.array(F.concat(up, "down", tail), F.lit("react"))).alias("specifier"))
+    return graph.resolve_imports(rows, parts.select(F.lit("r").alias("repo_id"), "path")).select("path", "specifier", "target")
 
 
 _EDGES = "SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
@@ -532,6 +539,15 @@ def corroboration(spark, sf_dir):
     return ownership.corroborated(claims, people.where("c_acctbal > 2000").select(F.col("c_name").alias("email")), SALT)
 
 
+@query(f"""SELECT c_nationkey, count(*) AS claims, CASE WHEN count(*) <= 1000 THEN count(v.h) END AS corroborated FROM (SELECT c_nationkey, sha256('{SALT}' || c_name) AS h FROM customer) c
+    LEFT JOIN (SELECT DISTINCT sha256('{SALT}' || c_name) AS h FROM customer WHERE c_acctbal > 2000) v ON c.h = v.h GROUP BY c_nationkey""")
+def corroboration_by_nation(spark, sf_dir):
+    """Claims of each nation, few enough to be counted at each of these scales."""
+    people = table(spark, sf_dir, "customer")
+    claims = people.select("c_nationkey", salted(F.col("c_name"), SALT).alias("hash"))
+    return ownership.corroborated(claims, people.where("c_acctbal > 2000").select(F.col("c_name").alias("email")), SALT, keys=("c_nationkey",))
+
+
 @query("""WITH p AS (SELECT o_custkey, count(*) AS commits, (epoch_ms(max(o_orderdate)) - epoch_ms(min(o_orderdate))) // 86400000 AS span_days, o_custkey % 11 = 0 AS shallow FROM orders GROUP BY o_custkey)
     SELECT *, CASE WHEN shallow THEN 'shallow' WHEN commits < 10 THEN 'few_commits' WHEN span_days <= 0 THEN 'single_day' END AS thin_reason FROM p""")
 def thin_history(spark, sf_dir):
@@ -634,16 +650,19 @@ def tables_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT l_orderkey, lower(p_type) || '/' || l_partkey || '.' || ['ts', 'py', 'md'][(p_size % 3 + 1)::INT] AS path, l_quantity::BIGINT + l_linenumber AS amount FROM lineitem JOIN part ON l_partkey = p_partkey JOIN c ON o_orderkey = l_orderkey AND mine),
     e AS (SELECT '.' || split_part(path, '.', 2) AS x, sum(amount)::DOUBLE / (SELECT sum(amount) FROM f) AS share FROM f GROUP BY 1),
     g AS (SELECT CASE WHEN path LIKE '%.md' THEN 'docs' WHEN path LIKE '%.py' THEN 'backend' ELSE 'other' END AS x, sum(amount)::DOUBLE / (SELECT sum(amount) FROM f) AS share, count(DISTINCT l_orderkey) AS n FROM f GROUP BY 1)
-    SELECT count(*) FILTER (mine) AS user_total, count(DISTINCT o_custkey) FILTER (NOT mine) AS others, strftime(min(a) FILTER (mine), '%Y-%m-%dT%H:%M:%S.000Z') AS first_at,
+    SELECT (SELECT merkle_root FROM (@MERKLE@) y) AS merkle_root, (SELECT string_agg(n, ',' ORDER BY h) FROM (SELECT h, count(a) AS n FROM range(24) r(h) LEFT JOIN c ON mine AND hour(a) = h GROUP BY h) x) AS hours,
+      (SELECT string_agg(n, ',' ORDER BY h) FROM (SELECT h, count(a) AS n FROM range(7) r(h) LEFT JOIN c ON mine AND dayofweek(a) = h GROUP BY h) x) AS weekdays,
+      count(*) FILTER (mine) AS user_total, count(DISTINCT o_custkey) FILTER (NOT mine) AS others, strftime(min(a) FILTER (mine), '%Y-%m-%dT%H:%M:%S.000Z') AS first_at,
       (epoch_ms(max(a) FILTER (mine)) - epoch_ms(min(a) FILTER (mine))) // 86400000 AS span_days, count(*) FILTER (mine AND signed) AS signed_count, count(*) FILTER (mine AND signed)::DOUBLE / count(*) FILTER (mine) AS signed_ratio,
       count(*) FILTER (mine)::DOUBLE / count(*) AS ownership, (epoch_ms(max(c) FILTER (mine)) - epoch_ms(min(c) FILTER (mine))) // 86400000 AS committer_span_days,
       avg(CASE WHEN abs(epoch_ms(a) - epoch_ms(c)) > 172800000 THEN 1.0 ELSE 0.0 END) FILTER (mine) AS mismatch_ratio, (SELECT max(k) FROM b)::DOUBLE / count(*) FILTER (mine) AS burst_ratio,
-      (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT, ',' ORDER BY x) FROM e) AS languages, (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT || ':' || n, ',' ORDER BY x) FROM g) AS categories FROM c""")
+      (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT, ',' ORDER BY x) FROM e) AS languages, (SELECT string_agg(x || ':' || round(share * 1e6)::BIGINT || ':' || n, ',' ORDER BY x) FROM g) AS categories FROM c""".replace("@MERKLE@", _merkle_sql("(SELECT 0 AS user_id, o_orderkey AS event_id FROM orders WHERE o_custkey % 7 = 3 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) x", 40)))
 def profile_bundle(spark, sf_dir):
     b = lambda path: F.col(f"bundle.{path}")
     million = lambda share: F.round(share * 1e6).cast("long").cast("string")
     dates = "integrity.date_forensics"
     return tables_profile(spark, sf_dir).select(
+        b("integrity.merkle_root"), F.array_join(b("commits.hour_histogram").cast("array<string>"), ",").alias("hours"), F.array_join(b("commits.weekday_histogram").cast("array<string>"), ",").alias("weekdays"),
         b("commits.user_total"), b("identity.other_contributors_count").alias("others"), b("commits.first_at"), b("commits.span_days"), b("signed.count").alias("signed_count"), b("signed.ratio").alias("signed_ratio"), b("ownership.user_commit_ratio").alias("ownership"),
         b(f"{dates}.committer_span_days"), b(f"{dates}.mismatch_ratio"), b(f"{dates}.committer_burst_ratio").alias("burst_ratio"),
         F.array_join(F.array_sort(F.transform(b("languages"), lambda x: F.concat_ws(":", x["extension"], million(x["share"])))), ",").alias("languages"),
@@ -667,7 +686,7 @@ _ADDED = [
     ("Package.swift", ".package(url: \"https://x.org/a/?.git\", from: \"5\"),\n.package(name: \"n\", url: \"https://x.org/~\")", "?,~"),
     ("g.swift", "@testable import struct ?\nimport ~\n// import no", "?,~"),
     ("h.php", "use ?\\Component;\nuse ~\\x\\Y as Z;\n$s = 'use no\\x';", "?,~"),
-    ("Cargo.toml", "[dependencies]\n? = \"1\"\n# no = \"1\"\n[dev-dependencies.~-crate]\nversion = \"1\"\n[package]\nname = \"x\"\n[build-dependencies]\nx-~ = { version = \"1\" }", "~_crate,?,x_~"),
+    ("Cargo.toml", "[dependencies]\n? = \"1\"\n# no = \"1\"\n[dev-dependencies.~-crate]\nversion = \"1\"\n[package]\nname = \"x\"\n[build-dependencies]\nx-~ = { version = \"1\" }", "?,~_crate,x_~"),
     ("composer.json", '{"require": {"php": "8", "?/~": "2"}}', "?/~"),
     ("package.json", '"dependencies": {\n"?": "1",\n"@x/~": "2"\n}\n"scripts": {\n"x": "y"\n}', "?,@x/~"),
     ("README.md", "import x from '?'", ""),
@@ -833,13 +852,14 @@ def release_candidates(spark, sf_dir):
     return skills.release_candidates(package_map.select("package").distinct(), package_map, found).withColumn("packages", F.array_join("packages", ","))
 
 
-_STAMPS = ["2024-02-29T01:02:03Z", "2024-02-29T01:02:03.123Z", "2023-02-29T01:02:03Z", "2024-02-29T01:02:03", "2024-02-29T01:02:03.1Z", "2024-13-01T00:00:00Z", "x"]
-
-
-@query(f"""SELECT t AS text, CASE WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]{{3}})?Z') THEN epoch_ms(try_cast(replace(replace(t, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS ms FROM (SELECT unnest({_STAMPS!r}) AS t) x""")
+# Stamps as they are, and with what makes some of them canonical or breaks it.
+@query("""WITH s AS (SELECT stamp_id, unnest([raw, raw || '.125Z', replace(raw, ' ', 'T') || 'Z', replace(raw, '-1', '-3')]) AS text FROM stamps)
+    SELECT stamp_id, text, CASE WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{3})?Z') THEN epoch_ms(try_cast(replace(replace(text, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS ms FROM s""")
 def canonical_timestamps(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, _STAMPS))).alias("text"))
-    return rows.select("text", times.millis(times.canonical_utc(F.col("text"))).alias("ms"))
+    raw = F.col("raw")
+    forms = F.array(raw, F.concat(raw, F.lit(".125Z")), F.concat(F.replace(raw, F.lit(" "), F.lit("T")), F.lit("Z")), F.replace(raw, F.lit("-1"), F.lit("-3")))
+    rows = table(spark, sf_dir, "stamps").select("stamp_id", F.explode(forms).alias("text"))
+    return rows.select("stamp_id", "text", times.millis(times.canonical_utc(F.col("text"))).alias("ms"))
 
 
 @query("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new ' || c_name, -c_acctbal FROM customer WHERE c_custkey % 3 = 0""")

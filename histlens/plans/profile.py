@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, salted
@@ -12,7 +12,9 @@ from ..functions.paths import host_type, is_excluded
 from ..functions.text import secret_family
 from ..functions.times import days_between, iso
 from ..operators import cadence, churn, forensics, imports, merkle, signatures, skills
+from ..operators.ordered import numbered
 from ..operators.sequence import manifest_additions
+from ..shared import checkpointed
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,8 @@ def profile(
     """
     key = ["repo_id"]
     chosen = authors.select("email").distinct()
-    # Read by several aggregates and joins below; kept so that the history is read once.
-    mine = history.commits.join(chosen, "email", "left_semi").persist()
+    # Read by several aggregates and joins below; written so that the history is read once.
+    mine = checkpointed(history.commits.join(chosen, "email", "left_semi"))
     signed, ratio = cadence.signed_share(F.col("signed"))
     totals = history.commits.join(chosen.withColumn("__mine", F.lit(True)), "email", "left").groupBy("repo_id").agg(
         F.count_if(F.col("__mine")).alias("user_total"), F.count(F.lit(1)).alias("all_total"),
@@ -91,8 +93,7 @@ def profile(
         signed.alias("signed_count"), ratio.alias("signed_ratio"),
     )
     dates = forensics.date_forensics(mine, key)
-    ordered = mine.withColumn("at", F.row_number().over(Window.partitionBy("repo_id").orderBy("pos")) - 1)
-    roots = merkle.merkle_root(ordered, key, "at", "sha").drop("n")
+    roots = merkle.merkle_root(numbered(mine.select("repo_id", "pos", "sha"), ["pos"], key, "at"), key, "at", "sha").drop("n")
     hashes = authors.select(salted(F.col("email"), salt).alias("h")).agg(F.array_sort(F.collect_list("h")).alias("author_hashes"))
 
     found = totals.join(scalars, key).join(dates, key).join(roots, key).crossJoin(F.broadcast(hashes))  # one row
@@ -126,8 +127,8 @@ def _lists(history: History, mine: DataFrame, package_map: DataFrame | None, rul
     out: dict[str, DataFrame] = {}
     in_order = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("first_seen", item.alias("item")))), lambda x: x["item"])
     if history.churn is not None:
-        own = history.churn.join(mine.select("repo_id", "sha", "pos"), ["repo_id", "sha"]).persist()
-        kept = churn.kept_churn(own, churn.generated_paths(own, ["repo_id", "path"])).persist()
+        own = checkpointed(history.churn.join(mine.select("repo_id", "sha", "pos"), ["repo_id", "sha"]))
+        kept = checkpointed(churn.kept_churn(own, churn.generated_paths(own, ["repo_id", "path"])))
         out["languages"] = churn.extension_shares(kept).groupBy("repo_id").agg(in_order(F.struct(F.col("label").alias("extension"), "share")).alias("languages"))
         out["categories"] = churn.category_shares(kept).groupBy("repo_id").agg(in_order(F.struct(F.col("label").alias("name"), F.col("commits").alias("commit_count"), F.col("share").alias("churn_share"))).alias("categories"))
     if history.added_lines is not None and (package_map is not None or rules is not None):

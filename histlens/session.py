@@ -16,6 +16,8 @@ def session(name: str = "histlens", master: str | None = None, partitions: int |
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.python.filterPushdown.enabled": "true",
+        # What operators write into the shared folder goes when nothing refers to it any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if partitions:
         settings["spark.sql.shuffle.partitions"] = str(partitions)
