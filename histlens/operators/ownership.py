@@ -38,10 +38,13 @@ def corroborated(claims: DataFrame, verified: DataFrame, salt: str, most: int =
 
 
 def selection_state(stored: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Of a stored selection(emails) against all rows of candidates(emails): whether all are there, and which still are.
+    """Of each stored selection(emails) against all rows of candidates(emails): whether all are there, and which still are, in order.
 
-    Both are lists of one history's authors; no rows of candidates are no candidates.
+    No rows of candidates are no candidates; an empty selection is all there.
     """
-    every = F.array_distinct(F.flatten(F.collect_list("emails")))
-    joined = stored.withColumnRenamed("emails", "stored").crossJoin(F.broadcast(candidates.agg(every.alias("candidates"))))  # one row
-    return joined.select((F.size(F.array_except("stored", "candidates")) == 0).alias("all_present"), F.array_intersect("stored", "candidates").alias("still_present"))
+    known = candidates.select(F.explode("emails").alias("email")).distinct().withColumn("__known", F.lit(True))
+    marked = stored.select(F.monotonically_increasing_id().alias("__id"), F.array_distinct("emails").alias("emails"))
+    rows = marked.select("__id", F.posexplode_outer("emails").alias("at", "email"))
+    here = F.coalesce("__known", F.lit(False))
+    found = rows.join(known, "email", "left").groupBy("__id").agg(F.bool_and(here | F.col("at").isNull()).alias("all_present"), F.sort_array(F.collect_list(F.when(here, F.struct("at", "email")))).alias("kept"))
+    return found.select("all_present", F.col("kept.email").alias("still_present"))

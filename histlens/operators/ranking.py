@@ -40,8 +40,9 @@ def capability_groups(skills: DataFrame, n: int = 4) -> DataFrame:
     return found.join(totals, "prefix").orderBy(F.desc("commits"), "prefix")
 
 
-def structural_count(skills: DataFrame) -> DataFrame:
-    return skills.agg(F.count_if(F.col("evidence") == "structural").alias("structural"))
+def structural_count(skills: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """How many skills, in all or for each of `keys`, rest on structure."""
+    return skills.groupBy(*keys).agg(F.count_if(F.col("evidence") == "structural").alias("structural"))
 
 
 def skills_line(count: Column, top: Column, width: int, most: int = 3) -> Column:

@@ -852,6 +852,90 @@ def release_candidates(spark, sf_dir):
     return skills.release_candidates(package_map.select("package").distinct(), package_map, found).withColumn("packages", F.array_join("packages", ","))
 
 
+# A package for each part; every fifth key is a head of others.
+_KEY = "'com.t' || p_size || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '.p' || p_partkey % 400 END"
+
+
+@query(f"""WITH m AS (SELECT {_KEY} AS package, p_type AS slug FROM part), d AS (SELECT DISTINCT package FROM m)
+    SELECT 'too_few' AS rule, count(*)::VARCHAR AS detail FROM m HAVING count(*) < 100000 UNION ALL SELECT 'repeated', package FROM m GROUP BY package HAVING count(*) > 1
+    UNION ALL SELECT 'unknown_slug', slug FROM (SELECT DISTINCT slug FROM m WHERE slug NOT IN ('STANDARD', 'SMALL', 'MEDIUM')) x
+    UNION ALL SELECT 'prefix', a.package || ' < ' || b.package FROM d a JOIN d b ON starts_with(b.package, a.package || '.')""")
+def map_rules(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.expr(_KEY).alias("package"), F.col("p_type").alias("slug"))
+    return skills.map_faults(rows, spark.createDataFrame([("STANDARD",), ("SMALL",), ("MEDIUM",)], "slug string"), 100_000).distinct()
+
+
+@query(f"""WITH m AS (SELECT DISTINCT {_KEY} AS package FROM part WHERE p_partkey % 3 <> 0), l AS (SELECT {_KEY} AS package FROM part WHERE p_partkey % 7 < 2)
+    SELECT 'repeated' AS rule, package AS detail FROM l GROUP BY package HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'unmapped', package FROM l WHERE package NOT IN (SELECT package FROM m)""")
+def release_list_rules(spark, sf_dir):
+    keys = table(spark, sf_dir, "part").select("p_partkey", F.expr(_KEY).alias("package"))
+    return skills.release_list_faults(keys.where("p_partkey % 7 < 2").select("package"), keys.where("p_partkey % 3 <> 0").select("package"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_acctbal / 10000 AS share, [c_custkey % 5, c_custkey % 7, c_custkey % 3] AS ns, 'a/' || c_mktsegment || '/' || c_name AS path FROM customer), s AS (SELECT *, least(greatest(share, 0), 1) AS held, greatest(list_max(ns), 1) AS top FROM c)
+    SELECT c_custkey, round(held * 100)::INT || '%' AS percent, repeat('#', round(held * 20)::INT) || repeat('.', 20 - round(held * 20)::INT) AS bar,
+      array_to_string(list_transform(ns, lambda n: substr(' .:-=+*#', ceil(n * 7 / top)::INT + 1, 1)), '') AS spark, ['ambiguous', 'inferred', 'direct'][(least(c_custkey % 3, c_custkey % 2 + 1) + 1)::INT] AS weakest, split_part(path, '/', 3) AS base FROM s""")
+def value_formats(spark, sf_dir):
+    c, share = F.col("c_custkey"), F.col("c_acctbal") / 10000
+    name = lambda k: F.element_at(F.array(*map(F.lit, values.CONFIDENCE)), (k + 1).cast("int"))
+    path = F.concat(F.lit("a/"), "c_mktsegment", F.lit("/"), "c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", values.percent(share).alias("percent"), values.bar(share).alias("bar"), values.sparkline(F.array(c % 5, c % 7, c % 3)).alias("spark"), values.lower_confidence(name(c % 3), name(c % 2 + 1)).alias("weakest"), paths.basename(path).alias("base"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS sha, 'p' || l_partkey % 50 AS path, count(*) AS touches, min(o_orderdate) AS first_at FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 6 <> 0 AND l_linenumber <> 3 GROUP BY ALL""")
+def touched_files(spark, sf_dir):
+    """Files that non-merge commits added text to, and when."""
+    commits = table(spark, sf_dir, "orders").select(F.lit("r").alias("repo_id"), F.col("o_orderkey").cast("string").alias("sha"), F.col("o_orderdate").alias("author_ts"), (F.col("o_orderkey") % 6 == 0).alias("is_merge"))
+    added = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("repo_id"), F.col("l_orderkey").cast("string").alias("sha"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("path"), F.when(F.col("l_linenumber") == 3, "").otherwise("x").alias("added_text"))
+    return infer.touch_log(commits, added).groupBy("sha", "path").agg(F.count(F.lit(1)).alias("touches"), F.min("author_ts").cast("timestamp_ntz").alias("first_at"))
+
+
+@query("""WITH s AS (SELECT c_nationkey, list(c_name) AS names FROM customer WHERE c_custkey % 10 = 1 GROUP BY c_nationkey UNION ALL SELECT c_nationkey, list(c_name) FROM customer WHERE c_custkey % 15 = 2 GROUP BY c_nationkey),
+    k AS (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT names, list_sort(list_filter(names, lambda x: x IN (SELECT c_name FROM k))) AS kept FROM s)
+    SELECT len(kept) = len(names) AS all_present, len(kept) AS n, md5(array_to_string(kept, ',')) AS kept FROM f""".replace("list_filter(names, lambda x: x IN (SELECT c_name FROM k))", "(SELECT list(x) FROM (SELECT unnest(names) AS x) y WHERE x IN (SELECT c_name FROM k))"))
+def stored_selection(spark, sf_dir):
+    """Stored selections of each nation's authors against those that are still candidates."""
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    chosen = lambda rows: rows.groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_name")).alias("emails")).select("emails")
+    found = ownership.selection_state(chosen(people.where("c_custkey % 10 = 1")).unionByName(chosen(people.where("c_custkey % 15 = 2"))), chosen(people.where("c_custkey % 3 <> 0")))
+    return found.select("all_present", F.size("still_present").cast("long").alias("n"), F.md5(F.array_join("still_present", ",").cast("binary")).alias("kept"))
+
+
+@query("""SELECT c_custkey, c_mktsegment AS site, md5(c_name) IN (SELECT md5(c_name) FROM customer d WHERE d.c_mktsegment = c.c_mktsegment AND c_custkey % 4 = 0) AS already_submitted FROM customer c""")
+def submissions(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("site"), F.lit("r").alias("repo_id"), F.md5(F.col("c_name").cast("binary")).alias("content_hash"))
+    return profile_plan.already_submitted(people, people.where("c_custkey % 4 = 0")).select("c_custkey", "site", "already_submitted")
+
+
+# Each part is a file with one function, which it calls; it imports the next part's function by name and as a namespace.
+@query("""WITH f AS (SELECT p_partkey AS k, 'p' || p_partkey AS path, 'f' || p_partkey % 10 AS name FROM part)
+    SELECT path, 1 AS pos, path AS target_path, name AS target_name FROM f
+    UNION ALL SELECT a.path, unnest([2, 3]), b.path, b.name FROM f a JOIN f b ON b.k = a.k + 1 WHERE b.k % 2 = 0""")
+def call_edges(spark, sf_dir):
+    """Which function each call reaches: in its file, by an imported name, in an imported namespace."""
+    parts = table(spark, sf_dir, "part").select(F.lit("r").alias("repo_id"), "p_partkey", F.concat(F.lit("p"), "p_partkey").alias("path"), F.concat(F.lit("f"), F.col("p_partkey") % 10).alias("name"), (F.col("p_partkey") % 2 == 0).alias("exported"))
+    next_name = F.concat(F.lit("f"), (F.col("p_partkey") + 1) % 10)
+    binding = lambda local, name, kind: F.struct(F.lit(local).alias("local"), name.alias("imported"), F.lit(kind).alias("kind"))
+    imported = parts.select("repo_id", "path", F.lit("./next").alias("specifier"), F.array(binding("g", next_name, "named"), binding("ns", F.lit("*"), "namespace")).alias("bindings"))
+    resolved = parts.select("repo_id", "path", F.lit("./next").alias("specifier"), F.concat(F.lit("p"), F.col("p_partkey") + 1).alias("target"))
+    chains = F.array(F.array(F.col("name")), F.array(F.lit("g")), F.array(F.lit("ns"), next_name), F.array(F.lit("nope")))
+    calls = parts.select("repo_id", "path", F.posexplode(chains).alias("at", "chain")).withColumn("pos", F.col("at") + 1)
+    return graph.call_targets(calls, parts.select("repo_id", "path", "name", "exported"), resolved, imported).select("path", "pos", "target_path", "target_name")
+
+
+@query(f"""WITH s AS (SELECT p_brand AS slug, min(o_orderdate) AS first_seen FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY p_brand),
+    r AS (SELECT slug, min(created) AS earliest, bool_and(created IS NOT NULL) AS complete FROM (VALUES {_RELEASE_ROWS}) v(slug, created) GROUP BY slug)
+    SELECT slug, slug || ': first seen ' || strftime(first_seen, '%Y-%m-%d') || ', but released ' || strftime(earliest, '%Y-%m-%d') AS warning FROM s JOIN r USING (slug) WHERE complete AND first_seen < earliest""")
+def timeline_warnings(spark, sf_dir):
+    return skills.timeline_warnings(release_anachronism(spark, sf_dir))
+
+
+@query("SELECT p_brand, count(*) FILTER (p_size % 3 = 0) AS structural FROM part GROUP BY p_brand")
+def structural_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") % 3 == 0, "structural").alias("evidence"))
+    return ranking.structural_count(rows, ("p_brand",))
+
+
 # Stamps as they are, and with what makes some of them canonical or breaks it.
 @query("""WITH s AS (SELECT stamp_id, unnest([raw, raw || '.125Z', replace(raw, ' ', 'T') || 'Z', replace(raw, '-1', '-3')]) AS text FROM stamps)
     SELECT stamp_id, text, CASE WHEN regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{3})?Z') THEN epoch_ms(try_cast(replace(replace(text, 'T', ' '), 'Z', '') AS TIMESTAMP)) END AS ms FROM s""")
