@@ -8,11 +8,15 @@ filters support insertion and deletion, so adding or removing documents updates
 counts and filters without a new pass over the rest, and an index can be saved
 and loaded.
 
-Looking up goes the same way at any size: the (text, key) pairs of all texts
-are dealt to shards, where each pair meets its shard's filter, and what the
-filter lets pass is looked up among the shard's exact keys.  Keys that over 1 in `HOT_SHARE` of
-all pairs hold are found in the counts first; there are fewer than `HOT_SHARE` of
-them, so they are sent to all tasks and need no pairs, which leaves no shard hot.
+Looking up starts where the texts are: all filters together have a counted size,
+and in at most `PASSES` groups of at most `FILTER_BYTES` they are sent to all
+tasks, which let go of most lines at once.  What a filter lets pass, a small part
+of the (text, key) pairs, is joined with the exact counts.  Filters beyond that
+size stay in their shards: then the pairs of all texts are dealt to the shards,
+where each meets its filter and then the shard's exact keys.  Keys that over 1 in
+`HOT_SHARE` of all pairs hold are found in the counts first; there are fewer than
+`HOT_SHARE` of them, so they are sent to all tasks and need no looking up, which
+leaves no shard or key hot.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ SHARD_PAIRS = 1 << 17
 #: Shards of a small corpus, so that its lookups too are dealt over many tasks.
 LEAST_SHARDS = 256
 HOT_SHARE = 1024
+#: Bytes of filters that all tasks get at once, and how often at most.
+FILTER_BYTES = 32 << 20
+PASSES = 4
 MADE = StructType([StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
 
@@ -138,6 +145,49 @@ def _distinct(text: bytes) -> set[bytes]:
     return {k for k in map(line_key, text.split(b"\n")) if k}
 
 
+def _batch_keys(batch: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
+    """Rows and key hashes of the distinct keys of each text, each text hash once."""
+    where, keys, met = [], [], set()
+    for i, (text, this) in enumerate(zip(texts(batch["text"]), batch["at"].to_pylist())):
+        if this not in met:
+            met.add(this)
+            mine = [key_hash(k) for k in _distinct(text)]
+            keys += mine
+            where += [i] * len(mine)
+    return where, keys
+
+
+def _shards_of(keys: list[bytes], shards: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(keys), "<u4")[::4] & np.uint32(shards - 1)).astype(np.int32)
+
+
+def _probed(docs: DataFrame, shards: int, hot, group, first: bool) -> DataFrame:  # noqa: ANN001
+    """(at, key, sure) of the pairs that this group's filters let pass, and in the first pass those of hot keys, which are sure."""
+
+    made_filters: dict[int, CuckooFilter] = {}
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        where, keys = _batch_keys(batch)
+        if not keys:
+            return None
+        known = np.fromiter((k in hot.value for k in keys), bool, len(keys))
+        good = known & first
+        shard = _shards_of(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        ends = [0, *(np.flatnonzero(np.diff(shard[order])) + 1), len(keys)]
+        for low, high in zip(ends, ends[1:]):
+            this = int(shard[order[low]])
+            if this in group.value:
+                if this not in made_filters:
+                    made_filters[this] = CuckooFilter(*group.value[this])
+                here = order[low:high]
+                good[here] |= made_filters[this].contains([keys[i] for i in here]) & ~known[here]
+        kept = np.flatnonzero(good)
+        return pa.RecordBatch.from_arrays([batch["at"].take(pa.array(np.array(where, np.int32)[kept])), pa.array([keys[i] for i in kept], pa.binary()), pa.array(known[kept])], ["at", "key", "sure"])
+
+    return map_batches(docs.select("text", text_key().alias("at")), made, "at long, key binary, sure boolean")
+
+
 def _pairs(docs: DataFrame, shards: int, hot) -> DataFrame:  # noqa: ANN001
     """(shard, at, key) for each distinct key of each text; at is the text's hash.
 
@@ -147,15 +197,9 @@ def _pairs(docs: DataFrame, shards: int, hot) -> DataFrame:  # noqa: ANN001
     """
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        where, keys, met = [], [], set()
-        for i, (text, this) in enumerate(zip(texts(batch["text"]), batch["at"].to_pylist())):
-            if this not in met:
-                met.add(this)
-                mine = [key_hash(k) for k in _distinct(text)]
-                keys += mine
-                where += [i] * len(mine)
+        where, keys = _batch_keys(batch)
         at = batch["at"].take(pa.array(where, pa.int32()))
-        shard = (np.frombuffer(b"".join(keys), "<u4")[::4] & np.uint32(shards - 1)).astype(np.int32)
+        shard = _shards_of(keys, shards)
         if hot.value:
             known = np.fromiter((k in hot.value for k in keys), bool, len(keys))
             shard = np.where(known, -1 - (at.to_numpy(zero_copy_only=False) + np.arange(len(keys)) & 0x3FF), shard).astype(np.int32)
@@ -301,6 +345,25 @@ class LineIndex:
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(at, drops): the frequent keys among the lines of texts with hash at, exactly; texts without any have no row."""
+        total = self.filters.agg(F.sum(F.length("cells"))).first()[0] or 0
+        passes, hot = max(1, -(-total // FILTER_BYTES)), self._hot()
+        found = self._near(docs, hot, passes) if passes <= PASSES else self._dealt(docs, hot)
+        return found.groupBy("at").agg(F.collect_set("key").alias("drops"))
+
+    def _near(self, docs: DataFrame, hot, passes: int) -> DataFrame:  # noqa: ANN001
+        """(at, key) by filters that come to the texts."""
+        context, rows = docs.sparkSession.sparkContext, None
+        for turn in range(passes):
+            own = self.filters.where(F.pmod("shard", F.lit(passes)) == turn).collect()
+            group = context.broadcast({r["shard"]: (r["buckets"], bytes(r["cells"])) for r in own})
+            part = _probed(docs, self.shards, hot, group, turn == 0)
+            rows = part if rows is None else rows.unionByName(part)
+        # Written, for both ways read it and texts are read once.
+        rows = checkpointed(rows)
+        return rows.where("sure").select("at", "key").unionByName(rows.where("NOT sure").select("at", "key").join(self.frequent(), "key", "left_semi").select("at", "key"))
+
+    def _dealt(self, docs: DataFrame, hot) -> DataFrame:  # noqa: ANN001
+        """(at, key) by pairs that go to the filters' shards."""
         columns = ("shard", "kind", "at", "key", "buckets", "cells")
         nothing = {"at": "long", "key": "binary", "buckets": "int", "cells": "binary"}
 
@@ -309,9 +372,8 @@ class LineIndex:
             return rows.withColumns(lacking | {"kind": F.lit(kind)}).select(*columns)
 
         exact = self.frequent().select("key", _shard_column(self.shards))
-        rows = shaped(self.filters, 0).unionByName(shaped(exact, 1)).unionByName(shaped(_pairs(docs, self.shards, self._hot()), 2))
-        found = rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, "at long, key binary")
-        return found.groupBy("at").agg(F.collect_set("key").alias("drops"))
+        rows = shaped(self.filters, 0).unionByName(shaped(exact, 1)).unionByName(shaped(_pairs(docs, self.shards, hot), 2))
+        return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_looked_up, "at long, key binary")
 
 
 def _kept(text: bytes, drops: set[bytes]) -> tuple[bytes, int, int]:

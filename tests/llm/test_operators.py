@@ -716,6 +716,22 @@ def test_clean_lines_keeps_columns_of_any_name(spark):
     assert Counter(plain(found, *names)) == Counter((i if i % 2 else None, f"own {i}", *("x" * 10)) for i in range(12))
 
 
+@pytest.mark.parametrize(("size", "passes", "share"), [(1 << 25, 4, 1024), (20_000, 100, 1024), (20_000, 100, 20), (1, 4, 1024)])
+def test_line_dedup_by_filters_near_and_far(sample, monkeypatch, size, passes, share):
+    """Filters sent to the texts in one group or several, and pairs sent to the filters: the same lines go, and few pairs pass a filter for nothing."""
+    for name, value in (("FILTER_BYTES", size), ("PASSES", passes), ("HOT_SHARE", share)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert Counter(plain(line_dedup.line_dedup(sample, 3), "doc_id", "n_lines", "n_dropped", "text")) == brute_lines(plain(sample, "doc_id", "text"), 3)
+    if size > 1:
+        index = line_dedup.LineIndex.of(sample, 3)
+        spark = sample.sparkSession
+        group = spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["cells"])) for r in index.filters.collect()})
+        passed = line_dedup._probed(sample, index.shards, index._hot(), group, True)
+        frequent = {bytes(r["key"]) for r in index.frequent().collect()}
+        rows = passed.collect()
+        assert sum(bytes(r["key"]) not in frequent for r in rows) <= 0.01 * line_dedup._keys(sample).count()
+
+
 def test_line_index_lives_on_in_files(spark, sample, tmp_path):
     first, second = sample.where("doc_id % 2 = 0"), sample.where("doc_id % 2 = 1")
     line_dedup.LineIndex.of(sample, 3).save(str(tmp_path / "index"))
