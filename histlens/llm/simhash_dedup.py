@@ -10,10 +10,10 @@ masks grow a shard can hold ever fewer distinct fingerprints, so this ends.
 
 Each shard becomes a BK-tree, children keyed by their integer Hamming distance
 to the parent, and a search follows only edges within the radius of the
-distance at hand.  All trees together are broadcast if they are counted to be
-at most `BROADCAST_BYTES`, and every task probes them with its fingerprints;
-beyond that, as trees grow with the corpus, they are searched in the tasks that
-hold them, for just their own members.  Both ways find the same links.
+distance at hand.  The trees' bytes are counted, and they are broadcast in as many
+rounds as keep each near `BROADCAST_BYTES`; every task probes each round's trees
+with its fingerprints.  Beyond `ROUNDS` rounds the trees are searched in the tasks
+that hold them, for just their own members.  All ways find the same links.
 
 Of the smaller neighbours that a fingerprint finds it links to one of each
 cluster that is near to itself, never to all: what it leaves out is linked
@@ -39,7 +39,9 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIRS = [(a, b) for a in range(5) for b in range(a)]
 DENSE = 2048
+#: Bytes of trees that all tasks get at once, and in how many rounds at most.
 BROADCAST_BYTES = 32 << 20
+ROUNDS = 16
 _ALL = (1 << 64) - 1
 _SLICE = 1 << 15
 
@@ -266,10 +268,17 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         rows = checkpointed(rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")).distinct())
     trees = checkpointed(plain.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp").mapInArrow(_trees, "mask long, bits long, tree binary"))
     size = trees.agg(F.sum(F.octet_length("tree") + 24)).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        found = trees.mapInArrow(_searched, "a long, b long")
-    else:
-        found = fps.select("fp").mapInArrow(_probe(_broadcast(trees)), "a long, b long")
+    # Rounds of even shares, by a hash of the shard, so that each stays near BROADCAST_BYTES.
+    rounds = max(1, -(-size // max(1, BROADCAST_BYTES)))
+    if rounds > ROUNDS:
+        return trees.mapInArrow(_searched, "a long, b long").distinct()
+    found, probing = None, fps.select("fp")
+    if rounds > 1:
+        probing = checkpointed(probing)
+    for turn in range(rounds):
+        share = trees.where(F.pmod(F.xxhash64("mask", "bits"), F.lit(rounds)) == turn)
+        part = probing.mapInArrow(_probe(_broadcast(share)), "a long, b long")
+        found = part if found is None else found.unionByName(part)
     return found.distinct()
 
 

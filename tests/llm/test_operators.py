@@ -100,10 +100,10 @@ def test_masks_leave_two_blocks_or_a_quarter_equal():
     assert max(64 - m.bit_count() for m in fit) <= 11
 
 
-@pytest.mark.parametrize("room", [1 << 20, 0])
+@pytest.mark.parametrize("room", [1 << 20, 6000, 0])
 @pytest.mark.parametrize("dense", [2048, 40])
 def test_links_join_what_brute_force_joins(spark, monkeypatch, room, dense):
-    """Trees broadcast and trees searched where they are; shards dealt once, and again and again."""
+    """Trees broadcast at once, in rounds, and searched where they are; shards dealt once, and again and again."""
     monkeypatch.setattr(simhash_dedup, "BROADCAST_BYTES", room)
     monkeypatch.setattr(simhash_dedup, "DENSE", dense)
     values = close_values(4, 4, 90) + [random.Random(9).getrandbits(30) << 20 | x for x in range(200)]
