@@ -27,6 +27,8 @@ def patterns(signatures: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
+#: A dictionary of so few expressions is evaluated as it is: looking for literals first costs more than it saves.
+FEW = 32
 #: Literals shorter than this are in most texts.
 LEAST_LITERAL = 3
 
@@ -114,14 +116,22 @@ def matches(files: DataFrame, patterns: DataFrame, keys: list[str], text: str =
     """keys, slug for each file that any of a slug's patterns matches: config patterns on the path, others on the text.
 
     The dictionary's size is fixed, unlike the files'; it is read to the driver.
-    One pass over a text finds which literals it holds, and only the expressions
-    whose required literal is there are evaluated; those without one always are.
-    Files are scanned once, never copied for each pattern, and nothing is shuffled.
+    With over FEW expressions, one pass over a text finds which literals it holds,
+    and only the expressions whose required literal is there are evaluated; those
+    without one always are.  Files are scanned once, never copied for each pattern,
+    and nothing is shuffled.
     """
     rules = [tuple(r) for r in patterns.select("slug", "kind", "pattern").distinct().orderBy("slug", "kind", "pattern").collect()]
     rows = files.withColumn("__text", sanitised(F.col(text)) if clean else F.col(text))
     if not rules:
         return rows.select(*keys, F.lit(None).cast("string").alias("slug")).where("false")
+    if len(rules) <= FEW:
+        own: dict[str, Column] = {}
+        for slug, kind, pattern in rules:
+            one = F.coalesce((F.col(path) if kind == "config" else F.col("__text")).rlike(pattern), F.lit(False))
+            own[slug] = own[slug] | one if slug in own else one
+        found = F.array_compact(F.array(*[F.when(hit, F.lit(slug)) for slug, hit in own.items()]))
+        return rows.select(*keys, F.explode(found).alias("slug"))
     rows = rows.withColumn("__maybe", _candidates(rules)(F.col("__text"), F.col(path)))
     of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i + 1)
     slugs, kinds, expressions = zip(*rules, strict=True)

@@ -33,7 +33,10 @@ def test_every_match_holds_a_literal(pattern, text):
     assert not (found and needed) or any(x in found[0] for x in needed)
 
 
-def test_matches_equal_plain_search(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_matches_equal_plain_search(spark, monkeypatch, few):
+    """Literals first, or all expressions at once."""
+    monkeypatch.setattr(signatures, "FEW", few)
     texts = ["import stripe\nstripe.webhooks.constructEvent(x)", "STRIPE foo.bar", "", None, "créer été\nfoo barn", "aaa\nabcabc", "// nothing"]
     paths = ["a.ts", "Dockerfile", None, "x/docker-compose.yml", "", "b.tf", "c.py"]
     rules = [("pay", "import", r"\bimport stripe\b"), ("pay", "api", r"constructEvent\("), ("any", "api", r"(?i)stripe"), ("lang", "api", r"(?:été|foo barn)"), ("docker", "config", r"(^|/)Dockerfile$"), ("docker", "config", r"docker-compose\.ya?ml$"), ("tf", "config", r"\.tf$"), ("rep", "api", r"(?:abc){2}"), ("short", "api", "aa")]
