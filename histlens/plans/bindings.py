@@ -892,7 +892,7 @@ def touched_files(spark, sf_dir):
 
 @query("""WITH s AS (SELECT c_nationkey, list(c_name) AS names FROM customer WHERE c_custkey % 10 = 1 GROUP BY c_nationkey UNION ALL SELECT c_nationkey, list(c_name) FROM customer WHERE c_custkey % 15 = 2 GROUP BY c_nationkey),
     k AS (SELECT DISTINCT c_name FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT names, list_sort(list_filter(names, lambda x: x IN (SELECT c_name FROM k))) AS kept FROM s)
-    SELECT len(kept) = len(names) AS all_present, len(kept) AS n, md5(array_to_string(kept, ',')) AS kept FROM f""".replace("list_filter(names, lambda x: x IN (SELECT c_name FROM k))", "(SELECT list(x) FROM (SELECT unnest(names) AS x) y WHERE x IN (SELECT c_name FROM k))"))
+    SELECT len(kept) = len(names) AS all_present, len(kept) AS n, md5(array_to_string(kept, ',')) AS kept FROM f""".replace("list_filter(names, lambda x: x IN (SELECT c_name FROM k))", "coalesce((SELECT list(x) FROM (SELECT unnest(names) AS x) y WHERE x IN (SELECT c_name FROM k)), [])"))
 def stored_selection(spark, sf_dir):
     """Stored selections of each nation's authors against those that are still candidates."""
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
