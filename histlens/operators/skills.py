@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import as_timestamp
+from ..shared import checkpointed
 
 
 def package_slugs(packages: DataFrame, package_map: DataFrame, package: str = "package") -> DataFrame:
@@ -34,10 +35,11 @@ def map_faults(package_map: DataFrame, taxonomy: DataFrame, least: int = 585) ->
     few = package_map.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least).select(F.lit("too_few").alias("rule"), F.col("n").cast("string").alias("detail"))
     twice = package_map.groupBy("package").count().where("count > 1").select(F.lit("repeated").alias("rule"), F.col("package").alias("detail"))
     unknown = outside_vocabulary(package_map, taxonomy).select(F.lit("unknown_slug").alias("rule"), F.col("slug").alias("detail"))
-    dotted = package_map.where(F.col("package").contains(".")).select("package")
+    # Keys once each: rows that repeat a head would meet all that repeat a longer key.
+    dotted = checkpointed(package_map.where(F.col("package").contains(".")).select("package").distinct())
     parts = F.split("package", r"\.")
     heads = dotted.select(F.col("package").alias("longer"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("package"))
-    prefix = heads.join(dotted, "package").select(F.lit("prefix").alias("rule"), F.concat_ws(" < ", "package", "longer").alias("detail"))
+    prefix = heads.join(dotted, "package", "left_semi").select(F.lit("prefix").alias("rule"), F.concat_ws(" < ", "package", "longer").alias("detail"))
     return few.unionByName(twice).unionByName(unknown).unionByName(prefix)
 
 
