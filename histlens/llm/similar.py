@@ -13,11 +13,19 @@ that texts similar in size meet.
 Candidates are never all pairs: a text meets the smallest and the largest text
 of each section, and what its whole fingerprint links it to.  Every candidate is
 then checked exactly, on the full sets of shingle hashes; components of the
-links that pass are the classes.
+links that pass are classes.
+
+Sections miss some pairs, so what is left is looked for exactly, by prefixes:
+two sets that are similar enough share one of the first n - ceil(0.8 n) + 1
+shingles of each, in any order that is one for all.  Rare shingles come first (how
+rare, a sample tells; it only decides the order).  Only texts of different classes
+that share such a shingle meet: first each with the ends of its shingle, then, of
+what is still apart, all with all whose sizes and places in the prefixes allow it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,8 @@ SECTIONS = 16
 RUN = 256
 #: Texts to compare, at about 40 bytes each, that are found in documents by broadcast; more are joined by key.
 BROADCAST_TEXTS = 250_000
+#: Texts, and of them the shingles found twice or more, that tell which shingles are frequent, at most.
+SAMPLE, FREQUENT = 4000, 200_000
 # Multipliers of the SplitMix64 generator.
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
@@ -69,11 +79,42 @@ def section_keys(distinct: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(keys).view("<i8")
 
 
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, ascending, that texts of a sample share, and how many do: a bounded table that orders prefixes, nothing else."""
+    rows = select_columns(docs, "text").withColumn("key", text_key())
+    some = rows.where(F.pmod("key", F.lit(max(1, rows.count() // SAMPLE))) == 0).repartition("key")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
+        for batch in batches:
+            found = [np.zeros(0, "<u8"), *(_distinct_hashes(text, words) for text in texts(batch["text"]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view("<i8"))], ["h"])
+
+    held = some.mapInArrow(made, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1").orderBy(F.desc("many"), "h").limit(FREQUENT).toPandas()
+    hashes, many = held["h"].to_numpy(np.int64).view("<u8"), held["many"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], many[order]
+
+
+def prefix(distinct: np.ndarray, similarity: float, hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 shingles, those that few texts have before others."""
+    n = len(distinct)
+    if not n:
+        return np.zeros(0, np.int64)
+    count = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        count = np.where(hashes[at] == distinct, many[at], 0)
+    # distinct ascends, and the sort is stable.
+    return distinct[np.argsort(count, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]].view("<i8")
+
+
 def _measured(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, key (of the text), ident (of its lower-cased words), n (distinct shingles), fp, sections for each row."""
+    """doc_id, key (of the text), ident (of its lower-cased words), n (distinct shingles), fp, sections, prefix for each row."""
+    order = _frequent(docs, words)
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        idents, sizes, fps, sections = [], [], [], []
+        idents, sizes, fps, sections, prefixes = [], [], [], [], []
         for text in texts(batch["text"]):
             hashes = list(shingle_hashes(text, words))
             distinct = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, "<u8")
@@ -81,11 +122,12 @@ def _measured(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             sizes.append(len(distinct))
             fps.append(signed(majority(hashes)))
             sections.append(section_keys(distinct, similarity))
-        columns = [pa.array(idents, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sections, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "ident", "n", "fp", "sections"])
+            prefixes.append(prefix(distinct, similarity, *order))
+        columns = [pa.array(idents, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sections, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "ident", "n", "fp", "sections", "prefix"])
 
     rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
-    return map_batches(rows, made, "doc_id long, key long, ident long, n long, fp long, sections array<long>")
+    return map_batches(rows, made, "doc_id long, key long, ident long, n long, fp long, sections array<long>, prefix array<long>")
 
 
 def _met(rows: DataFrame, group: str) -> DataFrame:
@@ -109,6 +151,43 @@ def _candidates(uniq: DataFrame, similarity: float) -> DataFrame:
     return met.unionByName(near).where((F.col("member") != F.col("other")) & sizes).select("member", "other").distinct()
 
 
+def _placed(uniq: DataFrame, links: DataFrame) -> DataFrame:
+    """ident, root (of its class by the links)."""
+    return uniq.select("ident").join(connected(links), F.col("ident") == F.col("node"), "left").select("ident", F.coalesce("root", "ident").alias("root"))
+
+
+def _enough(similarity: float) -> Column:
+    """Whether sets of m and o shingles, with a first common one at places at_m and at_o of their prefixes, may be similar enough."""
+    most = 1 + F.least(F.col("m") - F.col("at_m") - 1, F.col("o") - F.col("at_o") - 1)
+    sizes = F.least("m", "o") >= F.lit(similarity) * F.greatest("m", "o")
+    return sizes & (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("o")) - 1e-6)
+
+
+def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links between classes of `links`, so many that no similar pair is left in two classes."""
+    rows = uniq.select("ident", "n", F.posexplode("prefix").alias("at", "h")).join(_placed(uniq, links), "ident")
+    item = F.struct("root", "ident", "n", "at")
+    ends = rows.groupBy("h").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.root <> high.root")
+    ends = checkpointed(ends)
+    # Only shingles of more than one class; null-safe for the same reason as in _met.
+    shared = checkpointed(uniq.select("ident", "n", F.posexplode("prefix").alias("at", "h")).join(ends.withColumnRenamed("h", "of"), F.col("h").eqNullSafe(F.col("of"))).select("h", "ident", "n", "at", "low", "high"))
+    pair = ["ident AS member", "n AS m", "at AS at_m", "end.ident AS other", "end.n AS o", "end.at AS at_o"]
+    met = shared.select("*", F.explode(F.array("low", "high")).alias("end")).selectExpr(*pair).where(F.col("member") != F.col("other")).where(_enough(similarity))
+    apart = lambda pairs, roots: pairs.join(roots.selectExpr("ident AS member", "root AS r"), "member").join(roots.selectExpr("ident AS other", "root AS q"), "other").where("r <> q")
+    pairs = checkpointed(apart(met.select("member", "other").distinct(), checkpointed(_placed(uniq, links))).select("member", "other"))
+    more = checkpointed(_similar(docs, uniq, pairs, words, similarity))
+    roots = checkpointed(_placed(uniq, links.unionByName(more)))
+    # What is still apart meets at each shingle that it shares.
+    held = checkpointed(shared.select("h", "ident", "n", "at").join(roots, "ident"))
+    still = held.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    held = checkpointed(held.join(still, "h"))
+    left = held.selectExpr("h", "ident AS member", "n AS m", "at AS at_m", "root AS r")
+    right = held.selectExpr("h AS of", "ident AS other", "n AS o", "at AS at_o", "root AS q")
+    every = left.join(right, F.col("h").eqNullSafe(F.col("of")) & (F.col("r") != F.col("q")) & (F.col("member") < F.col("other")) & _enough(similarity)).select("member", "other").distinct()
+    every = checkpointed(every.join(pairs.select(F.least("member", "other").alias("member"), F.greatest("member", "other").alias("other")), ["member", "other"], "left_anti"))
+    return more.unionByName(checkpointed(_similar(docs, uniq, every, words, similarity)))
+
+
 def _compared(words: int, similarity: float):  # noqa: ANN202
     """(a, b) of similar pairs, from rows sorted by (other, run, kind): the other's own text comes first."""
 
@@ -160,9 +239,10 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     empty result; other columns are ignored.
     """
     found = checkpointed(_measured(docs, words, similarity))
-    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections")))
+    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections"), F.first("prefix").alias("prefix")))
     pairs = checkpointed(_candidates(uniq, similarity))
     links = checkpointed(_similar(docs, uniq, pairs, words, similarity))
+    links = links.unionByName(_rest(docs, uniq, links, words, similarity))
     roots = connected(links)
     classes = uniq.select("ident", "least").join(roots, F.col("ident") == F.col("node"), "left").select("ident", "least", F.coalesce("root", "ident").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
