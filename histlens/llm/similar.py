@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lean_worker, map_batches, select_columns, text_key, texts
+from ..shared import written
 from .simhash_dedup import connected, fingerprint_links, majority, set_bits, shingle_hashes, signed
 
 SECTIONS = 16
@@ -44,6 +45,8 @@ RUN = 256
 BROADCAST_TEXTS = 250_000
 #: Texts, and of them the shingles found twice or more, that tell which shingles are frequent, at most.
 SAMPLE, FREQUENT = 4000, 200_000
+#: Shingles of prefixes that one bucket holds, about.
+BUCKET = 1 << 19
 # Multipliers of the SplitMix64 generator.
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
@@ -109,25 +112,67 @@ def prefix(distinct: np.ndarray, similarity: float, hashes: np.ndarray, many: np
     return distinct[np.argsort(count, kind="stable")[: n - math.ceil(similarity * n - 1e-9) + 1]].view("<i8")
 
 
+def _ident(text: bytes) -> int:
+    return signed(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 11))
+
+
 def _measured(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, key (of the text), ident (of its lower-cased words), n (distinct shingles), fp, sections, prefix for each row."""
-    order = _frequent(docs, words)
+    """doc_id, key (of the text), ident (of its lower-cased words), n (distinct shingles), fp, sections for each row."""
 
     def made(batch: pa.RecordBatch) -> pa.RecordBatch:
-        idents, sizes, fps, sections, prefixes = [], [], [], [], []
+        idents, sizes, fps, sections = [], [], [], []
         for text in texts(batch["text"]):
             hashes = list(shingle_hashes(text, words))
             distinct = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, "<u8")
-            idents.append(signed(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 11)))
+            idents.append(_ident(text))
             sizes.append(len(distinct))
             fps.append(signed(majority(hashes)))
             sections.append(section_keys(distinct, similarity))
-            prefixes.append(prefix(distinct, similarity, *order))
-        columns = [pa.array(idents, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sections, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "ident", "n", "fp", "sections", "prefix"])
+        columns = [pa.array(idents, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sections, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *columns], ["doc_id", "key", "ident", "n", "fp", "sections"])
 
     rows = select_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text")
-    return map_batches(rows, made, "doc_id long, key long, ident long, n long, fp long, sections array<long>, prefix array<long>")
+    return map_batches(rows, made, "doc_id long, key long, ident long, n long, fp long, sections array<long>")
+
+
+def _packed(docs: DataFrame, words: int, similarity: float, bits: int) -> DataFrame:
+    """bucket (first bits of a shingle), h, ident, at (bytes): the prefixes of all texts, the same many bytes for each shingle.
+
+    A row for each shingle would be twice as many bytes, and nearly all of them are of one text alone.
+    """
+    order = _frequent(docs, words)
+
+    def made(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = {}
+        for text in texts(batch["text"]):
+            ident = _ident(text)
+            if ident not in found:
+                found[ident] = prefix(_distinct_hashes(text, words), similarity, *order)
+        many = [len(x) for x in found.values()]
+        if not sum(many):
+            return None
+        h, ident = np.concatenate(list(found.values())), np.repeat(np.fromiter(found, np.int64, len(found)), many)
+        at = np.concatenate([np.arange(n, dtype="<i4") for n in many])
+        bucket = (h.view("<u8") >> np.uint64(64 - bits)).astype(np.int32)
+        turn = np.argsort(bucket, kind="stable")
+        starts = np.r_[0, np.flatnonzero(np.diff(bucket[turn])) + 1]
+        cut = lambda values: pa.array([x.tobytes() for x in np.split(values[turn], starts[1:])], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[turn][starts]), cut(h), cut(ident), cut(at)], ["bucket", "h", "ident", "at"])
+
+    return map_batches(select_columns(docs, "text"), made, "bucket int, h binary, ident binary, at binary")
+
+
+def _of_many(bucket: pa.Table) -> pa.Table:
+    """h, ident, at of a bucket's shingles that more than one text has."""
+    h, ident, at = (np.frombuffer(b"".join(bucket[c].to_pylist()), t) for c, t in (("h", "<i8"), ("ident", "<i8"), ("at", "<i4")))
+    turn = np.lexsort((ident, h))
+    h, ident, at = h[turn], ident[turn], at[turn]
+    # Texts with the same words have the same prefixes.
+    first = np.r_[True, (np.diff(h) != 0) | (np.diff(ident) != 0)]
+    h, ident, at = h[first], ident[first], at[first]
+    new = np.r_[True, np.diff(h) != 0]
+    many = ~(new & np.r_[new[1:], True])
+    return pa.table({"h": h[many], "ident": ident[many], "at": at[many]})
 
 
 def _met(rows: DataFrame, group: str) -> DataFrame:
@@ -163,24 +208,27 @@ def _enough(similarity: float) -> Column:
     return sizes & (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("o")) - 1e-6)
 
 
-def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): links between classes of `links`, so many that no similar pair is left in two classes."""
-    rows = uniq.select("ident", "n", F.posexplode("prefix").alias("at", "h")).join(_placed(uniq, links), "ident")
-    item = F.struct("root", "ident", "n", "at")
-    ends = rows.groupBy("h").agg(F.min(item).alias("low"), F.max(item).alias("high")).where("low.root <> high.root")
-    ends = checkpointed(ends)
+def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, similarity: float, shingles: int) -> DataFrame:
+    """(a, b): links between classes of `links`, so many that no similar pair is left in two classes; `shingles` of all texts tell how many buckets."""
+    placed = checkpointed(_placed(uniq, links).join(uniq.select("ident", "n"), "ident"))
+    bits = min(16, max(6, math.ceil((1 - similarity) * shingles / BUCKET).bit_length()))
+    shared = _packed(docs, words, similarity, bits).groupBy("bucket").applyInArrow(_of_many, "h long, ident long, at int")
+    rows = written(shared.join(placed, "ident").select("h", "ident", "n", "at", "root"))
     # Only shingles of more than one class; null-safe for the same reason as in _met.
-    shared = checkpointed(uniq.select("ident", "n", F.posexplode("prefix").alias("at", "h")).join(ends.withColumnRenamed("h", "of"), F.col("h").eqNullSafe(F.col("of"))).select("h", "ident", "n", "at", "low", "high"))
+    classes = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(F.col("h").alias("of"))
+    shared = written(rows.join(classes, F.col("h").eqNullSafe(F.col("of"))).drop("of"))
+    item = F.struct("root", "ident", "n", "at")
+    ends = shared.groupBy("h").agg(F.min(item).alias("low"), F.max(item).alias("high")).withColumnRenamed("h", "of")
+    met = shared.join(ends, F.col("h").eqNullSafe(F.col("of"))).select("ident", "n", "at", "root", F.explode(F.array("low", "high")).alias("end"))
     pair = ["ident AS member", "n AS m", "at AS at_m", "end.ident AS other", "end.n AS o", "end.at AS at_o"]
-    met = shared.select("*", F.explode(F.array("low", "high")).alias("end")).selectExpr(*pair).where(F.col("member") != F.col("other")).where(_enough(similarity))
-    apart = lambda pairs, roots: pairs.join(roots.selectExpr("ident AS member", "root AS r"), "member").join(roots.selectExpr("ident AS other", "root AS q"), "other").where("r <> q")
-    pairs = checkpointed(apart(met.select("member", "other").distinct(), checkpointed(_placed(uniq, links))).select("member", "other"))
+    met = met.where("root <> end.root").selectExpr(*pair).where(_enough(similarity))
+    pairs = checkpointed(met.select("member", "other").distinct())
     more = checkpointed(_similar(docs, uniq, pairs, words, similarity))
     roots = checkpointed(_placed(uniq, links.unionByName(more)))
     # What is still apart meets at each shingle that it shares.
-    held = checkpointed(shared.select("h", "ident", "n", "at").join(roots, "ident"))
+    held = written(shared.select("h", "ident", "n", "at").join(roots, "ident"))
     still = held.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    held = checkpointed(held.join(still, "h"))
+    held = written(held.join(still, "h"))
     left = held.selectExpr("h", "ident AS member", "n AS m", "at AS at_m", "root AS r")
     right = held.selectExpr("h AS of", "ident AS other", "n AS o", "at AS at_o", "root AS q")
     every = left.join(right, F.col("h").eqNullSafe(F.col("of")) & (F.col("r") != F.col("q")) & (F.col("member") < F.col("other")) & _enough(similarity)).select("member", "other").distinct()
@@ -239,10 +287,10 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     empty result; other columns are ignored.
     """
     found = checkpointed(_measured(docs, words, similarity))
-    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections"), F.first("prefix").alias("prefix")))
+    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections")))
     pairs = checkpointed(_candidates(uniq, similarity))
     links = checkpointed(_similar(docs, uniq, pairs, words, similarity))
-    links = links.unionByName(_rest(docs, uniq, links, words, similarity))
+    links = links.unionByName(_rest(docs, uniq, links, words, similarity, found.agg(F.sum("n")).first()[0] or 0))
     roots = connected(links)
     classes = uniq.select("ident", "least").join(roots, F.col("ident") == F.col("node"), "left").select("ident", "least", F.coalesce("root", "ident").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -3,13 +3,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from histlens.llm import exact_dedup, huffman, language_id, license_scan, line_dedup, mixing, packing, pii, quality, simhash_dedup, similar, tokens
+from histlens.llm import common, exact_dedup, huffman, language_id, license_scan, line_dedup, mixing, packing, pii, quality, simhash_dedup, similar, tokens
 
 WHITE = re.compile("[\x20\x09-\x0d]+")
 WORDS = tokens.tokenizer_path("word_bpe_49k.json")
@@ -179,6 +180,19 @@ def test_no_similar_pair_is_left_in_two_classes(spark, monkeypatch):
     assert len(near) > 200 and dict(plain(similar.similar_classes(docs), "doc_id", "component_id")) == dict(enumerate(exact))
 
 
+def test_shingles_that_one_text_has_are_not_written(spark):
+    """Texts that share nothing leave less in the shared folder than eight bytes for each shingle of their prefixes, copies or not."""
+    rng = random.Random(5)
+    rows = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(804)) for _ in range(250)]
+    shingles = sum(800 - 640 + 1 for _ in rows)
+    docs = spark.createDataFrame(list(enumerate(rows + rows)), "doc_id long, text string").repartition(4)
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    found = dict(plain(similar.similar_classes(docs), "doc_id", "component_id"))
+    assert found == {i: i % 250 for i in range(500)}
+    assert sum(x.stat().st_size for x in set(folder.rglob("*")) - before if x.is_file()) < 8 * shingles
+
+
 def test_similar_classes_of_one_large_group_in_runs(spark, monkeypatch):
     monkeypatch.setattr(similar, "RUN", 7)
     rng = random.Random(3)
