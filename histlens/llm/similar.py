@@ -231,7 +231,11 @@ def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, simila
     held = written(held.join(still, "h"))
     left = held.selectExpr("h", "ident AS member", "n AS m", "at AS at_m", "root AS r")
     right = held.selectExpr("h AS of", "ident AS other", "n AS o", "at AS at_o", "root AS q")
-    every = left.join(right, F.col("h").eqNullSafe(F.col("of")) & (F.col("r") != F.col("q")) & (F.col("member") < F.col("other")) & _enough(similarity)).select("member", "other").distinct()
+    every = left.join(right, F.col("h").eqNullSafe(F.col("of")) & (F.col("r") != F.col("q")) & (F.col("member") < F.col("other")))
+    every = every.groupBy("member", "other").agg(F.count(F.lit(1)).alias("common"), F.max("m").alias("m"), F.max("o").alias("o"), F.max(_enough(similarity)).alias("may"))
+    # Where the prefix that ends first ends, all common shingles are in both prefixes; beyond it are at most what that prefix leaves out.
+    beyond = F.ceil(F.lit(similarity) * F.greatest("m", "o") - 1e-9) - 1
+    every = every.where(F.col("may") & (F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("o")) - 1e-6)).select("member", "other")
     every = checkpointed(every.join(pairs.select(F.least("member", "other").alias("member"), F.greatest("member", "other").alias("other")), ["member", "other"], "left_anti"))
     return more.unionByName(checkpointed(_similar(docs, uniq, every, words, similarity)))
 
