@@ -42,6 +42,8 @@ DENSE = 2048
 #: Bytes of trees that all tasks get at once, and in how many rounds at most.
 BROADCAST_BYTES = 32 << 20
 ROUNDS = 16
+#: Edges that a part of a round's table has, about, and how many parts there are at least.
+EDGES, PARTS = 100_000, 16
 _ALL = (1 << 64) - 1
 _SLICE = 1 << 15
 
@@ -286,23 +288,28 @@ def connected(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of links(a, b), by alternating star contraction.
 
     Hubs cost no collected neighbour lists: minima are aggregated map-side and
-    the join on a hub is one that adaptive execution can split.
+    the join on a hub is one that adaptive execution can split.  A round's edges
+    are written in as few parts as their number asks for.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        # Large star: every larger neighbour hangs on the smallest of the neighbourhood.
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours hang on the smallest of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u")
-        edges = checkpointed(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, parts = now, max(PARTS, -(-now[0] // EDGES))
+        edges = edges.coalesce(parts)
+        # Large star: every larger neighbour hangs on the smallest of the neighbourhood.
+        least = _ends(edges, ("u", "v"), ("v", "u")).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = edges.join(least.withColumnRenamed("u", "of"), F.col("v") == F.col("of")).select("u", F.col("m").alias("v")).distinct()
+        # Small star: a node and its smaller neighbours hang on the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = checkpointed(_ends(large.join(least, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct().coalesce(parts))
+
+
+def _ends(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): a row for each of these pairs of columns; no union, which would read the rows once for each."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("end")).select("end.*")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:

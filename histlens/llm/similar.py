@@ -47,6 +47,8 @@ BROADCAST_TEXTS = 250_000
 SAMPLE, FREQUENT = 4000, 200_000
 #: Shingles of prefixes that one bucket holds, about.
 BUCKET = 1 << 19
+#: Texts whose numbers a part of a written table has, about, and how many parts there are at least; tables of few long numbers in many parts are mostly files and tasks.
+TEXTS, PARTS = 100_000, 16
 # Multipliers of the SplitMix64 generator.
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
@@ -197,8 +199,16 @@ def _candidates(uniq: DataFrame, similarity: float) -> DataFrame:
 
 
 def _placed(uniq: DataFrame, links: DataFrame) -> DataFrame:
-    """ident, root (of its class by the links)."""
-    return uniq.select("ident").join(connected(links), F.col("ident") == F.col("node"), "left").select("ident", F.coalesce("root", "ident").alias("root"))
+    """ident, n, root (of its class by the links)."""
+    return uniq.select("ident", "n").join(connected(links), F.col("ident") == F.col("node"), "left").select("ident", "n", F.coalesce("root", "ident").alias("root"))
+
+
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed(ident, root) after these further links: only classes are connected, not their texts once more."""
+    for end in ("a", "b"):
+        links = links.join(placed.select(F.col("ident").alias(end), F.col("root").alias(f"{end}_root")), end)
+    found = connected(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))).withColumnRenamed("root", "under")
+    return placed.join(found, F.col("root") == F.col("node"), "left").select("ident", F.coalesce("under", "root").alias("root"))
 
 
 def _enough(similarity: float) -> Column:
@@ -208,9 +218,9 @@ def _enough(similarity: float) -> Column:
     return sizes & (most >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("o")) - 1e-6)
 
 
-def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, similarity: float, shingles: int) -> DataFrame:
-    """(a, b): links between classes of `links`, so many that no similar pair is left in two classes; `shingles` of all texts tell how many buckets."""
-    placed = checkpointed(_placed(uniq, links).join(uniq.select("ident", "n"), "ident"))
+def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, similarity: float, shingles: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links between classes of `links`, so many that no similar pair is left in two classes, and (ident, root) by all links; `shingles` of all texts tell how many buckets."""
+    placed = checkpointed(_placed(uniq, links).coalesce(parts))
     bits = min(16, max(6, math.ceil((1 - similarity) * shingles / BUCKET).bit_length()))
     shared = _packed(docs, words, similarity, bits).groupBy("bucket").applyInArrow(_of_many, "h long, ident long, at int")
     rows = written(shared.join(placed, "ident").select("h", "ident", "n", "at", "root"))
@@ -222,9 +232,9 @@ def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, simila
     met = shared.join(ends, F.col("h").eqNullSafe(F.col("of"))).select("ident", "n", "at", "root", F.explode(F.array("low", "high")).alias("end"))
     pair = ["ident AS member", "n AS m", "at AS at_m", "end.ident AS other", "end.n AS o", "end.at AS at_o"]
     met = met.where("root <> end.root").selectExpr(*pair).where(_enough(similarity))
-    pairs = checkpointed(met.select("member", "other").distinct())
-    more = checkpointed(_similar(docs, uniq, pairs, words, similarity))
-    roots = checkpointed(_placed(uniq, links.unionByName(more)))
+    pairs = checkpointed(met.select("member", "other").distinct().coalesce(parts))
+    more = checkpointed(_similar(docs, uniq, pairs, words, similarity, parts)).coalesce(parts)
+    roots = checkpointed(_joined(placed, more).coalesce(parts))
     # What is still apart meets at each shingle that it shares.
     held = written(shared.select("h", "ident", "n", "at").join(roots, "ident"))
     still = held.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
@@ -236,8 +246,9 @@ def _rest(docs: DataFrame, uniq: DataFrame, links: DataFrame, words: int, simila
     # Where the prefix that ends first ends, all common shingles are in both prefixes; beyond it are at most what that prefix leaves out.
     beyond = F.ceil(F.lit(similarity) * F.greatest("m", "o") - 1e-9) - 1
     every = every.where(F.col("may") & (F.col("common") + beyond >= F.lit(similarity / (1 + similarity)) * (F.col("m") + F.col("o")) - 1e-6)).select("member", "other")
-    every = checkpointed(every.join(pairs.select(F.least("member", "other").alias("member"), F.greatest("member", "other").alias("other")), ["member", "other"], "left_anti"))
-    return more.unionByName(checkpointed(_similar(docs, uniq, every, words, similarity)))
+    every = checkpointed(every.join(pairs.select(F.least("member", "other").alias("member"), F.greatest("member", "other").alias("other")), ["member", "other"], "left_anti")).coalesce(parts)
+    last = checkpointed(_similar(docs, uniq, every, words, similarity, parts)).coalesce(parts)
+    return more.unionByName(last), checkpointed(_joined(roots, last).coalesce(parts))
 
 
 def _compared(words: int, similarity: float):  # noqa: ANN202
@@ -263,10 +274,10 @@ def _compared(words: int, similarity: float):  # noqa: ANN202
     return run
 
 
-def _similar(docs: DataFrame, uniq: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _similar(docs: DataFrame, uniq: DataFrame, pairs: DataFrame, words: int, similarity: float, parts: int) -> DataFrame:
     """(a, b): the pairs whose Jaccard similarity is enough, compared in runs of about RUN members."""
     # One row's text of each ident that is in a pair; rows that repeat it are folded before they are shuffled.
-    wanted = checkpointed(pairs.select(F.explode(F.array("member", "other")).alias("ident")).distinct().join(uniq.select("ident", "row.doc_id", "row.key"), "ident"))
+    wanted = checkpointed(pairs.select(F.explode(F.array("member", "other")).alias("ident")).distinct().join(uniq.select("ident", "row.doc_id", "row.key"), "ident").coalesce(parts))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("mark"), "text")
     sent = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     held = rows.join(sent, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("key")))
@@ -291,12 +302,14 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     empty result; other columns are ignored.
     """
     found = checkpointed(_measured(docs, words, similarity))
-    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections")))
-    pairs = checkpointed(_candidates(uniq, similarity))
-    links = checkpointed(_similar(docs, uniq, pairs, words, similarity))
-    links = links.unionByName(_rest(docs, uniq, links, words, similarity, found.agg(F.sum("n")).first()[0] or 0))
-    roots = connected(links)
-    classes = uniq.select("ident", "least").join(roots, F.col("ident") == F.col("node"), "left").select("ident", "least", F.coalesce("root", "ident").alias("root"))
+    rows, shingles = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(PARTS, -(-rows // TEXTS))
+    uniq = checkpointed(found.groupBy("ident").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.max("sections").alias("sections")).coalesce(parts))
+    pairs = checkpointed(_candidates(uniq, similarity).coalesce(parts))
+    links = checkpointed(_similar(docs, uniq, pairs, words, similarity, parts)).coalesce(parts)
+    more, roots = _rest(docs, uniq, links, words, similarity, shingles, parts)
+    links = links.unionByName(more)
+    classes = uniq.select("ident", "least").join(roots, "ident")
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count(F.lit(1)).alias("links"))
     named = checkpointed(classes.join(smallest, "root").join(degree, F.col("ident") == F.col("end"), "left").select("ident", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
